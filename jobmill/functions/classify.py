@@ -134,7 +134,7 @@ def workday_info(url) -> Column:
     company = F.coalesce(c1, c2)
     api_base = F.when(c1.isNotNull(), F.concat(F.lit("https://"), c1, F.lit(".wd"), n1,
                                                F.lit(".myworkdayjobs.com/wday/cxs/"), c1))
-    first = F.element_at(F.split(F.regexp_replace(url_path(url), r"^/+|/+$", ""), "/"), 1)
+    first = F.try_element_at(F.split(F.regexp_replace(url_path(url), r"^/+|/+$", ""), "/"), F.lit(1))
     site = F.coalesce(F.nullif(first, F.lit("")), F.lit("External"))
     return F.struct(company.alias("company"), api_base.alias("api_base"), site.alias("site"))
 
@@ -206,7 +206,7 @@ def title_from_url(url) -> Column:
     """Last non-empty path part, [-_]+ -> space, drop a trailing .ext, null if shorter
     than 5 chars or all digits, then title case (first letter of each word upper)."""
     segs = F.filter(F.split(url_path(url), "/"), lambda s: s != "")
-    last = F.element_at(segs, -1)
+    last = F.try_element_at(segs, F.lit(-1))
     t = F.regexp_replace(last, r"[-_]+", " ")
     t = F.regexp_replace(t, r"\.\w+$", "")
     bad = (F.size(segs) == 0) | (F.length(t) < 5) | t.rlike(r"^\d+$")

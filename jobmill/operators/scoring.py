@@ -94,15 +94,15 @@ def keyword_parts_literal(p: Profile, text: Column, title: Column, location: Col
 def keyword_parts_columns(text: Column, title: Column, location: Column, remote: Column) -> dict:
     """Same parts with the profile as joined columns (patterns recompile per change)."""
     pat = whole_word_pattern
-    excluded_kw = F.element_at(
-        F.filter(F.col("must_not_keywords"), lambda k: F.regexp_like(text, pat(k))), 1)
-    role = F.element_at(
-        F.filter(F.col("desired_roles"), lambda r: F.regexp_like(title, pat(r))), 1)
+    excluded_kw = F.try_element_at(
+        F.filter(F.col("must_not_keywords"), lambda k: F.regexp_like(text, pat(k))), F.lit(1))
+    role = F.try_element_at(
+        F.filter(F.col("desired_roles"), lambda r: F.regexp_like(title, pat(r))), F.lit(1))
     matched = F.filter(F.col("must_have_keywords"), lambda k: F.regexp_like(text, pat(k)))
     n_kw = F.size(F.col("must_have_keywords"))
     has_loc = location.isNotNull() & (location != "")
-    loc_hit = F.when(has_loc, F.element_at(
-        F.filter(F.col("preferred_locations"), lambda l: F.lower(location).contains(F.lower(l))), 1))
+    loc_hit = F.when(has_loc, F.try_element_at(
+        F.filter(F.col("preferred_locations"), lambda l: F.lower(location).contains(F.lower(l))), F.lit(1)))
     remote_ok = F.coalesce(F.col("remote_preference").isNotNull()
                            & (remote == F.col("remote_preference")), F.lit(False))
     return dict(excluded_kw=excluded_kw, role=role, matched=matched, n_kw=n_kw,

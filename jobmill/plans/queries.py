@@ -86,7 +86,7 @@ s AS (
          WHEN age_days >= 30 THEN 0.0e0 ELSE 1.0e0 - sqrt(age_days / 30.0e0) END AS rec
   FROM k),
 f AS (
-  SELECT id, company, title, location, excluded,
+  SELECT id, company, title, location, excluded, l_orderkey, l_linenumber, l_partkey, l_suppkey,
     CASE WHEN excluded THEN 0.0e0 ELSE 0.55e0 * 0.5e0 + 0.3e0 * kw + 0.15e0 * rec END AS final_score,
     CASE WHEN excluded THEN 0.0e0 ELSE 0.5e0 END AS vector_score,
     CASE WHEN excluded THEN 0.0e0 ELSE kw END AS keyword_score,
@@ -140,4 +140,4 @@ def q_match_class(spark, sf_dir):
 
 
 # Query groups register themselves on import (after the helpers above exist).
-from . import q_relational, q_text  # noqa: E402,F401
+from . import q_pages, q_relational, q_text, q_vectors  # noqa: E402,F401

@@ -71,20 +71,21 @@ def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,
     # First occurrence of each absolute URL wins (array_distinct keeps first-seen
     # order); done inside the page row, so the page is never shuffled.
     links = F.transform(F.array_distinct(urls), lambda u: F.struct(
-        u.alias("job_url"), F.element_at(hrefs, F.array_position(urls, u).cast("int")).alias("href")))
+        u.alias("job_url"), F.try_element_at(hrefs, F.array_position(urls, u).cast("int")).alias("href")))
     first = pages.select(_c(id_col).alias(id_col), _c(url_col).alias("source_url"),
                          html.alias("_html"), F.posexplode(links).alias("_pos", "_l"))
     first = first.select(id_col, "_pos", "source_url", "_html", "_l.job_url", "_l.href")
     first = first.filter(is_job_url(F.col("job_url")))
     quoted = F.concat(F.lit("\\Q"), F.col("href"), F.lit("\\E"))
     anchor_pat = F.concat(F.lit("(?is)<a[^>]*href=[\"']?"), quoted, F.lit("[\"']?[^>]*>([^<]+)</a>"))
-    anchor_text = squash_ws(F.regexp_extract(F.col("_html"), anchor_pat, 1))
+    anchor_text = squash_ws(F.call_function("regexp_extract", F.col("_html"), anchor_pat, F.lit(1)))
     title_ok = (F.length(anchor_text) > 5) & (F.length(anchor_text) < 200)
     title = F.when(title_ok, anchor_text).otherwise(title_from_url(F.col("job_url")))
-    at = F.instr(F.lower(F.col("_html")), F.lower(F.col("href")))
+    at = F.call_function("instr", F.lower(F.col("_html")), F.lower(F.col("href")))
     start = F.greatest(at - 500, F.lit(1))
-    ctx = F.when(at > 0, F.substring(F.col("_html"), start, F.least(at - 1, F.lit(500)) + F.length("href") + 500))
-    loc = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(ctx, F.lit("(?i)" + p), 1)), F.lit(""))
+    ctx = F.when(at > 0, F.call_function("substring", F.col("_html"), start,
+                                         F.least(at - 1, F.lit(500)) + F.length("href") + 500))
+    loc = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(ctx, "(?i)" + p, 1)), F.lit(""))
                        for p in LOCATION_PATTERNS])
     out = first.select(id_col, "_pos", "source_url", F.col("job_url").alias("apply_url"),
                        title.alias("title"), loc.alias("location"))
