@@ -111,7 +111,7 @@ def mark_notified_frames(stored: DataFrame, ids: DataFrame, mode: str, target: s
     flagged = hit.withColumn("_hit", F.lit(True))
     snap = stored.join(flagged, "id", "left").withColumn(
         "notified_at", F.when(F.col("_hit"), now).otherwise(F.col("notified_at"))).drop("_hit")
-    snap = snap.select(*[f.name for f in JOBS_SCHEMA.fields])
+    snap = snap.select(*stored.columns)
     notes = hit.select(F.col("id").alias("job_id"), now.alias("sent_at"), F.lit(mode).alias("mode"),
                        F.lit(target).alias("target"), F.lit(1).alias("success"))
     return snap, notes

@@ -24,10 +24,9 @@ def process_batch(batch: DataFrame, batch_id: int, *, store: JobStore, profile,
                   lookback: str | None, topic: str, order_col: str, outbox_root: str,
                   base_version: int, fuzzy_state_root: str | None = None) -> None:
     stored = store.jobs()
-    fresh = filters.drop_known(batch, stored, key="source_job_id")                 # M03 / J03
-    fresh = dedup.first_per_key(fresh, ["source_job_id"], order_col)               # in-batch
-    if lookback:
-        fresh = filters.time_filter(fresh, as_of, lookback)                        # M02
+    fresh = filters.time_filter(batch, as_of, lookback) if lookback else batch      # M02
+    fresh = filters.drop_known(fresh, stored, key="source_job_id")                  # M03 / J03
+    fresh = dedup.first_per_key(fresh, ["source_job_id"], order_col)                # in-batch
     scored = scoring.score(fresh, [profile], as_of)                                # M04
     matches = scored.filter(F.col("final_score") >= F.col("min_score_threshold"))
     if "id" not in matches.columns:
