@@ -109,7 +109,7 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     """Per key, in ``seq`` order, admit a row iff its fingerprint's similarity to the
     last admitted row of that key is below ``similarity`` (the first row is admitted).
 
-    Returns (id, key, seq, fp, admitted) for every input row.
+    Returns (id, key, fp, admitted) for every input row (``id`` must be unique).
 
     Plan: range-partition on (key, seq) so a hot key is split into ordered segments on
     several tasks; checkpoint the (narrow) partitioned data; fold every segment with an
@@ -126,11 +126,12 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     base = df.select(F.col(id_col).alias("_id"), F.col(key_col).cast("string").alias("_key"),
                      F.col(seq_col).alias("_seq"), F.col(fp_col).cast("bigint").alias("_fp"))
     ranged = base.repartitionByRange(n, "_key", "_seq").sortWithinPartitions("_key", "_seq")
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    # The order is fixed now; seq itself (possibly a struct) never enters Python.
+    ranged = ranged.select("_id", "_key", "_fp", F.spark_partition_id().alias("_pid")) \
+        .checkpoint(eager=True)
 
     summary_schema = T.StructType([
         T.StructField("pid", T.IntegerType()), T.StructField("key", T.StringType()),
-        T.StructField("first_seq", ranged.schema["_seq"].dataType),
         T.StructField("final", T.LongType()), T.StructField("evaluated", T.BooleanType())])
 
     def segments(it):
@@ -157,9 +158,9 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
                 st = entry.get((pid, key))
                 _, final = _fold(seg["_fp"].to_numpy(), None if st is None else _u64(st), max_d)
                 signed = final - (1 << 64) if final is not None and final >= (1 << 63) else final
-                rows.append((pid, key, seg["_seq"].iat[0], signed, (pid, key) in entry))
+                rows.append((pid, key, signed, (pid, key) in entry))
             if rows:
-                yield pd.DataFrame(rows, columns=["pid", "key", "first_seq", "final", "evaluated"])
+                yield pd.DataFrame(rows, columns=["pid", "key", "final", "evaluated"])
         return run
 
     # Pass 1: boundary segments with empty entry state.
@@ -190,7 +191,7 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
 
     resolved = dict(entry)
     fields = [(id_col, ranged.schema["_id"].dataType, "_id"), (key_col, T.StringType(), "_key"),
-              (seq_col, ranged.schema["_seq"].dataType, "_seq"), (fp_col, T.LongType(), "_fp")]
+              (fp_col, T.LongType(), "_fp")]
     seen_names, out_fields = set(), []
     for name, dtype, src in fields:
         if name not in seen_names:

@@ -140,4 +140,4 @@ def q_match_class(spark, sf_dir):
 
 
 # Query groups register themselves on import (after the helpers above exist).
-from . import q_pages, q_relational, q_store, q_stream, q_text, q_vectors  # noqa: E402,F401
+from . import q_pages, q_relational, q_scan, q_store, q_stream, q_text, q_vectors  # noqa: E402,F401
