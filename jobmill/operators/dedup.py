@@ -9,9 +9,11 @@ stitches the pieces exactly (see ``near_dup_fold``)."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +59,49 @@ def prefer_per_key(df: DataFrame, key_cols: list[str], pref: Column, highest=Tru
 # ---------------------------------------------------------------------------
 # SimHash as a partial aggregation over exploded words
 # ---------------------------------------------------------------------------
-def simhash(df: DataFrame, text_col: str, group_cols: list[str], out: str = "fingerprint") -> DataFrame:
-    """64-bit SimHash per row of ``df`` (grouped by ``group_cols``, which must identify
-    the row): md5 low 64 bits of every normalized word vote +1/-1 per bit; a bit is set
-    iff its sum is > 0; text without words gives 0.
-
-    Words are exploded (explode_outer keeps word-less rows) and the 64 votes are
-    summed by a hash aggregate that combines map-side, so one row per group and map
-    task is shuffled whatever the text length."""
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    """SimHash of already-normalized texts (words separated by single spaces)."""
+    cache: dict = {}
+    out = np.zeros(len(texts), dtype=np.int64)
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        words = [w for w in t.split(" ") if w]
+        if not words:
+            continue
+        hs = np.empty(len(words), dtype=np.uint64)
+        for j, w in enumerate(words):
+            h = cache.get(w)
+            if h is None:
+                h = int.from_bytes(hashlib.md5(w.encode("utf-8")).digest()[8:], "big")
+                cache[w] = h
+            hs[j] = h
+        # bit i of every hash: little-endian bytes unpacked little-endian -> column i
+        bits = np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(words)
+        fp = 0
+        for b in np.flatnonzero(votes > 0):
+            fp |= 1 << int(b)
+        out[i] = fp - (1 << 64) if fp >= (1 << 63) else fp
+    return pd.Series(out)
+
+
+_fingerprint_udf = F.pandas_udf(_fingerprints, T.LongType())
+
+
+def simhash(df: DataFrame, text_col: str, group_cols: list[str], out: str = "fingerprint",
+            method: str = "arrow") -> DataFrame:
+    """64-bit SimHash per row of ``df`` (``group_cols`` identify the row): md5 low 64
+    bits of every normalized word vote +1/-1 per bit; a bit is set iff its sum is > 0;
+    text without words gives 0.
+
+    ``arrow`` (default): normalization runs in the JVM, the vote runs per Arrow batch
+    in numpy inside the same task: a narrow map, no shuffle, cost linear in the text.
+    ``jvm``: words are exploded (explode_outer keeps word-less rows) and the 64 votes
+    are summed by a hash aggregate that combines map-side before a shuffle of one
+    64-counter row per (row, map task)."""
+    if method == "arrow":
+        return df.select(*group_cols, _fingerprint_udf(normalize_text(text_col)).alias(out))
     words = df.select(*group_cols, F.explode_outer(F.split(normalize_text(text_col), " ")).alias("_w"))
     h = F.when(F.col("_w") != "", word_hash64(F.col("_w")))
     words = words.select(*group_cols, h.alias("_h"))
@@ -125,10 +162,14 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(F.col(id_col).alias("_id"), F.col(key_col).cast("string").alias("_key"),
                      F.col(seq_col).alias("_seq"), F.col(fp_col).cast("bigint").alias("_fp"))
+    # The range partitioner samples its input in a separate job: keep the narrow rows
+    # cached so the upstream work (e.g. fingerprinting) runs once.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = base.repartitionByRange(n, "_key", "_seq").sortWithinPartitions("_key", "_seq")
     # The order is fixed now; seq itself (possibly a struct) never enters Python.
     ranged = ranged.select("_id", "_key", "_fp", F.spark_partition_id().alias("_pid")) \
         .checkpoint(eager=True)
+    base.unpersist()
 
     summary_schema = T.StructType([
         T.StructField("pid", T.IntegerType()), T.StructField("key", T.StringType()),

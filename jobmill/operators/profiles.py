@@ -5,6 +5,7 @@ whole-word rule for word-only terms), the rest by whole-word regexes."""
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -65,52 +66,100 @@ def _role_display(pattern: str) -> str:
     return pattern.replace("[- ]?", " ").title()
 
 
-def skills(text, vocabulary=None) -> Column:
+def _lowered(text, is_lower: bool) -> Column:
+    t = F.coalesce(_c(text), F.lit(""))
+    return t if is_lower else F.lower(t)
+
+
+def lower_stage(df: DataFrame, text_col: str, out: str = "_lt") -> DataFrame:
+    """Add the lower-cased text once as a column; Spark keeps this projection apart
+    because the column feeds many predicates (so lower() runs once per row)."""
+    return df.withColumn(out, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def skills(text, vocabulary=None, is_lower: bool = False) -> Column:
     """Sorted distinct vocabulary terms found as whole words (case-insensitive)."""
     vocab = list(dict.fromkeys(vocabulary or TECHNICAL_SKILLS))
-    t = F.coalesce(_c(text), F.lit(""))
+    t = _lowered(text, is_lower)
     word_terms = [v for v in vocab if re.fullmatch(r"\w+", v)]
     other_terms = [v for v in vocab if v not in word_terms]
-    words = F.split(F.lower(t), r"(?U)\W+")
+    words = F.split(t, r"(?U)\W+")
     found_words = F.array_intersect(words, F.array(*[F.lit(v.lower()) for v in word_terms]))
     # intersect returns the lower-cased text token; map back to the vocabulary spelling
     lower_to_term = {v.lower(): v for v in word_terms}
     if any(k != v for k, v in lower_to_term.items()):
         m = F.create_map(*[x for kv in lower_to_term.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
         found_words = F.transform(found_words, lambda w: m[w])
-    others = F.filter(F.array(*[F.when(t.rlike(py_whole_word_pattern(v)), F.lit(v)) for v in other_terms]),
-                      lambda x: x.isNotNull()) if other_terms else F.array().cast("array<string>")
+    # A whole-word hit needs the (lower-cased) term as a substring: test that first
+    # with a plain byte search and run the Unicode regex only on candidate rows.
+    others = (F.array_compact(F.array(*[
+        F.when(t.contains(v.lower()) & t.rlike(py_whole_word_pattern(v)), F.lit(v)) for v in other_terms]))
+        if other_terms else F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.concat(found_words, others)))
 
 
-def roles(text) -> Column:
-    """Display names of role patterns found (no word boundaries), sorted."""
-    t = F.lower(F.coalesce(_c(text), F.lit("")))
-    hits = [F.when(t.rlike("(?i)" + p), F.lit(_role_display(p))) for p in ROLE_PATTERNS]
-    return F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+def _role_test(t: Column, pattern: str) -> Column:
+    """Plain patterns are substring tests; others are prefiltered by their longest
+    literal piece."""
+    if not re.search(r"[\\.^$|?*+()\[\]{}]", pattern):
+        return t.contains(pattern)
+    pieces = [x for x in re.split(r"\[[^\]]*\][?*]?|[\\.^$|?*+(){}]", pattern) if x]
+    longest = max(pieces, key=len) if pieces else ""
+    return (t.contains(longest) & t.rlike(pattern)) if longest else t.rlike(pattern)
+
 
+def _sorted_roles():
+    """(display, pattern) pairs in display order, so hits come out sorted."""
+    return sorted(((_role_display(p), p) for p in ROLE_PATTERNS), key=lambda x: x[0])
 
-def locations(text) -> Column:
+
+def roles(text, is_lower: bool = False) -> Column:
+    """Display names of role patterns found (no word boundaries), sorted."""
+    t = _lowered(text, is_lower)
+    # the text is lower-cased and the patterns are lower case: no (?i) needed, which
+    # lets Java's regex use its fast literal search
+    hits = [F.when(_role_test(t, p), F.lit(d)) for d, p in _sorted_roles()]
+    return F.array_distinct(F.array_compact(F.array(*hits)))
+
+
+def _roles_with_variants(text, is_lower: bool = False) -> Column:
+    """Found roles, each followed by its ' Intern' and ' Internship' variants."""
+    t = _lowered(text, is_lower)
+    seen, parts = set(), []
+    for d, p in _sorted_roles():
+        if d in seen:
+            continue
+        seen.add(d)
+        alts = [q for dd, q in _sorted_roles() if dd == d]
+        hit = functools.reduce(lambda a, b: a | b, [_role_test(t, q) for q in alts])
+        parts.append(F.when(hit, F.array(F.lit(d), F.lit(d + " Intern"), F.lit(d + " Internship")))
+                     .otherwise(F.array().cast("array<string>")))
+    return F.flatten(F.array(*parts))
+
+
+def locations(text, is_lower: bool = False) -> Column:
     """Cities whose lower-cased name occurs in the lower-cased text, list order."""
-    t = F.lower(F.coalesce(_c(text), F.lit("")))
+    t = _lowered(text, is_lower)
     hits = [F.when(t.contains(c.lower()), F.lit(c)) for c in CITIES]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*hits))
 
 
 def profile_from_text(df: DataFrame, text_col: str, name_col: str,
                       add_intern_variants: bool = True) -> DataFrame:
     """One generated profile per text row (PROFILE_SCHEMA columns)."""
-    r = roles(F.col(text_col))
-    if add_intern_variants:
-        r = F.flatten(F.transform(r, lambda x: F.array(x, F.concat(x, F.lit(" Intern")),
-                                                       F.concat(x, F.lit(" Internship")))))
-    desired = F.when(F.size(r) > 0, r).otherwise(F.array(*[F.lit(x) for x in DEFAULT_ROLES]))
-    locs = locations(F.col(text_col))
+    df = lower_stage(df, text_col)
+    lt = F.col("_lt")
+    r = _roles_with_variants(lt, True) if add_intern_variants else roles(lt, True)
+    locs = locations(lt, True)
+    # Stage the text-derived arrays as columns first so each regex runs once per row.
+    df = df.select("*", r.alias("_r"), locs.alias("_l"), F.slice(skills(lt, is_lower=True), 1, MAX_SKILLS).alias("_s"))
+    desired, locs = F.col("_r"), F.col("_l")
+    desired = F.when(F.size(desired) > 0, desired).otherwise(F.array(*[F.lit(x) for x in DEFAULT_ROLES]))
     locs = F.when(F.size(locs) > 0, locs).otherwise(F.array(F.lit("Remote")))
     return df.select(
         F.col(name_col).cast("string").alias("profile"),
         desired.alias("desired_roles"),
-        F.slice(skills(F.col(text_col)), 1, MAX_SKILLS).alias("must_have_keywords"),
+        F.col("_s").alias("must_have_keywords"),
         F.array(*[F.lit(x) for x in SENIORITY_EXCLUDE]).alias("must_not_keywords"),
         locs.alias("preferred_locations"),
         F.when(F.array_contains(locs, "Remote"), F.lit("remote")).alias("remote_preference"),

@@ -11,6 +11,7 @@ map task move."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,13 @@ def global_row_number(df: DataFrame, order_cols, partition_cols=(), out: str = "
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pcols = list(partition_cols)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)       # sampled by the range partitioner
     keyed = (df.repartitionByRange(n, *_cols(pcols), *_cols(order_cols))
              .sortWithinPartitions(*_cols(pcols), *_cols(order_cols))
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_local", F.monotonically_increasing_id())
              .checkpoint(eager=True))
+    df.unpersist()
     stats = keyed.groupBy("_pid", *pcols).agg(F.min("_local").alias("_first"),
                                               F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*pcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

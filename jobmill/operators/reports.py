@@ -24,9 +24,9 @@ def priority(score="final_score") -> Column:
 
 
 def tags(remote="remote_type", score="final_score") -> Column:
-    return F.filter(F.array(F.lit("briefcase"),
-                            F.when(_c(remote) == "remote", F.lit("house")),
-                            F.when(_c(score) >= 0.8, F.lit("star"))), lambda x: x.isNotNull())
+    return F.array_compact(F.array(F.lit("briefcase"),
+                                   F.when(_c(remote) == "remote", F.lit("house")),
+                                   F.when(_c(score) >= 0.8, F.lit("star"))))
 
 
 def _py_title_word(c: Column) -> Column:

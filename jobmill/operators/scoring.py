@@ -72,10 +72,9 @@ def keyword_parts_literal(p: Profile, text: Column, title: Column, location: Col
         excluded_kw = F.lit(None).cast("string")
     role = _first_match_literal(p.desired_roles, lambda r: title.rlike(py_whole_word_pattern(r)))
     if p.must_have_keywords:
-        matched = F.filter(
+        matched = F.array_compact(
             F.array(*[F.when(text.rlike(py_whole_word_pattern(k)), F.lit(k))
-                      for k in p.must_have_keywords]),
-            lambda x: x.isNotNull())
+                      for k in p.must_have_keywords]))
         n_kw = F.lit(len(p.must_have_keywords))
     else:
         matched = F.array().cast("array<string>")
@@ -88,6 +87,8 @@ def keyword_parts_literal(p: Profile, text: Column, title: Column, location: Col
                  else F.coalesce(remote == F.lit(p.remote_preference), F.lit(False)))
     return dict(excluded_kw=excluded_kw, role=role, matched=matched, n_kw=n_kw,
                 loc_hit=loc_hit, remote_ok=remote_ok,
+                mh_hits=[text.rlike(py_whole_word_pattern(k)) for k in p.must_have_keywords],
+                mh_kws=list(p.must_have_keywords),
                 weights=(F.lit(p.vector_weight), F.lit(p.keyword_weight), F.lit(p.recency_weight)))
 
 
@@ -125,7 +126,8 @@ def _score_columns(parts: dict, remote: Column, recency: Column, vector: Column)
     reasons = F.concat(
         F.when(parts["role"].isNotNull(),
                F.array(F.concat(F.lit("Role match: "), parts["role"]))).otherwise(F.array()),
-        F.transform(parts["matched"], lambda k: F.concat(F.lit("Keyword: "), k)),
+        F.transform(parts["matched"], lambda k: F.concat(F.lit("Keyword: "), k))
+        if "matched_reasons" not in parts else parts["matched_reasons"],
         F.when(parts["loc_hit"].isNotNull(),
                F.array(F.concat(F.lit("Location: "), parts["loc_hit"]))).otherwise(F.array()),
         F.when(parts["remote_ok"], F.array(F.concat(F.lit("Remote: "), remote))).otherwise(F.array()),
@@ -168,17 +170,42 @@ def score(postings: DataFrame, profiles, as_of, *, vector_col: str | None = None
             return _score_joined(postings, profiles, text, title, location, remote, recency,
                                  vector, broadcast_limit)
     profiles = [p if isinstance(p, Profile) else Profile(**p) for p in profiles]
-    parts_cols = []
     outs = []
     for p in profiles:
         parts = keyword_parts_literal(p, text, title, location, remote)
-        outs.append(postings.select("*", F.lit(p.profile).alias("profile"),
-                                    F.lit(p.min_score_threshold).alias("min_score_threshold"),
-                                    *_score_columns(parts, remote, recency, vector)))
-    del parts_cols
+        outs.append(_staged(postings, parts, remote, recency, vector,
+                            [F.lit(p.profile).alias("profile"),
+                             F.lit(p.min_score_threshold).alias("min_score_threshold")]))
     return reduce(DataFrame.unionByName, outs)
 
 
+_PART_KEYS = ("excluded_kw", "role", "matched", "loc_hit", "remote_ok")
+
+
+def _staged(df: DataFrame, parts: dict, remote, recency, vector, extra) -> DataFrame:
+    """Compute every regex/array part once as a column, then combine them; the
+    optimizer keeps the two projections apart because the parts are referenced
+    several times."""
+    keys = [k for k in _PART_KEYS if not (k == "matched" and "mh_hits" in parts)]
+    hits = parts.get("mh_hits", [])
+    staged = df.select("*", *extra, *[parts[k].alias(f"_p_{k}") for k in keys],
+                       *[h.alias(f"_p_mh{i}") for i, h in enumerate(hits)],
+                       parts["n_kw"].alias("_p_n_kw"), recency.alias("_p_rec"), vector.alias("_p_vec"))
+    cols = {k: F.col(f"_p_{k}") for k in keys}
+    if "mh_hits" in parts:
+        kws = parts["mh_kws"]
+        cols["matched"] = F.array_compact(F.array(*[F.when(F.col(f"_p_mh{i}"), F.lit(k)) for i, k in enumerate(kws)])) \
+            if kws else F.array().cast("array<string>")
+        cols["matched_reasons"] = F.array_compact(F.array(
+            *[F.when(F.col(f"_p_mh{i}"), F.lit("Keyword: " + k)) for i, k in enumerate(kws)])) \
+            if kws else F.array().cast("array<string>")
+    cols["n_kw"] = F.col("_p_n_kw")
+    cols["weights"] = parts["weights"]
+    out = staged.select("*", *_score_columns(cols, remote, F.col("_p_rec"), F.col("_p_vec")))
+    return out.drop(*[f"_p_{k}" for k in keys], *[f"_p_mh{i}" for i in range(len(hits))],
+                    "_p_n_kw", "_p_rec", "_p_vec")
+
+
 def _score_joined(postings, profiles_df, text, title, location, remote, recency, vector,
                   broadcast_limit):
     """Many profiles: broadcast joins over size-checked profile chunks, unioned."""
@@ -191,8 +218,10 @@ def _score_joined(postings, profiles_df, text, title, location, remote, recency,
     for i in range(n_chunks):
         chunk = keyed.filter(F.col("_chunk") == i).drop("_chunk")
         joined = postings.crossJoin(F.broadcast(chunk))
-        outs.append(joined.select(*postings.columns, "profile", "min_score_threshold",
-                                  *_score_columns(parts, remote, recency, vector)))
+        out = _staged(joined, parts, remote, recency, vector, [])
+        outs.append(out.select(*postings.columns, "profile", "min_score_threshold", "final_score",
+                               "vector_score", "keyword_score", "recency_score", "match_reasons",
+                               "excluded"))
     return reduce(DataFrame.unionByName, outs)
 
 

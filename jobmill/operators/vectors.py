@@ -127,7 +127,7 @@ def highlights(p, title="title", description="description_text", location="locat
                             F.concat(F.lit("Remote: "), _c(remote))))
     if not items:
         return F.array().cast("array<string>")
-    return F.slice(F.filter(F.array(*items), lambda x: x.isNotNull()), 1, 5)
+    return F.slice(F.array_compact(F.array(*items)), 1, 5)
 
 
 def profile_text_plain(p) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import ats_detect, host_owned_by, is_job_url, source_label, title_from_url, url_netloc
 from ..functions.text import short_url_id, strip_html
-from ..session import read_table
+from ..session import read_table, spread
 from ..sources import html as html_src
 from .queries import register
 from .sqlfrag import py_title
@@ -50,7 +50,7 @@ SELECT page_id, job_url AS apply_url, title, substr(md5(job_url), 1, 12) AS sour
 FROM h WHERE title IS NOT NULL
 """)
 def q_page_links(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
+    pages = spread(read_table(spark, sf_dir, "pages"))
     links = html_src.career_page_links(pages, link_patterns=PAGE_LINK_PATTERNS)
     return links.select("page_id", "apply_url", "title", "source_job_id", "location")
 
@@ -61,7 +61,7 @@ SELECT page_id, md5(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>
 FROM pages
 """)
 def q_strip_html(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"))
     t = strip_html("html")
     return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).cast("bigint").alias("n_chars"))
 
@@ -91,7 +91,7 @@ FROM pages"""
 
 @register("ats_detect", _ats_sql())
 def q_ats_detect(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"))
     d = ats_detect(F.col("url"), F.col("html"))
     return p.select("page_id", d["ats"].alias("ats"), d["confidence"].alias("confidence"))
 
@@ -108,7 +108,7 @@ SELECT page_id,
 FROM pages
 """)
 def q_page_url_info(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"))
     u = F.col("url")
     return p.select("page_id", source_label(u).alias("source_label"), url_netloc(u).alias("host"),
                     short_url_id(u).alias("short_id"), is_job_url(u).alias("job_url"),
@@ -126,7 +126,7 @@ WHERE contains(lower(u), 'linkedin.com/jobs') OR contains(lower(u), 'indeed.com'
    OR contains(lower(u), 'greenhouse.io') OR contains(lower(u), 'lever.co')
 """)
 def q_search_results(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"))
     r = html_src.search_results(p, "United States", SCRAPED_AT)
     return r.select("page_id", "id", "url")
 
@@ -134,14 +134,14 @@ def q_search_results(spark, sf_dir):
 @register("aggregator_jobs")
 def q_aggregator_jobs(spark, sf_dir):
     """S06 over every page (no SQL twin: JSON-in-HTML strategies; unit-tested on fixtures)."""
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"))
     return html_src.aggregator_jobs(p, SCRAPED_AT).select("page_id", "strategy", "source_job_id", "title", "company")
 
 
 @register("search_cards")
 def q_search_cards(spark, sf_dir):
     """S07 over every page (no SQL twin; unit-tested on fixtures)."""
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"))
     return html_src.search_cards(p, SCRAPED_AT).select("page_id", "source_job_id", "title", "company", "location")
 
 

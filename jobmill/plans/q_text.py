@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import employment_type, remote_type
 from ..functions.text import fingerprint_bits, normalize_text
 from ..operators import dedup, profiles
-from ..session import read_table
+from ..session import read_table, spread
 from .queries import register
 from .sqlfrag import norm, sql_str, whole_word_re
 
@@ -22,7 +22,7 @@ from .sqlfrag import norm, sql_str, whole_word_re
 SELECT doc_id, md5({norm('text')}) AS norm_md5, length({norm('text')})::BIGINT AS norm_len FROM documents
 """)
 def q_normalize(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     n = normalize_text("text")
     return d.select("doc_id", F.md5(n).alias("norm_md5"), F.length(n).cast("bigint").alias("norm_len"))
 
@@ -47,7 +47,7 @@ _FP_SQL = f"""
 
 
 def doc_fingerprints(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "text")
     fp = dedup.simhash(d, "text", ["doc_id", "lang", "source"])
     return fp
 
@@ -131,7 +131,7 @@ SELECT doc_id,
 FROM documents
 """)
 def q_remote_employment(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     t = F.col("text")
     return d.select("doc_id",
                     remote_type(t, policy="A").alias("remote_a"),
@@ -171,10 +171,11 @@ SELECT doc_id, array_to_string({_skills_sql('text')}, ',') AS skills,
 FROM documents
 """)
 def q_skills(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(profiles.skills("text"), ",").alias("skills"),
-                    F.array_join(profiles.roles("text"), ",").alias("roles"),
-                    F.array_join(profiles.locations("text"), ",").alias("locations"))
+    d = profiles.lower_stage(spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text"), "text")
+    lt = F.col("_lt")
+    return d.select("doc_id", F.array_join(profiles.skills(lt, is_lower=True), ",").alias("skills"),
+                    F.array_join(profiles.roles(lt, is_lower=True), ",").alias("roles"),
+                    F.array_join(profiles.locations(lt, is_lower=True), ",").alias("locations"))
 
 
 _SENIORITY = ",".join(profiles.SENIORITY_EXCLUDE)
@@ -194,7 +195,7 @@ SELECT CAST(doc_id AS VARCHAR) AS profile,
 FROM x
 """)
 def q_profile_from_text(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"))
     p = profiles.profile_from_text(d, "text", "doc_id")
     return p.select("profile", F.array_join("desired_roles", "|").alias("desired_roles"),
                     F.array_join("must_have_keywords", "|").alias("must_have_keywords"),

@@ -69,3 +69,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df):
+    """CPU-heavy text work on a table with fewer input splits than cores: spread it
+    round-robin over the cores. A no-op whenever the input already has enough splits
+    (always the case on a cluster reading many files)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
