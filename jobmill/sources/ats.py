@@ -39,7 +39,7 @@ def _c(x) -> Column:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def _ident(df: DataFrame, company: str | None, board: str | None) -> DataFrame:
@@ -220,5 +220,5 @@ def read_profiles(spark, path) -> DataFrame:
 
 def read_resumes(spark, path) -> DataFrame:
     """Plain-text resumes, one row per file (whole text)."""
-    return spark.read.option("wholetext", True).text(path) \
+    return spark.read.text(path, wholetext=True) \
         .select(F.col("value").alias("text"), F.input_file_name().alias("path"))
