@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import searchable_text
 from ..functions.timeutil import freshness_label
 from ..operators import dedup, filters, reports
-from ..session import read_table
+from ..session import read_table, spread
 from ..store.jobs import unseen_top
 from . import standins
 from .queries import register
@@ -22,7 +22,7 @@ SPLIT_DATE = "2001-01-01"
 
 def events_postings(spark, sf_dir):
     """events as arriving postings: one per event."""
-    e = read_table(spark, sf_dir, "events")
+    e = spread(read_table(spark, sf_dir, "events"))
     return e.select(F.col("event_id"), F.col("user_id"), F.col("event_type"),
                     F.col("ts").cast("timestamp").alias("posted_at"), F.col("props"))
 

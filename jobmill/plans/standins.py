@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import employment_type
 from ..functions.text import posting_id
-from ..session import read_table
+from ..session import read_table, spread
 
 # Mapping of stand-in codes to posting enums.
 RETURNFLAG_SYSTEM = {"A": "greenhouse", "N": "lever", "R": "workday"}
@@ -38,9 +38,9 @@ def _case(col: str, mapping: dict, default: str) -> F.Column:
 
 
 def postings_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-        "l_returnflag", "l_linestatus")
+        "l_returnflag", "l_linestatus"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -94,7 +94,7 @@ POSTINGS_LI_SQL = """
 
 def stored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as stored jobs: id, company_id, title, score, first_seen_at, notified_at."""
-    o = read_table(spark, sf_dir, "orders")
+    o = spread(read_table(spark, sf_dir, "orders"))
     return o.select(
         F.col("o_orderkey").alias("job_id"),
         F.col("o_custkey").alias("company_id"),
