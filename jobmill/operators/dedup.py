@@ -136,16 +136,25 @@ def _fold(hashes: np.ndarray, state, max_d: int):
     return admitted, s
 
 
+def _seg_init(seg):
+    """Carried-in state of a key (same on every row of the key), or None."""
+    v = seg["_init"].iat[0]
+    return None if pd.isna(v) else int(v)
+
+
 def _u64(x) -> int:
     return int(x) & _MASK
 
 
 def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col: str,
                   *, similarity: float = NEAR_DUP_SIMILARITY, num_partitions: int | None = None,
-                  max_rounds: int | None = None) -> DataFrame:
+                  max_rounds: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Per key, in ``seq`` order, admit a row iff its fingerprint's similarity to the
     last admitted row of that key is below ``similarity`` (the first row is admitted).
 
+    ``initial`` (key_col, fp_col): the last admitted fingerprint per key from earlier
+    runs; the fold of that key starts from it (incremental dedup across runs/batches).
+
     Returns (id, key, fp, admitted) for every input row (``id`` must be unique).
 
     Plan: range-partition on (key, seq) so a hot key is split into ordered segments on
@@ -162,12 +171,19 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(F.col(id_col).alias("_id"), F.col(key_col).cast("string").alias("_key"),
                      F.col(seq_col).alias("_seq"), F.col(fp_col).cast("bigint").alias("_fp"))
+    if initial is not None:
+        from .filters import maybe_broadcast
+        init = initial.select(F.col(key_col).cast("string").alias("_key"),
+                              F.col(fp_col).cast("bigint").alias("_init"))
+        base = base.join(maybe_broadcast(init), "_key", "left")
+    else:
+        base = base.withColumn("_init", F.lit(None).cast("bigint"))
     # The range partitioner samples its input in a separate job: keep the narrow rows
     # cached so the upstream work (e.g. fingerprinting) runs once.
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = base.repartitionByRange(n, "_key", "_seq").sortWithinPartitions("_key", "_seq")
     # The order is fixed now; seq itself (possibly a struct) never enters Python.
-    ranged = ranged.select("_id", "_key", "_fp", F.spark_partition_id().alias("_pid")) \
+    ranged = ranged.select("_id", "_key", "_fp", "_init", F.spark_partition_id().alias("_pid")) \
         .checkpoint(eager=True)
     base.unpersist()
 
@@ -196,7 +212,7 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
             for idx, (pid, key, seg) in enumerate(segs):
                 if idx not in (0, len(segs) - 1) and (pid, key) not in entry:
                     continue
-                st = entry.get((pid, key))
+                st = entry.get((pid, key), _seg_init(seg))
                 _, final = _fold(seg["_fp"].to_numpy(), None if st is None else _u64(st), max_d)
                 signed = final - (1 << 64) if final is not None and final >= (1 << 63) else final
                 rows.append((pid, key, signed, (pid, key) in entry))
@@ -243,7 +259,7 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
 
     def final_pass(it):
         for pid, key, seg in segments(it):
-            st = resolved.get((pid, key))
+            st = resolved.get((pid, key), _seg_init(seg))
             adm, _ = _fold(seg["_fp"].to_numpy(), None if st is None else _u64(st), max_d)
             cols = {n: seg[src].to_numpy() for n, _, src in out_fields}
             cols["admitted"] = adm
@@ -252,6 +268,17 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     return ranged.mapInPandas(final_pass, out_schema)
 
 
+def last_admitted(folded: DataFrame, key_col: str, fp_col: str, order_col: str,
+                  previous: DataFrame | None = None) -> DataFrame:
+    """New dedup state: last admitted fingerprint per key (``folded`` must carry the
+    order column), merged over the previous state for keys not seen this run."""
+    cur = folded.filter("admitted").groupBy(key_col).agg(F.max_by(fp_col, order_col).alias(fp_col))
+    if previous is None:
+        return cur
+    old = previous.select(key_col, fp_col).join(cur.select(key_col), key_col, "left_anti")
+    return cur.unionByName(old)
+
+
 def fuzzy_key(*cols) -> Column:
     """normalize(a):normalize(b)... (the title:location key; no company, by design)."""
     return F.concat_ws(":", *[normalize_text(F.coalesce(F.col(c) if isinstance(c, str) else c,

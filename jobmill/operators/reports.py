@@ -113,3 +113,16 @@ def notification_totals(notifications: DataFrame) -> DataFrame:
     """Successes of total."""
     return notifications.agg(F.coalesce(F.sum(F.col("success").cast("bigint")), F.lit(0)).alias("sent"),
                              F.count(F.lit(1)).alias("total"))
+
+
+def match_report(scored: DataFrame) -> DataFrame:
+    """K03 match report rows: title, company, score, reasons, apply URL."""
+    return scored.select("title", "company", F.col("final_score").alias("score"),
+                         F.col("match_reasons").alias("reasons"), "apply_url")
+
+
+def write_json_report(rows: DataFrame, path: str, count_name: str = "count") -> None:
+    """Write report rows as JSON lines plus a one-row count file next to
+    them (``<path>/rows``, ``<path>/summary``)."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    rows.agg(F.count(F.lit(1)).alias(count_name)).write.mode("overwrite").json(f"{path}/summary")

@@ -162,3 +162,23 @@ def posting_embed_text(title="title", department="department", location="locatio
                   F.substring(_c(description), 1, 2000))
     return F.concat_ws(" ", _c(title), lab("Department: ", department), lab("Location: ", location),
                        lab("Work style: ", remote), desc, req)
+
+
+def attach_embeddings(df: DataFrame, key_col: str, embeddings: DataFrame, emb_key: str,
+                      vec_col: str = "embedding") -> DataFrame:
+    """Attach precomputed vectors by key (left join; missing -> null -> neutral)."""
+    return df.join(embeddings.select(F.col(emb_key).alias(key_col), F.col(vec_col)), key_col, "left")
+
+
+def embed_with(df: DataFrame, text_col: str, encode, dim: int, out: str = "embedding") -> DataFrame:
+    """V06 / X01 plug point for a caller's model: ``encode(list[str]) -> list[list[float]]``
+    runs per Arrow batch inside the tasks (the model is the caller's; none ships here)."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    def run(texts: pd.Series) -> pd.Series:
+        vecs = encode([t if t is not None else "" for t in texts.tolist()])
+        return pd.Series([list(map(float, v))[:dim] if v is not None else None for v in vecs])
+
+    udf = F.pandas_udf(run, T.ArrayType(T.FloatType()))
+    return df.withColumn(out, udf(F.col(text_col)))

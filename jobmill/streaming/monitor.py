@@ -15,18 +15,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import dedup, filters, reports, scoring
-from ..functions.text import posting_id
+from ..functions.text import posting_id, searchable_text
 from ..session import scratch_path
 from ..store.jobs import JobStore
 
 
+def _near_dup_step(fresh: DataFrame, batch_id: int, state_root: str, order_col: str) -> DataFrame:
+    """Fold this batch seeded with the state left by earlier batches, keep the
+    admitted rows, write the merged state under this batch id (replays overwrite)."""
+    spark = fresh.sparkSession
+    prev = None
+    try:
+        states = spark.read.parquet(state_root).filter(F.col("batch_id") < batch_id)
+        last = states.agg(F.max("batch_id")).first()[0]
+        if last is not None:
+            prev = states.filter(F.col("batch_id") == last).drop("batch_id")
+    except Exception:  # noqa: BLE001 - no state written yet
+        prev = None
+    if "id" not in fresh.columns:
+        fresh = fresh.withColumn("id", posting_id())
+    keyed = fresh.withColumn("_fkey", dedup.fuzzy_key("title", "location"))
+    fp = dedup.simhash(keyed.select("id", searchable_text().alias("_t")), "_t", ["id"], out="_fp")
+    k = keyed.select("id", "_fkey", order_col).join(fp, "id")
+    folded = dedup.near_dup_fold(k, "_fkey", order_col, "_fp", "id", initial=prev)
+    folded = folded.join(k.select("id", order_col), "id")
+    dedup.last_admitted(folded, "_fkey", "_fp", order_col, prev) \
+        .write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}")
+    return fresh.join(folded.filter("admitted").select("id"), "id", "left_semi")
+
+
 def process_batch(batch: DataFrame, batch_id: int, *, store: JobStore, profile, as_of,
                   lookback: str | None, topic: str, order_col: str, outbox_root: str,
-                  base_version: int, fuzzy_state_root: str | None = None) -> None:
+                  base_version: int, near_dup_state: str | None = None) -> None:
     stored = store.jobs()
     fresh = filters.time_filter(batch, as_of, lookback) if lookback else batch      # M02
     fresh = filters.drop_known(fresh, stored, key="source_job_id")                  # M03 / J03
     fresh = dedup.first_per_key(fresh, ["source_job_id"], order_col)                # in-batch
+    if near_dup_state:
+        fresh = _near_dup_step(fresh, batch_id, near_dup_state, order_col)          # M06
     scored = scoring.score(fresh, [profile], as_of)                                # M04
     matches = scored.filter(F.col("final_score") >= F.col("min_score_threshold"))
     if "id" not in matches.columns:
@@ -41,11 +67,15 @@ def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, t
                   *, store: JobStore, profile, as_of, lookback: str | None = "24h",
                   topic: str = "jobs", order_col: str = "seq", checkpoint: str | None = None,
                   outbox_root: str | None = None, available_now: bool = False,
-                  poll_seconds: int = 300):
+                  poll_seconds: int = 300, near_dup: bool = False,
+                  max_files_per_trigger: int | None = None):
     """Start the monitor stream. ``to_postings`` maps the raw stream to posting
     columns (with ``order_col``). ``available_now`` processes what is there and stops;
     otherwise a micro-batch runs every ``poll_seconds`` (default 300 s)."""
-    raw = spark.readStream.schema(schema).parquet(source_path)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.parquet(source_path)
     postings = to_postings(raw)
     ckpt = checkpoint or scratch_path(spark, "monitor-ckpt")
     outbox = outbox_root or f"{store.root}/outbox"
@@ -54,7 +84,8 @@ def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, t
     def run(batch_df: DataFrame, batch_id: int):
         process_batch(batch_df, batch_id, store=store, profile=profile, as_of=as_of,
                       lookback=lookback, topic=topic, order_col=order_col,
-                      outbox_root=outbox, base_version=base)
+                      outbox_root=outbox, base_version=base,
+                      near_dup_state=f"{store.root}/dedup_state" if near_dup else None)
 
     w = postings.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{poll_seconds} seconds")

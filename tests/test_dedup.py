@@ -123,3 +123,22 @@ def test_global_row_number_with_skew(spark):
         grp = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
         exp.update({r[2]: i + 1 for i, r in enumerate(grp)})
     assert got == exp
+
+
+def test_fold_incremental_state_equals_one_run(spark):
+    rnd = random.Random(11)
+    rows, cur = [], 0
+    for seq in range(600):
+        key = "h" if seq % 3 else "k"
+        cur = rnd.getrandbits(64) if rnd.random() < 0.5 else cur ^ (1 << rnd.randrange(64))
+        rows.append((key, seq, signed(cur)))
+    df = spark.createDataFrame(rows, "key string, seq long, fp long")
+    whole = {r["seq"] for r in dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=5)
+             .filter("admitted").collect()}
+    first, second = df.filter("seq < 300"), df.filter("seq >= 300")
+    f1 = dedup.near_dup_fold(first, "key", "seq", "fp", "seq", num_partitions=3).join(first.select("seq"), "seq")
+    state = dedup.last_admitted(f1, "key", "fp", "seq")
+    f2 = dedup.near_dup_fold(second, "key", "seq", "fp", "seq", num_partitions=4, initial=state)
+    got = {r["seq"] for r in f1.filter("admitted").collect()} | \
+          {r["seq"] for r in f2.filter("admitted").collect()}
+    assert got == whole

@@ -34,7 +34,8 @@ def test_monitor_two_batches(spark, tmp_path):
     prof = Profile(profile="p", must_have_keywords=["python"], min_score_threshold=0.3)
     schema = spark.read.parquet(str(src / "b1")).schema
     q = start_monitor(spark, str(src / "b*"), schema, to_postings, store=store, profile=prof, as_of=AS_OF,
-                      lookback="30d", checkpoint=str(tmp_path / "ckpt"), available_now=True)
+                      lookback="30d", checkpoint=str(tmp_path / "ckpt"), available_now=True,
+                      max_files_per_trigger=1)
     q.awaitTermination()
     assert q.exception() is None
     jobs = {r["source_job_id"]: r["title"] for r in store.jobs().collect()}
@@ -42,3 +43,27 @@ def test_monitor_two_batches(spark, tmp_path):
     assert jobs == {"s1": "python dev", "s3": "python lead"}
     outbox = spark.read.parquet(str(tmp_path / "store" / "outbox"))
     assert outbox.count() == 2
+    assert sorted(r[0] for r in outbox.select("batch_id").distinct().collect()) == [0, 1]
+
+
+def test_monitor_near_dup_state_across_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    b1 = [("s1", "python developer backend services", AS_OF, 1)]
+    b2 = [("s2", "python developer backend services", AS_OF, 2),      # same text, new id: near-dup
+          ("s3", "python chef for a restaurant kitchen", AS_OF, 3)]
+    spark.createDataFrame(b1, SCHEMA).coalesce(1).write.parquet(str(src / "b1"))
+    spark.createDataFrame(b2, SCHEMA).coalesce(1).write.parquet(str(src / "b2"))
+    store = JobStore(spark, str(tmp_path / "store"))
+    prof = Profile(profile="p", must_have_keywords=["python"], min_score_threshold=0.0)
+    schema = spark.read.parquet(str(src / "b1")).schema
+    q = start_monitor(spark, str(src / "b*"), schema, to_postings, store=store, profile=prof, as_of=AS_OF,
+                      lookback=None, checkpoint=str(tmp_path / "ckpt"), available_now=True, near_dup=True,
+                      max_files_per_trigger=1)
+    q.awaitTermination()
+    assert q.lastProgress["batchId"] == 1                     # two micro-batches ran
+    assert q.exception() is None
+    got = {r["source_job_id"] for r in store.jobs().collect()}
+    # titles are the texts; location is null for all, so s2 collapses into s1 when the
+    # batches run separately (state) or together (one fold)
+    assert got == {"s1", "s3"}
