@@ -189,7 +189,8 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
 
     summary_schema = T.StructType([
         T.StructField("pid", T.IntegerType()), T.StructField("key", T.StringType()),
-        T.StructField("final", T.LongType()), T.StructField("evaluated", T.BooleanType())])
+        T.StructField("cand", T.LongType()), T.StructField("final", T.LongType()),
+        T.StructField("evaluated", T.BooleanType())])
 
     def segments(it):
         """Yield (pid, key, frame) per key run of one partition, in order."""
@@ -205,46 +206,71 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
         for s, e in zip(starts, ends):
             yield int(pdf["_pid"].iat[0]), keys[s], pdf.iloc[s:e]
 
-    def boundary_summaries(entry: dict):
+    def _signed(x):
+        return x - (1 << 64) if x is not None and x >= (1 << 63) else x
+
+    def boundary_summaries(cands: dict):
+        """Fold boundary segments: with their own carried-in state (pass 1) or with
+        each candidate entry state listed for them (later rounds)."""
         def run(it):
             rows = []
             segs = list(segments(it))
             for idx, (pid, key, seg) in enumerate(segs):
-                if idx not in (0, len(segs) - 1) and (pid, key) not in entry:
+                todo = cands.get((pid, key))
+                if todo is None:
+                    if cands or idx not in (0, len(segs) - 1):
+                        continue
+                    _, final = _fold(seg["_fp"].to_numpy(), _seg_init(seg), max_d)
+                    rows.append((pid, key, None, _signed(final), False))
                     continue
-                st = entry.get((pid, key), _seg_init(seg))
-                _, final = _fold(seg["_fp"].to_numpy(), None if st is None else _u64(st), max_d)
-                signed = final - (1 << 64) if final is not None and final >= (1 << 63) else final
-                rows.append((pid, key, signed, (pid, key) in entry))
+                hs = seg["_fp"].to_numpy()
+                for c in todo:
+                    _, final = _fold(hs, _u64(c), max_d)
+                    rows.append((pid, key, c, _signed(final), True))
             if rows:
-                yield pd.DataFrame(rows, columns=["pid", "key", "final", "evaluated"])
+                yield pd.DataFrame(rows, columns=["pid", "key", "cand", "final", "evaluated"])
         return run
 
-    # Pass 1: boundary segments with empty entry state.
+    # Pass 1: boundary segments with their carried-in (usually empty) state.
     summ = ranged.mapInPandas(boundary_summaries({}), summary_schema).collect()
     by_key: dict = {}
     for r in summ:
         by_key.setdefault(r["key"], []).append(r)
-    split = {k: sorted(v, key=lambda r: r["pid"]) for k, v in by_key.items() if len(v) > 1}
-    entry: dict = {}
-    finals = {(r["pid"], r["key"]): r["final"] for r in summ}
+    chains = {k: [r["pid"] for r in sorted(v, key=lambda r: r["pid"])] for k, v in by_key.items() if len(v) > 1}
+    spec_final = {(r["pid"], r["key"]): r["final"] for r in summ}
+    table: dict = {}                   # (pid, key, entry state) -> final state
+    entry: dict = {}                   # resolved true entry state per continuation segment
     rounds = 0
-    while split:
-        new_entry = {}
-        for k, segs in split.items():
-            for a, b in zip(segs, segs[1:]):
-                new_entry[(b["pid"], k)] = finals[(a["pid"], k)]
-        if new_entry == entry:
+    while True:
+        # Walk every chain as far as the known transitions allow.
+        wanted: dict = {}
+        for k, pids in chains.items():
+            cur = spec_final[(pids[0], k)]            # the first segment is exact
+            for j, pid in enumerate(pids[1:], start=1):
+                entry[(pid, k)] = cur
+                nxt = table.get((pid, k, cur))
+                if nxt is None:
+                    # unresolved: evaluate with the true entry, plus a few guesses
+                    # (earlier finals of this key) so identity runs resolve at once
+                    guesses = [cur] + [spec_final.get((p, k)) for p in pids[max(0, j - 8):j]]
+                    later = pids[j:j + 64]
+                    for p in later:
+                        opts = wanted.setdefault((p, k), [])
+                        for g in guesses:
+                            if g is not None and g not in opts and (p, k, g) not in table:
+                                opts.append(g)
+                    break
+                cur = nxt
+        if not wanted:
             break
-        entry = new_entry
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("near_dup_fold: entry states did not settle")
-        bc = spark.sparkContext.broadcast(entry)
+        bc = spark.sparkContext.broadcast(wanted)
         res = ranged.mapInPandas(boundary_summaries(bc.value), summary_schema) \
             .filter("evaluated").collect()
         for r in res:
-            finals[(r["pid"], r["key"])] = r["final"]
+            table[(r["pid"], r["key"], r["cand"])] = r["final"]
 
     resolved = dict(entry)
     fields = [(id_col, ranged.schema["_id"].dataType, "_id"), (key_col, T.StringType(), "_key"),

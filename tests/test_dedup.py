@@ -142,3 +142,14 @@ def test_fold_incremental_state_equals_one_run(spark):
     got = {r["seq"] for r in f1.filter("admitted").collect()} | \
           {r["seq"] for r in f2.filter("admitted").collect()}
     assert got == whole
+
+
+def test_fold_identity_chain_resolves_in_few_rounds(spark):
+    rnd = random.Random(5)
+    first = rnd.getrandbits(64)
+    rows = [("hot", i, signed(first ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))) for i in range(5000)]
+    rows[0] = ("hot", 0, signed(first))
+    df = spark.createDataFrame(rows, "key string, seq long, fp long")
+    out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=23, max_rounds=2)
+    got = {r["seq"] for r in out.filter("admitted").collect()}
+    assert got == py_fold([(k, s, f & ((1 << 64) - 1)) for k, s, f in rows])
