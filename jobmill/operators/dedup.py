@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_text, word_hash64
+from ..session import ensure_checkpoint_dir
 
 SIMHASH_BITS = 64
 _MASK = (1 << 64) - 1
@@ -165,6 +166,7 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     more with its resolved entry state. Only per-segment summaries (at most two per
     partition) reach the driver."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     max_d = max_hamming_for(similarity)
     # Range partitions of the narrow (id, key, seq, fp) rows; size with
     # spark.sql.shuffle.partitions (or num_partitions) to a few million rows each.

@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .filters import maybe_broadcast
 
 
@@ -27,6 +28,7 @@ def global_row_number(df: DataFrame, order_cols, partition_cols=(), out: str = "
     """Add ``out`` = 1-based position of each row in ``order_cols`` order within its
     ``partition_cols`` group. ``order_cols`` must make the order total."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pcols = list(partition_cols)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)       # sampled by the range partitioner
