@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .filters import maybe_broadcast
 from .ranking import global_row_number, top_k_per_group
@@ -173,9 +175,6 @@ def attach_embeddings(df: DataFrame, key_col: str, embeddings: DataFrame, emb_ke
 def embed_with(df: DataFrame, text_col: str, encode, dim: int, out: str = "embedding") -> DataFrame:
     """V06 / X01 plug point for a caller's model: ``encode(list[str]) -> list[list[float]]``
     runs per Arrow batch inside the tasks (the model is the caller's; none ships here)."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     def run(texts: pd.Series) -> pd.Series:
         vecs = encode([t if t is not None else "" for t in texts.tolist()])
         return pd.Series([list(map(float, v))[:dim] if v is not None else None for v in vecs])
