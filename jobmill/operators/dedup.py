@@ -149,7 +149,8 @@ def _u64(x) -> int:
 
 def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col: str,
                   *, similarity: float = NEAR_DUP_SIMILARITY, num_partitions: int | None = None,
-                  max_rounds: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+                  max_rounds: int | None = None, initial: DataFrame | None = None,
+                  rows_per_partition: int = 4_000_000) -> DataFrame:
     """Per key, in ``seq`` order, admit a row iff its fingerprint's similarity to the
     last admitted row of that key is below ``similarity`` (the first row is admitted).
 
@@ -170,7 +171,6 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     max_d = max_hamming_for(similarity)
     # Range partitions of the narrow (id, key, seq, fp) rows; size with
     # spark.sql.shuffle.partitions (or num_partitions) to a few million rows each.
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(F.col(id_col).alias("_id"), F.col(key_col).cast("string").alias("_key"),
                      F.col(seq_col).alias("_seq"), F.col(fp_col).cast("bigint").alias("_fp"))
     if initial is not None:
@@ -183,6 +183,12 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     # The range partitioner samples its input in a separate job: keep the narrow rows
     # cached so the upstream work (e.g. fingerprinting) runs once.
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    if num_partitions is None:
+        # ~rows_per_partition narrow rows per range partition (the count reads the cache)
+        rows = base.count()
+        num_partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             -(-rows // rows_per_partition))
+    n = num_partitions
     ranged = base.repartitionByRange(n, "_key", "_seq").sortWithinPartitions("_key", "_seq")
     # The order is fixed now; seq itself (possibly a struct) never enters Python.
     ranged = ranged.select("_id", "_key", "_fp", "_init", F.spark_partition_id().alias("_pid")) \
@@ -195,18 +201,28 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
         T.StructField("evaluated", T.BooleanType())])
 
     def segments(it):
-        """Yield (pid, key, frame) per key run of one partition, in order."""
-        batches = list(it)
-        if not batches:
-            return
-        pdf = pd.concat(batches, ignore_index=True)
-        if pdf.empty:
-            return
-        keys = pdf["_key"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ends = np.r_[starts[1:], len(pdf)]
-        for s, e in zip(starts, ends):
-            yield int(pdf["_pid"].iat[0]), keys[s], pdf.iloc[s:e]
+        """Yield (pid, key, part, is_first_run, is_last_piece) per key run piece of one
+        partition, streaming Arrow batches; a key run cut by a batch boundary comes out
+        as consecutive pieces (the caller carries its fold state across them)."""
+        first_key = None
+        pending = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            keys = pdf["_key"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            ends = np.r_[starts[1:], len(pdf)]
+            pid = int(pdf["_pid"].iat[0])
+            for s, e in zip(starts, ends):
+                if first_key is None:
+                    first_key = keys[s]
+                if pending is not None:
+                    ppid, pkey, ppart = pending
+                    yield ppid, pkey, ppart, pkey == first_key, pkey != keys[s]
+                pending = (pid, keys[s], pdf.iloc[s:e])
+        if pending is not None:
+            ppid, pkey, ppart = pending
+            yield ppid, pkey, ppart, pkey == first_key, True
 
     def _signed(x):
         return x - (1 << 64) if x is not None and x >= (1 << 63) else x
@@ -216,19 +232,37 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
         each candidate entry state listed for them (later rounds)."""
         def run(it):
             rows = []
-            segs = list(segments(it))
-            for idx, (pid, key, seg) in enumerate(segs):
-                todo = cands.get((pid, key))
-                if todo is None:
-                    if cands or idx not in (0, len(segs) - 1):
-                        continue
-                    _, final = _fold(seg["_fp"].to_numpy(), _seg_init(seg), max_d)
-                    rows.append((pid, key, None, _signed(final), False))
+            states = None          # per-candidate running state of the current key run
+            cur_key = None
+            runs_seen = 0
+            last_summary = None
+            for pid, key, part, is_first, is_last in segments(it):
+                if key != cur_key:
+                    cur_key, runs_seen = key, runs_seen + 1
+                    todo = cands.get((pid, key))
+                    if todo is not None:
+                        states = [(c, None if c is None else _u64(c)) for c in todo]
+                        evaluated = True
+                    elif not cands:
+                        states = [(None, _seg_init(part))]
+                        evaluated = False
+                    else:
+                        states = None
+                if states is None:
                     continue
-                hs = seg["_fp"].to_numpy()
-                for c in todo:
-                    _, final = _fold(hs, _u64(c), max_d)
-                    rows.append((pid, key, c, _signed(final), True))
+                hs = part["_fp"].to_numpy()
+                states = [(c, _fold(hs, st, max_d)[1]) for c, st in states]
+                if is_last:
+                    out = [(pid, key, c, _signed(st), evaluated) for c, st in states]
+                    if evaluated:
+                        rows.extend(out)
+                    elif is_first:
+                        rows.extend(out)           # first run of the partition
+                    else:
+                        last_summary = out         # keep only the partition's last run
+                    states = None
+            if last_summary is not None:
+                rows.extend(last_summary)
             if rows:
                 yield pd.DataFrame(rows, columns=["pid", "key", "cand", "final", "evaluated"])
         return run
@@ -286,12 +320,18 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
                               + [T.StructField("admitted", T.BooleanType())])
 
     def final_pass(it):
-        for pid, key, seg in segments(it):
-            st = resolved.get((pid, key), _seg_init(seg))
-            adm, _ = _fold(seg["_fp"].to_numpy(), None if st is None else _u64(st), max_d)
-            cols = {n: seg[src].to_numpy() for n, _, src in out_fields}
+        state, cur = None, None
+        for pid, key, part, _first, is_last in segments(it):
+            if key != cur:
+                cur = key
+                st = resolved.get((pid, key), _seg_init(part))
+                state = None if st is None else _u64(st)
+            adm, state = _fold(part["_fp"].to_numpy(), state, max_d)
+            cols = {n: part[src].to_numpy() for n, _, src in out_fields}
             cols["admitted"] = adm
             yield pd.DataFrame(cols)
+            if is_last:
+                cur = None
 
     return ranged.mapInPandas(final_pass, out_schema)
 

@@ -153,3 +153,20 @@ def test_fold_identity_chain_resolves_in_few_rounds(spark):
     out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=23, max_rounds=2)
     got = {r["seq"] for r in out.filter("admitted").collect()}
     assert got == py_fold([(k, s, f & ((1 << 64) - 1)) for k, s, f in rows])
+
+
+def test_fold_streams_runs_across_arrow_batches(spark):
+    rnd = random.Random(9)
+    rows, cur = [], 0
+    for seq in range(1500):
+        key = ("a", "b", "c")[min(2, seq // 600)]
+        cur = rnd.getrandbits(64) if rnd.random() < 0.3 else cur ^ (1 << rnd.randrange(64))
+        rows.append((key, seq, signed(cur)))
+    df = spark.createDataFrame(rows, "key string, seq long, fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=4)
+        got = {r["seq"] for r in out.filter("admitted").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == py_fold([(k, s, f & ((1 << 64) - 1)) for k, s, f in rows])
