@@ -1,17 +1,18 @@
 """Stored jobs, versions, runs, notifications and companies.
 
-Plain parquet has no MERGE, so the jobs table is versioned: every upsert writes a
-complete new snapshot under ``<root>/jobs/v=<n>`` and then appends one row to
-``<root>/commits``; readers take the highest committed version. A retried write
-overwrites the same version folder, so a lost executor or a replayed streaming batch
-never leaves a half-applied change visible. With a table format that has MERGE INTO,
-``upsert_frames`` is the body of the MERGE.
+Plain parquet has no MERGE, so the jobs table is bucketed by id and versioned per
+bucket (see ``JobStore``): an upsert rewrites only the buckets it touches, under a new
+version, and then appends commit rows; readers take each bucket's latest committed
+version. A retried write overwrites the same (bucket, version) folders, so a lost
+executor or a replayed streaming batch never leaves a half-applied change visible.
+With a table format that has MERGE INTO, ``upsert_frames`` is the body of the MERGE.
 
 The pure DataFrame functions (``upsert_frames``, ``mark_notified_frames``...) hold
 the semantics; ``JobStore`` only adds paths."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,11 +169,23 @@ def company_upsert_frames(existing: DataFrame, names: DataFrame, config_col: str
 
 
 class JobStore:
-    """Paths of a store on shared storage (default: under spark.checkpoint.dir)."""
+    """Paths of a store on shared storage (default: under spark.checkpoint.dir).
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    Layout: ``jobs/bucket=<b>/v=<n>/`` holds version n of the rows whose
+    ``pmod(xxhash64(id), buckets) = b``; ``commits`` lists (version, bucket) pairs once
+    written. Readers take the latest committed version of every bucket (a table of at
+    most ``buckets`` rows, broadcast, so old versions are pruned at planning/run
+    time). An upsert or notification rewrites only the buckets its ids fall in, under
+    a new version, with dynamic partition overwrite: a retry rewrites the same
+    (bucket, version) folders, and nothing is visible before the commit rows exist."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 64):
         self.spark = spark
         self.root = (root or scratch_path(spark, "jobstore")).rstrip("/")
+        self.buckets = buckets
+
+    def _bucket(self, col: str = "id"):
+        return F.pmod(F.xxhash64(F.col(col)), F.lit(self.buckets)).cast("int")
 
     # -- jobs snapshots ------------------------------------------------------
     def _commits(self) -> DataFrame | None:
@@ -188,35 +201,66 @@ class JobStore:
         v = c.agg(F.max("version")).first()[0]
         return int(v or 0)
 
-    def jobs(self) -> DataFrame:
-        v = self.version()
-        if v == 0:
+    def jobs(self, buckets: list[int] | None = None) -> DataFrame:
+        c = self._commits()
+        if c is None:
             return self.spark.createDataFrame([], JOBS_SCHEMA)
-        return self.spark.read.parquet(f"{self.root}/jobs/v={v}")
-
-    def _commit(self, snapshot: DataFrame, as_of, version: int | None = None) -> int:
-        v = version or (self.version() + 1)
-        snapshot.write.mode("overwrite").parquet(f"{self.root}/jobs/v={v}")
-        self.spark.createDataFrame([(v,)], "version long").select(
-            "version", as_timestamp(as_of).alias("committed_at")) \
+        latest = c.groupBy("bucket").agg(F.max("version").alias("v"))
+        if buckets is not None:
+            latest = latest.filter(F.col("bucket").isin(buckets))
+        data = self.spark.read.parquet(f"{self.root}/jobs")
+        if buckets is not None:
+            data = data.filter(F.col("bucket").isin(buckets))
+        # latest has at most `buckets` rows: a proven bound for the broadcast
+        return data.join(F.broadcast(latest), ["bucket", "v"]).select(*[f.name for f in JOBS_SCHEMA.fields])
+
+    def _commit(self, rows: DataFrame, touched: list[int], as_of, version: int) -> int:
+        prev = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            # one task per bucket: one file per (bucket, version), not tasks x buckets
+            rows.withColumn("bucket", self._bucket()).withColumn("v", F.lit(version).cast("long")) \
+                .repartition("bucket") \
+                .write.mode("overwrite").partitionBy("bucket", "v").parquet(f"{self.root}/jobs")
+        finally:
+            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        self.spark.createDataFrame([(version, b) for b in touched], "version long, bucket int") \
+            .select("version", "bucket", as_timestamp(as_of).alias("committed_at")) \
             .write.mode("append").parquet(f"{self.root}/commits")
-        return v
+        return version
+
+    def _touched(self, ids: DataFrame) -> list[int]:
+        # at most `buckets` distinct values reach the driver
+        return sorted(r[0] for r in ids.select(self._bucket().alias("b")).distinct().collect())
 
     def upsert(self, incoming: DataFrame, as_of, order_col: str | None = None,
                version: int | None = None) -> DataFrame:
-        """K01 + K02; returns the (id, is_new) changes (read back from storage)."""
-        snap, changes = upsert_frames(self.jobs(), incoming, as_of, order_col)
+        """K01 + K02 on the touched buckets only; returns the (id, is_new) changes."""
         v = version or (self.version() + 1)
-        changes.write.mode("overwrite").parquet(f"{self.root}/changes/v={v}")
-        self._commit(snap, as_of, v)
-        version_rows(incoming, as_of).write.mode("overwrite").parquet(f"{self.root}/versions/v={v}")
+        # incoming feeds four writes (bucket list, changes, snapshot, version log):
+        # cache it once instead of recomputing its lineage for each
+        incoming = incoming.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            touched = self._touched(incoming)
+            if not touched:
+                return self.spark.createDataFrame([], "id string, is_new boolean")
+            snap, changes = upsert_frames(self.jobs(touched), incoming, as_of, order_col)
+            changes.write.mode("overwrite").parquet(f"{self.root}/changes/v={v}")
+            self._commit(snap, touched, as_of, v)
+            version_rows(incoming, as_of).write.mode("overwrite").parquet(f"{self.root}/versions/v={v}")
+        finally:
+            incoming.unpersist()
         return self.spark.read.parquet(f"{self.root}/changes/v={v}")
 
     def mark_notified(self, ids: DataFrame, mode: str, target: str, as_of) -> DataFrame:
-        snap, notes = mark_notified_frames(self.jobs(), ids, mode, target, as_of)
         v = self.version() + 1
+        touched = self._touched(ids)
+        if not touched:
+            return self.spark.createDataFrame([], "job_id string, sent_at timestamp, mode string, "
+                                                  "target string, success int")
+        snap, notes = mark_notified_frames(self.jobs(touched), ids, mode, target, as_of)
         notes.write.mode("overwrite").parquet(f"{self.root}/notifications/v={v}")
-        self._commit(snap, as_of, v)
+        self._commit(snap, touched, as_of, v)
         return self.spark.read.parquet(f"{self.root}/notifications/v={v}")
 
     def versions_log(self) -> DataFrame:

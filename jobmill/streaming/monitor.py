@@ -10,6 +10,7 @@ shared storage (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +58,15 @@ def process_batch(batch: DataFrame, batch_id: int, *, store: JobStore, profile,
     matches = scored.filter(F.col("final_score") >= F.col("min_score_threshold"))
     if "id" not in matches.columns:
         matches = matches.withColumn("id", posting_id())
-    store.upsert(matches, as_of, order_col=order_col, version=base_version + batch_id + 1)
-    reports.messages(matches, topic) \
-        .withColumn("batch_id", F.lit(batch_id)) \
-        .write.mode("overwrite").parquet(f"{outbox_root}/batch_id={batch_id}")
+    # the matches feed the store and the outbox: compute them once per micro-batch
+    matches = matches.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        store.upsert(matches, as_of, order_col=order_col, version=base_version + batch_id + 1)
+        reports.messages(matches, topic) \
+            .withColumn("batch_id", F.lit(batch_id)) \
+            .write.mode("overwrite").parquet(f"{outbox_root}/batch_id={batch_id}")
+    finally:
+        matches.unpersist()
 
 
 def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, to_postings,

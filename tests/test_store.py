@@ -63,3 +63,17 @@ def test_company_get_or_create(spark):
     names = spark.createDataFrame([("A",), ("B",), ("B",)], "name string")
     out = {r["name"]: r["company_id"] for r in st.company_upsert_frames(existing, names).collect()}
     assert out["A"] == 1 and set(out) == {"A", "B"}
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    store = st.JobStore(spark, str(tmp_path / "s3"), buckets=8)
+    rows = [(f"id{i}", "A", str(i), "lever", "t", i) for i in range(40)]
+    store.upsert(postings(spark, rows), T0)
+    one = postings(spark, [("id3", "A", "3", "lever", "t2", 99)])
+    store.upsert(one, T1)
+    commits = spark.read.parquet(str(tmp_path / "s3" / "commits"))
+    v2 = [r["bucket"] for r in commits.filter("version = 2").collect()]
+    assert len(v2) == 1                                   # one bucket rewritten
+    assert store.jobs().count() == 40
+    got = {r["id"]: r["updated_at"] for r in store.jobs().collect()}
+    assert got["id3"] == T1 and got["id4"] is None
