@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.classify import ats_from_url
 from ..functions.timeutil import cutoff
 
-BROADCAST_ROW_LIMIT = 1_000_000
+# Rows of a small dimension (company configs, profile rows, summaries) that may be
+# broadcast: at a few hundred bytes per row this stays in the tens of MB.
+BROADCAST_ROW_LIMIT = 100_000
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -148,7 +148,7 @@ def _score_columns(parts: dict, remote: Column, recency: Column, vector: Column)
 
 
 def score(postings: DataFrame, profiles, as_of, *, vector_col: str | None = None,
-          literal_limit: int = 16, broadcast_limit: int = 50_000,
+          literal_limit: int = 16, broadcast_limit: int = 10_000,
           text_col: str | None = None) -> DataFrame:
     """Score every (posting, profile) pair.
 

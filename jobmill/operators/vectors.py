@@ -55,14 +55,17 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
 
 
 def pair_similarity(corpus: DataFrame, queries: DataFrame, *, corpus_vec="embedding",
-                    query_vec="query_vec", chunk_rows: int = 100_000) -> DataFrame:
+                    query_vec="query_vec", chunk_bytes: int = 64 << 20) -> DataFrame:
     """All (corpus row, query) pairs with ``similarity`` = rescaled cosine.
 
-    Exact brute force, as the source tool does. The query side is broadcast only in
-    chunks of at most ``chunk_rows`` rows (checked); the corpus is streamed once per
-    chunk and never shuffled."""
+    Exact brute force, as the source tool does (every posting against the profile).
+    The query side is broadcast only in chunks whose size is checked: rows x vector
+    width x 8 bytes <= ``chunk_bytes``; the corpus is streamed once per chunk and is
+    never shuffled."""
     q = queries.withColumn("_qnorm", norm(query_vec))
-    n = q.count()
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("dim")).first()
+    n, dim = int(stats["n"]), max(1, int(stats["dim"] or 1))
+    chunk_rows = max(1, chunk_bytes // (8 * dim + 64))
     n_chunks = max(1, -(-n // chunk_rows))
     outs = []
     for i in range(n_chunks):
