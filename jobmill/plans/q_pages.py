@@ -138,9 +138,22 @@ def q_aggregator_jobs(spark, sf_dir):
     return html_src.aggregator_jobs(p, SCRAPED_AT).select("page_id", "strategy", "source_job_id", "title", "company")
 
 
-@register("search_cards")
+def _cards_sql():
+    pat = "(?is)" + html_src.SEARCH_CARD_PATTERN.replace("'", "''")
+    n = html_src.MAX_CARDS_PER_PAGE
+    grp = ", ".join(f"regexp_extract_all(html, '{pat}', {g})[1:{n}] AS g{g}" for g in (1, 2, 3, 4))
+    sq = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"""
+WITH c AS (SELECT page_id, {grp} FROM pages),
+  r AS (SELECT page_id, unnest(g1) AS jk, unnest(g2) AS t, unnest(g3) AS co, unnest(g4) AS lo FROM c)
+SELECT page_id, jk AS source_job_id, {sq('t')} AS title, {sq('co')} AS company, {sq('lo')} AS location
+FROM r WHERE {sq('t')} <> '' AND {sq('co')} <> ''
+"""
+
+
+@register("search_cards", _cards_sql())
 def q_search_cards(spark, sf_dir):
-    """S07 over every page (no SQL twin; unit-tested on fixtures)."""
+    """S07 over every page."""
     p = spread(read_table(spark, sf_dir, "pages"))
     return html_src.search_cards(p, SCRAPED_AT).select("page_id", "source_job_id", "title", "company", "location")
 

@@ -79,3 +79,15 @@ def test_aggregator_strategies(spark):
     assert got[(1, "222")]["remote_type"] == "hybrid"
     assert got[(2, "333")]["company"] == "Gamma" and got[(2, "333")]["strategy"] == 2
     assert got[(3, "555")]["title"] == "LinkedIn Job" and got[(3, "555")]["company"] == "Unknown"
+
+
+def test_search_cards_sql_twin_agrees(spark):
+    import duckdb
+
+    from jobmill.plans import queries as Q
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1::BIGINT AS page_id, ?::VARCHAR AS html", [CARDS])
+    sql_rows = sorted(con.execute(Q.ORACLE["search_cards"]).fetchall())
+    pages = spark.createDataFrame([(1, CARDS)], "page_id long, html string")
+    sp = html.search_cards(pages, AT).select("page_id", "source_job_id", "title", "company", "location")
+    assert sorted(tuple(r) for r in sp.collect()) == sql_rows
