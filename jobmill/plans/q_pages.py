@@ -36,10 +36,12 @@ WITH l AS (
 a AS (SELECT *, {_ORIGIN} || href AS job_url FROM l),
 f AS (SELECT page_id, job_url, arg_min(href, pos) AS href, min(pos) AS pos,
              any_value(html) AS html, any_value(url) AS url FROM a GROUP BY page_id, job_url),
-g AS (SELECT *, trim(regexp_replace(regexp_extract(html, '(?is)<a[^>]*href=["'']?\\Q' || href || '\\E["'']?[^>]*>([^<]+)</a>', 1), '\\s+', ' ', 'g')) AS anchor
+g AS (SELECT *, trim(regexp_replace(regexp_extract(html, '(?is)<a[^>]*href=["'']?\\Q' || href || '\\E["'']?[^>]*>([^<]+)</a>', 1), '\\s+', ' ', 'g')) AS anchor,
+             trim(regexp_replace(regexp_extract(html, '(?is)>([^<]+)</a>\\s*<a[^>]*href=["'']?\\Q' || href || '\\E', 1), '\\s+', ' ', 'g')) AS before
       FROM f
       WHERE NOT regexp_matches(lower(job_url), '/about|/contact|/privacy|/terms|/benefits|/culture|/team|/blog|\\.pdf$|\\.jpg$|\\.png$')),
 h AS (SELECT *, CASE WHEN length(anchor) > 5 AND length(anchor) < 200 THEN anchor
+                     WHEN length(before) > 5 AND length(before) < 200 THEN before
                      ELSE {_title_from_url_sql('job_url')} END AS title,
              strpos(lower(html), lower(href)) AS hpos FROM g)
 SELECT page_id, job_url AS apply_url, title, substr(md5(job_url), 1, 12) AS source_job_id,
@@ -119,15 +121,17 @@ def q_page_url_info(spark, sf_dir):
 @register("search_results", """
 WITH r AS (SELECT page_id,
              unnest(regexp_extract_all(html, '(?i)class="result__a"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>', 1)) AS u,
-             unnest(regexp_extract_all(html, '(?i)class="result__a"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>', 2)) AS t
-           FROM pages)
-SELECT page_id, substr(md5(u), 1, 12) AS id, u AS url FROM r
-WHERE contains(lower(u), 'linkedin.com/jobs') OR contains(lower(u), 'indeed.com') OR contains(lower(u), 'glassdoor.com')
-   OR contains(lower(u), 'greenhouse.io') OR contains(lower(u), 'lever.co')
+             unnest(regexp_extract_all(html, '(?i)class="result__a"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>', 2)) AS t,
+             generate_subscripts(regexp_extract_all(html, '(?i)class="result__a"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>', 1), 1) AS pos
+           FROM pages),
+  k AS (SELECT * FROM r
+        WHERE contains(lower(u), 'linkedin.com/jobs') OR contains(lower(u), 'indeed.com') OR contains(lower(u), 'glassdoor.com')
+           OR contains(lower(u), 'greenhouse.io') OR contains(lower(u), 'lever.co'))
+SELECT arg_min(page_id, (page_id, pos)) AS page_id, substr(md5(u), 1, 12) AS id, u AS url FROM k GROUP BY u
 """)
 def q_search_results(spark, sf_dir):
     p = spread(read_table(spark, sf_dir, "pages"))
-    r = html_src.search_results(p, "United States", SCRAPED_AT)
+    r = html_src.first_by_url(html_src.search_results(p, "United States", SCRAPED_AT))
     return r.select("page_id", "id", "url")
 
 

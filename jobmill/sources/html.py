@@ -79,8 +79,14 @@ def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,
     quoted = F.concat(F.lit("\\Q"), F.col("href"), F.lit("\\E"))
     anchor_pat = F.concat(F.lit("(?is)<a[^>]*href=[\"']?"), quoted, F.lit("[\"']?[^>]*>([^<]+)</a>"))
     anchor_text = squash_ws(F.call_function("regexp_extract", F.col("_html"), anchor_pat, F.lit(1)))
-    title_ok = (F.length(anchor_text) > 5) & (F.length(anchor_text) < 200)
-    title = F.when(title_ok, anchor_text).otherwise(title_from_url(F.col("job_url")))
+    # second lookup: the text of the anchor right before the link
+    before_pat = F.concat(F.lit("(?is)>([^<]+)</a>\\s*<a[^>]*href=[\"']?"), quoted)
+    before_text = squash_ws(F.call_function("regexp_extract", F.col("_html"), before_pat, F.lit(1)))
+
+    def ok(t):
+        return (F.length(t) > 5) & (F.length(t) < 200)
+    title = (F.when(ok(anchor_text), anchor_text).when(ok(before_text), before_text)
+             .otherwise(title_from_url(F.col("job_url"))))
     at = F.call_function("instr", F.lower(F.col("_html")), F.lower(F.col("href")))
     start = F.greatest(at - 500, F.lit(1))
     ctx = F.when(at > 0, F.call_function("substring", F.col("_html"), start,
@@ -99,6 +105,12 @@ def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,
         employment_type(F.col("title")).alias("employment_type"))
 
 
+def first_by_url(results: DataFrame, id_col="page_id") -> DataFrame:
+    """One row per URL, the first by (page, position) across pages/queries."""
+    from ..operators.dedup import first_per_key
+    return first_per_key(results, ["url"], F.struct(F.col(id_col), F.col("_pos")))
+
+
 def search_results(pages: DataFrame, location: str, found_at, *, html_col="html",
                    id_col="page_id") -> DataFrame:
     """(url, title) result links of known job sites; title/company split on

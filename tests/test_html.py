@@ -21,8 +21,12 @@ def test_career_page_links(spark):
     pages = spark.createDataFrame([(1, "https://acme.example.com/company/careers", CAREERS)],
                                   "page_id long, url string, html string")
     got = {r["apply_url"]: r.asDict() for r in html.career_page_links(pages, company="Acme").collect()}
+    # /apply/12345 has a too-short anchor text ("Go"): its title comes from the anchor
+    # just before it; /about/... and .pdf links are not job URLs
     assert set(got) == {"https://acme.example.com/jobs/backend-engineer",
-                        "https://other.example.org/careers/data-scientist-intern"}
+                        "https://other.example.org/careers/data-scientist-intern",
+                        "https://acme.example.com/apply/12345"}
+    assert got["https://acme.example.com/apply/12345"]["title"] == "About our jobs"
     be = got["https://acme.example.com/jobs/backend-engineer"]
     assert be["title"] == "Backend Engineer" and be["location"] == "Austin, TX" and be["company"] == "Acme"
     ds = got["https://other.example.org/careers/data-scientist-intern"]
@@ -91,3 +95,13 @@ def test_search_cards_sql_twin_agrees(spark):
     pages = spark.createDataFrame([(1, CARDS)], "page_id long, html string")
     sp = html.search_cards(pages, AT).select("page_id", "source_job_id", "title", "company", "location")
     assert sorted(tuple(r) for r in sp.collect()) == sql_rows
+
+
+def test_title_from_preceding_anchor_and_first_by_url(spark):
+    page = ('<a href="/x">Senior Data Engineer</a> <a href="/jobs/4711">Go</a>')
+    pages = spark.createDataFrame([(1, "https://a.io/", page)], "page_id long, url string, html string")
+    got = {r["apply_url"]: r["title"] for r in html.career_page_links(pages).collect()}
+    assert got["https://a.io/jobs/4711"] == "Senior Data Engineer"
+    res = spark.createDataFrame([(2, 0, "u1"), (1, 5, "u1"), (1, 7, "u2")], "page_id long, _pos int, url string")
+    assert sorted((r["url"], r["page_id"], r["_pos"]) for r in html.first_by_url(res).collect()) == \
+        [("u1", 1, 5), ("u2", 1, 7)]
