@@ -90,6 +90,12 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 _fingerprint_udf = F.pandas_udf(_fingerprints, T.LongType())
 
 
+def fingerprint(text) -> Column:
+    """SimHash of a text column as a column expression (Arrow batches, map-only)."""
+    t = F.col(text) if isinstance(text, str) else text
+    return _fingerprint_udf(normalize_text(t))
+
+
 def simhash(df: DataFrame, text_col: str, group_cols: list[str], out: str = "fingerprint",
             method: str = "arrow") -> DataFrame:
     """64-bit SimHash per row of ``df`` (``group_cols`` identify the row): md5 low 64

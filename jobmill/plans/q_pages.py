@@ -10,7 +10,7 @@ from ..functions.classify import ats_detect, host_owned_by, is_job_url, source_l
 from ..functions.text import short_url_id, strip_html
 from ..session import read_table, spread
 from ..sources import html as html_src
-from .queries import register
+from .registry import register
 from .sqlfrag import py_title
 
 SCRAPED_AT = dt.datetime(2024, 2, 1)

@@ -13,7 +13,7 @@ from ..operators import dedup, filters, reports
 from ..session import read_table, spread
 from ..store.jobs import unseen_top
 from . import standins
-from .queries import register
+from .registry import register
 from .standins import POSTINGS_LI_SQL
 
 EVENTS_AS_OF = dt.datetime(2024, 1, 31)

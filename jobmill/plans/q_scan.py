@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import standins
 from .q_relational import companies_from_supplier
-from .queries import AS_OF, register
+from .registry import AS_OF, register
 from .scan import scan
 from .sqlfrag import fold_ctes, norm, simhash_ctes
 from .standins import POSTINGS_LI_SQL

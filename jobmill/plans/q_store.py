@@ -10,7 +10,7 @@ from ..operators import reports, scoring
 from ..session import read_table
 from ..store import jobs as store
 from . import standins
-from .queries import AS_OF, SAMPLE_PROFILE, _SCORED_SQL, register, r6
+from .registry import AS_OF, SAMPLE_PROFILE, _SCORED_SQL, register, r6
 from .sqlfrag import py_title
 
 STORE_SPLIT = "2000-01-01"

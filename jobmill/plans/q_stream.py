@@ -13,7 +13,7 @@ from ..operators.scoring import Profile
 from ..session import scratch_path
 from ..store.jobs import JobStore
 from ..streaming.monitor import start_monitor
-from .queries import register, r6
+from .registry import register, r6
 
 STREAM_AS_OF = dt.datetime(2024, 1, 31)
 STREAM_LOOKBACK = "30d"

@@ -10,7 +10,7 @@ from ..functions.classify import employment_type, remote_type
 from ..functions.text import fingerprint_bits, normalize_text
 from ..operators import dedup, profiles
 from ..session import read_table, spread
-from .queries import register
+from .registry import register
 from .sqlfrag import norm, sql_str, whole_word_re
 
 # ---------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scoring, vectors
 from ..session import read_table
 from . import standins
-from .queries import AS_OF, SAMPLE_PROFILE, _SCORED_SQL, register, r6
+from .registry import AS_OF, SAMPLE_PROFILE, _SCORED_SQL, register, r6
 from .standins import POSTINGS_LI_SQL
 
 TOP_K_VEC = 10

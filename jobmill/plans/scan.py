@@ -25,12 +25,14 @@ def scan(postings: DataFrame, companies: DataFrame | None, as_of, lookback: str
         p = filters.time_filter(p, as_of, lookback)                                # P02
     if stored is not None:
         p = filters.drop_known(p, stored, key="id")                                # J02
+    # A05 is a per-row map: fingerprint before W01 so it rides along with the row
+    # (no join back by id); W01 then keeps the first arrival per exact key.
+    p = p.withColumn("_fkey", dedup.fuzzy_key(*fuzzy_cols)) \
+        .withColumn("_fp", dedup.fingerprint(searchable_text()))                    # A05
     p = dedup.exact_dedup(p, order_col)                                            # W01
-    p = p.withColumn("_text", searchable_text()).withColumn("_fkey", dedup.fuzzy_key(*fuzzy_cols))
-    fp = dedup.simhash(p.select("id", "_text"), "_text", ["id"], out="_fp")         # A05
-    keyed = p.select("id", "_fkey", order_col).join(fp, "id")
-    folded = dedup.near_dup_fold(keyed, "_fkey", order_col, "_fp", "id")           # W02
-    kept = p.join(folded.filter("admitted").select("id"), "id", "left_semi").drop("_text", "_fkey")
+    folded = dedup.near_dup_fold(p.select("id", "_fkey", order_col, "_fp"),
+                                 "_fkey", order_col, "_fp", "id")                  # W02
+    kept = p.join(folded.filter("admitted").select("id"), "id", "left_semi").drop("_fp", "_fkey")
     totals = kept.agg(F.count(F.lit(1)).alias("jobs_found"), F.count(F.lit(1)).alias("jobs_new"))
     if max_results is not None:
         kept = kept.orderBy(order_col).limit(max_results)                          # T03
