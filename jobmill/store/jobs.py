@@ -201,10 +201,14 @@ class JobStore:
         v = c.agg(F.max("version")).first()[0]
         return int(v or 0)
 
-    def jobs(self, buckets: list[int] | None = None) -> DataFrame:
+    def jobs(self, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
+        """The table as of ``version`` (default: the latest commit). Pinning the
+        version makes a reader's lineage independent of later commits."""
         c = self._commits()
         if c is None:
             return self.spark.createDataFrame([], JOBS_SCHEMA)
+        if version is not None:
+            c = c.filter(F.col("version") <= version)
         latest = c.groupBy("bucket").agg(F.max("version").alias("v"))
         if buckets is not None:
             latest = latest.filter(F.col("bucket").isin(buckets))
@@ -236,29 +240,36 @@ class JobStore:
     def upsert(self, incoming: DataFrame, as_of, order_col: str | None = None,
                version: int | None = None) -> DataFrame:
         """K01 + K02 on the touched buckets only; returns the (id, is_new) changes."""
-        v = version or (self.version() + 1)
+        # the state this write starts from: the version before ours, so a replayed
+        # write (same version) never sees its own earlier attempt
+        base = (version - 1) if version else self.version()
+        v = version or (base + 1)
         # incoming feeds four writes (bucket list, changes, snapshot, version log):
-        # cache it once instead of recomputing its lineage for each
-        incoming = incoming.persist(StorageLevel.MEMORY_AND_DISK)
+        # cache it once (unless the caller already did) instead of recomputing it
+        owned = not incoming.is_cached
+        if owned:
+            incoming = incoming.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             touched = self._touched(incoming)
             if not touched:
                 return self.spark.createDataFrame([], "id string, is_new boolean")
-            snap, changes = upsert_frames(self.jobs(touched), incoming, as_of, order_col)
+            snap, changes = upsert_frames(self.jobs(touched, version=base), incoming, as_of, order_col)
             changes.write.mode("overwrite").parquet(f"{self.root}/changes/v={v}")
             self._commit(snap, touched, as_of, v)
             version_rows(incoming, as_of).write.mode("overwrite").parquet(f"{self.root}/versions/v={v}")
         finally:
-            incoming.unpersist()
+            if owned:
+                incoming.unpersist()
         return self.spark.read.parquet(f"{self.root}/changes/v={v}")
 
     def mark_notified(self, ids: DataFrame, mode: str, target: str, as_of) -> DataFrame:
-        v = self.version() + 1
+        base = self.version()
+        v = base + 1
         touched = self._touched(ids)
         if not touched:
             return self.spark.createDataFrame([], "job_id string, sent_at timestamp, mode string, "
                                                   "target string, success int")
-        snap, notes = mark_notified_frames(self.jobs(touched), ids, mode, target, as_of)
+        snap, notes = mark_notified_frames(self.jobs(touched, version=base), ids, mode, target, as_of)
         notes.write.mode("overwrite").parquet(f"{self.root}/notifications/v={v}")
         self._commit(snap, touched, as_of, v)
         return self.spark.read.parquet(f"{self.root}/notifications/v={v}")

@@ -48,7 +48,9 @@ def _near_dup_step(fresh: DataFrame, batch_id: int, state_root: str, order_col:
 def process_batch(batch: DataFrame, batch_id: int, *, store: JobStore, profile, as_of,
                   lookback: str | None, topic: str, order_col: str, outbox_root: str,
                   base_version: int, near_dup_state: str | None = None) -> None:
-    stored = store.jobs()
+    # read the store as of the end of the previous batch: recomputing this batch's
+    # lineage after its own commit, or replaying the batch, gives the same rows
+    stored = store.jobs(version=base_version + batch_id)
     fresh = filters.time_filter(batch, as_of, lookback) if lookback else batch      # M02
     fresh = filters.drop_known(fresh, stored, key="source_job_id")                  # M03 / J03
     fresh = dedup.first_per_key(fresh, ["source_job_id"], order_col)                # in-batch

@@ -67,3 +67,16 @@ def test_monitor_near_dup_state_across_batches(spark, tmp_path):
     # titles are the texts; location is null for all, so s2 collapses into s1 when the
     # batches run separately (state) or together (one fold)
     assert got == {"s1", "s3"}
+
+
+def test_replayed_batch_is_idempotent(spark, tmp_path):
+    from jobmill.streaming.monitor import process_batch
+    store = JobStore(spark, str(tmp_path / "store"))
+    prof = Profile(profile="p", must_have_keywords=["python"], min_score_threshold=0.3)
+    batch = to_postings(spark.createDataFrame([("s9", "python dev", AS_OF, 1)], SCHEMA))
+    kw = dict(store=store, profile=prof, as_of=AS_OF, lookback=None, topic="t", order_col="seq",
+              outbox_root=str(tmp_path / "outbox"), base_version=0)
+    process_batch(batch, 0, **kw)
+    process_batch(batch, 0, **kw)                    # replay of the same micro-batch
+    assert store.jobs().count() == 1
+    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 1
