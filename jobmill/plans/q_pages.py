@@ -135,9 +135,60 @@ def q_search_results(spark, sf_dir):
     return r.select("page_id", "id", "url")
 
 
-@register("aggregator_jobs")
+def _aggregator_sql():
+    a = html_src.AGGREGATOR_ANCHOR.replace("'", "''")
+    anchors = f"regexp_extract_all(html, '(?is){a}', {{g}})"
+    codes = "regexp_extract_all(html, '(?is)<code[^>]*>(.*?)</code>', 1)"
+    bare = f"regexp_extract_all(html, '{html_src.AGGREGATOR_URN}', 1)"
+    jurn = html_src.AGGREGATOR_JSON_URN
+    sq = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+    def text_field(path):
+        return (f"CASE WHEN json_type(ent, '{path}') = 'OBJECT' THEN json_extract_string(ent, '{path}.text') "
+                f"ELSE json_extract_string(ent, '{path}') END")
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+a AS (SELECT page_id, unnest({anchors.format(g=1)}) AS href, unnest({anchors.format(g=2)}) AS jid,
+             unnest({anchors.format(g=3)}) AS txt, generate_subscripts({anchors.format(g=1)}, 1) AS pos FROM p),
+s1 AS (SELECT page_id, jid AS job_id, 1 AS strategy,
+              arg_max(coalesce(nullif({sq(sq("regexp_replace(txt, '<[^>]+>', '', 'g')"))}, ''), 'LinkedIn Job'), pos) AS title,
+              '' AS company FROM a GROUP BY page_id, jid),
+c AS (SELECT page_id, trim(js) AS js, blk FROM
+        (SELECT page_id, unnest({codes}) AS js, generate_subscripts({codes}, 1) AS blk FROM p)),
+cv AS (SELECT * FROM c WHERE json_valid(js)),
+ents AS (SELECT page_id, blk,
+           CASE WHEN starts_with(js, '[') THEN CAST(json_extract(js, '$[*]') AS JSON[])
+                ELSE list_concat(
+                  CASE WHEN json_type(js, '$.included') = 'ARRAY' THEN CAST(json_extract(js, '$.included[*]') AS JSON[]) ELSE [] END,
+                  CASE WHEN json_type(js, '$.data') = 'ARRAY' THEN CAST(json_extract(js, '$.data[*]') AS JSON[]) ELSE [] END)
+           END AS es FROM cv),
+e AS (SELECT page_id, blk, unnest(es) AS ent, generate_subscripts(es, 1) AS epos FROM ents),
+e2 AS (SELECT page_id, blk * 1000000 + epos AS pos, ent,
+              coalesce(nullif(json_extract_string(ent, '$.entityUrn'), ''), json_extract_string(ent, '$."*jobPosting"')) AS urn
+       FROM e WHERE json_type(ent) = 'OBJECT'),
+e3 AS (SELECT page_id, pos, regexp_extract(urn, '{jurn}', 1) AS job_id,
+              coalesce(nullif({text_field('$.title')}, ''), 'LinkedIn Job') AS title,
+              coalesce({text_field('$.primaryDescription')}, '') AS company
+       FROM e2 WHERE contains(urn, 'jobPosting') AND regexp_extract(urn, '{jurn}', 1) <> ''),
+s2 AS (SELECT page_id, job_id, 2 AS strategy,
+              CASE WHEN arg_min(company, pos) <> '' THEN arg_min(title, pos)
+                   ELSE coalesce(arg_min(title, pos) FILTER (WHERE company <> ''), arg_min(title, pos)) END AS title,
+              CASE WHEN arg_min(company, pos) <> '' THEN arg_min(company, pos)
+                   ELSE coalesce(arg_min(company, pos) FILTER (WHERE company <> ''), arg_min(company, pos)) END AS company
+       FROM e3 GROUP BY page_id, job_id),
+b AS (SELECT page_id, unnest({bare}) AS job_id FROM p),
+s3 AS (SELECT DISTINCT page_id, job_id, 3 AS strategy, 'LinkedIn Job' AS title, '' AS company FROM b),
+u AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
+best AS (SELECT page_id, min(strategy) AS s FROM u GROUP BY page_id)
+SELECT u.page_id, u.strategy, u.job_id AS source_job_id, u.title,
+       coalesce(nullif(u.company, ''), 'Unknown') AS company
+FROM u JOIN best ON u.page_id = best.page_id AND u.strategy = best.s
+"""
+
+
+@register("aggregator_jobs", _aggregator_sql())
 def q_aggregator_jobs(spark, sf_dir):
-    """S06 over every page (no SQL twin: JSON-in-HTML strategies; unit-tested on fixtures)."""
+    """S06 over every page."""
     p = spread(read_table(spark, sf_dir, "pages"))
     return html_src.aggregator_jobs(p, SCRAPED_AT).select("page_id", "strategy", "source_job_id", "title", "company")
 

@@ -196,7 +196,7 @@ def aggregator_jobs(pages: DataFrame, scraped_at, *, html_col="html", id_col="pa
     ents = F.when(F.col("_json").startswith("["), top_arr).otherwise(
         F.concat(F.coalesce(obj["included"], F.array()), F.coalesce(data_arr, F.array())))
     e = blocks.select(id_col, "_blk", F.posexplode(ents).alias("_epos", "_e"))
-    urn = F.coalesce(F.col("_e.entityUrn"), F.col("`_e`.`*jobPosting`"))
+    urn = F.coalesce(F.nullif(F.col("_e.entityUrn"), F.lit("")), F.col("`_e`.`*jobPosting`"))
     jid = F.regexp_extract(F.coalesce(urn, F.lit("")), AGGREGATOR_JSON_URN, 1)
     e = e.filter(urn.contains("jobPosting") & (jid != ""))
     s2 = e.select(id_col, (F.col("_blk") * 1_000_000 + F.col("_epos")).alias("_pos"),

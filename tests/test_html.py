@@ -105,3 +105,16 @@ def test_title_from_preceding_anchor_and_first_by_url(spark):
     res = spark.createDataFrame([(2, 0, "u1"), (1, 5, "u1"), (1, 7, "u2")], "page_id long, _pos int, url string")
     assert sorted((r["url"], r["page_id"], r["_pos"]) for r in html.first_by_url(res).collect()) == \
         [("u1", 1, 5), ("u2", 1, 7)]
+
+
+def test_aggregator_sql_twin_agrees(spark):
+    import duckdb
+
+    from jobmill.plans import queries as Q
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES (1::BIGINT, ?::VARCHAR), (2::BIGINT, ?::VARCHAR), "
+                "(3::BIGINT, ?::VARCHAR)) t(page_id, html)", [AGG1, AGG2, AGG3])
+    sql_rows = sorted(con.execute(Q.ORACLE["aggregator_jobs"]).fetchall())
+    pages = spark.createDataFrame([(1, AGG1), (2, AGG2), (3, AGG3)], "page_id long, html string")
+    sp = html.aggregator_jobs(pages, AT).select("page_id", "strategy", "source_job_id", "title", "company")
+    assert sorted(tuple(r) for r in sp.collect()) == sql_rows
