@@ -174,3 +174,16 @@ def q_company_upsert(spark, sf_dir):
     return out.join(existing.select("name", F.lit(True).alias("existed")), "name", "left") \
         .select("name", F.coalesce("existed", F.lit(False)).alias("existed"))
 
+
+
+# -- K03 ---------------------------------------------------------------------------
+@register("match_report", _MATCH_SQL + """
+SELECT title, company, round(final_score, 6) AS score, replace(reasons, '; ', '|') AS reasons,
+       'https://boards.example.com/' || company || '/' || CAST(l_orderkey AS VARCHAR) || '-'
+         || CAST(l_linenumber AS VARCHAR) AS apply_url
+FROM m
+""")
+def q_match_report(spark, sf_dir):
+    r = reports.match_report(_matches(spark, sf_dir))
+    return r.select("title", "company", r6(F.col("score")).alias("score"),
+                    F.array_join("reasons", "|").alias("reasons"), "apply_url")

@@ -204,3 +204,20 @@ def q_profile_from_text(spark, sf_dir):
                     "remote_preference", "min_score_threshold")
 
 
+
+
+# ---------------------------------------------------------------------------
+# R05 generated profile + the text's embedding (documents x embeddings by id)
+# ---------------------------------------------------------------------------
+@register("profile_embedding", f"""
+WITH x AS (SELECT doc_id, {_skills_sql('text')} AS s FROM documents)
+SELECT CAST(x.doc_id AS VARCHAR) AS profile, array_to_string(s[1:10], '|') AS must_have_keywords,
+       coalesce(len(e.embedding), 0)::BIGINT AS embedding_dims
+FROM x LEFT JOIN embeddings e ON e.vec_id = x.doc_id
+""")
+def q_profile_embedding(spark, sf_dir):
+    d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    emb = read_table(spark, sf_dir, "embeddings")
+    p = profiles.profile_with_embedding(d, "text", "doc_id", emb, "vec_id")
+    return p.select("profile", F.array_join("must_have_keywords", "|").alias("must_have_keywords"),
+                    F.size("resume_embedding").cast("bigint").alias("embedding_dims"))
