@@ -21,8 +21,13 @@ TABLES = (
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "jobmill") -> SparkSession:
     master = master or os.environ.get("JOBMILL_MASTER", "local[8]")
+    builder = SparkSession.builder
+    event_dir = os.environ.get("JOBMILL_EVENT_LOG_DIR")
+    if event_dir:
+        # stage/task timings without the web UI: read the event log files afterwards
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
