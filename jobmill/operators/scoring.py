@@ -188,9 +188,14 @@ def _staged(df: DataFrame, parts: dict, remote, recency, vector, extra) -> DataF
     several times."""
     keys = [k for k in _PART_KEYS if not (k == "matched" and "mh_hits" in parts)]
     hits = parts.get("mh_hits", [])
-    staged = df.select("*", *extra, *[parts[k].alias(f"_p_{k}") for k in keys],
-                       *[h.alias(f"_p_mh{i}") for i, h in enumerate(hits)],
-                       parts["n_kw"].alias("_p_n_kw"), recency.alias("_p_rec"), vector.alias("_p_vec"))
+    part_cols = [*[parts[k].alias(f"_p_{k}") for k in keys],
+                 *[h.alias(f"_p_mh{i}") for i, h in enumerate(hits)],
+                 parts["n_kw"].alias("_p_n_kw"), recency.alias("_p_rec"), vector.alias("_p_vec")]
+    # The parts come out of a one-row `inline`: a later filter on the score (the
+    # threshold) cannot be pushed below a generator that produces the columns it
+    # reads, so Catalyst does not copy the regexes into that filter or a join
+    # condition; each regex runs once per row.
+    staged = df.select("*", *extra, F.inline(F.array(F.struct(*part_cols))))
     cols = {k: F.col(f"_p_{k}") for k in keys}
     if "mh_hits" in parts:
         kws = parts["mh_kws"]
