@@ -194,6 +194,8 @@ def read_stored_postings(jobs: DataFrame, companies: DataFrame | None = None) ->
     if companies is not None:
         df = df.drop("company").join(companies.select("company_id", F.col("name").alias("company")),
                                      "company_id", "left")
+    if "requirements" not in df.columns:                   # not stored: rebuilt empty
+        df = df.withColumn("requirements", F.array().cast("array<string>"))
     return df.withColumn("company", F.coalesce("company", F.lit("Unknown"))) \
         .withColumn("remote_type", F.coalesce("remote_type", F.lit("unknown"))) \
         .withColumn("employment_type", F.coalesce("employment_type", F.lit("unknown"))) \

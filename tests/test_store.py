@@ -77,3 +77,25 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     assert store.jobs().count() == 40
     got = {r["id"]: r["updated_at"] for r in store.jobs().collect()}
     assert got["id3"] == T1 and got["id4"] is None
+
+
+def test_match_and_notify_flow(spark, tmp_path):
+    from jobmill.operators.scoring import Profile
+    from jobmill.plans.match import match, notify
+    store = st.JobStore(spark, str(tmp_path / "flow"), buckets=4)
+    inc = spark.createDataFrame(
+        [("a", "Acme", "1", "lever", "Python Engineer", 1, 0.9), ("b", "Acme", "2", "lever", "Cook", 2, 0.8),
+         ("c", "Beta", "3", "lever", "Python Intern", 3, 0.1)],
+        "id string, company string, source_job_id string, source_system string, title string, seq long, "
+        "final_score double")
+    store.upsert(inc, T0)
+    prof = Profile(profile="p", must_have_keywords=["python"], must_not_keywords=["intern"], min_score_threshold=0.4)
+    got = [r["id"] for r in match(store.jobs(), None, [prof], T1, limit=2).collect()]
+    # top-2 by stored score are a and b; match uses the command default threshold .3,
+    # and b (no keyword, unknown date) scores .35
+    assert got == ["a", "b"]
+    msgs, digest, notes = notify(store, None, [prof], T1, limit=10)
+    assert [r["id"] for r in msgs.collect()] == ["a"] and digest.first()["total"] == 1
+    assert [r["job_id"] for r in notes.collect()] == ["a"]
+    assert {r["id"]: r["notified_at"] for r in store.jobs().collect()}["a"] == T1
+    assert [r["id"] for r in msgs.collect()] == ["a"]      # still the same after marking
