@@ -217,9 +217,13 @@ def py_title(t) -> Column:
     """Python str.title(): upper after any non-letter, lower elsewhere."""
     low = F.lower(_c(t))
     # Split into letter runs and the rest, capitalise each letter run.
+    # Fixed value: the one common letter whose title case differs from its upper case.
+    def first(s):
+        c = F.substring(s, 1, 1)
+        return F.when(c == "ß", F.lit("Ss")).otherwise(F.upper(c))
     return F.array_join(
         F.transform(F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1),
-                    lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))),
+                    lambda s: F.concat(first(s), F.substring(s, 2, 1 << 30))),
         "")
 
 

@@ -35,7 +35,7 @@ def ww_match(col: str, kw: str) -> str:
 def py_title(expr: str) -> str:
     """Python str.title() twin."""
     return (f"array_to_string(list_transform(regexp_extract_all(lower({expr}), '(\\p{{L}}+|[^\\p{{L}}]+)'),"
-            f" lambda s: upper(left(s, 1)) || substr(s, 2)), '')")
+            f" lambda s: CASE WHEN left(s, 1) = 'ß' THEN 'Ss' ELSE upper(left(s, 1)) END || substr(s, 2)), '')")
 
 
 def simhash_ctes(src: str, id_col: str, text_expr: str, prefix: str = "s") -> str:
