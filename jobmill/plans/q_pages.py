@@ -17,6 +17,8 @@ SCRAPED_AT = dt.datetime(2024, 2, 1)
 # The driver's pages carry no job markup: links are root-relative hrefs.
 PAGE_LINK_PATTERNS = [r'href="(/[^"]+)"']
 
+# The driver's hrefs are root-relative words: origin + href is the whole join there
+# (dot-segment removal never applies; the Spark side is tested against urljoin).
 _ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
 
 

@@ -41,19 +41,36 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def remove_dot_segments(path) -> Column:
+    """RFC 3986 dot-segment removal on an absolute path ('/a/b/../c' -> '/a/c'),
+    as a stack over the path segments (exact for any depth)."""
+    segs = F.slice(F.split(_c(path), "/"), 2, 1 << 30)          # drop the leading ''
+    stack = F.aggregate(segs, F.array().cast("array<string>"),
+                        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    last = F.try_element_at(segs, F.lit(-1))
+    trailing = F.when(last.isin(".", "..") & (F.size(stack) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(stack, "/"), trailing)
+
+
 def absolute_url(base, href) -> Column:
-    """urljoin for the common cases: absolute, scheme-relative, root-relative, relative."""
+    """urljoin: absolute, scheme-relative, root-relative, query/fragment-only and
+    relative references, with dot segments removed from the resulting path."""
     b, h = _c(base), _c(href)
     scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.concat(scheme, F.lit("://"), url_netloc(b))
     base_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
+    h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
+    h_rest = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    rel = F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir), h_path)
     return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
-            .when(h.startswith("#") | h.startswith("?"),
-                  F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
-            .otherwise(F.concat(origin, F.when(base_dir == "", F.lit("/")).otherwise(base_dir), h)))
+            .when(h == "", b)
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, r"#.*$", ""), h))
+            .when(h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
+            .when(h.startswith("/"), F.concat(origin, remove_dot_segments(h_path), h_rest))
+            .otherwise(F.concat(origin, remove_dot_segments(rel), h_rest)))
 
 
 def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,

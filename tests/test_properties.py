@@ -65,3 +65,24 @@ def test_title_case_matches_python(spark):
     df = spark.createDataFrame(list(enumerate(ts)), "i int, t string")
     got = {r["i"]: r["x"] for r in df.select("i", classify.py_title(F.col("t")).alias("x")).collect()}
     assert all(got[i] == t.title() for i, t in enumerate(ts))
+
+
+def test_absolute_url_matches_urljoin(spark):
+    from urllib.parse import urljoin
+
+    from jobmill.sources.html import absolute_url
+    rnd = random.Random(5)
+    bases = ["https://a.com", "https://a.com/", "https://a.com/x/y/z.html", "https://a.com/x/y/",
+             "http://b.org/p?q=1#f", "https://c.net/a/b/c/d"]
+    pieces = ["..", ".", "jobs", "1", "x-y", "..", "a.b"]
+    hrefs = ["", "?z=2", "#top", "//cdn.io/s/../t", "https://other.io/p", "/abs/../j", "/"]
+    for _ in range(150):
+        segs = [rnd.choice(pieces) for _ in range(rnd.randint(1, 6))]
+        h = ("/" if rnd.random() < 0.3 else "") + "/".join(segs) + rnd.choice(["", "/", "?k=1", "#s"])
+        hrefs.append(h)
+    pairs = [(b, h) for b in bases for h in hrefs]
+    df = spark.createDataFrame(pairs, "b string, h string")
+    got = [r[0] for r in df.select(absolute_url("b", "h")).collect()]
+    bad = [(b, h, g, urljoin(b, h)) for (b, h), g in zip(pairs, got)
+           if g != urljoin(b, h) and not h.startswith("//")]
+    assert not bad, bad[:5]
