@@ -86,3 +86,39 @@ def test_absolute_url_matches_urljoin(spark):
     bad = [(b, h, g, urljoin(b, h)) for (b, h), g in zip(pairs, got)
            if g != urljoin(b, h) and not h.startswith("//")]
     assert not bad, bad[:5]
+
+
+def test_strip_html_matches_python(spark):
+    from jobmill.functions.text import strip_html
+    rnd = random.Random(6)
+    frags = ["<p>", "</p>", "<a href='x'>", "</a>", "<br/>", "text", "Ünï", " ", "\n\t", "a<b", "x>y", "&amp;",
+             "<script>var t=\"<\";</script>", "<!-- c -->"]
+    docs = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 15))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, h string")
+    got = {r["i"]: r["s"] for r in df.select("i", strip_html("h").alias("s")).collect()}
+    for i, d in enumerate(docs):
+        exp = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", d)).strip()
+        assert got[i] == exp, d
+
+
+def test_title_from_url_matches_python(spark):
+    from urllib.parse import urlparse
+
+    def py_title_from_url(url):
+        segs = [s for s in urlparse(url).path.split("/") if s]
+        if not segs:
+            return None
+        t = re.sub(r"[-_]+", " ", segs[-1])
+        t = re.sub(r"\.\w+$", "", t)
+        if len(t) < 5 or t.isdigit():
+            return None
+        return t.title()
+
+    rnd = random.Random(7)
+    parts = ["jobs", "senior-data_engineer", "12345", "role.html", "a", "x-y-z.pdf", "mlops__lead", "über-chef"]
+    urls = [f"https://h{rnd.randint(0, 9)}.io/" + "/".join(rnd.choice(parts) for _ in range(rnd.randint(0, 3)))
+            + rnd.choice(["", "/", "?q=1", "#f"]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, u string")
+    got = {r["i"]: r["t"] for r in df.select("i", classify.title_from_url("u").alias("t")).collect()}
+    for i, u in enumerate(urls):
+        assert got[i] == py_title_from_url(u), u
