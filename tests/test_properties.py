@@ -122,3 +122,94 @@ def test_title_from_url_matches_python(spark):
     got = {r["i"]: r["t"] for r in df.select("i", classify.title_from_url("u").alias("t")).collect()}
     for i, u in enumerate(urls):
         assert got[i] == py_title_from_url(u), u
+
+
+def _py_score(p, post, as_of):
+    """Brute-force scoring rules (keyword, recency, weighted sum, reasons)."""
+    import math
+    parts = [post["title"]]
+    if post["description_text"]:
+        parts.append(post["description_text"])
+    parts.extend(post["requirements"] or [])
+    if post["department"]:
+        parts.append(post["department"])
+    text = " ".join(parts)
+
+    def ww(k, t):
+        return re.search(rf"\b{re.escape(k)}\b", t, re.I) is not None
+    for k in p.must_not_keywords:
+        if ww(k, text):
+            return 0.0, 0.0, [f"Excluded: contains '{k}'"]
+    s, reasons = 0.0, []
+    for r in p.desired_roles:
+        if ww(r, post["title"]):
+            s += 0.4
+            reasons.append(f"Role match: {r}")
+            break
+    if p.must_have_keywords:
+        hit = [k for k in p.must_have_keywords if ww(k, text)]
+        reasons += [f"Keyword: {k}" for k in hit]
+        s += len(hit) / len(p.must_have_keywords) * 0.4
+    else:
+        s += 0.2
+    if post["location"] and p.preferred_locations:
+        for loc in p.preferred_locations:
+            if loc.lower() in post["location"].lower():
+                s += 0.1
+                reasons.append(f"Location: {loc}")
+                break
+    if p.remote_preference and post["remote_type"] == p.remote_preference:
+        s += 0.1
+        reasons.append(f"Remote: {post['remote_type']}")
+    kw = min(s, 1.0)
+    if post["posted_at"] is None:
+        rec = 0.5
+    else:
+        age = (as_of - post["posted_at"]).total_seconds() / 86400
+        rec = 1.0 if age <= 0 else 0.0 if age >= 30 else 1.0 - math.sqrt(age / 30)
+    final = p.vector_weight * 0.5 + p.keyword_weight * kw + p.recency_weight * rec
+    if rec > 0.7:
+        reasons.append("Recently posted")
+    return final, kw, reasons
+
+
+def test_scoring_matches_bruteforce(spark):
+    import datetime as dt
+
+    from jobmill.operators import scoring
+    from jobmill.operators.scoring import Profile
+    rnd = random.Random(8)
+    as_of = dt.datetime(2025, 6, 1)
+    words = ["python", "backend", "senior", "c++", "go", "data", "engineer", "intern", "remote", "lead", "sql"]
+    locs = ["Berlin", "Remote - EU", "San Francisco, CA", "", None, "NEW YORK"]
+    rows = []
+    for i in range(300):
+        title = " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+        desc = rnd.choice([None, "", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))])
+        req = [rnd.choice(words) for _ in range(rnd.randint(0, 2))]
+        posted = rnd.choice([None, as_of - dt.timedelta(hours=rnd.randint(-5, 24 * 40))])
+        rows.append((f"id{i}", title, desc, req, rnd.choice([None, "Eng", ""]), rnd.choice(locs),
+                     rnd.choice(["remote", "onsite", "unknown"]), posted))
+    cols = ("id string, title string, description_text string, requirements array<string>, department string, "
+            "location string, remote_type string, posted_at timestamp")
+    df = spark.createDataFrame(rows, cols)
+    profs = []
+    for j in range(4):
+        profs.append(Profile(profile=f"p{j}", desired_roles=rnd.sample(["data engineer", "python", "backend engineer", "sql"], 2),
+                             must_have_keywords=rnd.sample(words, rnd.randint(0, 3)),
+                             must_not_keywords=rnd.sample(["senior", "lead", "c++"], rnd.randint(0, 2)),
+                             preferred_locations=rnd.sample(["berlin", "Remote", "york"], rnd.randint(0, 2)),
+                             remote_preference=rnd.choice([None, "remote"])))
+    posts = {r[0]: dict(zip(["id", "title", "description_text", "requirements", "department", "location",
+                             "remote_type", "posted_at"], r)) for r in rows}
+    for path in ("literal", "joined"):
+        kw = {} if path == "literal" else {"literal_limit": 1}
+        arg = profs if path == "literal" else scoring.profiles_frame(spark, profs)
+        out = scoring.score(df, arg, as_of, **kw).select("id", "profile", "final_score", "keyword_score",
+                                                         "match_reasons").collect()
+        assert len(out) == len(rows) * len(profs)
+        byname = {p.profile: p for p in profs}
+        for r in out:
+            final, k, reasons = _py_score(byname[r["profile"]], posts[r["id"]], as_of)
+            assert abs(r["final_score"] - final) < 1e-9 and abs(r["keyword_score"] - k) < 1e-9, (path, r)
+            assert r["match_reasons"] == reasons, (path, r["id"], r["profile"])
