@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .filters import maybe_broadcast
 from .ranking import global_row_number, top_k_per_group
 
 NEUTRAL = 0.5
