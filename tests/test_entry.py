@@ -42,3 +42,13 @@ def _n(v):
     if isinstance(v, float):
         return round(v, 6)
     return v
+
+
+def test_queries_pin_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        test_query_matches_oracle(spark, "score_top")
+        test_query_matches_oracle(spark, "upsert")
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
