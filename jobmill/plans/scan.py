@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import searchable_text
 from ..operators import dedup, filters
+from ..session import ensure_checkpoint_dir
 
 
 def scan(postings: DataFrame, companies: DataFrame | None, as_of, lookback: str | None,
@@ -30,6 +31,11 @@ def scan(postings: DataFrame, companies: DataFrame | None, as_of, lookback: str
     p = p.withColumn("_fkey", dedup.fuzzy_key(*fuzzy_cols)) \
         .withColumn("_fp", dedup.fingerprint(searchable_text()))                    # A05
     p = dedup.exact_dedup(p, order_col)                                            # W01
+    # Both the fold and the semi-join back read the deduplicated postings: write them
+    # once to the shared checkpoint folder instead of recomputing filters,
+    # fingerprints and the dedup shuffle twice (also cuts the lineage).
+    ensure_checkpoint_dir(p.sparkSession)
+    p = p.checkpoint(eager=True)
     folded = dedup.near_dup_fold(p.select("id", "_fkey", order_col, "_fp"),
                                  "_fkey", order_col, "_fp", "id")                  # W02
     kept = p.join(folded.filter("admitted").select("id"), "id", "left_semi").drop("_fp", "_fkey")
