@@ -1,9 +1,9 @@
 """De-duplication: exact key (W01), SimHash fingerprints (A05), ordered near-duplicate
 fold (W02), first-wins by key (W04), per-page merge preference (W05).
 
-Skew: every key may be hot (a third of all rows under one key). W01/W04/W05 are
-``min_by``/``max_by`` aggregations, so Spark combines map-side before the shuffle and
-a hot key costs one partial row per map task. W02 is order dependent; it runs on a
+Skew: every key may be hot (a third of all rows under one key). W01/W04 are
+``row_number() = 1`` (partial window-group limit before the shuffle) and W05 a
+``max_by`` aggregation (map-side combine), so a hot key costs one row per map task. W02 is order dependent; it runs on a
 range partitioning of (key, seq), which splits a hot key across many tasks, and
 stitches the pieces exactly (see ``near_dup_fold``)."""
 
@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 from pyspark import StorageLevel
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,14 @@ def max_hamming_for(similarity: float = NEAR_DUP_SIMILARITY, bits: int = SIMHASH
 # First row per key in arrival order
 # ---------------------------------------------------------------------------
 def first_per_key(df: DataFrame, key_cols: list[str], order_col: str | Column) -> DataFrame:
-    """Keep the row with the smallest ``order_col`` per key (ties: any)."""
+    """Keep the row with the smallest ``order_col`` per key (ties: any).
+
+    ``row_number() = 1``: Spark plans a partial window-group limit before the
+    shuffle, so each map task sends at most one row per key (a hot key stays cheap),
+    and no wide struct buffer is aggregated."""
     order = F.col(order_col) if isinstance(order_col, str) else order_col
-    cols = df.columns
-    packed = df.withColumn("_ord", order).groupBy(*key_cols).agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("_ord")).alias("_row"))
-    return packed.select("_row.*")
+    w = Window.partitionBy(*key_cols).orderBy(order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def exact_dedup(postings: DataFrame, order_col="seq") -> DataFrame:
