@@ -69,6 +69,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def group_apart(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """Group by ``keys`` under another name, so that a later join on the keys gets an
+    exchange of its own on both sides: adaptive execution can split a hot key only then."""
+    out = df.groupBy(F.struct(*keys).alias("_by")).agg(*aggs)
+    return out.select(*[F.col("_by")[k].alias(k) for k in keys], *[c for c in out.columns if c != "_by"])
+
+
 class Memo(dict):
     """A dictionary that fills itself by ``make`` and starts afresh at ``limit`` entries,
     so that a worker's memory does not grow with the words it has seen."""

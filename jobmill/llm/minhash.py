@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, TO_LOWER, Memo, column, drop_staged, mixed, slices, staged
+from .common import NO_ID, TO_LOWER, Memo, column, drop_staged, group_apart, mixed, slices, staged
 
 BINS, BAND = 128, 4
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,10 +169,10 @@ def connected(edges: DataFrame) -> DataFrame:
     e = staged(edges.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = group_apart(both, ["u"], F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = staged(both.join(low.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .where("u != v").distinct(), "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = group_apart(large, ["u"], F.min("v").alias("m"))
         met = large.join(least.hint("shuffle_merge"), "u")
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                              F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .select(F.struct("id", "s").alias("v"), "n", "s2", "sig"), "oph")
     sigs = nodes.select("v", "sig")
     bands = nodes.select("v", "n", F.explode(_band_keys()).alias("k"))
-    centres = (bands.groupBy("k").agg(F.min(F.struct("v", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    centres = (group_apart(bands, ["k"], F.min(F.struct("v", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
                .select("k", "m", F.col("c.v").alias("c"), F.col("c.n").alias("cn")))
     members = staged(bands.join(centres.hint("shuffle_merge"), "k").where("v != c"), "buckets")
     near = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         here = (members.join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
                 .select("k", "m", "v", "n", F.coalesce("root", "v").alias("g"),
                         (F.pmod(F.xxhash64("v"), F.lit(1 << 30)) * F.col("m") / (1 << 30)).alias("turn")))
-        mixed_up = here.groupBy("k").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("k")
+        mixed_up = group_apart(here, ["k"], F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("k")
         open_ = staged(here.join(mixed_up.hint("shuffle_merge"), "k"), "open")
         if open_.isEmpty():
             break

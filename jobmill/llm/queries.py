@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash
+from . import decontaminate, line_dedup, minhash
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
+@register("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(read_table(spark, sf_dir, "documents"),
+                                              read_table(spark, sf_dir, "benchmark"))
