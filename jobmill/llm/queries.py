@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression, decontaminate, line_dedup, minhash, packing, quality_rules, toxicity
+from . import chat, compression, decontaminate, line_dedup, minhash, packing, quality_rules, suffix_dedup, toxicity
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_chat_formatting")
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
+
+
+@register("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings_digest(read_table(spark, sf_dir, "documents"))
