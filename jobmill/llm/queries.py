@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compression, decontaminate, line_dedup, minhash, packing, quality_rules, suffix_dedup, toxicity
+from . import (chat, compression, decontaminate, html_extract, line_dedup, minhash, packing, quality_rules,
+               suffix_dedup, toxicity)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_suffix_array_dedup")
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_strings_digest(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_digest(read_table(spark, sf_dir, "pages"))
