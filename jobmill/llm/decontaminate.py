@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, column, slices
+from .common import column, slices
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of a word stay (A-Z in lower case), all others become spaces; UTF-8 keeps the rest apart.
+_CLEAN = bytes(c if WORD.fullmatch(bytes([c])) else 32 for c in bytes(range(256)).lower())
 
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(TO_LOWER)) if text else []
+def words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
 
 
 class Automaton:
@@ -43,7 +45,7 @@ class Automaton:
     ``windows[state]`` the items of the state's window-length string, ``short[state]`` the
     whole short items that end every string of the state (longest first, with their items)."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -108,7 +110,7 @@ class Automaton:
             p = self.link[p]
         return c
 
-    def scan(self, ws: list[str], hit: np.ndarray, found: set[str]) -> None:
+    def scan(self, ws: list[bytes], hit: np.ndarray, found: set[str]) -> None:
         """Mark in ``hit`` the words inside any window, add the items to ``found``."""
         n = len(ws)
         ids = np.fromiter((self.ids.get(w, -1) for w in ws), np.int64, n)
@@ -145,7 +147,7 @@ class Automaton:
                     s = link[s]
 
 
-def _chunks(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> Iterator[list[tuple[str, list[str]]]]:
+def _chunks(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     chunk, size = [], 0
     rows = items.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator()
     for name, text in rows:
@@ -191,14 +193,15 @@ def _scanner(chunk, window: int):
     return scan
 
 
-def _without(text: str, spans) -> str:
+def _without(text, spans):
     """The text without the words of the spans and what stands between them."""
-    places = [m.span() for m in WORD.finditer(text.translate(TO_LOWER))]
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in WORD.finditer(raw.lower())]
     out, at = [], 0
     for s in spans:
-        out.append(text[at:places[s["first"]][0]])
+        out.append(raw[at:places[s["first"]][0]])
         at = places[s["last"]][1]
-    return "".join([*out, text[at:]])
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text: str = "text",

@@ -10,10 +10,14 @@
    pairs grow with the members. Pairs whose set sizes or signatures rule out the threshold
    go; the rest is confirmed on the full sets.
 4. A star misses links between members that do not resemble its centre. So the components
-   of the confirmed links are computed, and buckets that still hold several components get
-   more centres (1, then 4, 32, 256, ... of a bucket, by hash), each against the members of
-   other components, until every bucket is one component or all its members have been
-   centres. Nothing is capped: a bucket whose members are all unlike is compared whole.
+   of the confirmed links are computed, and the members of buckets that still hold several
+   components are looked at again. A shingle that no other of them has cannot be shared, so
+   the rest of a set (its solid part) bounds what it has in common with any partner; members
+   that cannot reach the threshold with anyone leave. Buckets that are still open get more
+   centres (1, then 4, 32, 256, ... of a bucket, by hash), each against the members of other
+   components that the bound allows, until every bucket is one component or all its members
+   have been centres. Nothing is capped: a bucket of unlike members that share all their
+   shingles is compared whole.
 
 Components come from alternating large-star and small-star steps. Buckets, stars and
 components are joins against one row per key, so hot groups are pre-aggregated on the map
@@ -29,7 +33,6 @@ a group that has another; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,29 +41,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, TO_LOWER, Memo, column, drop_staged, group_apart, mixed, slices, staged
+from .common import NO_ID, column, drop_staged, group_apart, mixed, slices, staged
 
 BINS, BAND = 128, 4
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Five deviations below the expected share of equal bins.
-SLACK = 5 * (0.25 / BINS) ** 0.5
 NODE = "struct<id:bigint,s:bigint>"
 
 
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-_WORDS = Memo(_word_hash)
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's k-word shingles."""
-    words = WORD.findall(text.translate(TO_LOWER)) if text else []
+    # on bytes, lower() changes A-Z and split() cuts at \x20 and \x09-\x0D only
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     size = min(k, n)
     with np.errstate(over="ignore"):
         h = np.full(n - size + 1, size, np.uint64)
@@ -123,16 +117,18 @@ def _signer(k: int):
             sums = [set_sums(h) for h in sets]
             sig = signatures(sets)
             yield pa.RecordBatch.from_arrays(
-                [column(b, "_id"), pa.array([len(h) for h in sets], pa.int64()),
+                [column(b, "_id"), column(b, "_th"), pa.array([len(h) for h in sets], pa.int64()),
                  pa.array([s for s, _ in sums], pa.int64()), pa.array([s for _, s in sums], pa.int64()),
                  pa.array([r.tobytes() for r in sig], pa.binary())],
-                names=["id", "n", "s", "s2", "sig"])
+                names=["id", "th", "n", "s", "s2", "sig"])
     return sign
 
 
 def _alike(percent: int):
-    """Can the pair's signatures belong to sets at the threshold?"""
-    least = int((percent / 100 - SLACK) * BINS)
+    """Can the pair's signatures belong to sets at the threshold? They may have five
+    deviations fewer equal bins than expected there."""
+    share = percent / 100
+    least = int((share - 5 * (share * (1 - share) / BINS) ** 0.5) * BINS)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,10 +190,10 @@ def _band_keys() -> Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, text digest (``th``), set size, smallest id that can
-    be reached (``component``) and whether the row is its component's one survivor (``kept``)."""
+    """One row per row of ``docs``: ``id``, a hash of its text (``th``), its set size (``n``),
+    the smallest id that can be reached (``component``) and whether that is its own (``kept``)."""
     text = docs.select(F.coalesce(docs[id_col], F.lit(NO_ID)).alias("_id"), docs[text_col].alias("_text"))
-    signed = staged(text.mapInArrow(_signer(shingle), "id bigint, n bigint, s bigint, s2 bigint, sig binary"), "oph")
+    signed = staged(text.withColumn("_th", F.xxhash64("_text")).mapInArrow(_signer(shingle), "id bigint, th bigint, n bigint, s bigint, s2 bigint, sig binary"), "oph")
     nodes = staged(signed.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
                    .select(F.struct("id", "s").alias("v"), "n", "s2", "sig"), "oph")
     sigs = nodes.select("v", "sig")
@@ -206,41 +202,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .select("k", "m", F.col("c.v").alias("c"), F.col("c.n").alias("cn")))
     members = staged(bands.join(centres.hint("shuffle_merge"), "k").where("v != c"), "buckets")
     near = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-    pairs = members.where(near("n", "cn")).select(F.col("c").alias("x"), F.col("v").alias("y"))
-    links, first, done = None, True, 1
-    most = members.agg(F.max("m")).first()[0] or 0
-    while True:
-        linked = _linked(pairs, sigs, text, shingle, percent)
-        links = linked if links is None else links.union(linked)
-        roots = connected(links)
-        if done >= most:
-            break
-        # members of buckets that still hold several components; its first centre has met them all
-        here = (members.join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
-                .select("k", "m", "v", "n", F.coalesce("root", "v").alias("g"),
-                        (F.pmod(F.xxhash64("v"), F.lit(1 << 30)) * F.col("m") / (1 << 30)).alias("turn")))
-        mixed_up = group_apart(here, ["k"], F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("k")
-        open_ = staged(here.join(mixed_up.hint("shuffle_merge"), "k"), "open")
-        if open_.isEmpty():
-            break
-        lo, done = (0 if first else done), (4 if first else done * 8)
-        first = False
-        c = (open_.where((F.col("turn") >= lo) & (F.col("turn") < done))
-             .select("k", F.col("v").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg")))
-        pairs = (open_.join(c.hint("shuffle_merge"), "k").where("v != x and g != xg").where(near("n", "xn"))
-                 .select(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y")))
+    pairs = members.where(near("n", "cn")).select(F.col("c").alias("x"), F.col("v").alias("y")).distinct()
+    links = _linked(pairs, sigs, text, shingle, percent)
+    roots = connected(links)
+    # its first centre has met all members of a bucket: the others remain
+    rest = staged(_open(members.select("k", "m", "v", "n"), roots), "open")
+    if not rest.isEmpty():
+        ids = rest.select(F.col("v.id").alias("_id")).distinct()
+        text = staged(text.join(ids.hint("shuffle_merge"), "_id", "left_semi"), "texts")
+        alone = _alone(rest.select("v").distinct(), text, shingle)
+        able = (rest.drop("g").join(alone.hint("shuffle_merge"), "v", "left")
+                .withColumn("solid", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+                .where(f"100 * solid >= {percent} * n"))
+        rest = staged(able, "able")
+        most, lo, hi = rest.agg(F.max("m")).first()[0] or 0, 0, 4
+        while lo < most:
+            here = staged(_open(rest, roots), "open")
+            if here.isEmpty():
+                break
+            here = here.withColumn("turn", F.pmod(F.xxhash64("v"), F.lit(1 << 30)) * F.col("m") / (1 << 30))
+            c = here.where((F.col("turn") >= lo) & (F.col("turn") < hi)).select(
+                "k", F.col("v").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"), F.col("solid").alias("xs"))
+            pairs = (here.join(c.hint("shuffle_merge"), "k").where("v != x and g != xg").where(near("n", "xn"))
+                     .where(f"{100 + percent} * least(solid, xs) >= {percent} * (n + xn)")
+                     .select(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y")).distinct())
+            linked = _linked(pairs, sigs, text, shingle, percent)
+            if not linked.isEmpty():
+                links = links.union(linked)
+                roots = connected(links)
+            lo, hi = hi, hi * 8
     cls = nodes.select("v", "n", "s2").join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
     cls = cls.select(F.col("v.s").alias("s"), "s2", "n", F.coalesce("root", "v")["id"].alias("root"))
-    rows = signed.select("id", "n", "s", "s2").join(cls.hint("shuffle_merge"), ["s", "s2", "n"], "left")
-    return rows.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n", "s", "s2",
+    rows = signed.select("id", "th", "n", "s", "s2").join(cls.hint("shuffle_merge"), ["s", "s2", "n"], "left")
+    return rows.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "th", "n",
                        F.nullif(F.coalesce("root", "id"), F.lit(NO_ID)).alias("component"),
                        (F.coalesce("root", "id") == F.col("id")).alias("kept"))
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (k, v, ...) of buckets k that hold several components, with theirs (g)."""
+    here = (members.join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
+            .withColumn("g", F.coalesce("root", "v")).drop("root"))
+    several = group_apart(here, ["k"], F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("k")
+    return here.join(several.hint("shuffle_merge"), "k")
+
+
+def _alone(nodes: DataFrame, text: DataFrame, shingle: int) -> DataFrame:
+    """(v, alone): how many shingles of the node's set no other of the nodes has; nodes
+    without such shingles are left out."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_text", 1 << 20):
+            nodes, sets = [], []
+            for v, t in zip(column(b, "v").to_pylist(), column(b, "_text").to_pylist()):
+                h = shingle_set(t, shingle)
+                if set_sums(h)[0] == v["s"]:
+                    nodes += [v] * len(h)
+                    sets.append(h)
+            h = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.struct([("id", pa.int64()), ("s", pa.int64())])), pa.array(h)], names=["v", "h"])
+
+    met = nodes.withColumn("_id", F.col("v.id")).join(text.hint("shuffle_merge"), "_id").select("v", "_text")
+    alone = (met.mapInArrow(explode, f"v {NODE}, h bigint").groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("n"))
+             .where("n = 1").groupBy("v").agg(F.count("*").alias("alone")))
+    return alone
+
+
 def _linked(pairs: DataFrame, sigs: DataFrame, text: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets reach the threshold."""
     pair = f"x {NODE}, y {NODE}"
-    met = (pairs.distinct()
+    met = (pairs
            .join(sigs.select(F.col("v").alias("x"), F.col("sig").alias("xs")).hint("shuffle_merge"), "x")
            .join(sigs.select(F.col("v").alias("y"), F.col("sig").alias("ys")).hint("shuffle_merge"), "y"))
     likely = staged(met.select("x", "y", "xs", "ys").mapInArrow(_alike(percent), pair), "likely")
@@ -248,7 +278,7 @@ def _linked(pairs: DataFrame, sigs: DataFrame, text: DataFrame, shingle: int, pe
         return likely
     ids = likely.select(F.explode(F.array("x.id", "y.id")).alias("_id")).distinct()
     wanted = staged(text.join(ids.hint("shuffle_merge"), "_id", "left_semi"), "texts")
-    both = (likely.withColumn("i", F.col("y.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("yt")), "i").drop("i")
+    both = (likely.withColumn("i", F.col("y.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("yt")).hint("shuffle_merge"), "i").drop("i")
             .withColumn("i", F.col("x.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("xt")).hint("shuffle_merge"), "i"))
     out = staged(both.select("x", "xt", "y", "yt").mapInArrow(_confirm(shingle, percent), pair).distinct(), "links")
     drop_staged(wanted)
@@ -259,8 +289,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that resemble one with a smaller id."""
     groups = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = groups.where("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_merge"), docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = groups.where("not kept").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_th"])
+    return docs.join(gone.hint("shuffle_merge"), same, "left_anti")
 
 
 def near_dedup_digest(docs: DataFrame) -> DataFrame:
