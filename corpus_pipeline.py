@@ -1,25 +1,57 @@
 """Corpus pipeline: ``STAGES`` are (name, function) pairs over the ``documents`` table.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. All but the last return the columns
+that they were given; a stage that changes texts brings ``n_chars`` up to date.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobmill.llm import line_dedup as ld
+from jobmill.llm import decontaminate, line_dedup, minhash, packing, toxicity
 from jobmill.llm.common import read_table, staged
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = ld.line_dedup(docs)
+def _as_given(out: DataFrame, docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(*docs.columns)
 
 
-STAGES = [("line_dedup", lines)]
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.5 or more go."""
+    scorer = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).where("score < 0.5").select(*docs.columns)
 
-#: Tokenising, training and linking have no SQL form; tests hold the stages against brute force.
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents hold stay in the smallest id only; every document stays."""
+    return _as_given(line_dedup.line_dedup(docs), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    return minhash.near_dedup(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go, the others lose the passages that stand in a test item."""
+    return _as_given(decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark")), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a packed sequence, with its token ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies),
+          ("decontamination", drop_benchmark_passages), ("packing", pack)]
+
+#: Training, linking and tokenising have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
