@@ -195,6 +195,8 @@ def _scanner(chunk, window: int):
 
 def _without(text, spans):
     """The text without the words of the spans and what stands between them."""
+    if not spans:
+        return text
     raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in WORD.finditer(raw.lower())]
     out, at = [], 0
@@ -234,9 +236,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "item_id
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents; the others lose their hit spans."""
-    found = find_contamination(docs, items, text_col=text_col, **options).where("not contaminated")
-    clean = F.when(F.size("hit_spans") > 0, F.udf(_without, "string")(F.col(text_col), F.col("hit_spans"))).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    rest = [c for c in docs.columns if c != text_col]
+    held = docs.select(*([F.struct(*rest).alias("_in")] if rest else []), docs[text_col].alias("_doc"))
+    found = find_contamination(held, items, text_col="_doc", **options).where("not contaminated")
+    clean = F.udf(_without, "string")(F.col("_doc"), F.col("hit_spans"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("_in")[c].alias(c) for c in docs.columns])
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
