@@ -169,9 +169,9 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
 
     Plan: range-partition on (key, seq) so a hot key is split into ordered segments on
     several tasks; checkpoint the (narrow) partitioned data; fold every segment with an
-    empty entry state; then, for keys that span partitions, find each later segment's
-    true entry state (the previous segment's final state) by re-folding only those
-    boundary segments until no entry state changes; finally fold every segment once
+    empty entry state; then, for keys that span partitions, fold all later segments at
+    once from their predecessors' final states, and again those whose entry state
+    changed, until none does; finally fold every segment once
     more with its resolved entry state. Only per-segment summaries (at most two per
     partition) reach the driver."""
     spark = df.sparkSession
@@ -282,38 +282,35 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
         by_key.setdefault(r["key"], []).append(r)
     chains = {k: [r["pid"] for r in sorted(v, key=lambda r: r["pid"])] for k, v in by_key.items() if len(v) > 1}
     spec_final = {(r["pid"], r["key"]): r["final"] for r in summ}
+    # Every continuation segment is folded at once from the best known final state of the
+    # segment before it; a segment is folded again only while that state still changes. Two
+    # folds that admit one row in common agree from there on, so states settle in a few
+    # rounds whatever the number of segments.
     table: dict = {}                   # (pid, key, entry state) -> final state
-    entry: dict = {}                   # resolved true entry state per continuation segment
+    final = dict(spec_final)
+    through: dict = {}                 # did the segment admit nothing when last folded?
+    entry: dict = {}                   # entry state per continuation segment
     rounds = 0
     while True:
-        # Walk every chain as far as the known transitions allow.
         wanted: dict = {}
         for k, pids in chains.items():
             cur = spec_final[(pids[0], k)]            # the first segment is exact
-            for j, pid in enumerate(pids[1:], start=1):
+            for pid in pids[1:]:
                 entry[(pid, k)] = cur
-                nxt = table.get((pid, k, cur))
-                if nxt is None:
-                    # unresolved: evaluate with the true entry, plus a few guesses
-                    # (earlier finals of this key) so identity runs resolve at once
-                    guesses = [cur] + [spec_final.get((p, k)) for p in pids[max(0, j - 8):j]]
-                    later = pids[j:j + 64]
-                    for p in later:
-                        opts = wanted.setdefault((p, k), [])
-                        for g in guesses:
-                            if g is not None and g not in opts and (p, k, g) not in table:
-                                opts.append(g)
-                    break
-                cur = nxt
+                if (pid, k, cur) in table:
+                    through[(pid, k)] = table[(pid, k, cur)] == cur
+                    final[(pid, k)] = cur = table[(pid, k, cur)]
+                else:
+                    wanted[(pid, k)] = [cur]
+                    # a segment that let its last entry state through may well do so again
+                    cur = cur if through.get((pid, k)) else final[(pid, k)]
         if not wanted:
             break
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("near_dup_fold: entry states did not settle")
-        bc = spark.sparkContext.broadcast(wanted)
-        res = ranged.mapInPandas(boundary_summaries(bc.value), summary_schema) \
-            .filter("evaluated").collect()
-        for r in res:
+        changed = ranged.filter(F.col("_pid").isin(sorted({p for p, _ in wanted})))
+        for r in changed.mapInPandas(boundary_summaries(wanted), summary_schema).filter("evaluated").collect():
             table[(r["pid"], r["key"], r["cand"])] = r["final"]
 
     resolved = dict(entry)

@@ -26,17 +26,18 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFram
     return F.broadcast(df) if n <= limit else df
 
 
-def company_filter(postings: DataFrame, companies: DataFrame, *, with_department=False,
-                   company_col: str = "company") -> DataFrame:
-    """Drop postings whose lower(title + location [+ department]) contains any deny
-    filter of their company; if the company has keyword filters, need one of them.
-    Postings of companies without a config row pass unchanged."""
+def company_filter(postings: DataFrame, companies: DataFrame, *, company_col: str = "company") -> DataFrame:
+    """Drop postings whose lower(title + location) contains any deny filter of their
+    company; if the company has keyword filters, need one of them. Lever postings are
+    also judged by their department. Postings of companies without a config row pass
+    unchanged."""
     cfg = companies.select(F.col("name").alias("_cfg_name"),
                            F.coalesce("deny_filters", F.array().cast("array<string>")).alias("_deny"),
                            F.coalesce("keyword_filters", F.array().cast("array<string>")).alias("_kw"))
     parts = [F.col("title"), F.coalesce(F.col("location"), F.lit(""))]
-    if with_department:
-        parts.append(F.coalesce(F.col("department"), F.lit("")))
+    if {"source_system", "department"} <= set(postings.columns):
+        # null (skipped by concat_ws) for the other systems
+        parts.append(F.when(F.col("source_system") == "lever", F.coalesce("department", F.lit(""))))
     text = F.lower(F.concat_ws(" ", *parts))
     j = postings.join(maybe_broadcast(cfg), F.col(company_col) == F.col("_cfg_name"), "left")
     deny = F.coalesce(F.exists("_deny", lambda d: text.contains(F.lower(d))), F.lit(False))

@@ -28,21 +28,27 @@ def events_postings(spark, sf_dir):
 
 
 def companies_from_supplier(spark, sf_dir):
-    """Company configs for the stand-in postings: every supplier denies 'blue'; those
+    """Company configs for the stand-in postings: every supplier denies 'blue' and 'promo'
+    (a department); those
     with a non-negative balance only keep titles with 'widget' or 'gear'."""
     s = read_table(spark, sf_dir, "supplier")
     kw = F.when(F.col("s_acctbal") >= 0, F.array(F.lit("widget"), F.lit("gear"))) \
         .otherwise(F.array().cast("array<string>"))
-    return s.select(F.col("s_name").alias("name"), F.array(F.lit("blue")).alias("deny_filters"),
+    return s.select(F.col("s_name").alias("name"), F.array(F.lit("blue"), F.lit("promo")).alias("deny_filters"),
                     kw.alias("keyword_filters"))
 
 
 # -- P01 ---------------------------------------------------------------------
+# what a posting is judged by: Lever boards add the department
+FILTER_TEXT_SQL = ("lower(p.title || ' ' || coalesce(p.location, '') || "
+                   "CASE WHEN p.source_system = 'lever' THEN ' ' || coalesce(p.department, '') ELSE '' END)")
+COMPANY_FILTER_SQL = f"""NOT contains({FILTER_TEXT_SQL}, 'blue') AND NOT contains({FILTER_TEXT_SQL}, 'promo')
+  AND (s.s_acctbal < 0 OR contains({FILTER_TEXT_SQL}, 'widget') OR contains({FILTER_TEXT_SQL}, 'gear'))"""
+
+
 @register("company_filter", f"""
 SELECT p.id, p.company, p.title, p.location FROM {POSTINGS_LI_SQL} p JOIN supplier s ON s.s_name = p.company
-WHERE NOT contains(lower(p.title || ' ' || coalesce(p.location, '')), 'blue')
-  AND (s.s_acctbal < 0 OR contains(lower(p.title || ' ' || coalesce(p.location, '')), 'widget')
-       OR contains(lower(p.title || ' ' || coalesce(p.location, '')), 'gear'))
+WHERE {COMPANY_FILTER_SQL}
 """)
 def q_company_filter(spark, sf_dir):
     p = standins.postings_li(spark, sf_dir)

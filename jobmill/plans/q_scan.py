@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from . import standins
-from .q_relational import companies_from_supplier
+from .q_relational import COMPANY_FILTER_SQL, companies_from_supplier
 from .registry import AS_OF, register
 from .scan import scan
 from .sqlfrag import fold_ctes, norm, simhash_ctes
@@ -21,9 +21,7 @@ _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 @register("scan_pipeline", f"""
 WITH RECURSIVE p AS (SELECT p.* FROM {POSTINGS_LI_SQL} p JOIN supplier s ON s.s_name = p.company
-  WHERE NOT contains(lower(p.title || ' ' || coalesce(p.location, '')), 'blue')
-    AND (s.s_acctbal < 0 OR contains(lower(p.title || ' ' || coalesce(p.location, '')), 'widget')
-         OR contains(lower(p.title || ' ' || coalesce(p.location, '')), 'gear'))
+  WHERE {COMPANY_FILTER_SQL}
     AND (p.posted_at IS NULL OR p.posted_at >= TIMESTAMP '{_CUTOFF}')
     AND p.id NOT IN (SELECT id FROM {POSTINGS_LI_SQL} q WHERE q.posted_at < TIMESTAMP '{STORED_BEFORE}')),
   ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, source_system, source_job_id

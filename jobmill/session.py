@@ -7,6 +7,7 @@ for tests, the bench and the command-line entry points.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,12 +49,10 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only when unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
-    a machine-local temporary folder is only chosen when nothing is configured
-    (local tests and the bench).
-    """
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or the one already set on the
+    context. Only a single-JVM session (``local[...]``) may do without: it gets a scratch
+    folder of its own. On a cluster a machine-local folder would be unreadable elsewhere, so
+    a missing setting is an error there."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -62,12 +61,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     local = tempfile.mkdtemp(prefix="jobmill-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there something at ``path``, in whatever file system it names? Read errors rise."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.timeutil import as_timestamp
 from ..operators.dedup import first_per_key
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 
 JOB_FIELDS = ["id", "company_id", "company", "source_job_id", "source_system", "title", "location",
               "remote_type", "employment_type", "department", "team", "apply_url", "source_url",
@@ -189,10 +189,9 @@ class JobStore:
 
     # -- jobs snapshots ------------------------------------------------------
     def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/commits")
-        except Exception:  # noqa: BLE001 - no commit yet
-            return None
+        # only a missing path means "no commit yet": an unreadable one is an error
+        path = f"{self.root}/commits"
+        return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
 
     def version(self) -> int:
         c = self._commits()

@@ -5,8 +5,9 @@ the matches (K01/K02) and writes outbox messages.
 
 Exactly-once: every output of a batch is written under a path keyed by the batch id
 with overwrite, so a replayed batch (after a failure) rewrites the same files; the
-store commit for batch b is version ``base + b + 1``. The stream checkpoint lives on
-shared storage (``spark.checkpoint.dir``)."""
+store commit for batch b is version ``base + b + 1``, where ``base`` is written once beside
+the stream checkpoint. The stream checkpoint lives on shared storage
+(``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import dedup, filters, reports, scoring
 from ..functions.text import posting_id, searchable_text
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 from ..store.jobs import JobStore
 
 
@@ -26,13 +27,11 @@ def _near_dup_step(fresh: DataFrame, batch_id: int, state_root: str, order_col:
     admitted rows, write the merged state under this batch id (replays overwrite)."""
     spark = fresh.sparkSession
     prev = None
-    try:
+    if path_exists(spark, state_root):
         states = spark.read.parquet(state_root).filter(F.col("batch_id") < batch_id)
         last = states.agg(F.max("batch_id")).first()[0]
         if last is not None:
             prev = states.filter(F.col("batch_id") == last).drop("batch_id")
-    except Exception:  # noqa: BLE001 - no state written yet
-        prev = None
     if "id" not in fresh.columns:
         fresh = fresh.withColumn("id", posting_id())
     keyed = fresh.withColumn("_fkey", dedup.fuzzy_key("title", "location"))
@@ -71,6 +70,15 @@ def process_batch(batch: DataFrame, batch_id: int, *, store: JobStore, profile,
         matches.unpersist()
 
 
+def _base_version(spark: SparkSession, path: str, store: JobStore) -> int:
+    """The store's version when the stream first started. It is written once, before the
+    first batch: a restarted stream numbers its commits from the same base, so a batch that
+    is replayed after its own commit does not see its rows as stored before."""
+    if not path_exists(spark, path):
+        spark.createDataFrame([(store.version(),)], "version long").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path).first()["version"]
+
+
 def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, to_postings,
                   *, store: JobStore, profile, as_of, lookback: str | None = "24h",
                   topic: str = "jobs", order_col: str = "seq", checkpoint: str | None = None,
@@ -79,7 +87,9 @@ def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, t
                   max_files_per_trigger: int | None = None):
     """Start the monitor stream. ``to_postings`` maps the raw stream to posting
     columns (with ``order_col``). ``available_now`` processes what is there and stops;
-    otherwise a micro-batch runs every ``poll_seconds`` (default 300 s)."""
+    otherwise a micro-batch runs every ``poll_seconds`` (default 300 s). ``as_of`` is the
+    clock: a function called once per micro-batch (the lookback window then moves with it),
+    or one fixed time for reproducible runs."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -87,10 +97,11 @@ def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, t
     postings = to_postings(raw)
     ckpt = checkpoint or scratch_path(spark, "monitor-ckpt")
     outbox = outbox_root or f"{store.root}/outbox"
-    base = store.version()
+    base = _base_version(spark, f"{ckpt.rstrip('/')}-base", store)
 
     def run(batch_df: DataFrame, batch_id: int):
-        process_batch(batch_df, batch_id, store=store, profile=profile, as_of=as_of,
+        now = as_of() if callable(as_of) else as_of
+        process_batch(batch_df, batch_id, store=store, profile=profile, as_of=now,
                       lookback=lookback, topic=topic, order_col=order_col,
                       outbox_root=outbox, base_version=base,
                       near_dup_state=f"{store.root}/dedup_state" if near_dup else None)

@@ -5,6 +5,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from jobmill.operators import dedup
@@ -170,3 +173,19 @@ def test_fold_streams_runs_across_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == py_fold([(k, s, f & ((1 << 64) - 1)) for k, s, f in rows])
+
+
+@pytest.mark.parametrize("parts", [4, 24, 96])
+@pytest.mark.parametrize("flips", [None, 3, 9])
+def test_fold_rounds_do_not_grow_with_the_segments(spark, parts, flips):
+    """One hot key of random fingerprints, far apart or so near that what a segment admits
+    hangs on the state carried in: far fewer rounds than segments, and three in the usual case."""
+    rng = random.Random(parts)
+    base = rng.getrandbits(62)
+    hs = [rng.getrandbits(62) if flips is None else base ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(flips)))
+          for _ in range(1500)]
+    df = spark.createDataFrame([("k", i, h) for i, h in enumerate(hs)], "key string, seq long, fp long")
+    out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=parts, max_rounds=3 if flips is None else 4 + parts // 4)
+    got = {r["seq"]: r["admitted"] for r in out.collect()}
+    want, _ = dedup._fold(np.array(hs), None, dedup.max_hamming_for(dedup.NEAR_DUP_SIMILARITY))
+    assert [got[i] for i in range(len(hs))] == want.tolist()

@@ -80,3 +80,45 @@ def test_replayed_batch_is_idempotent(spark, tmp_path):
     process_batch(batch, 0, **kw)                    # replay of the same micro-batch
     assert store.jobs().count() == 1
     assert spark.read.parquet(str(tmp_path / "outbox")).count() == 1
+
+
+def test_restart_after_a_lost_stream_commit_keeps_messages(spark, tmp_path):
+    """The store commit of the last batch stands, the stream's own is lost: the replay
+    writes the same messages again. The clock is read for every batch."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, row in enumerate([("s1", "python dev", AS_OF, 1), ("s3", "python lead", AS_OF, 5)]):
+        spark.createDataFrame([row], SCHEMA).coalesce(1).write.parquet(str(src / f"b{k}"))
+    store = JobStore(spark, str(tmp_path / "store"))
+    prof = Profile(profile="p", must_have_keywords=["python"], min_score_threshold=0.3)
+    schema = spark.read.parquet(str(src / "b0")).schema
+    ticks = []
+
+    def clock():
+        ticks.append(1)
+        return AS_OF
+
+    def go():
+        q = start_monitor(spark, str(src / "b*"), schema, to_postings, store=store, profile=prof, as_of=clock,
+                          lookback="30d", checkpoint=str(tmp_path / "ckpt"), available_now=True, max_files_per_trigger=1)
+        q.awaitTermination()
+        assert q.exception() is None
+
+    go()
+    assert len(ticks) == 2
+    for f in (tmp_path / "ckpt" / "commits").glob("*1*"):
+        f.unlink()
+    go()
+    assert len(ticks) == 3
+    assert spark.read.parquet(str(tmp_path / "store" / "outbox")).count() == 2
+    assert store.jobs().count() == 2
+
+
+def test_unreadable_commit_list_is_an_error(spark, tmp_path):
+    import pytest
+    root = tmp_path / "store"
+    (root / "commits").mkdir(parents=True)
+    (root / "commits" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        JobStore(spark, str(root)).version()
+    assert JobStore(spark, str(tmp_path / "none")).version() == 0
