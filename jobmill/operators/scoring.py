@@ -2,15 +2,18 @@
 
 Plan shape
 ----------
-Profiles are a small configuration dimension; postings are the big side.
+Profiles are a small configuration dimension; postings are the big side. Postings are
+scanned once, whatever the number of profiles:
 
-* Few profiles (<= ``literal_limit``, checked by counting at most limit+1 rows): the
-  profile values are inlined as literals, one projection per profile, unioned.
-  Every whole-word regex is then a literal, compiled once per task, and the scan of
-  postings is a narrow map (no join, no shuffle).
-* More profiles: broadcast nested-loop join against profile chunks whose row count
-  is checked (``broadcast_limit`` per chunk); patterns are carried as columns. Chunks
-  are unioned, so no profile is ever dropped.
+* Profiles given as a list are inlined as literals: one projection computes the score
+  parts of every profile as an array of structs and ``inline`` turns it into rows. Every
+  whole-word regex is a literal, compiled once per task; no join, no shuffle.
+* Profiles given as a table are joined: every posting meets every profile (that is the
+  operator), against broadcast chunks whose size in bytes is measured first. The patterns
+  are columns then. Chunks are unioned, so no profile is ever dropped.
+
+Both give the same rows: missing keyword lists count as empty, other columns of a profiles
+table are ignored.
 
 Deliberate differences from the source tool (documented in README): reasons carry the
 plain keyword rather than the escaped regex; ``as_of`` replaces the wall clock.
@@ -51,8 +54,7 @@ def profiles_frame(spark: SparkSession, profiles) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Expression builders. ``lit_profile`` inlines a Profile; ``col_profile`` reads the
-# joined profile columns. Both return the same struct of score parts.
+# Expression builders: the profile as literals, or as columns. Both return the same parts.
 # ---------------------------------------------------------------------------
 def _first_match_literal(items: list[str], test) -> Column:
     """First item (in list order) whose test is true, else null."""
@@ -87,28 +89,24 @@ def keyword_parts_literal(p: Profile, text: Column, title: Column, location: Col
                  else F.coalesce(remote == F.lit(p.remote_preference), F.lit(False)))
     return dict(excluded_kw=excluded_kw, role=role, matched=matched, n_kw=n_kw,
                 loc_hit=loc_hit, remote_ok=remote_ok,
-                mh_hits=[text.rlike(py_whole_word_pattern(k)) for k in p.must_have_keywords],
-                mh_kws=list(p.must_have_keywords),
                 weights=(F.lit(p.vector_weight), F.lit(p.keyword_weight), F.lit(p.recency_weight)))
 
 
-def keyword_parts_columns(text: Column, title: Column, location: Column, remote: Column) -> dict:
-    """Same parts with the profile as joined columns (patterns recompile per change)."""
+def keyword_parts_columns(profile: dict, text: Column, title: Column, location: Column, remote: Column) -> dict:
+    """Same parts with the profile's fields as columns (patterns recompile per change)."""
     pat = whole_word_pattern
-    excluded_kw = F.try_element_at(
-        F.filter(F.col("must_not_keywords"), lambda k: F.regexp_like(text, pat(k))), F.lit(1))
-    role = F.try_element_at(
-        F.filter(F.col("desired_roles"), lambda r: F.regexp_like(title, pat(r))), F.lit(1))
-    matched = F.filter(F.col("must_have_keywords"), lambda k: F.regexp_like(text, pat(k)))
-    n_kw = F.size(F.col("must_have_keywords"))
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    excluded_kw = first(F.filter(profile["must_not_keywords"], lambda k: F.regexp_like(text, pat(k))))
+    role = first(F.filter(profile["desired_roles"], lambda r: F.regexp_like(title, pat(r))))
+    matched = F.filter(profile["must_have_keywords"], lambda k: F.regexp_like(text, pat(k)))
     has_loc = location.isNotNull() & (location != "")
-    loc_hit = F.when(has_loc, F.try_element_at(
-        F.filter(F.col("preferred_locations"), lambda l: F.lower(location).contains(F.lower(l))), F.lit(1)))
-    remote_ok = F.coalesce(F.col("remote_preference").isNotNull()
-                           & (remote == F.col("remote_preference")), F.lit(False))
-    return dict(excluded_kw=excluded_kw, role=role, matched=matched, n_kw=n_kw,
+    loc_hit = F.when(has_loc, first(F.filter(profile["preferred_locations"],
+                                             lambda l: F.lower(location).contains(F.lower(l)))))
+    wanted = profile["remote_preference"]
+    remote_ok = F.coalesce(wanted.isNotNull() & (remote == wanted), F.lit(False))
+    return dict(excluded_kw=excluded_kw, role=role, matched=matched, n_kw=F.size(profile["must_have_keywords"]),
                 loc_hit=loc_hit, remote_ok=remote_ok,
-                weights=(F.col("vector_weight"), F.col("keyword_weight"), F.col("recency_weight")))
+                weights=(profile["vector_weight"], profile["keyword_weight"], profile["recency_weight"]))
 
 
 def _score_columns(parts: dict, remote: Column, recency: Column, vector: Column) -> list[Column]:
@@ -126,8 +124,7 @@ def _score_columns(parts: dict, remote: Column, recency: Column, vector: Column)
     reasons = F.concat(
         F.when(parts["role"].isNotNull(),
                F.array(F.concat(F.lit("Role match: "), parts["role"]))).otherwise(F.array()),
-        F.transform(parts["matched"], lambda k: F.concat(F.lit("Keyword: "), k))
-        if "matched_reasons" not in parts else parts["matched_reasons"],
+        F.transform(parts["matched"], lambda k: F.concat(F.lit("Keyword: "), k)),
         F.when(parts["loc_hit"].isNotNull(),
                F.array(F.concat(F.lit("Location: "), parts["loc_hit"]))).otherwise(F.array()),
         F.when(parts["remote_ok"], F.array(F.concat(F.lit("Remote: "), remote))).otherwise(F.array()),
@@ -147,86 +144,99 @@ def _score_columns(parts: dict, remote: Column, recency: Column, vector: Column)
     ]
 
 
+_LISTS = ("desired_roles", "must_have_keywords", "must_not_keywords", "preferred_locations")
+_PROFILE_FIELDS = [f.name for f in PROFILE_SCHEMA.fields]
+_DEFAULTS = Profile()
+
+
+def as_profile(p) -> Profile:
+    """A Profile from a Profile, dict or Row; missing lists and weights take the defaults."""
+    if isinstance(p, Profile):
+        p = asdict(p)
+    elif not isinstance(p, dict):
+        p = p.asDict(recursive=True)
+    given = {k: v for k, v in p.items() if k in _PROFILE_FIELDS and v is not None}
+    return Profile(**given)
+
+
+def profiles_table(profiles: DataFrame) -> DataFrame:
+    """The profile columns of a table, with the same defaults."""
+    cols = []
+    for f in PROFILE_SCHEMA.fields:
+        default = getattr(_DEFAULTS, f.name)
+        if f.name not in profiles.columns:
+            c = F.lit(None).cast(f.dataType)
+        else:
+            c = F.col(f.name).cast(f.dataType)
+        if f.name in _LISTS:
+            c = F.coalesce(c, F.array().cast(f.dataType))
+        elif default is not None:
+            c = F.coalesce(c, F.lit(default))
+        cols.append(c.alias(f.name))
+    return profiles.select(*cols)
+
+
 def score(postings: DataFrame, profiles, as_of, *, vector_col: str | None = None,
-          literal_limit: int = 16, broadcast_limit: int = 10_000,
-          text_col: str | None = None) -> DataFrame:
+          chunk_bytes: int = 8 << 20, text_col: str | None = None) -> DataFrame:
     """Score every (posting, profile) pair.
 
     ``postings`` needs title, location, remote_type, posted_at and either ``text_col``
     or the searchable-text columns. ``vector_col`` (optional) holds a per-pair
     rescaled similarity in [0, 1]; null means "no embedding" -> neutral 0.5.
-    ``profiles``: list of Profile / dicts, or a DataFrame in PROFILE_SCHEMA.
-    Returns postings columns + profile + score columns (unfiltered)."""
+    ``profiles``: list of Profile / dicts (inlined), or a DataFrame with PROFILE_SCHEMA's
+    columns (broadcast in chunks of about ``chunk_bytes``).
+    Returns postings columns + profile + score columns (unfiltered), for postings x profiles
+    rows."""
     text = F.col(text_col) if text_col else searchable_text()
     title, location, remote = F.col("title"), F.col("location"), F.col("remote_type")
     recency = recency_score("posted_at", as_of)
     vector = F.col(vector_col) if vector_col else F.lit(None).cast("double")
-
     if isinstance(profiles, DataFrame):
-        n = profiles.limit(literal_limit + 1).count()
-        if n <= literal_limit:
-            profiles = [Profile(**r.asDict(recursive=True)) for r in profiles.collect()]
-        else:
-            return _score_joined(postings, profiles, text, title, location, remote, recency,
-                                 vector, broadcast_limit)
-    profiles = [p if isinstance(p, Profile) else Profile(**p) for p in profiles]
-    outs = []
-    for p in profiles:
-        parts = keyword_parts_literal(p, text, title, location, remote)
-        outs.append(_staged(postings, parts, remote, recency, vector,
-                            [F.lit(p.profile).alias("profile"),
-                             F.lit(p.min_score_threshold).alias("min_score_threshold")]))
-    return reduce(DataFrame.unionByName, outs)
+        return _score_joined(postings, profiles_table(profiles), text, title, location, remote, recency,
+                             vector, chunk_bytes)
+    profiles = [as_profile(p) for p in profiles]
+    each = [_parts_struct(keyword_parts_literal(p, text, title, location, remote), recency, vector,
+                          F.lit(p.profile), F.lit(p.min_score_threshold)) for p in profiles]
+    if not each:
+        raise ValueError("score needs at least one profile")
+    return _finish(postings, F.array(*each), remote)
+
+
+def _parts_struct(parts: dict, recency, vector, profile: Column, threshold: Column) -> Column:
+    wv, wk, wr = parts["weights"]
+    return F.struct(
+        profile.alias("profile"), threshold.alias("min_score_threshold"),
+        *[parts[k].alias(f"_p_{k}") for k in ("excluded_kw", "role", "matched", "n_kw", "loc_hit", "remote_ok")],
+        wv.alias("_p_wv"), wk.alias("_p_wk"), wr.alias("_p_wr"), recency.alias("_p_rec"), vector.alias("_p_vec"))
+
 
+def _finish(df: DataFrame, parts: Column, remote) -> DataFrame:
+    """One row per element of ``parts``, with the score columns.
 
-_PART_KEYS = ("excluded_kw", "role", "matched", "loc_hit", "remote_ok")
-
-
-def _staged(df: DataFrame, parts: dict, remote, recency, vector, extra) -> DataFrame:
-    """Compute every regex/array part once as a column, then combine them; the
-    optimizer keeps the two projections apart because the parts are referenced
-    several times."""
-    keys = [k for k in _PART_KEYS if not (k == "matched" and "mh_hits" in parts)]
-    hits = parts.get("mh_hits", [])
-    part_cols = [*[parts[k].alias(f"_p_{k}") for k in keys],
-                 *[h.alias(f"_p_mh{i}") for i, h in enumerate(hits)],
-                 parts["n_kw"].alias("_p_n_kw"), recency.alias("_p_rec"), vector.alias("_p_vec")]
-    # The parts come out of a one-row `inline`: a later filter on the score (the
-    # threshold) cannot be pushed below a generator that produces the columns it
-    # reads, so Catalyst does not copy the regexes into that filter or a join
-    # condition; each regex runs once per row.
-    staged = df.select("*", *extra, F.inline(F.array(F.struct(*part_cols))))
-    cols = {k: F.col(f"_p_{k}") for k in keys}
-    if "mh_hits" in parts:
-        kws = parts["mh_kws"]
-        cols["matched"] = F.array_compact(F.array(*[F.when(F.col(f"_p_mh{i}"), F.lit(k)) for i, k in enumerate(kws)])) \
-            if kws else F.array().cast("array<string>")
-        cols["matched_reasons"] = F.array_compact(F.array(
-            *[F.when(F.col(f"_p_mh{i}"), F.lit("Keyword: " + k)) for i, k in enumerate(kws)])) \
-            if kws else F.array().cast("array<string>")
-    cols["n_kw"] = F.col("_p_n_kw")
-    cols["weights"] = parts["weights"]
+    The parts come out of ``inline``: a later filter on the score (the threshold) cannot be
+    pushed below a generator that produces the columns it reads, so Catalyst does not copy
+    the regexes into that filter or a join condition; each regex runs once per row."""
+    staged = df.select("*", F.inline(parts))
+    cols = {k: F.col(f"_p_{k}") for k in ("excluded_kw", "role", "matched", "n_kw", "loc_hit", "remote_ok")}
+    cols["weights"] = (F.col("_p_wv"), F.col("_p_wk"), F.col("_p_wr"))
     out = staged.select("*", *_score_columns(cols, remote, F.col("_p_rec"), F.col("_p_vec")))
-    return out.drop(*[f"_p_{k}" for k in keys], *[f"_p_mh{i}" for i in range(len(hits))],
-                    "_p_n_kw", "_p_rec", "_p_vec")
-
-
-def _score_joined(postings, profiles_df, text, title, location, remote, recency, vector,
-                  broadcast_limit):
-    """Many profiles: broadcast joins over size-checked profile chunks, unioned."""
-    n = profiles_df.count()
-    n_chunks = max(1, -(-n // broadcast_limit))
-    keyed = profiles_df.withColumn(
-        "_chunk", F.pmod(F.xxhash64("profile"), F.lit(n_chunks)))
-    parts = keyword_parts_columns(text, title, location, remote)
+    return out.drop(*[f"_p_{k}" for k in ("excluded_kw", "role", "matched", "n_kw", "loc_hit", "remote_ok")],
+                    "_p_wv", "_p_wk", "_p_wr", "_p_rec", "_p_vec")
+
+
+def _score_joined(postings, profiles, text, title, location, remote, recency, vector, chunk_bytes):
+    """Profiles as a table: broadcast joins over chunks of a measured size, unioned."""
+    size = profiles.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    n_chunks = max(1, -(-size // chunk_bytes))
+    chunk_of = F.pmod(F.xxhash64("profile"), F.lit(n_chunks))
+    packed = profiles.select(F.struct(*_PROFILE_FIELDS).alias("_profile"), chunk_of.alias("_chunk"))
+    field = {f: F.col(f"_profile.{f}") for f in _PROFILE_FIELDS}
+    parts = keyword_parts_columns(field, text, title, location, remote)
     outs = []
     for i in range(n_chunks):
-        chunk = keyed.filter(F.col("_chunk") == i).drop("_chunk")
-        joined = postings.crossJoin(F.broadcast(chunk))
-        out = _staged(joined, parts, remote, recency, vector, [])
-        outs.append(out.select(*postings.columns, "profile", "min_score_threshold", "final_score",
-                               "vector_score", "keyword_score", "recency_score", "match_reasons",
-                               "excluded"))
+        chunk = packed.filter(F.col("_chunk") == i).drop("_chunk")
+        one = _parts_struct(parts, recency, vector, field["profile"], field["min_score_threshold"])
+        outs.append(_finish(postings.crossJoin(F.broadcast(chunk)), F.array(one), remote).drop("_profile"))
     return reduce(DataFrame.unionByName, outs)
 
 

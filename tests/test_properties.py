@@ -203,9 +203,8 @@ def test_scoring_matches_bruteforce(spark):
     posts = {r[0]: dict(zip(["id", "title", "description_text", "requirements", "department", "location",
                              "remote_type", "posted_at"], r)) for r in rows}
     for path in ("literal", "joined"):
-        kw = {} if path == "literal" else {"literal_limit": 1}
         arg = profs if path == "literal" else scoring.profiles_frame(spark, profs)
-        out = scoring.score(df, arg, as_of, **kw).select("id", "profile", "final_score", "keyword_score",
+        out = scoring.score(df, arg, as_of).select("id", "profile", "final_score", "keyword_score",
                                                          "match_reasons").collect()
         assert len(out) == len(rows) * len(profs)
         byname = {p.profile: p for p in profs}

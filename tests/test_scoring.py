@@ -86,7 +86,7 @@ def test_many_profiles_match_literal_path(spark):
     lit = score_map(spark, rows, profs)
     frame = scoring.profiles_frame(spark, profs)
     col = {(r["id"], r["profile"]): r.asDict()
-           for r in scoring.score(postings(spark, rows), frame, AS_OF, literal_limit=1).collect()}
+           for r in scoring.score(postings(spark, rows), frame, AS_OF).collect()}
     assert lit.keys() == col.keys()
     for k in lit:
         for c in ("final_score", "keyword_score", "recency_score", "match_reasons", "excluded"):
@@ -96,3 +96,30 @@ def test_many_profiles_match_literal_path(spark):
 def test_match_class(spark):
     df = spark.createDataFrame([(0.3,), (0.1,), (0.0,)], "final_score double")
     assert [r[0] for r in df.select(scoring.match_class()).collect()] == ["match", "partial", "none"]
+
+
+def test_profiles_from_a_table_with_missing_lists(spark):
+    """Null lists and further columns: a table of 3 or of 40 profiles and a list score alike."""
+    posts = spark.createDataFrame(
+        [(f"p{i}", t, "Berlin" if i % 2 else None, "remote", AS_OF, x) for i, t, x in
+         [(1, "Python Developer", "python and sql"), (2, "Cook", "kitchen"), (3, None, None)]],
+        "id string, title string, location string, remote_type string, posted_at timestamp, t string")
+    for n in (3, 40):
+        table = spark.createDataFrame(
+            [(f"q{k}", ["developer"] if k % 2 else None, ["python", "go"] if k % 3 else None, None, ["berlin"] if k % 5 == 0 else None,
+              "remote" if k % 2 else None, [0.1]) for k in range(n)],
+            "profile string, desired_roles array<string>, must_have_keywords array<string>, must_not_keywords array<string>, "
+            "preferred_locations array<string>, remote_preference string, embedding array<double>")
+        key = lambda r: (r["id"], r["profile"])
+        a = sorted(scoring.score(posts, table, AS_OF, text_col="t").drop("embedding").collect(), key=key)
+        b = sorted(scoring.score(posts, [r.asDict() for r in table.collect()], AS_OF, text_col="t").collect(), key=key)
+        assert a == b and len(a) == 3 * n and all(r["match_reasons"] is not None for r in a)
+
+
+def test_one_scan_for_many_profiles(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([("a", "b", "c", AS_OF, "t")], "title string, location string, remote_type string, posted_at timestamp, t string") \
+        .write.parquet(path)
+    many = [scoring.Profile(profile=f"p{i}", must_have_keywords=[f"k{i}"]) for i in range(40)]
+    plan = scoring.score(spark.read.parquet(path), many, AS_OF, text_col="t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
