@@ -197,8 +197,7 @@ def q_aggregator_jobs(spark, sf_dir):
 
 def _cards_sql():
     pat = "(?is)" + html_src.SEARCH_CARD_PATTERN.replace("'", "''")
-    n = html_src.MAX_CARDS_PER_PAGE
-    grp = ", ".join(f"regexp_extract_all(html, '{pat}', {g})[1:{n}] AS g{g}" for g in (1, 2, 3, 4))
+    grp = ", ".join(f"regexp_extract_all(html, '{pat}', {g}) AS g{g}" for g in (1, 2, 3, 4))
     sq = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
     return f"""
 WITH c AS (SELECT page_id, {grp} FROM pages),

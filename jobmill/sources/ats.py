@@ -31,7 +31,6 @@ SMARTRECRUITERS_PAYLOAD = ("struct<content:array<struct<id:string,refNumber:stri
                            "typeOfEmployment:struct<id:string>,applyUrl:string>>,totalFound:bigint>")
 WORKDAY_PAYLOAD = ("struct<jobPostings:array<struct<externalPath:string,title:string,locationsText:string,"
                    "postedOn:string,bulletFields:array<string>>>,total:bigint>")
-WORKDAY_MAX_OFFSET = 500
 
 
 def _c(x) -> Column:
@@ -155,10 +154,10 @@ def read_smartrecruiters(spark, path, company=None, board=None) -> DataFrame:
     return _finish(out)
 
 
-def read_workday(spark, path, company=None, api_base=None, site=None) -> DataFrame:
-    """``jobPostings[]`` pages; id = last part of externalPath; pages at offset
-    >= 500 are ignored (the reader stops there); URLs from the API base without
-    ``/wday/cxs/``. Needs ``api_base`` and ``site`` (arguments or folder columns)."""
+def read_workday(spark, path, company=None, api_base=None, site=None, max_offset: int | None = None) -> DataFrame:
+    """``jobPostings[]`` pages; id = last part of externalPath; URLs from the API base
+    without ``/wday/cxs/``. All landed pages are read; ``max_offset`` leaves out those at or
+    beyond an offset (the fetch limit of the source tool is 500). Needs ``api_base`` and ``site`` (arguments or folder columns)."""
     f = _files(spark, path)
     if company is not None:
         f = f.withColumn("company", F.lit(company))
@@ -166,8 +165,8 @@ def read_workday(spark, path, company=None, api_base=None, site=None) -> DataFra
         f = f.withColumn("api_base", F.lit(api_base))
     if site is not None:
         f = f.withColumn("site", F.lit(site))
-    if "offset" in f.columns:
-        f = f.filter(F.col("offset").cast("long") < WORKDAY_MAX_OFFSET)
+    if max_offset is not None and "offset" in f.columns:
+        f = f.filter(F.col("offset").cast("long") < max_offset)
     rows = f.select("company", "api_base", "site",
                     F.explode(F.from_json("value", WORKDAY_PAYLOAD)["jobPostings"]).alias("j"))
     ext = F.coalesce(F.col("j.externalPath"), F.lit(""))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import (JOB_SITES, employment_type, is_job_url, remote_type,
                                   title_from_url, url_netloc)
-from ..functions.text import short_url_id, squash_ws
+from ..functions.text import regex_quote, short_url_id, squash_ws
 
 # Default link patterns of the career-page reader, in order.
 DEFAULT_LINK_PATTERNS = [
@@ -34,7 +34,6 @@ SEARCH_CARD_PATTERN = (r'data-jk="([^"]+)"[^>]*>.*?class="jobTitle[^"]*"[^>]*>.*
 AGGREGATOR_ANCHOR = r"""<a\b[^>]*href=["']([^"']*/jobs/view/(\d+)[^"']*)["'][^>]*>(.*?)</a>"""
 AGGREGATOR_URN = r"jobPosting(?:Card)?[:(%]\D*(\d+)"
 AGGREGATOR_JSON_URN = r"jobPosting(?:Card)?[:(]\D*(\d+)"
-MAX_CARDS_PER_PAGE = 20
 
 
 def _c(x) -> Column:
@@ -93,7 +92,7 @@ def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,
                          html.alias("_html"), F.posexplode(links).alias("_pos", "_l"))
     first = first.select(id_col, "_pos", "source_url", "_html", "_l.job_url", "_l.href")
     first = first.filter(is_job_url(F.col("job_url")))
-    quoted = F.concat(F.lit("\\Q"), F.col("href"), F.lit("\\E"))
+    quoted = regex_quote(F.col("href"))
     anchor_pat = F.concat(F.lit("(?is)<a[^>]*href=[\"']?"), quoted, F.lit("[\"']?[^>]*>([^<]+)</a>"))
     anchor_text = squash_ws(F.call_function("regexp_extract", F.col("_html"), anchor_pat, F.lit(1)))
     # second lookup: the text of the anchor right before the link
@@ -108,7 +107,7 @@ def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,
     start = F.greatest(at - 500, F.lit(1))
     ctx = F.when(at > 0, F.call_function("substring", F.col("_html"), start,
                                          F.least(at - 1, F.lit(500)) + F.length("href") + 500))
-    loc = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(ctx, "(?i)" + p, 1)), F.lit(""))
+    loc = F.coalesce(*[F.nullif(F.regexp_replace(F.regexp_extract(ctx, "(?i)" + p, 1), r"^\s+|\s+$", ""), F.lit(""))
                        for p in LOCATION_PATTERNS])
     out = first.select(id_col, "_pos", "source_url", F.col("job_url").alias("apply_url"),
                        title.alias("title"), loc.alias("location"))
@@ -154,12 +153,15 @@ def search_results(pages: DataFrame, location: str, found_at, *, html_col="html"
                        F.lit("web_search").alias("source"), as_timestamp(found_at).alias("found_at"))
 
 
-def search_cards(pages: DataFrame, scraped_at, *, html_col="html", id_col="page_id") -> DataFrame:
-    """Job cards (id, title, company, location), first 20 per page, squashed
-    whitespace, empty title/company dropped, posted_at = scrape time."""
+def search_cards(pages: DataFrame, scraped_at, *, html_col="html", id_col="page_id",
+                 per_page: int | None = None) -> DataFrame:
+    """Job cards (id, title, company, location), all of a page or its first
+    ``per_page``, squashed whitespace, empty title/company dropped, posted_at = scrape time."""
     html = F.coalesce(_c(html_col), F.lit(""))
     pat = F.lit("(?is)" + SEARCH_CARD_PATTERN)
-    groups = [F.slice(F.regexp_extract_all(html, pat, g), 1, MAX_CARDS_PER_PAGE) for g in (1, 2, 3, 4)]
+    groups = [F.regexp_extract_all(html, pat, g) for g in (1, 2, 3, 4)]
+    if per_page is not None:
+        groups = [F.slice(g, 1, per_page) for g in groups]
     z = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ["jk", "t", "c", "l"])])
     rows = pages.select(_c(id_col).alias(id_col), F.posexplode(z).alias("_pos", "_r"))
     title, comp, loc = squash_ws(F.col("_r.t")), squash_ws(F.col("_r.c")), squash_ws(F.col("_r.l"))

@@ -61,7 +61,8 @@ CARDS = "".join(
 
 def test_search_cards_first_20(spark):
     pages = spark.createDataFrame([(1, CARDS)], "page_id long, html string")
-    out = html.search_cards(pages, AT).collect()
+    assert html.search_cards(pages, AT).count() == 22          # every card of a page
+    out = html.search_cards(pages, AT, per_page=20).collect()
     assert len(out) == 20 and out[0]["remote_type"] == "remote"
     assert {r["source_job_id"] for r in out} == {f"jk{i}" for i in range(20)}
 
@@ -118,3 +119,11 @@ def test_aggregator_sql_twin_agrees(spark):
     pages = spark.createDataFrame([(1, AGG1), (2, AGG2), (3, AGG3)], "page_id long, html string")
     sp = html.aggregator_jobs(pages, AT).select("page_id", "strategy", "source_job_id", "title", "company")
     assert sorted(tuple(r) for r in sp.collect()) == sql_rows
+
+
+def test_link_with_regex_quotes(spark):
+    """An href that holds \\E must not end the quoting of its own pattern."""
+    page = '<a href="https://x.com/jobs/a\\Eb-1234567">Senior (data) engineer</a>'
+    pages = spark.createDataFrame([(1, "https://x.com/", page)], "page_id long, url string, html string")
+    out = html.career_page_links(pages, link_patterns=['href="([^"]*jobs[^"]*)"']).collect()
+    assert [r["title"] for r in out] == ["Senior (data) engineer"]

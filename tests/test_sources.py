@@ -81,8 +81,11 @@ def test_smartrecruiters(spark):
 def test_workday(spark):
     df = ats.read_workday(spark, f"{FIX}/workday", api_base="https://eps.wd5.myworkdayjobs.com/wday/cxs/eps",
                           site="External")
+    assert df.count() > 2                                                 # every landed page
+    df = ats.read_workday(spark, f"{FIX}/workday", api_base="https://eps.wd5.myworkdayjobs.com/wday/cxs/eps",
+                          site="External", max_offset=500)
     r = rows(df, "apply_url", "source_url", "location", "remote_type", "employment_type", "posted_at")
-    assert set(r) == {"Staff-Engineer_R100", "Temporary-Analyst_R101"}    # offset 500 page ignored
+    assert set(r) == {"Staff-Engineer_R100", "Temporary-Analyst_R101"}    # offset 500 page left out
     a = r["Staff-Engineer_R100"]
     assert a["apply_url"] == "https://eps.wd5.myworkdayjobs.com/eps/External/job/Remote-US/Staff-Engineer_R100"
     assert a["remote_type"] == "remote" and a["employment_type"] == "full_time" and a["posted_at"] is None
