@@ -248,3 +248,23 @@ def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
                         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+_SQL_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLE = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g
+        FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS w FROM documents),
+dk AS (SELECT d.rid, d.w, s.k FROM d, (SELECT DISTINCT k FROM win) AS s WHERE len(d.w) >= s.k),
+dg AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dk)),
+hit AS (SELECT DISTINCT rid, k, p, item FROM dg JOIN win USING (k, g)),
+n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM hit) GROUP BY rid),
+names AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN names USING (rid)
+"""

@@ -34,7 +34,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
-@register("op8_benchmark_decontamination")
+@register("op8_benchmark_decontamination", decontaminate.ORACLE)
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(read_table(spark, sf_dir, "documents"),
                                               read_table(spark, sf_dir, "benchmark"))
@@ -60,7 +60,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@register("op6_chat_formatting")
+@register("op6_chat_formatting", chat.ORACLE)
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
 
