@@ -16,9 +16,11 @@ so a rank needs no numbering pass:
 1. the ``length - WINDOW + 1`` bytes from the anchor on, common to all strings of the anchor;
 2. the whole context (all bytes of all strings of the anchor): an anchor whose context recurs
    is settled, every string of it is repeated. Of the others one of each context goes on;
-3. blocks of 16 neighbouring distances: the ``length - 15`` bytes common to a block's strings;
-4. the single strings: class, distance and the up to 15 + 15 bytes around the block's core,
-   compared as bytes.
+3. blocks of 16 neighbouring distances: the ``length - 15`` bytes common to a block's strings,
+   and the up to 15 + 15 bytes around them. Blocks that agree in both repeat each other whole;
+   one of each kind goes on, if its common part stands in several kinds;
+4. the single strings: class, distance and the bytes around the block's common part (named by
+   two 64-bit hashes).
 
 Counts are pre-aggregated on the map side, and the joins back have one row per class on the
 other side, so a passage or copy that a third of all documents share stays spread out. The
@@ -40,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, column, group_apart, mixed, slices, staged
+from .common import NO_ID, column, drop_staged, group_apart, mixed, slices, staged
 
 WINDOW, GRAM, BLOCK = 256, 16, 16
 SEGMENT = 1 << 20
@@ -127,9 +129,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(length: int):
-    """Rows (f, k, core, left, right, x, y, c) of the wanted anchors of each text."""
+    """Rows (f, k, core, left, right, x, y, c, n) of the wanted anchors of each text."""
     types = pa.schema([("f", pa.int64()), ("k", pa.int32()), ("core", pa.int64()), ("left", pa.binary()), ("right", pa.binary()),
-                       ("x", pa.int32()), ("y", pa.int32()), ("c", pa.int64())])
+                       ("x", pa.int32()), ("y", pa.int32()), ("c", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -141,7 +143,7 @@ def _blocks(length: int):
                     a = w["a"]
                     for k in range(w["y"] // BLOCK, w["x"] // BLOCK + 1):
                         s, e = a - BLOCK * k, a - BLOCK * k + length - BLOCK + 1
-                        out.append((w["f"], k, _name(raw[s:e]), raw[max(0, s - BLOCK + 1):s], raw[e:e + BLOCK - 1], w["x"], w["y"], w["c"]))
+                        out.append((w["f"], k, _name(raw[s:e]), raw[max(0, s - BLOCK + 1):s], raw[e:e + BLOCK - 1], w["x"], w["y"], w["c"], w["n"]))
             cols = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(cols, types.types)], schema=types)
     return run
@@ -162,7 +164,8 @@ def _cut(length: int):
                     if r["k"] < 0:
                         runs = [(r["a"] - r["x"], r["a"] - r["y"])]
                     else:
-                        runs = [(r["a"] - d, r["a"] - d) for d in (BLOCK * r["k"] + j for j in range(BLOCK) if r["mask"] >> j & 1)]
+                        runs = [(r["a"] - d, r["a"] - d) for d in (BLOCK * r["k"] + j for j in range(BLOCK) if r["mask"] >> j & 1)
+                                if r["y"] <= d <= r["x"]]
                     for lo, hi in runs:
                         edge[lo] += 1
                         edge[hi + length] -= 1
@@ -194,25 +197,30 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = group_apart(contexts, ["f"], F.count("*").alias("m")).where("m > 1").select("f")
     wanted = (contexts.join(several.hint("shuffle_merge"), "f")
               .groupBy(F.col("one.id").alias("id"), F.col("one.th").alias("th"))
-              .agg(F.collect_list(F.struct("f", "x", "y", "c", F.col("one.a").alias("a"))).alias("wanted")))
-    # 3: blocks of distances
+              .agg(F.collect_list(F.struct("f", "x", "y", "c", "n", F.col("one.a").alias("a"))).alias("wanted")))
+    # 3: blocks of distances, and their kinds
     blocks = staged(packed.join(wanted.hint("shuffle_merge"), ["id", "th"]).select("z", "wanted")
-                    .mapInArrow(_blocks(length), "f bigint, k int, core bigint, left binary, right binary, x int, y int, c bigint"), "blocks")
-    shared = group_apart(blocks, ["f", "k", "core"], F.count("*").alias("m")).where("m > 1").select("f", "k", "core")
-    # 4: the strings of the blocks that recur, by what lies around the common part
-    strings = (blocks.join(shared.hint("shuffle_merge"), ["f", "k", "core"])
-               .withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - BLOCK * F.col("k")),
-                                                     F.least(F.lit(BLOCK - 1), F.col("x") - BLOCK * F.col("k")))))
-               .select("f", "k", "core", "j", F.expr("substring(`left`, length(`left`) - j + 1, j)").alias("l"),
-                       F.expr(f"substring(`right`, 1, {BLOCK - 1} - j)").alias("r"), "x", "y", "c"))
-    strings = staged(strings, "strings")
-    again = group_apart(strings, ["f", "k", "core", "j", "l", "r"], F.count("*").alias("m")).where("m > 1").drop("m")
-    masks = (strings.join(again.hint("shuffle_merge"), ["f", "k", "core", "j", "l", "r"])
-             .groupBy(*KEY, "k").agg(F.expr("cast(sum(shiftleft(1, j)) as int)").alias("mask")))
-    once = contexts.where("n = 1").select(*KEY)
-    settled = (contexts.where("n > 1").select(*KEY, F.lit(-1).alias("k"), F.lit(0).alias("mask"))
-               .union(masks.join(once.hint("shuffle_merge"), KEY, "left_semi").select(*KEY, "k", "mask")))
-    settled = staged(settled, "settled")
+                    .mapInArrow(_blocks(length), "f bigint, k int, core bigint, left binary, right binary, x int, y int, c bigint, n bigint")
+                    .withColumns({"lo": F.greatest(F.lit(0), F.col("y") - BLOCK * F.col("k")),
+                                  "hi": F.least(F.lit(BLOCK - 1), F.col("x") - BLOCK * F.col("k")),
+                                  "g1": F.xxhash64("f", "k", "core", "left", "right"),
+                                  "g2": F.xxhash64(F.lit(1), "f", "k", "core", "left", "right")}), "blocks")
+    kinds = staged(blocks.groupBy("g1", "g2", "f", "k", "core", "left", "right")
+                   .agg(F.count("*").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "kinds")
+    several = group_apart(kinds, ["f", "k", "core"], F.count("*").alias("kinds")).where("kinds > 1").select("f", "k", "core")
+    # 4: the strings of the kinds that share their common part
+    around = ["f", "k", "core", "j", F.expr("substring(`left`, length(`left`) - j + 1, j)"), F.expr(f"substring(`right`, 1, {BLOCK - 1} - j)")]
+    strings = (kinds.join(several.hint("shuffle_merge"), ["f", "k", "core"]).withColumn("j", F.explode(F.sequence("lo", "hi")))
+               .select(F.xxhash64(*around).alias("s1"), F.xxhash64(F.lit(1), *around).alias("s2"), "g1", "g2", "j", "m"))
+    again = group_apart(strings, ["s1", "s2"], F.count("*").alias("times")).where("times > 1").select("s1", "s2")
+    masks = (strings.where("m = 1").drop("m").join(again.hint("shuffle_merge"), ["s1", "s2"])
+             .groupBy(F.struct("g1", "g2").alias("g")).agg(F.expr("cast(sum(shiftleft(1, j)) as int)").alias("mask"))
+             .select("g.g1", "g.g2", "mask")
+             .union(kinds.where("m > 1").select("g1", "g2", F.lit((1 << BLOCK) - 1).alias("mask"))))
+    part = blocks.where("n = 1").select(*KEY, "k", "g1", "g2").join(masks.hint("shuffle_merge"), ["g1", "g2"]).select(*KEY, "k", "mask")
+    settled = staged(contexts.where("n > 1").select(*KEY, F.lit(-1).alias("k"), F.lit(0).alias("mask")).union(part), "settled")
+    for done in (blocks, kinds, contexts):
+        drop_staged(done)
     spans = (live.join(settled.hint("shuffle_merge"), KEY).groupBy("id", "th")
              .agg(F.collect_list(F.struct("a", "x", "y", "k", "mask")).alias("found")))
     out = packed.join(spans.hint("shuffle_merge"), ["id", "th"], "left").select("id", "z", "found")
