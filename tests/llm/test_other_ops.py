@@ -205,13 +205,14 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in now.select("doc_id").collect()} == {i for i, _ in before}
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_quality_rules", "op6_chat_formatting", "op8_benchmark_decontamination"])
 def test_sql_twins(spark, name):
     import duckdb
     from jobmill.llm import queries
     folder = "/root/testdata/sf0.001"
     got = queries.QUERIES[name](spark, folder).toPandas()
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     want = con.execute(queries.ORACLE[name]).df()[list(got.columns)]
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, want.values.tolist()))
