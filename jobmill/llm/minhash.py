@@ -1,10 +1,10 @@
 """Near-duplicate groups by one-permutation MinHash.
 
 1. Every text becomes its set of word shingles (64-bit hashes). One permutation splits the
-   hash range into 128 bins and keeps each bin's minimum; empty bins are filled by optimal
+   hash range into 256 bins and keeps each bin's minimum; empty bins are filled by optimal
    densification (each draws bins from its own fixed random sequence until one was not
    empty). Rows with equal sets collapse into one class, represented by its smallest id.
-2. Bands of four bins give bucket keys (32 per class). A pair at similarity 0.8 shares no
+2. 32 bands of four bins give bucket keys. A pair at similarity 0.8 shares no
    bucket with a chance of (1 - 0.8^4)^32 = 5e-8.
 3. Stars: each bucket links its smallest member (the centre) with every other member, so
    pairs grow with the members. Pairs whose set sizes or signatures rule out the threshold
@@ -14,7 +14,7 @@
    components are looked at again. A shingle that no other of them has cannot be shared, so
    the rest of a set (its solid part) bounds what it has in common with any partner; members
    that cannot reach the threshold with anyone leave. Buckets that are still open get more
-   centres (1, then 4, 32, 256, ... of a bucket, by hash), each against the members of other
+   centres (1, then 4, 256, ... of a bucket, by hash), each against the members of other
    components that the bound allows, until every bucket is one component or all its members
    have been centres. Nothing is capped: a bucket of unlike members that share all their
    shingles is compared whole.
@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, column, drop_staged, group_apart, mixed, slices, staged
 
-BINS, BAND = 128, 4
+#: Bins of a signature; the first BANDS * BAND of them make the bucket keys.
+BINS, BAND, BANDS = 256, 4, 32
 NODE = "struct<id:bigint,s:bigint>"
 
 
@@ -71,11 +72,11 @@ def _probes(attempt: int) -> np.ndarray:
         return (mixed(x * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int64)
 
 
-_STARTS = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7))
+_STARTS = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 8))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 128 16-bit minima per set (zeros for an empty set)."""
+    """One row of 256 16-bit minima per set (zeros for an empty set)."""
     out = np.zeros((len(sets), BINS), np.uint16)
     full = np.zeros((len(sets), BINS), bool)
     for r, h in enumerate(sets):
@@ -83,7 +84,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             at = np.searchsorted(h, _STARTS)
             end = np.append(at[1:], len(h))
             full[r] = at < end
-            out[r] = (h[np.minimum(at, len(h) - 1)] >> np.uint64(41)).astype(np.uint16)
+            out[r] = (h[np.minimum(at, len(h) - 1)] >> np.uint64(40)).astype(np.uint16)
     open_rows = np.flatnonzero(full.any(axis=1) & ~full.all(axis=1))
     if len(open_rows):
         had, val = full[open_rows], out[open_rows]
@@ -162,30 +163,31 @@ def _confirm(k: int, percent: int):
 
 def connected(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of the edges (x, y) that is not its component's smallest."""
-    e = staged(edges.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc")
+    e = edges.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    old = None
     while True:
         both = e.union(e.select("v", "u"))
         low = group_apart(both, ["u"], F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.join(low.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                       .where("u != v").distinct(), "cc")
+        large = staged(both.join(low.hint("shuffle_merge"), "u").where("v > u and v != m")
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
         least = group_apart(large, ["u"], F.min("v").alias("m"))
         met = large.join(least.hint("shuffle_merge"), "u")
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                              F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
-        new = staged(small.where("u != v").distinct(), "cc")
-        drop_staged(e)
-        drop_staged(large)
-        e = new
-        many = e.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("r")).select("u", "n", "r")
-        root = e.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).alias("n"), F.lit(1).alias("r"))
-        odd = many.union(root).groupBy("u").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).where("n > 1 or (n > 0 and r > 0)")
-        if odd.isEmpty():
+        e = staged(small.where("u != v").distinct(), "cc")
+        for done in (old, large):
+            if done is not None:
+                drop_staged(done)
+        old = e
+        # done when every node points to one root and no root points on
+        ends = e.select("u", F.lit(1).alias("n"), F.lit(0).alias("r")).union(e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("r").alias("r")).where("n > 1 or (n > 0 and r > 0)").isEmpty():
             return e.select("u", F.col("v").alias("root"))
 
 
 def _band_keys() -> Column:
     width = 2 * BAND
-    return F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BINS // BAND)])
+    return F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not linked.isEmpty():
                 links = links.union(linked)
                 roots = connected(links)
-            lo, hi = hi, hi * 8
+            lo, hi = hi, hi * 64
     cls = nodes.select("v", "n", "s2").join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
     cls = cls.select(F.col("v.s").alias("s"), "s2", "n", F.coalesce("root", "v")["id"].alias("root"))
     rows = signed.select("id", "th", "n", "s", "s2").join(cls.hint("shuffle_merge"), ["s", "s2", "n"], "left")
@@ -276,7 +278,7 @@ def _linked(pairs: DataFrame, sigs: DataFrame, text: DataFrame, shingle: int, pe
     likely = staged(met.select("x", "y", "xs", "ys").mapInArrow(_alike(percent), pair), "likely")
     if likely.isEmpty():
         return likely
-    ids = likely.select(F.explode(F.array("x.id", "y.id")).alias("_id")).distinct()
+    ids = likely.select(F.col("x.id").alias("_id")).union(likely.select("y.id")).distinct()
     wanted = staged(text.join(ids.hint("shuffle_merge"), "_id", "left_semi"), "texts")
     both = (likely.withColumn("i", F.col("y.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("yt")).hint("shuffle_merge"), "i").drop("i")
             .withColumn("i", F.col("x.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("xt")).hint("shuffle_merge"), "i"))
