@@ -8,35 +8,39 @@ content importance is one minus the mean entropy of the blocks (a block on one p
 entropy 0, one on every page has entropy 1); a node's importance is their weighted sum.
 Branches under the threshold are removed from every page of the host.
 
-What a page says about itself goes first: head, scripts, styles, forms and elements marked as
-navigation, header, footer, sidebar, notice, advert or comments never enter the tree, and
-where a page marks its article the blocks outside do not either. Plain text elements of a
-marked article are content by definition, so copies of a page on one host do not lose them;
-the tree judges everything else, on hosts with at least ``min_pages`` pages that have the node.
+Every shown element of every page enters the tree; scripts, styles, heads and hidden elements
+are not shown. What a page says about itself is a weight on a node's importance and removes
+nothing alone: a navigation, header, footer, sidebar or form tag or role, a class or id named
+like an advert or menu, standing outside the article that the page marks, each lower it;
+standing in the marked article raises it. Two such marks outweigh any text, one leaves
+the decision to the tree.
 
 Counting is an aggregation by (host, node, block) hash with map-side combining, so a host
-with a third of all pages reaches the reducers pre-aggregated. The text stays in its row: a
-page is parsed once for the tree and once for its text, and only the places of removed blocks
-are joined back to it.
+with a third of all pages reaches the reducers pre-aggregated; a block is counted at the
+element that holds it, and the sums go up the tree. The text stays in its row: a page is
+parsed once for the tree and once for its text, and only its removed nodes are joined back.
 
 Defined results: a null or empty page has the empty text; a page without blocks too; broken
 markup (missing end tags, cut references or tags) is read as browsers do for these cases; rows
-that repeat a page are pages of their own; a null or odd URL has the empty host; other columns
+that repeat a page get a result each; a null or odd URL has the empty host; other columns
 pass through, columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, staged
+from .common import column, drop_staged, slices, staged
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -45,7 +49,7 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-NOISE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
+NOISE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
 NOISE_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adbox", "banner", "sponsor", "sponsored", "promo",
                "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer",
                "sidebar", "aside", "widget", "related", "recommended", "cookie", "cookies", "consent", "notice", "alert",
@@ -54,8 +58,11 @@ NOISE_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adbox"
                "copyright", "legal", "disclaimer", "gdpr", "paywall", "teaser"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
 ARTICLE_NAMES = {"article", "articlebody", "post", "postbody", "postcontent", "entrycontent", "maincontent", "story"}
-PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table",
-         "tbody", "thead", "tr", "td", "th", "figure", "figcaption", "section", "article", "main", "div"}
+#: Weights of a node's importance by what its element or one around it says of itself
+#: (nothing, a name, a tag or role) and by where it stands (in no marked article, in, outside).
+NAMED, TAGGED, UNSHOWN = 1, 2, 3
+MARK_WEIGHT = (1.0, 0.5, 0.35)
+PLACE_WEIGHT = (1.0, 2.0, 0.5)
 #: Start tags that end an open element of these names (up to the nearest block around it).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -64,30 +71,51 @@ ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "div
 WHITE = re.compile(r"[\s]+")
 
 
-def _node(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(style name, is it noise, does it mark the article) of a start tag."""
+@functools.lru_cache(4096)
+def _node(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """(style name, mark, does it mark the article) of a start tag."""
     at = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)} if "=" in attributes else {}
     names = f"{at.get('class', '')} {at.get('id', '')}".split()
     tokens = {t for n in names for t in (n.lower(), *re.split(r"[-_]+", n.lower()))}
     role = at.get("role", "").lower()
     article = tag in ("article", "main") or role in ("main", "article") or any(re.sub(r"[-_]", "", n.lower()) in ARTICLE_NAMES for n in names)
-    noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in ("body", "html") and not article and bool(tokens & NOISE_NAMES))
-    return ".".join([tag, *sorted(set(names))]), noise or "hidden" in attributes.lower().split(), article and not noise
+    mark = 0
+    if tag == "head" or "hidden" in attributes.lower().split():
+        mark = UNSHOWN
+    elif tag in NOISE_TAGS or role in NOISE_ROLES:
+        mark = TAGGED
+    elif tag not in ("body", "html") and not article and tokens & NOISE_NAMES:
+        mark = NAMED
+    return ".".join([tag, *sorted(set(names))]), mark, article and not mark
 
 
 class Block:
-    __slots__ = ("path", "text", "article")
+    """A text block: its style path, the marks along the path, and whether it is in an article."""
+    __slots__ = ("path", "marks", "text", "article")
 
-    def __init__(self, path: tuple[str, ...], text: str, article: bool):
-        self.path, self.text, self.article = path, text, article
+    def __init__(self, path: tuple[str, ...], marks: tuple[int, ...], text: str, article: bool):
+        self.path, self.marks, self.text, self.article = path, marks, text, article
+
+
+def _main(found: list[Block]) -> list[Block]:
+    """What the marks alone take for the main text: the blocks under no mark, of the marked
+    article if there is one."""
+    plain = [b for b in found if not (b.marks and b.marks[-1])]
+    return [b for b in plain if b.article] or plain
 
 
 def blocks(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str]]]:
-    """The text blocks outside marked noise in page order, and the child sequence of each
-    style node (repeats beside each other count once)."""
+    """The main text by the marks alone, by which copies of a page are found, and the styles."""
+    found, styles = shown(page)
+    return _main(found), styles
+
+
+def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str]]]:
+    """The shown text blocks in page order, and the child sequence of each style node (repeats
+    beside each other count once)."""
     out: list[Block] = []
     styles: dict[tuple[str, ...], list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, style name, in noise, in article
+    stack: list[tuple[str, str, int, bool]] = []  # tag, style name, highest mark so far, in article
     held: list[str] = []
     page = page or ""
 
@@ -95,9 +123,9 @@ def blocks(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[st
         if held:
             text = WHITE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
-            noise, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-            if text and not noise:
-                out.append(Block(tuple(s[1] for s in stack), text, article))
+            mark, article = (stack[-1][2], stack[-1][3]) if stack else (0, False)
+            if text and mark != UNSHOWN:
+                out.append(Block(tuple(s[1] for s in stack), tuple(s[2] for s in stack), text, article))
 
     def close_from(i: int) -> None:
         end_block()
@@ -148,74 +176,99 @@ def blocks(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[st
             while stack and stack[-1][0] == "head":
                 stack.pop()
         end_block()
-        name, noise, article = _node(tag, m[3] or "")
-        above = stack[-1] if stack else ("", "", False, False)
-        if not (noise or above[2]):
+        name, mark, article = _node(tag, m[3] or "")
+        above = stack[-1] if stack else ("", "", 0, False)
+        mark = max(mark, above[2])
+        if mark != UNSHOWN:
             children = styles.setdefault(tuple(s[1] for s in stack), [])
             if not children or children[-1] != name:
                 children.append(name)
         if tag not in VOID:
-            stack.append((tag, name, noise or above[2], article or above[3]))
+            stack.append((tag, name, mark, article or above[3]))
     end_block()
-    if any(b.article for b in out):
-        out = [b for b in out if b.article]
     return out, styles
 
 
+@functools.lru_cache(1 << 14)
+def _nodes(path: tuple[str, ...], marks: tuple[int, ...], place: int) -> tuple[tuple[int, tuple[str, ...]], ...]:
+    """(hash, path) of a block's style nodes from the innermost outwards. The page's frame
+    holds every block: it is judged by the text right in it only, as a node of its own. The
+    lowest four bits of a hash are the node's mark and place."""
+    frame = lambda name: name.split(".")[0] in ("html", "body")
+    if not path or frame(path[-1]):
+        path, marks = (*path, "#text"), (*marks, marks[-1] if marks else 0)
+    return tuple((_hash(">".join(path[:i])) & ~15 | marks[i - 1] << 2 | place, path[:i])
+                 for i in range(len(path), 0, -1) if not frame(path[i - 1]))
+
+
 def _hash(s: str) -> int:
     h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
-def _judged(b: Block) -> list[tuple[str, ...]]:
-    """The block's style nodes that the tree judges: from the innermost outwards, all but the
-    page's frame and the plain elements of a marked article."""
-    nodes = [b.path[:i] for i in range(len(b.path), 0, -1)]
-    nodes = [n for n in nodes if n[-1].split(".")[0] not in ("html", "body")]
-    if b.article:
-        nodes = [n for n in nodes if "." in n[-1] or n[-1] not in PLAIN]
-        nodes = [n for n in nodes if not _node(n[-1].split(".")[0], f'class="{" ".join(n[-1].split(".")[1:])}"')[2]]
-    return nodes
+def _judged(found: list[Block]) -> list[tuple[tuple[int, tuple[str, ...]], ...]]:
+    """The nodes of every block of a page."""
+    marked = any(b.article and not b.marks[-1] for b in found)
+    return [_nodes(b.path, b.marks, (1 if b.article else 2) if marked else 0) for b in found]
 
 
-def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, node, kind, item): one per page for each presentation style of a judged
-    node (kind 0) and each text block under it (kind 1)."""
-    for b in slices(batches, "_html"):
-        rows: list[tuple[str, int, int, int]] = []
-        for host, page in zip(column(b, "_host").to_pylist(), column(b, "_html").to_pylist()):
-            found, styles = blocks(page)
-            seen = set()
-            for x in found:
-                item = _hash(x.text)
-                for n in _judged(x):
-                    node = _hash(">".join(n))
-                    seen.add((host, node, 1, item))
-                    seen.add((host, node, 0, _hash(">".join(styles.get(n, ())))))
-            rows += sorted(seen)
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64()))],
-                                         names=["host", "node", "kind", "item"])
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page, place, host, node): the judged nodes of every block."""
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page with text: (_key, host, same, nodes, packed). ``same`` names its main
+    text, ``packed`` has the presentation style of each node and the element of each block."""
+    types = pa.schema([("_key", pa.int64()), ("host", pa.int64()), ("same", pa.int64()), ("nodes", pa.list_(pa.int64())), ("packed", pa.binary())])
     for b in slices(batches, "_html"):
-        rows = [(key, i, host, _hash(">".join(n)))
-                for key, host, page in zip(*(column(b, c).to_pylist() for c in ("_key", "_host", "_html")))
-                for i, x in enumerate(blocks(page)[0]) for n in _judged(x)]
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int64()))],
-                                         names=["_key", "place", "host", "node"])
+        rows = []
+        for key, host, page in zip(*(column(b, c).to_pylist() for c in ("_key", "_host", "_html"))):
+            found, styles = shown(page)
+            if not found:
+                continue
+            judged = _judged(found)
+            at = {n: path for up in judged for n, path in up}
+            place = {n: i for i, n in enumerate(at)}
+            over = {up[i][0]: up[i + 1][0] for up in judged for i in range(len(up) - 1)}
+            style = [_hash(">".join(styles.get(p, ()))) for p in at.values()]
+            items = sorted({(place[up[0][0]], _hash(x.text)) for up, x in zip(judged, found)})
+            leaf, item = zip(*items)
+            packed = struct.pack("<ii", len(at), len(items)) + b"".join(np.array(v, t).tobytes() for v, t in (
+                (list(at), "<i8"), (style, "<i8"), ([place.get(over.get(n), -1) for n in at], "<i4"), (leaf, "<i4"), (item, "<i8")))
+            same = _hash("\0".join(x.text for x in _main(found) or found))
+            rows.append((key, host, same, list(at), packed))
+        cols = list(zip(*rows)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.types)], schema=types)
+
+
+def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, up, kind, item) of a page: each node's presentation style (kind 0) and each
+    text block (kind 1); ``up`` is the node and those around it."""
+    types = pa.schema([("host", pa.int64()), ("up", pa.list_(pa.int64())), ("kind", pa.int32()), ("item", pa.int64())])
+    for b in slices(batches, "packed"):
+        rows = []
+        for host, raw in zip(column(b, "host").to_pylist(), column(b, "packed").to_pylist()):
+            n, k = struct.unpack_from("<ii", raw)
+            take, at = [], 8
+            for count, t, width in ((n, "<i8", 8), (n, "<i8", 8), (n, "<i4", 4), (k, "<i4", 4), (k, "<i8", 8)):
+                take.append(np.frombuffer(raw, t, count, at).tolist())
+                at += count * width
+            nodes, style, over, leaf, item = take
+            ups = []
+            for i in range(n):
+                up = []
+                while i >= 0:
+                    up.append(nodes[i])
+                    i = over[i]
+                ups.append(up)
+            rows += [(host, up, 0, x) for up, x in zip(ups, style)]
+            rows += [(host, ups[i], 1, x) for i, x in zip(leaf, item)]
+        cols = list(zip(*rows)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.types)], schema=types)
 
 
 def _texts(pages: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for html_, gone in pages:
         out = []
         for page, drop in zip(html_.to_pylist(), gone.to_pylist()):
-            found = blocks(page)[0]
-            kept = [b.text for i, b in enumerate(found) if i not in set(drop or ())]
-            out.append("\n\n".join(kept))
+            found, drop = shown(page)[0], set(drop or ())
+            out.append("\n\n".join(b.text for b, up in zip(found, _judged(found)) if drop.isdisjoint(n for n, _ in up)))
         yield pa.array(out, pa.string())
 
 
@@ -223,21 +276,27 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#\s]*)", 1), F.lit("")))
 
 
-def low_nodes(pages: DataFrame, threshold: float, min_pages: int, weight: float) -> DataFrame:
-    """(host, node) of the site style trees' branches under the threshold. ``weight`` is the
-    share of content in a node's importance."""
-    counts = (pages.select("_host", "_html").mapInArrow(_tree, "host string, node bigint, kind int, item bigint")
-              .groupBy("host", "node", "kind", "item").agg(F.count("*").alias("n")))
+def importances(pages: DataFrame, weight: float, min_pages: int) -> DataFrame:
+    """(host, node, m, importance) of the site style trees over rows of ``_pages``. ``weight`` is
+    the share of content in a node's importance."""
+    counts = (pages.select("host", "packed").mapInArrow(_tree, "host bigint, up array<bigint>, kind int, item bigint")
+              .groupBy("host", "up", "kind", "item").agg(F.count("*").alias("n")))
     # n log n sums give the entropies: a block on n of m pages has log_m n, styles -sum p log_m p
-    per = counts.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("m"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n")).otherwise(0.0)).alias("nlogn"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("blocks"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n")).otherwise(0.0)).alias("spread"))
+    own = counts.groupBy("host", "up").agg(*[
+        F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0)).alias(name) for name, kind, x in (
+            ("m", 0, F.col("n")), ("nlogn", 0, F.col("n") * F.log("n")), ("blocks", 1, F.col("n")), ("spread", 1, F.col("n") * F.log("n")))])
+    itself = F.col("node") == F.col("up")[0]
+    per = own.select("*", F.explode("up").alias("node")).groupBy("host", "node").agg(
+        F.sum(F.when(itself, F.col("m")).otherwise(0.0)).alias("m"), F.sum(F.when(itself, F.col("nlogn")).otherwise(0.0)).alias("nlogn"),
+        F.sum("blocks").alias("blocks"), F.sum("spread").alias("spread"))
     log_m = F.log("m")
-    shown = F.greatest(F.lit(0.0), 1 - F.col("nlogn") / (F.col("m") * log_m))
+    styles = F.greatest(F.lit(0.0), 1 - F.col("nlogn") / (F.col("m") * log_m))
     content = 1 - F.least(F.lit(1.0), F.col("spread") / (F.col("blocks") * log_m))
-    return per.where(F.col("m") >= min_pages).where((1 - weight) * shown + weight * content < threshold).select("host", "node")
+    here = (1 - weight) * styles + weight * content
+    out = per.where(F.col("m") >= min_pages).select("host", "node", "m", here.alias("here"))
+    code = lambda values, shift: F.element_at(F.array(*map(F.lit, values)), (F.shiftright("node", shift).bitwiseAND(3) + 1).cast("int"))
+    place = F.when((F.shiftright("node", 2).bitwiseAND(3) > 0) & (F.col("node").bitwiseAND(3) == 1), 1.0).otherwise(code(PLACE_WEIGHT, 0))
+    return out.select("host", "node", "m", (code(MARK_WEIGHT, 2) * place * F.col("here")).alias("importance"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = 0.3,
@@ -246,10 +305,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", thre
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     key = F.xxhash64(F.coalesce(pages[url_col], F.lit("")), F.coalesce(pages[html_col], F.lit("")))
     rows = pages.select(*[pages[c].alias(f"in_{c}") for c in rest if c != html_col], pages[html_col].alias("_html"),
-                        host_of(pages[url_col]).alias("_host"), key.alias("_key"))
-    low = staged(low_nodes(rows, threshold, min_pages, weight), "nodes")
-    places = rows.select("_key", "_host", "_html").mapInArrow(_places, "_key bigint, place int, host string, node bigint")
-    gone = places.join(low.hint("shuffle_merge"), ["host", "node"]).groupBy("_key").agg(F.collect_set("place").alias("gone"))
+                        F.xxhash64(host_of(pages[url_col])).alias("_host"), key.alias("_key"))
+    parsed = staged(rows.select("_key", "_host", "_html").mapInArrow(
+        _pages, "_key bigint, host bigint, same bigint, nodes array<bigint>, packed binary"), "pages")
+    low = staged(importances(parsed, weight, min_pages).where(F.col("importance") < threshold).select("host", "node"), "nodes")
+    has = parsed.select("_key", "host", F.explode("nodes").alias("node"))
+    gone = staged(has.join(low.hint("shuffle_merge"), ["host", "node"]).groupBy("_key").agg(F.collect_set("node").alias("gone")), "gone")
+    drop_staged(parsed)
     out = rows.join(gone.hint("shuffle_merge"), "_key", "left")
     out = out.withColumn("text", F.arrow_udf(_texts, "string")("_html", "gone"))
     back = [F.col("_html").alias(c) if c == html_col else F.col(f"in_{c}").alias(c) for c in rest]

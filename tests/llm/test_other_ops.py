@@ -106,6 +106,18 @@ def test_site_style_tree(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_articles_and_names(spark):
+    """Plain elements of a marked article are judged too, and one name alone removes nothing."""
+    rng = random.Random(31)
+    def page(k):
+        return (f"<html><body><nav><ul><li>{prose(rng, 3, 10 ** 6)}</ul></nav><article><h1>{prose(rng, 4, 10 ** 6)}</h1>"
+                f"<section><p>Subscribe to our news</p></section><p>{prose(rng, 20, 10 ** 6)}</p>"
+                f"<div class='search-results'><p>own {prose(rng, 9, 10 ** 6)}</p></div></article></body></html>")
+    df = make(spark, [(k, "http://a.example/", page(k)) for k in range(30)], "page_id bigint, url string, html string")
+    for r in html_extract.extract(df).collect():
+        assert len(r["text"].split("\n\n")) == 3 and "Subscribe" not in r["text"] and "\n\nown " in r["text"]
+
+
 def labelled(rng, n):
     docs, labels = [], []
     for i in range(n):
