@@ -15,6 +15,11 @@ like an advert or menu, standing outside the article that the page marks, each l
 standing in the marked article raises it. Two such marks outweigh any text, one leaves
 the decision to the tree.
 
+Pages of a host with the same main text (the blocks that no mark speaks against) are counted
+as one, so a group of copies does not look like boilerplate. A node's importance on a host is
+averaged with that of the equally named nodes of all hosts, which counts as ``corpus_pages``
+pages: one formula for hosts of any size. A node on a single page has importance 1 by itself.
+
 Counting is an aggregation by (host, node, block) hash with map-side combining, so a host
 with a third of all pages reaches the reducers pre-aggregated; a block is counted at the
 element that holds it, and the sums go up the tree. The text stays in its row: a page is
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop_staged, slices, staged
+from .common import column, drop_staged, group_apart, slices, staged
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -276,10 +281,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#\s]*)", 1), F.lit("")))
 
 
-def importances(pages: DataFrame, weight: float, min_pages: int) -> DataFrame:
+def importances(pages: DataFrame, weight: float, corpus_pages: int) -> DataFrame:
     """(host, node, m, importance) of the site style trees over rows of ``_pages``. ``weight`` is
     the share of content in a node's importance."""
-    counts = (pages.select("host", "packed").mapInArrow(_tree, "host bigint, up array<bigint>, kind int, item bigint")
+    one = pages.groupBy("host", "same").agg(F.min("packed").alias("packed"))
+    counts = (one.select("host", "packed").mapInArrow(_tree, "host bigint, up array<bigint>, kind int, item bigint")
               .groupBy("host", "up", "kind", "item").agg(F.count("*").alias("n")))
     # n log n sums give the entropies: a block on n of m pages has log_m n, styles -sum p log_m p
     own = counts.groupBy("host", "up").agg(*[
@@ -292,15 +298,19 @@ def importances(pages: DataFrame, weight: float, min_pages: int) -> DataFrame:
     log_m = F.log("m")
     styles = F.greatest(F.lit(0.0), 1 - F.col("nlogn") / (F.col("m") * log_m))
     content = 1 - F.least(F.lit(1.0), F.col("spread") / (F.col("blocks") * log_m))
-    here = (1 - weight) * styles + weight * content
-    out = per.where(F.col("m") >= min_pages).select("host", "node", "m", here.alias("here"))
+    here = F.when(F.col("m") <= 1, 1.0).otherwise((1 - weight) * styles + weight * content)
+    per = staged(per.select("host", "node", "m", here.alias("here")), "trees")
+    # hosts with one page say nothing about what repeats
+    known = F.sum((F.col("m") - 1) * F.col("here")) / F.nullif(F.sum(F.col("m") - 1), F.lit(0.0))
+    out = per.join(group_apart(per, ["node"], known.alias("known")).hint("shuffle_merge"), "node")
     code = lambda values, shift: F.element_at(F.array(*map(F.lit, values)), (F.shiftright("node", shift).bitwiseAND(3) + 1).cast("int"))
     place = F.when((F.shiftright("node", 2).bitwiseAND(3) > 0) & (F.col("node").bitwiseAND(3) == 1), 1.0).otherwise(code(PLACE_WEIGHT, 0))
-    return out.select("host", "node", "m", (code(MARK_WEIGHT, 2) * place * F.col("here")).alias("importance"))
+    smooth = (F.col("m") * F.col("here") + corpus_pages * F.coalesce("known", "here")) / (F.col("m") + corpus_pages)
+    return out.select("host", "node", "m", (code(MARK_WEIGHT, 2) * place * smooth).alias("importance"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", threshold: float = 0.3,
-            min_pages: int = 10, weight: float = 0.9) -> DataFrame:
+            corpus_pages: int = 4, weight: float = 0.9) -> DataFrame:
     """``pages`` plus ``text`` and ``n_chars`` (its code points)."""
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     key = F.xxhash64(F.coalesce(pages[url_col], F.lit("")), F.coalesce(pages[html_col], F.lit("")))
@@ -308,7 +318,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", thre
                         F.xxhash64(host_of(pages[url_col])).alias("_host"), key.alias("_key"))
     parsed = staged(rows.select("_key", "_host", "_html").mapInArrow(
         _pages, "_key bigint, host bigint, same bigint, nodes array<bigint>, packed binary"), "pages")
-    low = staged(importances(parsed, weight, min_pages).where(F.col("importance") < threshold).select("host", "node"), "nodes")
+    low = staged(importances(parsed, weight, corpus_pages).where(F.col("importance") < threshold).select("host", "node"), "nodes")
     has = parsed.select("_key", "host", F.explode("nodes").alias("node"))
     gone = staged(has.join(low.hint("shuffle_merge"), ["host", "node"]).groupBy("_key").agg(F.collect_set("node").alias("gone")), "gone")
     drop_staged(parsed)

@@ -118,6 +118,24 @@ def test_style_tree_judges_articles_and_names(spark):
         assert len(r["text"].split("\n\n")) == 3 and "Subscribe" not in r["text"] and "\n\nown " in r["text"]
 
 
+def test_copies_do_not_lower_importance(spark):
+    """Copies on one host count once, and small hosts follow the corpus."""
+    rng = random.Random(32)
+    def page(k, own):
+        return f"<html><body><div class='content'><p>{own}</p></div><div class='x2'><p>Call us</p></div><p>{k}</p></body></html>"
+    one = prose(rng, 20, 10 ** 6)
+    rows = [(k, "http://a.example/", page("same", one)) for k in range(16)]
+    rows += [(k, "http://a.example/", page("same", prose(rng, 20, 10 ** 6))) for k in range(16, 40)]
+    rows += [(k, "http://small.example/", page("same", prose(rng, 20, 10 ** 6))) for k in range(40, 44)]
+    # mostly copies
+    rows += [(k, "http://b.example/", page("same", one if k < 66 else prose(rng, 20, 10 ** 6))) for k in range(50, 70)]
+    got = html_extract.extract(make(spark, rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    html = {r[0]: r[2] for r in rows}
+    for r in got:
+        assert r["text"] == html[r["page_id"]].split("<p>")[1].split("</p>")[0]
+
+
 def labelled(rng, n):
     docs, labels = [], []
     for i in range(n):
