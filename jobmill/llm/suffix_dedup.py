@@ -74,18 +74,19 @@ def anchors(buffer: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return a[new], p[new], p[np.append(new[1:], len(p)) - 1]
 
 
-def _parts(rows: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
+def _parts(rows: Iterator[tuple[int, int, bytes]], length: int, segment: int | None = None) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
     """Buffers of about a segment: (bytes, [(id, th, offset in the document, place, starts)]).
     A longer document is cut into ranges of starts, each with the bytes that its strings need."""
+    segment = segment or SEGMENT
     held, size, where = [], 0, []
     for doc, th, raw in rows:
-        for s in range(0, len(raw) - length + 1, SEGMENT):
-            n = min(SEGMENT, len(raw) - length + 1 - s)
+        for s in range(0, len(raw) - length + 1, segment):
+            n = min(segment, len(raw) - length + 1 - s)
             piece = raw[s:s + n + length - 1]
             where.append((doc, th, s, size, n))
             held.append(piece)
             size += len(piece)
-            if size >= SEGMENT:
+            if size >= segment:
                 yield b"".join(held), where
                 held, size, where = [], 0, []
     if where:
@@ -100,23 +101,50 @@ def _bytes(b: pa.RecordBatch) -> Iterator[bytes]:
     return (t.encode("utf-8", "surrogatepass") for t in column(b, "_text").to_pylist())
 
 
-def _anchored(length: int):
+def _anchored(length: int, segment: int):
+    """Rows of ``ANCHORS``. A run of starts that the cut of a longer document divides is put
+    together again: the last run of a range waits for the next range."""
     core = length - WINDOW + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             rows = zip(column(b, "id").to_pylist(), column(b, "th").to_pylist(), _bytes(b))
-            for raw, where in _parts(rows, length):
+            held = None  # f, x, id, th, anchor, last start, bytes of a cut document's last run
+
+            def whole() -> pa.RecordBatch:
+                f, x, doc, th, at, last, raw = held
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((f, x, at - last, _name(raw), doc, th, at), ANCHORS.types)],
+                                                  schema=ANCHORS)
+
+            for raw, where in _parts(rows, length, segment):
                 starts = np.array([w[3] for w in where])
                 a, lo, hi = anchors(raw, starts, np.array([w[4] for w in where]))
                 at = np.searchsorted(starts, lo, side="right") - 1
                 place = np.array([w[2] - w[3] for w in where])
                 f = [_name(raw[i:i + core]) for i in a.tolist()]
-                c = [_name(raw[i:j + length]) for i, j in zip(lo.tolist(), hi.tolist())]
+                first, last = 0, len(a)
+                if held:
+                    if where[0][2] and a[0] + place[0] == held[4]:
+                        held = (*held[:5], int(hi[0] + place[0]), held[6] + raw[lo[0] + length - 1:hi[0] + length])
+                        first = 1
+                    if first < last or where[0][4] < segment:
+                        yield whole()
+                        held = None
+                # a range of full size may go on in the next one
+                if first < last and where[-1][4] == segment:
+                    last -= 1
+                    doc, th, _, _, _ = where[-1]
+                    held = (f[last], int(a[last] - lo[last]), doc, th, int(a[last] + place[-1]), int(hi[last] + place[-1]),
+                            raw[lo[last]:hi[last] + length])
+                part = slice(first, last)
+                c = [_name(raw[i:j + length]) for i, j in zip(lo[part].tolist(), hi[part].tolist())]
+                a, lo, hi, at = a[part], lo[part], hi[part], at[part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(f, pa.int64()), pa.array(a - lo, pa.int32()), pa.array(a - hi, pa.int32()), pa.array(c, pa.int64()),
+                    [pa.array(f[part], pa.int64()), pa.array(a - lo, pa.int32()), pa.array(a - hi, pa.int32()), pa.array(c, pa.int64()),
                      pa.array(np.array([w[0] for w in where])[at], pa.int64()), pa.array(np.array([w[1] for w in where])[at], pa.int32()),
                      pa.array(a + place[at], pa.int64())], schema=ANCHORS)
+            if held:
+                yield whole()
     return run
 
 
@@ -180,14 +208,16 @@ def _cut(length: int):
     return run
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
+                     segment: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_bytes``, ``spans`` (removed bytes, start to end
-    exclusive, maximal runs) and ``kept`` (the other bytes). ``length`` is over ``WINDOW + GRAM``."""
+    exclusive, maximal runs) and ``kept`` (the other bytes). ``length`` is over ``WINDOW + GRAM``;
+    ``segment`` is how many starts of a text are worked on at a time (``SEGMENT``)."""
     if length < WINDOW + GRAM:
         raise ValueError(f"length must be at least {WINDOW + GRAM}")
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("th"), text.alias("_text"))
-    found = rows.mapInArrow(_anchored(length), "f bigint, x int, y int, c bigint, id bigint, th int, a bigint")
+    found = rows.mapInArrow(_anchored(length, segment or SEGMENT), "f bigint, x int, y int, c bigint, id bigint, th int, a bigint")
     packed = rows.mapInArrow(_packed, "id bigint, th int, z binary")
     # 1: classes of the common part
     twice = group_apart(found.select("f"), ["f"], F.count("*").alias("n")).where("n > 1").select("f")

@@ -81,6 +81,18 @@ def test_repeated_strings_in_long_texts(spark, monkeypatch):
     same(suffix_dedup.repeated_strings_digest(make(spark, rows)), brute.repeated_strings(rows))
 
 
+@pytest.mark.parametrize("segment", [97, 700, 1501])
+def test_a_cut_text_keeps_its_unique_bytes(spark, segment):
+    """A run of starts over a segment's end is one run, whatever the segment."""
+    rng = random.Random(61)
+    a = prose(rng, 900, 10 ** 6)
+    rows = [(1, a), (2, a[2000:4100] + prose(rng, 500, 10 ** 6)), (3, prose(rng, 700, 10 ** 6)), (4, "z" * 3000), (5, "short")]
+    got = suffix_dedup.repeated_strings(make(spark, rows), segment=segment)
+    out = [(r["id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["spans"]), len(r["spans"]), brute.sha(bytes(r["kept"]))) for r in got.collect()]
+    assert sorted(out) == sorted(brute.repeated_strings(rows))
+    assert dict((r[0], r[2]) for r in out)[3] == 0
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_groups(spark, family, k):
     got = minhash.near_duplicates(make(spark, family), shingle=k).select("id", "n", "component", "kept")
