@@ -145,14 +145,17 @@ def locations(text, is_lower: bool = False) -> Column:
 
 
 def profile_from_text(df: DataFrame, text_col: str, name_col: str,
-                      add_intern_variants: bool = True) -> DataFrame:
-    """One generated profile per text row (PROFILE_SCHEMA columns)."""
+                      add_intern_variants: bool = True, max_skills: int | None = MAX_SKILLS) -> DataFrame:
+    """One generated profile per text row (PROFILE_SCHEMA columns); ``max_skills`` is the
+    source tool's, None keeps all skills."""
     df = lower_stage(df, text_col)
     lt = F.col("_lt")
     r = _roles_with_variants(lt, True) if add_intern_variants else roles(lt, True)
     locs = locations(lt, True)
+    found = skills(lt, is_lower=True)
+    found = found if max_skills is None else F.slice(found, 1, max_skills)
     # Stage the text-derived arrays as columns first so each regex runs once per row.
-    df = df.select("*", r.alias("_r"), locs.alias("_l"), F.slice(skills(lt, is_lower=True), 1, MAX_SKILLS).alias("_s"))
+    df = df.select("*", r.alias("_r"), locs.alias("_l"), found.alias("_s"))
     desired, locs = F.col("_r"), F.col("_l")
     desired = F.when(F.size(desired) > 0, desired).otherwise(F.array(*[F.lit(x) for x in DEFAULT_ROLES]))
     locs = F.when(F.size(locs) > 0, locs).otherwise(F.array(F.lit("Remote")))

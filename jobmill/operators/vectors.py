@@ -107,9 +107,9 @@ def vector_match_without_provider(postings: DataFrame, order_col: str, posting_k
 
 
 def highlights(p, title="title", description="description_text", location="location",
-               remote="remote_type") -> Column:
+               remote="remote_type", most: int | None = 5) -> Column:
     """V05 for a literal profile: keyword substrings, first role in title, first
-    location, remote equality; at most 5."""
+    location, remote equality; at most ``most`` (5 as in the source tool, None keeps all)."""
     t = F.lower(F.concat_ws(" ", _c(title), F.coalesce(_c(description), F.lit("")),
                             F.coalesce(_c(location), F.lit(""))))
     items = [F.when(t.contains(k.lower()), F.lit(f"Contains: {k}")) for k in p.must_have_keywords]
@@ -131,7 +131,8 @@ def highlights(p, title="title", description="description_text", location="locat
                             F.concat(F.lit("Remote: "), _c(remote))))
     if not items:
         return F.array().cast("array<string>")
-    return F.slice(F.array_compact(F.array(*items)), 1, 5)
+    found = F.array_compact(F.array(*items))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def profile_text_plain(p) -> str:
@@ -155,15 +156,20 @@ def profile_text_labelled(p) -> str:
 
 def posting_embed_text(title="title", department="department", location="location",
                        remote="remote_type", description="description_text",
-                       requirements="requirements") -> Column:
-    """title, Department, Location, Work style, description[:2000], first 10
-    requirements."""
+                       requirements="requirements", description_chars: int | None = None,
+                       max_requirements: int | None = None) -> Column:
+    """title, Department, Location, Work style, description, requirements, whole unless a
+    bound is given (the source tool's embedding input has 2000 characters and 10)."""
     def lab(label, c):
         return F.when(_c(c).isNotNull() & (_c(c) != ""), F.concat(F.lit(label), _c(c)))
+    reqs, text = _c(requirements), _c(description)
+    if max_requirements is not None:
+        reqs = F.slice(reqs, 1, max_requirements)
+    if description_chars is not None:
+        text = F.substring(text, 1, description_chars)
     req = F.when(F.size(F.coalesce(_c(requirements), F.array())) > 0,
-                 F.concat(F.lit("Requirements: "), F.array_join(F.slice(_c(requirements), 1, 10), ", ")))
-    desc = F.when(_c(description).isNotNull() & (_c(description) != ""),
-                  F.substring(_c(description), 1, 2000))
+                 F.concat(F.lit("Requirements: "), F.array_join(reqs, ", ")))
+    desc = F.when(_c(description).isNotNull() & (_c(description) != ""), text)
     return F.concat_ws(" ", _c(title), lab("Department: ", department), lab("Location: ", location),
                        lab("Work style: ", remote), desc, req)
 
@@ -177,9 +183,14 @@ def attach_embeddings(df: DataFrame, key_col: str, embeddings: DataFrame, emb_ke
 def embed_with(df: DataFrame, text_col: str, encode, dim: int, out: str = "embedding") -> DataFrame:
     """V06 / X01 plug point for a caller's model: ``encode(list[str]) -> list[list[float]]``
     runs per Arrow batch inside the tasks (the model is the caller's; none ships here)."""
+    def whole(v) -> list[float]:
+        if len(v) > dim:
+            raise ValueError(f"vector of {len(v)} numbers, dim is {dim}")
+        return list(map(float, v))
+
     def run(texts: pd.Series) -> pd.Series:
         vecs = encode([t if t is not None else "" for t in texts.tolist()])
-        return pd.Series([list(map(float, v))[:dim] if v is not None else None for v in vecs])
+        return pd.Series([whole(v) if v is not None else None for v in vecs])
 
     udf = F.pandas_udf(run, T.ArrayType(T.FloatType()))
     return df.withColumn(out, udf(F.col(text_col)))

@@ -12,15 +12,15 @@ from ..sources.ats import read_stored_postings
 from ..store.jobs import JobStore, unseen_top
 
 
-def match(jobs: DataFrame, companies: DataFrame | None, profiles, as_of, *, limit: int = 100,
+def match(jobs: DataFrame, companies: DataFrame | None, profiles, as_of, *, limit: int | None = None,
           min_score: float | None = 0.3, since=None) -> DataFrame:
-    """Score the ``limit`` best unnotified stored jobs; keep >= threshold, best first."""
+    """Score the unnotified stored jobs (with ``limit``, that many of the best); keep >= threshold, best first."""
     top = unseen_top(jobs, None, limit, since)
     postings = read_stored_postings(top, companies)
     return scoring.score_batch(postings, profiles, as_of, min_score=min_score, order_col="id")
 
 
-def notify(store: JobStore, companies: DataFrame | None, profiles, as_of, *, limit: int = 50,
+def notify(store: JobStore, companies: DataFrame | None, profiles, as_of, *, limit: int | None = None,
            mode: str = "push", target: str = "jobs"):
     """Messages and digest for the best unnotified jobs above each profile's own
     threshold, then mark them notified. Returns (messages, digest, notifications).

@@ -118,11 +118,13 @@ def mark_notified_frames(stored: DataFrame, ids: DataFrame, mode: str, target: s
     return snap, notes
 
 
-def unseen_top(stored: DataFrame, companies: DataFrame | None, limit: int, since=None) -> DataFrame:
+def unseen_top(stored: DataFrame, companies: DataFrame | None, limit: int | None, since=None) -> DataFrame:
     """P06 + T02 + J01: not yet notified (optionally first seen since), best stored
-    score first (ties by id), at most ``limit``, with the company row."""
+    score first (ties by id), at most ``limit`` (None: all, in no order), with the company row."""
     from ..operators.filters import maybe_broadcast, unseen
-    top = unseen(stored, since).orderBy(F.desc("score"), F.col("id")).limit(limit)
+    top = unseen(stored, since)
+    if limit is not None:
+        top = top.orderBy(F.desc("score"), F.col("id")).limit(limit)
     if companies is None:
         return top
     return top.join(maybe_broadcast(companies), "company_id", "left")

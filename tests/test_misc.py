@@ -65,3 +65,24 @@ def test_prefer_per_key(spark):
     pref = F.struct((F.col("company") != "").alias("has"), (-F.col("pos")).alias("neg"))
     out = dedup.prefer_per_key(df, ["id"], pref).first()
     assert out["company"] == "Acme"
+
+
+def test_caps_are_arguments(spark):
+    """Nothing is cut unless a bound is given, or where the source tool's result is cut."""
+    import pytest
+    many = [f"r{i}" for i in range(15)]
+    df = spark.createDataFrame([("t", "d", "l", "remote", "x" * 3000, many)],
+                               "title string, department string, location string, remote_type string, description_text string, requirements array<string>")
+    whole, cut = df.select(vectors.posting_embed_text(), vectors.posting_embed_text(description_chars=2000, max_requirements=10)).first()
+    assert "x" * 3000 in whole and whole.endswith("r14") and "x" * 2001 not in cut and cut.endswith("r9")
+    text = spark.createDataFrame([("a", " ".join(t for t in profiles.TECHNICAL_SKILLS if t.isalpha()))], "name string, text string")
+    assert len(profiles.profile_from_text(text, "text", "name").first()["must_have_keywords"]) == 10
+    assert len(profiles.profile_from_text(text, "text", "name", max_skills=None).first()["must_have_keywords"]) > 20
+    with pytest.raises(Exception, match="vector of 3 numbers"):
+        vectors.embed_with(text, "text", lambda texts: [[1.0, 2.0, 3.0] for _ in texts], dim=2).collect()
+
+
+def test_match_scores_every_unseen_job(spark):
+    from jobmill.store.jobs import unseen_top
+    jobs = spark.range(130).selectExpr("id", "cast(id as double) as score", "cast(null as timestamp) as notified_at")
+    assert unseen_top(jobs, None, None).count() == 130
