@@ -193,7 +193,8 @@ def _band_keys() -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``id``, a hash of its text (``th``), its set size (``n``),
-    the smallest id that can be reached (``component``) and whether that is its own (``kept``)."""
+    the smallest id that can be reached (``component``), whether that is its own (``kept``), and
+    the name of its group (``group``, null for a text without shingles)."""
     text = docs.select(F.coalesce(docs[id_col], F.lit(NO_ID)).alias("_id"), docs[text_col].alias("_text"))
     signed = staged(text.withColumn("_th", F.xxhash64("_text")).mapInArrow(_signer(shingle), "id bigint, th bigint, n bigint, s bigint, s2 bigint, sig binary"), "oph")
     nodes = staged(signed.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
@@ -234,11 +235,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 roots = connected(links)
             lo, hi = hi, hi * 64
     cls = nodes.select("v", "n", "s2").join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
-    cls = cls.select(F.col("v.s").alias("s"), "s2", "n", F.coalesce("root", "v")["id"].alias("root"))
+    cls = cls.select(F.col("v.s").alias("s"), "s2", "n", F.coalesce("root", "v").alias("group"), F.coalesce("root", "v")["id"].alias("root"))
     rows = signed.select("id", "th", "n", "s", "s2").join(cls.hint("shuffle_merge"), ["s", "s2", "n"], "left")
     return rows.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "th", "n",
                        F.nullif(F.coalesce("root", "id"), F.lit(NO_ID)).alias("component"),
-                       (F.coalesce("root", "id") == F.col("id")).alias("kept"))
+                       (F.coalesce("root", "id") == F.col("id")).alias("kept"), "group")
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -289,11 +290,26 @@ def _linked(pairs: DataFrame, sigs: DataFrame, text: DataFrame, shingle: int, pe
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that resemble one with a smaller id."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = groups.where("not kept").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_th"])
-    return docs.join(gone.hint("shuffle_merge"), same, "left_anti")
+    """One row of each group of ``docs``: the smallest id (a missing one comes last), of its
+    rows the smallest text hash, of equal (id, text) the smallest hash of the whole row. Texts
+    without shingles have no group and stay."""
+    groups = staged(near_duplicates(docs, id_col, text_col, shingle, percent).where("group is not null")
+                    .groupBy("group", F.coalesce("id", F.lit(NO_ID)).alias("id"), "th").agg(F.count("*").alias("m")), "groups")
+    first = group_apart(groups, ["group"], F.min(F.struct("id", "th")).alias("one"))
+    rows = groups.join(first.hint("shuffle_merge"), "group").select(
+        F.col("id").alias("_id"), F.col("th").alias("_th"), "m", (F.struct("id", "th") == F.col("one")).alias("one"))
+    same = lambda keys: ((F.coalesce(docs[id_col], F.lit(NO_ID)) == keys["_id"])
+                         & (F.xxhash64(docs[text_col]) == keys["_th"]))
+    out = rows.where("not one or m > 1")
+    several = staged(rows.where("one and m > 1").select("_id", "_th"), "several")
+    kept = docs.join(out.hint("shuffle_merge"), same(out), "left_anti")
+    if several.isEmpty():
+        return kept
+    row = F.struct(*[docs[c] for c in docs.columns])
+    again = (docs.join(several.hint("shuffle_merge"), same(several), "left_semi")
+             .groupBy(F.coalesce(docs[id_col], F.lit(NO_ID)).alias("_by"), F.xxhash64(docs[text_col]).alias("_th"))
+             .agg(F.min_by(row, F.xxhash64(row)).alias("_row")))
+    return kept.unionByName(again.select("_row.*"))
 
 
 def near_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -120,6 +120,16 @@ def test_near_dedup_rows(spark):
     assert got == {(5, "b"), (5, "c"), (9, None)}
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    """Rows that repeat an id, and groups without any id."""
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(3, one, "x"), (3, one, "y"), (3, one, "x"), (3, one + " end", "z"), (4, one, "w"), (None, one, "v"),
+            (None, two, "u"), (None, two, "u"), (None, two + " end", "t"), (None, None, "s"), (None, None, "s"), (8, "", "r")]
+    got = [tuple(r) for r in minhash.near_dedup(make(spark, rows, "doc_id bigint, text string, source string")).collect()]
+    assert len([r for r in got if r[0] == 3]) == 1 and len([r for r in got if r[0] is None and r[1]]) == 1
+    assert sorted((r[0] or 0, r[2]) for r in got if not r[1]) == [(0, "s"), (0, "s"), (8, "r")] and len(got) == 5
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(500)]
