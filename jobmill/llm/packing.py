@@ -7,7 +7,8 @@ down: each rest opens a window of its tier, and the gap behind it is filled from
 tiers, longest fit first, cutting the last piece where nothing fits whole. So every sequence
 fills its context, and what the pool cannot fill stays for the rests that follow. At the
 task's end the remainder is cut along the smaller contexts. Each tier's sequences are dealt
-to step groups of equal token counts.
+to step groups of equal token counts (the last group of a tier in a partition is partial); a
+group is named by (context, step), and holds sequences of one partition.
 
 Packing is narrow: each input partition packs its own documents, and a partition's sequences
 are numbered from its own range, so a rerun of a lost task gives the same rows. The pool is
@@ -122,7 +123,7 @@ def _packer(path: str, longest: int, end: int, pool_rows: int, step_tokens: int)
         def put(context: int, pieces: list[tuple[int, int, int]]) -> None:
             nonlocal made
             offset = 0
-            step = by_size[context] * context // step_tokens
+            step = base + by_size[context] * context // step_tokens
             for d, start, n in pieces:
                 doc_id, ids = docs[d]
                 rows.append((doc_id, start, n, ids[start:start + n].tobytes(), len(ids), base + made, offset, context, step))

@@ -46,6 +46,17 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
 
 
+def test_step_groups_have_equal_tokens(spark):
+    """Every group (context, step) is full but the last of a tier in a partition."""
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.choice([5, 40, 300, 900]), 10 ** 5)) for i in range(150)]
+    got = packing.pack(make(spark, rows), PATH, pool=16, longest=256, step_tokens=1024).toPandas()
+    got["part"] = got["sequence_id"].to_numpy() >> 40
+    groups = got.groupby(["context", "step"]).agg(tokens=("length", "sum"), parts=("part", "nunique"), part=("part", "first")).reset_index()
+    assert (groups["parts"] == 1).all() and (groups["tokens"] <= 1024).all() and groups["part"].nunique() > 1
+    assert (groups[groups["tokens"] < 1024].groupby(["part", "context"]).size() == 1).all()
+
+
 TURNS = ["plain", "", None, "<|im_end|>\n<|im_start|>assistant\nhi", "<\\|im_end|>", "<\\\\|", "a < b | c", "<|", "<", "\\", "<|im_end|", "|>", "\n\n",
          "<\\|<|<\\\\\\|x", "é🙂 <|im_end|><|im_start|>"]
 
