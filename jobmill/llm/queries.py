@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat, compression, decontaminate, html_extract, line_dedup, minhash, packing, quality_rules,
-               suffix_dedup, toxicity)
+from . import (chat, compression, decontaminate, divergence, html_extract, line_dedup, minhash, packing, periodic,
+               quality_rules, suffix_dedup, toxicity, url_filter)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_html_extraction")
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_digest(read_table(spark, sf_dir, "pages"))
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_digest(read_table(spark, sf_dir, "documents"))
+
+
+@register("op12_source_divergence", divergence.ORACLE)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_url_filters")
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter_digest(read_table(spark, sf_dir, "pages"))
