@@ -62,15 +62,20 @@ def rule_column(rules: Sequence[tuple[str, str, str]], host: Column, path: Colum
     return out
 
 
-def grams(host: Column, path: Column, buckets: int, sizes: Sequence[int]) -> Column:
-    """The different hashed n-grams of both parts, each part between marks of its own, ascending."""
-    def part(text: Column, mark: str) -> Column:
-        whole = F.concat(F.lit(mark), text, F.lit("\x02"))
-        return F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - (k - 1), F.lit(1))),
-                        lambda i, k=k: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, F.lit(k))), F.lit(buckets)).cast("int"))
-            for k in sizes]))
-    return F.array_sort(F.array_distinct(F.concat(part(host, "\x00"), part(path, "\x01"))))
+def with_characters(df: DataFrame) -> DataFrame:
+    """``df`` with the characters of its ``host`` and ``path`` as arrays, each between marks of its
+    own: a place in an array is found at once, in a long string only by counting."""
+    def one(c: str, mark: str) -> Column:
+        return F.split(F.concat(F.lit(mark), F.col(c), F.lit("\x02")), "")
+    return df.select("*", one("host", "\x00").alias("_h"), one("path", "\x01").alias("_p"))
+
+
+def grams(buckets: int, sizes: Sequence[int]) -> Column:
+    """The different hashed n-grams of both character arrays, ascending."""
+    def part(chars: str, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - k, F.lit(0))),
+                           lambda i: F.pmod(F.xxhash64(F.lit(chars), *[F.get(chars, i + o) for o in range(k)]), F.lit(buckets)).cast("int"))
+    return F.array_sort(F.array_distinct(F.concat(*[part(c, k) for c in ("_h", "_p") for k in sizes])))
 
 
 def _sum(marks: Column, weights: list[float]) -> Column:
@@ -89,7 +94,9 @@ def fit(labelled: DataFrame, buckets: int = 4096, sizes: Sequence[int] = (3, 4),
     """``buckets`` weights and a constant, by full-batch descent with a step per weight that
     shrinks with the gradients it has seen. ``labelled`` is small: it is read once per step."""
     known = labelled.where("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").cast("int").alias("y"))
-    rows = staged(known.select("y", grams(*host_and_path(F.col("url")), buckets, sizes).alias("x")), "urls")
+    host, path = host_and_path(F.col("url"))
+    parts = with_characters(known.select("y", host.alias("host"), path.alias("path")))
+    rows = staged(parts.select("y", grams(buckets, sizes).alias("x")), "urls")
     many = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     weights, seen = [0.0] * (buckets + 1), [0.0] * (buckets + 1)
     if len(many) < 2:
@@ -144,8 +151,8 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled
     host, path = host_and_path(pages[url_col])
     parts = pages.select(row.alias("_row"), host.alias("host"), path.alias("path"))
     host, path = F.col("host"), F.col("path")
-    judged = parts.select("*", rule_column(rules, host, path, 0).alias("rule"), rule_column(rules, host, path, 1).alias("_v"),
-                          _probability(grams(host, path, buckets, sizes), weights).alias("block_score"))
+    judged = with_characters(parts).select("*", rule_column(rules, host, path, 0).alias("rule"), rule_column(rules, host, path, 1).alias("_v"),
+                          _probability(grams(buckets, sizes), weights).alias("block_score"))
     model = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
     return judged.select(*[F.col("_row")[c].alias(c) for c in rest], *MADE[:4], F.coalesce("_v", model).alias("verdict"))
 

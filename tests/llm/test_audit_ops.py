@@ -260,8 +260,13 @@ def test_regression_against_plain_descent(spark):
     rows = [(f"http://{rng.choice(['shop', 'spam', 'pills'])}{i}.org/{rng.choice(['buy', 'news'])}/{i}", None) for i in range(120)]
     rows = [(u, int("pills" in u or "spam" in u)) for u, _ in rows]
     labelled = make(spark, rows + rows[:5] + [(None, 1), ("http://x.org", None)], "url string, label int")
-    marks = labelled.where("url IS NOT NULL AND label IS NOT NULL").distinct().select(
-        "url", "label", url_filter.grams(*url_filter.host_and_path(F.col("url")), 512, (3, 4)).alias("x")).collect()
+    host, path = url_filter.host_and_path(F.col("url"))
+    parts = labelled.where("url IS NOT NULL AND label IS NOT NULL").distinct().select("label", host.alias("host"), path.alias("path"))
+    marks = url_filter.with_characters(parts).select("host", "path", "label", url_filter.grams(512, (3, 4)).alias("x"),
+                                                     url_filter.grams(1 << 30, (3, 4)).alias("all")).collect()
+    for r in marks:
+        whole = {(m, t[i:i + k]) for m, t in (("h", f"<{r['host']}>"), ("p", f"<{r['path']}>")) for k in (3, 4) for i in range(len(t) - k + 1)}
+        assert len(whole) == len(r["all"])
     want = regression_brute([(r["label"], r["x"]) for r in marks], 512)
     got = url_filter.fit(labelled, buckets=512)
     assert np.allclose(got, want, atol=1e-6)
