@@ -129,22 +129,79 @@ def simhash(df: DataFrame, text_col: str, group_cols: list[str], out: str = "fin
 # ---------------------------------------------------------------------------
 def _fold(hashes: np.ndarray, state, max_d: int):
     """Sequential rule on one ordered run: admit iff no state or distance > max_d;
-    admitting replaces the state. Returns (admitted flags, final state)."""
-    n = len(hashes)
+    admitting replaces the state. Returns (admitted flags, final state). Looks for the
+    next row to admit in blocks that double, so stretches of near copies are skipped at
+    array speed."""
+    hs = np.ascontiguousarray(hashes, dtype=np.int64).view(np.uint64)
+    n = len(hs)
     admitted = np.zeros(n, dtype=bool)
-    s = None if state is None else int(state) & _MASK
-    prev = None
-    for i in range(n):
-        h = int(hashes[i]) & _MASK
-        if prev is not None and h == prev:
-            continue  # equal to the previous row: never admitted (exact shortcut)
-        prev = h
-        if s is None or (s ^ h).bit_count() > max_d:
-            admitted[i] = True
-            s = h
+    s, i, step = None if state is None else int(state) & _MASK, 0, 1
+    while i < n:
+        if s is None:
+            far = 0
+        else:
+            far = np.flatnonzero(np.bitwise_count(hs[i:i + step] ^ np.uint64(s)) > max_d)[:1]
+            if not far.size:
+                i, step = i + step, min(2 * step, 1 << 16)
+                continue
+            far = int(far[0])
+        i, step = i + far, 1
+        admitted[i] = True
+        s = int(hs[i])
+        i += 1
     return admitted, s
 
 
+def _distance(a: int, b: int) -> int:
+    return ((a ^ b) & _MASK).bit_count()
+
+
+class _Segment:
+    """What a segment does with any state carried into it, as far as a few numbers tell:
+    its first fingerprint, the largest distance from it, the final state after admitting
+    the first row, and whether two neighbours are more than 2 * max_d apart.
+
+    * A state is within max_d of the last row it did not admit, so a row more than
+      2 * max_d from the row before it is always admitted: from there on the fold does not
+      depend on what came in (``fixed``).
+    * A state farther than max_d from the first row admits it.
+    * A state s with distance(s, first) + radius <= max_d admits nothing and goes through.
+    """
+
+    def __init__(self, first: int, radius: int, final: int, fixed: bool, max_d: int):
+        self.first, self.radius, self.final, self.fixed, self.max_d = first, radius, final, fixed, max_d
+
+    def out(self, state: int):
+        """The state after the segment, or None if only the rows can tell."""
+        near = _distance(state, self.first)
+        if self.fixed or near > self.max_d:
+            return self.final
+        return state if near + self.radius <= self.max_d else None
+
+
+def _resolve(begun: int, segments: dict, known: dict, guesses: int = 8):
+    """Walk a key's segments from ``begun``, the state after the first one. Returns (entry states, as far
+    as they are certain, None where not; questions {segment: states to fold it from}). Past a
+    segment that cannot be told, the walk goes on with every state it may give (at most
+    ``guesses``), so that one pass over the rows answers for many segments at once."""
+    entry, asked = {}, {}
+    states, certain = [begun], True
+    for pid in sorted(segments)[1:]:
+        entry[pid] = states[0] if certain else None
+        after = []
+        for s in states:
+            t = segments[pid].out(s)
+            t = known.get((pid, s)) if t is None else t
+            if t is None:
+                asked.setdefault(pid, []).append(s)
+                certain = False
+                after += [s, segments[pid].final, *(v for (p, _), v in known.items() if p == pid)]
+            else:
+                after.append(t)
+        states = list(dict.fromkeys(after))[:guesses]
+    return entry, asked
+
+
 def _seg_init(seg):
     """Carried-in state of a key (same on every row of the key), or None."""
     v = seg["_init"].iat[0]
@@ -168,12 +225,13 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     Returns (id, key, fp, admitted) for every input row (``id`` must be unique).
 
     Plan: range-partition on (key, seq) so a hot key is split into ordered segments on
-    several tasks; checkpoint the (narrow) partitioned data; fold every segment with an
-    empty entry state; then, for keys that span partitions, fold all later segments at
-    once from their predecessors' final states, and again those whose entry state
-    changed, until none does; finally fold every segment once
-    more with its resolved entry state. Only per-segment summaries (at most two per
-    partition) reach the driver."""
+    several tasks; checkpoint the (narrow) partitioned data; fold every segment once from
+    an empty state and summarise it (``_Segment``). The driver composes the summaries of a
+    key that spans partitions. They tell all of it where neighbours differ much (states are
+    forgotten) and where all rows are near copies (states go through). Between the two,
+    segments that cannot be told are folded again, from all states that may reach them at
+    once, until every entry state is known; a last pass folds each segment from its entry
+    state. Only per-segment summaries (at most two per partition) reach the driver."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     max_d = max_hamming_for(similarity)
@@ -203,10 +261,8 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
         .checkpoint(eager=True)
     base.unpersist()
 
-    summary_schema = T.StructType([
-        T.StructField("pid", T.IntegerType()), T.StructField("key", T.StringType()),
-        T.StructField("cand", T.LongType()), T.StructField("final", T.LongType()),
-        T.StructField("evaluated", T.BooleanType())])
+    first_schema = "pid int, key string, begun long, final long, first long, radius int, fixed boolean"
+    again_schema = "pid int, key string, state long, final long"
 
     def segments(it):
         """Yield (pid, key, part, is_first_run, is_last_piece) per key run piece of one
@@ -235,83 +291,74 @@ def near_dup_fold(df: DataFrame, key_col: str, seq_col: str, fp_col: str, id_col
     def _signed(x):
         return x - (1 << 64) if x is not None and x >= (1 << 63) else x
 
-    def boundary_summaries(cands: dict):
-        """Fold boundary segments: with their own carried-in state (pass 1) or with
-        each candidate entry state listed for them (later rounds)."""
+    def summaries(it):
+        """One row for the first and one for the last key run of the partition: the final state
+        from the key's carried-in state (``begun``), and what ``_Segment`` holds."""
+        cur_key, held, rows, last = None, None, [], None
+        for pid, key, part, is_first, is_last in segments(it):
+            hs = part["_fp"].to_numpy().view(np.uint64)
+            if key != cur_key:
+                cur_key, prev = key, hs[0]
+                held = {"begun": _seg_init(part), "state": None, "first": int(hs[0]), "radius": 0, "fixed": False}
+                carried = held["begun"] is not None
+            held["state"] = _fold(hs, held["state"], max_d)[1]
+            held["begun"] = _fold(hs, held["begun"], max_d)[1] if carried else held["state"]
+            held["radius"] = max(held["radius"], int(np.bitwise_count(hs ^ np.uint64(held["first"])).max()))
+            held["fixed"] |= bool((np.bitwise_count(hs ^ np.r_[prev, hs[:-1]]) > 2 * max_d).any())
+            prev = hs[-1]
+            if is_last:
+                row = (pid, key, *(_signed(_u64(held[c])) for c in ("begun", "state", "first")), held["radius"], held["fixed"])
+                if is_first:
+                    rows.append(row)
+                else:
+                    last = row         # keep only the partition's last run
+        if last is not None:
+            rows.append(last)
+        if rows:
+            yield pd.DataFrame(rows, columns=["pid", "key", "begun", "final", "first", "radius", "fixed"])
+
+    def answers(asked: dict):
+        """Final states of the segments asked for, from each of the states listed for them."""
         def run(it):
-            rows = []
-            states = None          # per-candidate running state of the current key run
-            cur_key = None
-            runs_seen = 0
-            last_summary = None
-            for pid, key, part, is_first, is_last in segments(it):
+            rows, cur_key, states = [], None, None
+            for pid, key, part, _first, is_last in segments(it):
                 if key != cur_key:
-                    cur_key, runs_seen = key, runs_seen + 1
-                    todo = cands.get((pid, key))
-                    if todo is not None:
-                        states = [(c, None if c is None else _u64(c)) for c in todo]
-                        evaluated = True
-                    elif not cands:
-                        states = [(None, _seg_init(part))]
-                        evaluated = False
-                    else:
-                        states = None
-                if states is None:
-                    continue
-                hs = part["_fp"].to_numpy()
-                states = [(c, _fold(hs, st, max_d)[1]) for c, st in states]
-                if is_last:
-                    out = [(pid, key, c, _signed(st), evaluated) for c, st in states]
-                    if evaluated:
-                        rows.extend(out)
-                    elif is_first:
-                        rows.extend(out)           # first run of the partition
-                    else:
-                        last_summary = out         # keep only the partition's last run
-                    states = None
-            if last_summary is not None:
-                rows.extend(last_summary)
+                    cur_key = key
+                    states = [(c, _u64(c)) for c in asked.get((pid, key), ())]
+                if states:
+                    hs = part["_fp"].to_numpy()
+                    states = [(c, _fold(hs, s, max_d)[1]) for c, s in states]
+                    if is_last:
+                        rows.extend((pid, key, c, _signed(s)) for c, s in states)
             if rows:
-                yield pd.DataFrame(rows, columns=["pid", "key", "cand", "final", "evaluated"])
+                yield pd.DataFrame(rows, columns=["pid", "key", "state", "final"])
         return run
 
-    # Pass 1: boundary segments with their carried-in (usually empty) state.
-    summ = ranged.mapInPandas(boundary_summaries({}), summary_schema).collect()
-    by_key: dict = {}
-    for r in summ:
-        by_key.setdefault(r["key"], []).append(r)
-    chains = {k: [r["pid"] for r in sorted(v, key=lambda r: r["pid"])] for k, v in by_key.items() if len(v) > 1}
-    spec_final = {(r["pid"], r["key"]): r["final"] for r in summ}
-    # Every continuation segment is folded at once from the best known final state of the
-    # segment before it; a segment is folded again only while that state still changes. Two
-    # folds that admit one row in common agree from there on, so states settle in a few
-    # rounds whatever the number of segments.
-    table: dict = {}                   # (pid, key, entry state) -> final state
-    final = dict(spec_final)
-    through: dict = {}                 # did the segment admit nothing when last folded?
+    chains: dict = {}                  # key -> {pid: segment}
+    begun: dict = {}                   # key -> state after its first segment
+    for r in sorted(ranged.mapInPandas(summaries, first_schema).collect(), key=lambda r: r["pid"]):
+        chains.setdefault(r["key"], {})[r["pid"]] = _Segment(r["first"], r["radius"], r["final"], r["fixed"], max_d)
+        begun.setdefault(r["key"], r["begun"])
+    chains = {k: v for k, v in chains.items() if len(v) > 1}
+    known: dict = {k: {} for k in chains}    # (pid, entry state) -> final state, of the segments asked for
     entry: dict = {}                   # entry state per continuation segment
-    rounds = 0
-    while True:
+    rounds, open_keys = 0, set(chains)
+    while open_keys:
         wanted: dict = {}
-        for k, pids in chains.items():
-            cur = spec_final[(pids[0], k)]            # the first segment is exact
-            for pid in pids[1:]:
-                entry[(pid, k)] = cur
-                if (pid, k, cur) in table:
-                    through[(pid, k)] = table[(pid, k, cur)] == cur
-                    final[(pid, k)] = cur = table[(pid, k, cur)]
-                else:
-                    wanted[(pid, k)] = [cur]
-                    # a segment that let its last entry state through may well do so again
-                    cur = cur if through.get((pid, k)) else final[(pid, k)]
+        for k in sorted(open_keys):
+            states, asked = _resolve(begun[k], chains[k], known[k])
+            wanted.update({(pid, k): ss for pid, ss in asked.items()})
+            if None not in states.values():
+                entry.update({(pid, k): st for pid, st in states.items()})
+                open_keys.discard(k)
         if not wanted:
             break
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("near_dup_fold: entry states did not settle")
-        changed = ranged.filter(F.col("_pid").isin(sorted({p for p, _ in wanted})))
-        for r in changed.mapInPandas(boundary_summaries(wanted), summary_schema).filter("evaluated").collect():
-            table[(r["pid"], r["key"], r["cand"])] = r["final"]
+        some = ranged.filter(F.col("_pid").isin(sorted({p for p, _ in wanted})))
+        for r in some.mapInPandas(answers(wanted), again_schema).collect():
+            known[r["key"]][(r["pid"], r["state"])] = r["final"]
 
     resolved = dict(entry)
     fields = [(id_col, ranged.schema["_id"].dataType, "_id"), (key_col, T.StringType(), "_key"),

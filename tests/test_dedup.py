@@ -147,17 +147,60 @@ def test_fold_incremental_state_equals_one_run(spark):
     assert got == whole
 
 
-def test_fold_identity_chain_resolves_in_few_rounds(spark):
+@pytest.mark.parametrize("parts", [23, 96, 400])
+def test_fold_identity_chain_resolves_in_few_rounds(spark, parts):
     rnd = random.Random(5)
     first = rnd.getrandbits(64)
     rows = [("hot", i, signed(first ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))) for i in range(5000)]
     rows[0] = ("hot", 0, signed(first))
     df = spark.createDataFrame(rows, "key string, seq long, fp long")
-    out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=23, max_rounds=2)
+    out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=parts, max_rounds=2)
     got = {r["seq"] for r in out.filter("admitted").collect()}
     assert got == py_fold([(k, s, f & ((1 << 64) - 1)) for k, s, f in rows])
 
 
+@pytest.mark.parametrize("kind", ["far", "near", "both", "carried"])
+def test_fold_composes_summaries_without_a_further_pass(spark, kind):
+    """Unlike neighbours, near copies, and families of near copies that are far apart: the
+    summaries tell every entry state, with a state from an earlier run too."""
+    rnd = random.Random(6)
+    base, hs = rnd.getrandbits(64), []
+    for i in range(2000):
+        if kind == "far" or kind != "near" and i % 90 == 0:
+            base = rnd.getrandbits(64)
+        hs.append(signed(base ^ (0 if kind == "far" else 1 << rnd.randrange(64))))
+    df = spark.createDataFrame([("k", i, h) for i, h in enumerate(hs)] + [("other", 3, 5)], "key string, seq long, fp long")
+    state = hs[0] ^ 3 if kind == "carried" else None
+    init = spark.createDataFrame([("k", state)], "key string, fp long") if state is not None else None
+    out = dedup.near_dup_fold(df, "key", "seq", "fp", "seq", num_partitions=60, max_rounds=0, initial=init)
+    got = {r["seq"]: r["admitted"] for r in out.where("key = 'k'").collect()}
+    want, _ = dedup._fold(np.array(hs), state, 9)
+    assert [got[i] for i in range(len(hs))] == want.tolist()
+
+
+def test_segment_tells_only_what_holds():
+    """``_Segment.out`` against a fold of the rows, over all ways in; and the plain rule itself."""
+    rnd, told = random.Random(8), 0
+    for _ in range(400):
+        bits, max_d = 12, rnd.randrange(1, 4)
+        base, spread = rnd.getrandbits(bits), rnd.randrange(1, 6)
+        hs = [base ^ sum(1 << b for b in rnd.sample(range(bits), rnd.randrange(spread))) for _ in range(rnd.randrange(1, 12))]
+        plain, s = [], None
+        for h in hs:
+            plain.append(s is None or (s ^ h).bit_count() > max_d)
+            s = h if plain[-1] else s
+        flags, final = dedup._fold(np.array(hs), None, max_d)
+        assert flags.tolist() == plain and final == s
+        far = any((a ^ b).bit_count() > 2 * max_d for a, b in zip(hs, hs[1:]))
+        seg = dedup._Segment(hs[0], max((h ^ hs[0]).bit_count() for h in hs), final, far, max_d)
+        for _ in range(40):
+            s = base ^ sum(1 << b for b in rnd.sample(range(bits), rnd.randrange(spread + 2)))
+            t = seg.out(s)
+            told += t is not None
+            assert t is None or t == dedup._fold(np.array(hs), s, max_d)[1]
+    assert told > 5000
+
+
 def test_fold_streams_runs_across_arrow_batches(spark):
     rnd = random.Random(9)
     rows, cur = [], 0
