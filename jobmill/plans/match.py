@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 
 from ..operators import reports, scoring
 from ..sources.ats import read_stored_postings
-from ..store.jobs import JobStore, unseen_top
+from ..store.changelog import ChangeLog
+from ..store.jobs import unseen_top
 
 
 def match(jobs: DataFrame, companies: DataFrame | None, profiles, as_of, *, limit: int | None = None,
@@ -20,17 +21,18 @@ def match(jobs: DataFrame, companies: DataFrame | None, profiles, as_of, *, limi
     return scoring.score_batch(postings, profiles, as_of, min_score=min_score, order_col="id")
 
 
-def notify(store: JobStore, companies: DataFrame | None, profiles, as_of, *, limit: int | None = None,
+def notify(store: ChangeLog, companies: DataFrame | None, profiles, as_of, *, limit: int | None = None,
            mode: str = "push", target: str = "jobs"):
     """Messages and digest for the best unnotified jobs above each profile's own
     threshold, then mark them notified. Returns (messages, digest, notifications).
 
-    The store is read at the version current when the flow starts, so the returned
+    The store is read as of the batch before the flow's own, so the returned
     messages and digest (evaluated lazily, after the jobs were marked) still describe
     what was notified."""
-    jobs = store.jobs(version=store.version())
+    batch = store.last_batch() + 1
+    jobs = store.jobs(before=batch)
     scored = match(jobs, companies, profiles, as_of, limit=limit, min_score=None)
     msgs = reports.messages(scored, target)
     digest = reports.digest(scored)
-    notes = store.mark_notified(scored.select("id"), mode, target, as_of)
+    notes = store.notify(scored.select("id"), mode, target, as_of, batch)
     return msgs, digest, notes

@@ -1,25 +1,17 @@
-"""Stored jobs, versions, runs, notifications and companies.
+"""Stored jobs, versions, runs, notifications and companies as frames.
 
-Plain parquet has no MERGE, so the jobs table is bucketed by id and versioned per
-bucket (see ``JobStore``): an upsert rewrites only the buckets it touches, under a new
-version, and then appends commit rows; readers take each bucket's latest committed
-version. A retried write overwrites the same (bucket, version) folders, so a lost
-executor or a replayed streaming batch never leaves a half-applied change visible.
-With a table format that has MERGE INTO, ``upsert_frames`` is the body of the MERGE.
-
-The pure DataFrame functions (``upsert_frames``, ``mark_notified_frames``...) hold
-the semantics; ``JobStore`` only adds paths."""
+The functions say what a save, a mark or a run does to whole tables; with a table format that
+has MERGE INTO, ``upsert_frames`` is the body of the MERGE. ``changelog`` keeps the same store as
+appended change rows on plain parquet."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeutil import as_timestamp
 from ..operators.dedup import first_per_key
-from ..session import path_exists, scratch_path
 
 JOB_FIELDS = ["id", "company_id", "company", "source_job_id", "source_system", "title", "location",
               "remote_type", "employment_type", "department", "team", "apply_url", "source_url",
@@ -38,8 +30,8 @@ def company_key(name_col="company"):
     return F.xxhash64(F.col(name_col) if isinstance(name_col, str) else name_col)
 
 
-def _incoming_rows(incoming: DataFrame, order_col: str | None) -> DataFrame:
-    """Posting columns in store shape; one row per id (first arrival wins)."""
+def incoming_rows(incoming: DataFrame, order_col: str | None, keep: tuple = ()) -> DataFrame:
+    """Posting columns in store shape (and those to ``keep``); one row per id (first arrival wins)."""
     have = set(incoming.columns)
     cols = []
     for f in JOBS_SCHEMA.fields:
@@ -52,7 +44,7 @@ def _incoming_rows(incoming: DataFrame, order_col: str | None) -> DataFrame:
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(name))
     scored = "final_score" in have
-    shaped = incoming.select(*cols, *( [F.col(order_col).alias("_ord")] if order_col else []),
+    shaped = incoming.select(*cols, *keep, *([F.col(order_col).alias("_ord")] if order_col else []),
                              F.lit(scored).alias("_has_scores"))
     if order_col:
         shaped = first_per_key(shaped, ["id"], "_ord").drop("_ord")
@@ -68,7 +60,7 @@ def upsert_frames(stored: DataFrame, incoming: DataFrame, as_of, order_col: str
     Known id: only updated_at = as_of and, when scores are given, score = final score;
     every other stored field is kept."""
     now = as_timestamp(as_of)
-    inc = _incoming_rows(incoming, order_col)
+    inc = incoming_rows(incoming, order_col)
     s = stored.alias("s")
     i = inc.alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
@@ -168,126 +160,3 @@ def company_upsert_frames(existing: DataFrame, names: DataFrame, config_col: str
     else:
         upd = existing.select("company_id", "name", "config_json")
     return upd.unionByName(new)
-
-
-class JobStore:
-    """Paths of a store on shared storage (default: under spark.checkpoint.dir).
-
-    Layout: ``jobs/bucket=<b>/v=<n>/`` holds version n of the rows whose
-    ``pmod(xxhash64(id), buckets) = b``; ``commits`` lists (version, bucket) pairs once
-    written. Readers take the latest committed version of every bucket (a table of at
-    most ``buckets`` rows, broadcast, so old versions are pruned at planning/run
-    time). An upsert or notification rewrites only the buckets its ids fall in, under
-    a new version, with dynamic partition overwrite: a retry rewrites the same
-    (bucket, version) folders, and nothing is visible before the commit rows exist."""
-
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 64):
-        self.spark = spark
-        self.root = (root or scratch_path(spark, "jobstore")).rstrip("/")
-        self.buckets = buckets
-
-    def _bucket(self, col: str = "id"):
-        return F.pmod(F.xxhash64(F.col(col)), F.lit(self.buckets)).cast("int")
-
-    # -- jobs snapshots ------------------------------------------------------
-    def _commits(self) -> DataFrame | None:
-        # only a missing path means "no commit yet": an unreadable one is an error
-        path = f"{self.root}/commits"
-        return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
-
-    def version(self) -> int:
-        c = self._commits()
-        if c is None:
-            return 0
-        v = c.agg(F.max("version")).first()[0]
-        return int(v or 0)
-
-    def jobs(self, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
-        """The table as of ``version`` (default: the latest commit). Pinning the
-        version makes a reader's lineage independent of later commits."""
-        c = self._commits()
-        if c is None:
-            return self.spark.createDataFrame([], JOBS_SCHEMA)
-        if version is not None:
-            c = c.filter(F.col("version") <= version)
-        latest = c.groupBy("bucket").agg(F.max("version").alias("v"))
-        if buckets is not None:
-            latest = latest.filter(F.col("bucket").isin(buckets))
-        data = self.spark.read.parquet(f"{self.root}/jobs")
-        if buckets is not None:
-            data = data.filter(F.col("bucket").isin(buckets))
-        # latest has at most `buckets` rows: a proven bound for the broadcast
-        return data.join(F.broadcast(latest), ["bucket", "v"]).select(*[f.name for f in JOBS_SCHEMA.fields])
-
-    def _commit(self, rows: DataFrame, touched: list[int], as_of, version: int) -> int:
-        prev = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            # one task per bucket: one file per (bucket, version), not tasks x buckets
-            rows.withColumn("bucket", self._bucket()).withColumn("v", F.lit(version).cast("long")) \
-                .repartition("bucket") \
-                .write.mode("overwrite").partitionBy("bucket", "v").parquet(f"{self.root}/jobs")
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-        self.spark.createDataFrame([(version, b) for b in touched], "version long, bucket int") \
-            .select("version", "bucket", as_timestamp(as_of).alias("committed_at")) \
-            .write.mode("append").parquet(f"{self.root}/commits")
-        return version
-
-    def _touched(self, ids: DataFrame) -> list[int]:
-        # at most `buckets` distinct values reach the driver
-        return sorted(r[0] for r in ids.select(self._bucket().alias("b")).distinct().collect())
-
-    def upsert(self, incoming: DataFrame, as_of, order_col: str | None = None,
-               version: int | None = None) -> DataFrame:
-        """K01 + K02 on the touched buckets only; returns the (id, is_new) changes."""
-        # the state this write starts from: the version before ours, so a replayed
-        # write (same version) never sees its own earlier attempt
-        base = (version - 1) if version else self.version()
-        v = version or (base + 1)
-        # incoming feeds four writes (bucket list, changes, snapshot, version log):
-        # cache it once (unless the caller already did) instead of recomputing it
-        owned = not incoming.is_cached
-        if owned:
-            incoming = incoming.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            touched = self._touched(incoming)
-            if not touched:
-                return self.spark.createDataFrame([], "id string, is_new boolean")
-            snap, changes = upsert_frames(self.jobs(touched, version=base), incoming, as_of, order_col)
-            changes.write.mode("overwrite").parquet(f"{self.root}/changes/v={v}")
-            self._commit(snap, touched, as_of, v)
-            version_rows(incoming, as_of).write.mode("overwrite").parquet(f"{self.root}/versions/v={v}")
-        finally:
-            if owned:
-                incoming.unpersist()
-        return self.spark.read.parquet(f"{self.root}/changes/v={v}")
-
-    def mark_notified(self, ids: DataFrame, mode: str, target: str, as_of) -> DataFrame:
-        base = self.version()
-        v = base + 1
-        touched = self._touched(ids)
-        if not touched:
-            return self.spark.createDataFrame([], "job_id string, sent_at timestamp, mode string, "
-                                                  "target string, success int")
-        snap, notes = mark_notified_frames(self.jobs(touched, version=base), ids, mode, target, as_of)
-        notes.write.mode("overwrite").parquet(f"{self.root}/notifications/v={v}")
-        self._commit(snap, touched, as_of, v)
-        return self.spark.read.parquet(f"{self.root}/notifications/v={v}")
-
-    def versions_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/versions")
-
-    def notifications(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/notifications")
-
-    # -- runs -------------------------------------------------------------------
-    def start_run(self, run_id: int, as_of) -> None:
-        run_rows_start(run_id, as_of, self.spark).write.mode("append").parquet(f"{self.root}/runs")
-
-    def complete_run(self, run_id: int, as_of, totals: DataFrame, status="completed", error=None):
-        run_rows_complete(run_id, as_of, totals, status, error).write.mode("append") \
-            .parquet(f"{self.root}/runs")
-
-    def runs(self) -> DataFrame:
-        return runs_latest(self.spark.read.parquet(f"{self.root}/runs"))

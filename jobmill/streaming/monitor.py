@@ -1,13 +1,17 @@
-"""Structured Streaming monitor (M01-M04, M06): landed posting files arrive in a folder;
-every micro-batch drops postings already stored (by source_job_id), keeps the first
-arrival per source_job_id, applies the lookback, scores against the profile, stores
-the matches (K01/K02) and writes outbox messages.
+"""Structured Streaming monitor (M01-M04, M06): landed posting files arrive in a folder. The
+stream applies the lookback and keeps the first arrival of every source job id that neither the
+store nor an earlier micro-batch has seen; optionally it drops near-duplicates per (title,
+location); every micro-batch then scores what is new, saves the matches and their companies
+(K01, K02, K06) and writes outbox messages.
 
-Exactly-once: every output of a batch is written under a path keyed by the batch id
-with overwrite, so a replayed batch (after a failure) rewrites the same files; the
-store commit for batch b is version ``base + b + 1``, where ``base`` is written once beside
-the stream checkpoint. The stream checkpoint lives on shared storage
-(``spark.checkpoint.dir``)."""
+State: seen ids and the last admitted fingerprint per key are entries of Spark's state store
+(``state``), so a batch reads and writes what it touches, not the store. The ids that the store
+held before the first start enter that state once, as a stream of their own.
+
+Exactly-once: a batch appends to the change log under number ``base + batch id + 1`` and writes
+its messages under its batch id, both with overwrite, so a replayed batch rewrites the same
+folders; ``base`` is written once beside the stream checkpoint. Checkpoints live on shared
+storage (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
@@ -16,96 +20,93 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import dedup, filters, reports, scoring
 from ..functions.text import posting_id, searchable_text
+from ..functions.timeutil import as_timestamp
+from ..operators import dedup, filters, reports, scoring
 from ..session import path_exists, scratch_path
-from ..store.jobs import JobStore
-
-
-def _near_dup_step(fresh: DataFrame, batch_id: int, state_root: str, order_col: str) -> DataFrame:
-    """Fold this batch seeded with the state left by earlier batches, keep the
-    admitted rows, write the merged state under this batch id (replays overwrite)."""
-    spark = fresh.sparkSession
-    prev = None
-    if path_exists(spark, state_root):
-        states = spark.read.parquet(state_root).filter(F.col("batch_id") < batch_id)
-        last = states.agg(F.max("batch_id")).first()[0]
-        if last is not None:
-            prev = states.filter(F.col("batch_id") == last).drop("batch_id")
-    if "id" not in fresh.columns:
-        fresh = fresh.withColumn("id", posting_id())
-    keyed = fresh.withColumn("_fkey", dedup.fuzzy_key("title", "location"))
-    fp = dedup.simhash(keyed.select("id", searchable_text().alias("_t")), "_t", ["id"], out="_fp")
-    k = keyed.select("id", "_fkey", order_col).join(fp, "id")
-    folded = dedup.near_dup_fold(k, "_fkey", order_col, "_fp", "id", initial=prev)
-    folded = folded.join(k.select("id", order_col), "id")
-    dedup.last_admitted(folded, "_fkey", "_fp", order_col, prev) \
-        .write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}")
-    return fresh.join(folded.filter("admitted").select("id"), "id", "left_semi")
-
-
-def process_batch(batch: DataFrame, batch_id: int, *, store: JobStore, profile, as_of,
-                  lookback: str | None, topic: str, order_col: str, outbox_root: str,
-                  base_version: int, near_dup_state: str | None = None) -> None:
-    # read the store as of the end of the previous batch: recomputing this batch's
-    # lineage after its own commit, or replaying the batch, gives the same rows
-    stored = store.jobs(version=base_version + batch_id)
-    fresh = filters.time_filter(batch, as_of, lookback) if lookback else batch      # M02
-    fresh = filters.drop_known(fresh, stored, key="source_job_id")                  # M03 / J03
-    fresh = dedup.first_per_key(fresh, ["source_job_id"], order_col)                # in-batch
-    if near_dup_state:
-        fresh = _near_dup_step(fresh, batch_id, near_dup_state, order_col)          # M06
-    scored = scoring.score(fresh, [profile], as_of)                                # M04
+from ..store.changelog import ChangeLog
+from .state import first_arrivals, near_dup_stream
+
+
+def process_batch(fresh: DataFrame, batch_id: int, *, store: ChangeLog, profile, as_of, topic: str, order_col: str,
+                  outbox_root: str, base: int) -> None:
+    """Score a micro-batch of new postings, save the matches, write their messages."""
+    scored = scoring.score(fresh, [profile], as_of)
     matches = scored.filter(F.col("final_score") >= F.col("min_score_threshold"))
     if "id" not in matches.columns:
         matches = matches.withColumn("id", posting_id())
     # the matches feed the store and the outbox: compute them once per micro-batch
     matches = matches.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        store.upsert(matches, as_of, order_col=order_col, version=base_version + batch_id + 1)
-        reports.messages(matches, topic) \
-            .withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("overwrite").parquet(f"{outbox_root}/batch_id={batch_id}")
+        store.save(matches, as_of, order_col=order_col, batch=base + batch_id + 1)
+        reports.messages(matches, topic).write.mode("overwrite").parquet(f"{outbox_root}/batch_id={batch_id}")
     finally:
         matches.unpersist()
 
 
-def _base_version(spark: SparkSession, path: str, store: JobStore) -> int:
-    """The store's version when the stream first started. It is written once, before the
-    first batch: a restarted stream numbers its commits from the same base, so a batch that
-    is replayed after its own commit does not see its rows as stored before."""
-    if not path_exists(spark, path):
-        spark.createDataFrame([(store.version(),)], "version long").coalesce(1).write.parquet(path)
-    return spark.read.parquet(path).first()["version"]
+def _seeded(spark: SparkSession, path: str, store: ChangeLog) -> int:
+    """The store's last batch when the stream first started, and beside it the source job ids
+    that it held. Both are written once, before the first batch: a restarted stream numbers its
+    batches from the same base and has the same seeds."""
+    if not path_exists(spark, f"{path}/base/_SUCCESS"):
+        base = store.last_batch()
+        store.jobs(base + 1).select("source_job_id").distinct().write.mode("overwrite").parquet(f"{path}/known")
+        spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").parquet(f"{path}/base")
+    return spark.read.schema("base long").parquet(f"{path}/base").first()["base"]
 
 
 def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, to_postings,
-                  *, store: JobStore, profile, as_of, lookback: str | None = "24h",
+                  *, store: ChangeLog, profile, as_of=None, lookback: str | None = "24h",
                   topic: str = "jobs", order_col: str = "seq", checkpoint: str | None = None,
                   outbox_root: str | None = None, available_now: bool = False,
                   poll_seconds: int = 300, near_dup: bool = False,
                   max_files_per_trigger: int | None = None):
-    """Start the monitor stream. ``to_postings`` maps the raw stream to posting
-    columns (with ``order_col``). ``available_now`` processes what is there and stops;
-    otherwise a micro-batch runs every ``poll_seconds`` (default 300 s). ``as_of`` is the
-    clock: a function called once per micro-batch (the lookback window then moves with it),
-    or one fixed time for reproducible runs."""
+    """Start the monitor and return its last streaming query. ``to_postings`` maps the raw
+    stream to posting columns (with ``order_col``, which grows with arrival). ``available_now``
+    processes what is there and stops; otherwise a micro-batch runs every ``poll_seconds``
+    (default 300 s). ``as_of`` fixes the clock for reproducible runs; without it the clock is the
+    micro-batch's own time, and the lookback window moves with it.
+
+    With ``near_dup`` the new postings land in a folder from which a second query reads them,
+    folds them per (title, location) and scores what is admitted."""
+    ckpt = (checkpoint or scratch_path(spark, "monitor-ckpt")).rstrip("/")
+    outbox = outbox_root or f"{store.root}/outbox"
+    base = _seeded(spark, f"{ckpt}-start", store)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.parquet(source_path)
-    postings = to_postings(raw)
-    ckpt = checkpoint or scratch_path(spark, "monitor-ckpt")
-    outbox = outbox_root or f"{store.root}/outbox"
-    base = _base_version(spark, f"{ckpt.rstrip('/')}-base", store)
-
-    def run(batch_df: DataFrame, batch_id: int):
-        now = as_of() if callable(as_of) else as_of
-        process_batch(batch_df, batch_id, store=store, profile=profile, as_of=now,
-                      lookback=lookback, topic=topic, order_col=order_col,
-                      outbox_root=outbox, base_version=base,
-                      near_dup_state=f"{store.root}/dedup_state" if near_dup else None)
-
-    w = postings.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{poll_seconds} seconds")
-    return w.start()
+    postings = to_postings(reader.parquet(source_path))
+    now = F.current_timestamp() if as_of is None else as_timestamp(as_of)
+    if lookback:
+        postings = filters.time_filter(postings, now, lookback)                             # M02
+    seeds = spark.readStream.schema("source_job_id string").parquet(f"{ckpt}-start/known")
+    # the batch's time goes along: outside the stream's plan there is no batch clock
+    fresh = first_arrivals(postings.withColumn("_now", now), "source_job_id", order_col, seeds)    # M03 / J03
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        at = as_of
+        if at is None:
+            at = batch.agg(F.max("_now")).first()[0]
+            if at is None:
+                return
+        process_batch(batch.drop("_now", "_fkey", "_fp"), batch_id, store=store, profile=profile, as_of=at, topic=topic,
+                      order_col=order_col, outbox_root=outbox, base=base)
+
+    def started(df: DataFrame, run, mode: str, path: str):
+        w = df.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", path)
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{poll_seconds} seconds")).start()
+
+    if not near_dup:
+        return started(fresh, score, "update", ckpt)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        # a key's rows of a batch lie in one file: no reader sees a part of them
+        batch.repartition("_fkey").write.mode("overwrite").parquet(f"{store.root}/fresh/batch_id={batch_id}")
+
+    keyed = fresh.withColumn("_fkey", dedup.fuzzy_key("title", "location")).withColumn("_fp", dedup.fingerprint(searchable_text()))
+    first = started(keyed, land, "update", ckpt)
+    if available_now:
+        first.awaitTermination()
+    landed = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", max_files_per_trigger or 1000) \
+        .parquet(f"{store.root}/fresh/batch_id=*")
+    return started(near_dup_stream(landed, "_fkey", order_col, "_fp"), score, "append", f"{ckpt}-near")   # M06
