@@ -9,8 +9,9 @@ scanned once, whatever the number of profiles:
   parts of every profile as an array of structs and ``inline`` turns it into rows. Every
   whole-word regex is a literal, compiled once per task; no join, no shuffle.
 * Profiles given as a table are joined: every posting meets every profile (that is the
-  operator), against broadcast chunks whose size in bytes is measured first. The patterns
-  are columns then. Chunks are unioned, so no profile is ever dropped.
+  operator), against broadcast chunks whose size in bytes is measured first. All terms of a
+  chunk are looked for at once, once per posting (``functions.terms``), and a profile's part
+  is a lookup in what was found. Chunks are unioned, so no profile is ever dropped.
 
 Both give the same rows: missing keyword lists count as empty, other columns of a profiles
 table are ignored.
@@ -27,7 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import py_whole_word_pattern, searchable_text, whole_word_pattern
+from ..functions.terms import term_hits
+from ..functions.text import py_whole_word_pattern, searchable_text
 from ..functions.timeutil import recency_score
 from ..schema import PROFILE_SCHEMA
 
@@ -92,13 +94,12 @@ def keyword_parts_literal(p: Profile, text: Column, title: Column, location: Col
                 weights=(F.lit(p.vector_weight), F.lit(p.keyword_weight), F.lit(p.recency_weight)))
 
 
-def keyword_parts_columns(profile: dict, text: Column, title: Column, location: Column, remote: Column) -> dict:
-    """Same parts with the profile's fields as columns (patterns recompile per change)."""
-    pat = whole_word_pattern
+def keyword_parts_columns(profile: dict, in_text: Column, in_title: Column, location: Column, remote: Column) -> dict:
+    """Same parts with the profile's fields as columns and the terms found in text and title."""
     first = lambda a: F.try_element_at(a, F.lit(1))
-    excluded_kw = first(F.filter(profile["must_not_keywords"], lambda k: F.regexp_like(text, pat(k))))
-    role = first(F.filter(profile["desired_roles"], lambda r: F.regexp_like(title, pat(r))))
-    matched = F.filter(profile["must_have_keywords"], lambda k: F.regexp_like(text, pat(k)))
+    excluded_kw = first(F.filter(profile["must_not_keywords"], lambda k: F.array_contains(in_text, k)))
+    role = first(F.filter(profile["desired_roles"], lambda r: F.array_contains(in_title, r)))
+    matched = F.filter(profile["must_have_keywords"], lambda k: F.array_contains(in_text, k))
     has_loc = location.isNotNull() & (location != "")
     loc_hit = F.when(has_loc, first(F.filter(profile["preferred_locations"],
                                              lambda l: F.lower(location).contains(F.lower(l)))))
@@ -225,18 +226,24 @@ def _finish(df: DataFrame, parts: Column, remote) -> DataFrame:
 
 
 def _score_joined(postings, profiles, text, title, location, remote, recency, vector, chunk_bytes):
-    """Profiles as a table: broadcast joins over chunks of a measured size, unioned."""
+    """Profiles as a table: broadcast joins over chunks of a measured size, unioned. The terms of
+    a chunk (no larger than it) go into one automaton, which finds those of a posting in one pass."""
+    spark = postings.sparkSession
     size = profiles.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
     n_chunks = max(1, -(-size // chunk_bytes))
     chunk_of = F.pmod(F.xxhash64("profile"), F.lit(n_chunks))
     packed = profiles.select(F.struct(*_PROFILE_FIELDS).alias("_profile"), chunk_of.alias("_chunk"))
     field = {f: F.col(f"_profile.{f}") for f in _PROFILE_FIELDS}
-    parts = keyword_parts_columns(field, text, title, location, remote)
+    parts = keyword_parts_columns(field, F.col("_in_text"), F.col("_in_title"), location, remote)
     outs = []
     for i in range(n_chunks):
         chunk = packed.filter(F.col("_chunk") == i).drop("_chunk")
+        lists = lambda *names: {r[0] for r in chunk.select(F.explode(F.flatten(F.array(
+            *[F.array_compact(field[n]) for n in names])))).distinct().collect()}
+        found = postings.select("*", term_hits(spark, text, lists("must_have_keywords", "must_not_keywords")).alias("_in_text"),
+                                term_hits(spark, title, lists("desired_roles")).alias("_in_title"))
         one = _parts_struct(parts, recency, vector, field["profile"], field["min_score_threshold"])
-        outs.append(_finish(postings.crossJoin(F.broadcast(chunk)), F.array(one), remote).drop("_profile"))
+        outs.append(_finish(found.crossJoin(F.broadcast(chunk)), F.array(one), remote).drop("_profile", "_in_text", "_in_title"))
     return reduce(DataFrame.unionByName, outs)
 
 

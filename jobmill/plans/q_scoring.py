@@ -42,7 +42,7 @@ def q_match_class(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- many profiles in one scan: one per part name (a closed vocabulary) ------------
+# -- many profiles in one scan: one per part name -----------------------------------
 def profiles_from_part(spark, sf_dir):
     """A profile per part name: the name is the desired role, its smallest type a must-have
     keyword; names that begin with b have no keyword list at all (null)."""
@@ -50,20 +50,21 @@ def profiles_from_part(spark, sf_dir):
     q = part.groupBy(F.col("p_name").alias("profile")).agg(F.min("p_type").alias("kw"))
     return q.select("profile", F.array("profile").alias("desired_roles"),
                     F.when(~F.col("profile").like("b%"), F.array("kw")).alias("must_have_keywords"),
-                    F.lit("remote").alias("remote_preference")).orderBy("profile")
+                    F.lit("remote").alias("remote_preference"))
 
 
 @register("score_many_profiles", f"""
 WITH p AS (SELECT *, title || ' ' || department AS text FROM {standins.POSTINGS_LI_SQL}),
 q AS (SELECT p_name AS profile, CASE WHEN p_name LIKE 'b%' THEN NULL ELSE min(p_type) END AS kw
       FROM part WHERE p_name IS NOT NULL GROUP BY p_name),
-s AS (
-  SELECT q.profile, p.id,
+d AS (SELECT DISTINCT title, department, text FROM p),
+h AS (SELECT d.title, d.department, q.profile,
     regexp_matches(title, '(?i)\\b' || q.profile || '\\b') AS role,
-    regexp_matches(text, '(?i)\\b' || q.kw || '\\b') AS m,
-    q.kw IS NOT NULL AS has_kw, coalesce(remote_type = 'remote', false) AS rem_ok,
+    regexp_matches(text, '(?i)\\b' || q.kw || '\\b') AS m, q.kw IS NOT NULL AS has_kw FROM d, q),
+s AS (
+  SELECT h.profile, p.id, role, m, has_kw, coalesce(remote_type = 'remote', false) AS rem_ok,
     (epoch_us(TIMESTAMP '2001-11-05 00:00:00') - epoch_us(posted_at)) / 86400e6 AS age_days, posted_at
-  FROM p, q),
+  FROM p JOIN h ON h.title = p.title AND h.department IS NOT DISTINCT FROM p.department),
 k AS (
   SELECT *, least((CASE WHEN role THEN 0.4e0 ELSE 0.0e0 END)
       + (CASE WHEN NOT has_kw THEN 0.2e0 WHEN m THEN 0.4e0 ELSE 0.0e0 END)
@@ -75,7 +76,5 @@ SELECT profile, id, round(0.55e0 * 0.5e0 + 0.3e0 * kw_score + 0.15e0 * rec, 6) A
 WHERE 0.55e0 * 0.5e0 + 0.3e0 * kw_score + 0.15e0 * rec >= 0.6
 """)
 def q_score_many_profiles(spark, sf_dir):
-    # part names are a closed vocabulary (64 of them): the list is inlined, postings are read once
-    profiles = profiles_from_part(spark, sf_dir).collect()
-    scored = scoring.score(standins.postings_li(spark, sf_dir), profiles, AS_OF).where("final_score >= 0.6")
+    scored = scoring.score(standins.postings_li(spark, sf_dir), profiles_from_part(spark, sf_dir), AS_OF).where("final_score >= 0.6")
     return scored.select("profile", "id", F.round("final_score", 6).alias("final_score"))

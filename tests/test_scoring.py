@@ -123,3 +123,37 @@ def test_one_scan_for_many_profiles(spark, tmp_path):
     many = [scoring.Profile(profile=f"p{i}", must_have_keywords=[f"k{i}"]) for i in range(40)]
     plan = scoring.score(spark.read.parquet(path), many, AS_OF, text_col="t")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_term_hits_equal_one_regex_per_term(spark):
+    """All terms at once against the single-keyword pattern: case, word boundaries, symbols, overlaps,
+    letters whose case folds oddly, empty terms and texts."""
+    import random
+
+    from jobmill.functions.terms import term_hits
+    from jobmill.functions.text import py_whole_word_pattern
+    rnd = random.Random(2)
+    terms = ["go", "Go lang", "c++", "c", ".net", "node.js", "é", "straße", "STRASSE", "ı", "i", "K", "s", "go", "R&D", "a.b", "\\Ex\\E", "",
+             "data", "data data", "ata", "_x", "x_", "中文", "x", "Σ", "ς", " lead", "lead "]
+    pieces = terms + ["GO", "İ", "K", "ſ", "STRAße", "_", "-", "+", ".", "É", "é", "σ", "cgo", "gop", "databases", "LEAD", "1x", "‍"]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice([" ", "", ",", "\n"]) for _ in range(rnd.randrange(8))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:20], None, ""]], "t string")
+    each = F.array_compact(F.array(*[F.when(F.col("t").rlike(py_whole_word_pattern(k)), F.lit(k)) for k in sorted(set(terms))]))
+    out = df.select("t", term_hits(spark, F.col("t"), terms).alias("got"), F.coalesce(each, F.array()).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in out), [r for r in out if r["got"] != r["want"]][:3]
+    assert sum(len(r["got"]) for r in out) > 500
+    assert df.select(term_hits(spark, F.col("t"), []).alias("n")).where("size(n) > 0").count() == 0
+
+
+def test_profile_table_over_several_chunks(spark):
+    """Profiles as a table in chunks of a few bytes: the same rows as profile by profile."""
+    profs = [Profile(profile=f"p{i}", desired_roles=["python dev", "chef"][i % 2:], must_have_keywords=["python", "c++", "sql"][: i % 4],
+                     must_not_keywords=["intern"] if i % 3 else [], preferred_locations=["ber"], remote_preference=[None, "remote"][i % 2])
+             for i in range(9)]
+    posts = [("Python Dev", "c++, SQL", "Berlin", "remote"), ("Intern chef", None, None, "onsite"), ("Chef", "pythonic", "", "unknown")]
+    df = spark.createDataFrame(posts, "title string, description_text string, location string, remote_type string").select(
+        "*", F.lit(None).cast("timestamp").alias("posted_at"), F.array().cast("array<string>").alias("requirements"), F.lit(None).cast("string").alias("department"))
+    cols = ["profile", "title", "final_score", "keyword_score", "match_reasons", "excluded"]
+    want = scoring.score(df, profs, AS_OF).select(*cols).collect()
+    got = scoring.score(df, scoring.profiles_frame(spark, profs), AS_OF, chunk_bytes=400).select(*cols).collect()
+    assert len(got) == 27 and sorted(map(str, got)) == sorted(map(str, want))
