@@ -3,9 +3,14 @@
 Fetching is out of scope: each HTTP response is a landed JSON file. One read covers
 every company and board: files live under ``.../company=<name>/board=<token>/`` (plus
 ``offset=<n>`` for paged systems), Spark's partition discovery turns those folders
-into columns, and each file is one row parsed with ``from_json``. A payload that is
-not the expected shape parses to null and yields no postings; a posting without an id
-or without an http(s) URL is dropped (not fatal), like a failed record validation.
+into columns, and each file is one row. ``parse_<system>`` turns such rows (``value`` and the
+folder columns, from any source) into postings; ``read_<system>`` reads files for it.
+
+A file is parsed once, down to an array of VARIANT: the fields that a posting needs are
+read from a job's variant, and the whole of it goes along as ``raw``, fields that nobody
+declared included. A payload that is not the expected shape parses to null and yields no
+postings; a posting without an id or without an http(s) URL is dropped (not fatal), like a
+failed record validation.
 """
 
 from __future__ import annotations
@@ -18,19 +23,16 @@ from ..functions.text import posting_id
 from ..functions.timeutil import from_epoch_millis, parse_iso
 from ..schema import conform
 
-GREENHOUSE_PAYLOAD = ("struct<jobs:array<struct<id:string,title:string,updated_at:string,absolute_url:string,"
-                      "location:string,departments:array<struct<id:string,name:string>>>>>")
-LEVER_PAYLOAD = ("array<struct<id:string,text:string,createdAt:bigint,hostedUrl:string,applyUrl:string,"
-                 "categories:struct<location:string,department:string,team:string,commitment:string>>>")
-ASHBY_PAYLOAD = ("struct<data:struct<jobBoard:struct<teams:array<struct<name:string,jobs:array<struct<"
-                 "id:string,title:string,locationName:string,employmentType:string,publishedDate:string,"
-                 "isRemote:boolean>>>>>>>")
-SMARTRECRUITERS_PAYLOAD = ("struct<content:array<struct<id:string,refNumber:string,name:string,"
-                           "location:struct<city:string,region:string,country:string>,"
-                           "department:struct<id:string,label:string>,releasedDate:string,remote:boolean,"
-                           "typeOfEmployment:struct<id:string>,applyUrl:string>>,totalFound:bigint>")
-WORKDAY_PAYLOAD = ("struct<jobPostings:array<struct<externalPath:string,title:string,locationsText:string,"
-                   "postedOn:string,bulletFields:array<string>>>,total:bigint>")
+# The fields of one job in each system's payload, and the way to the array of jobs.
+GREENHOUSE_JOB = ("id string, title string, updated_at string, absolute_url string, location string, "
+                  "departments array<struct<id:string,name:string>>")
+LEVER_JOB = ("id string, text string, createdAt bigint, hostedUrl string, applyUrl string, "
+             "categories struct<location:string,department:string,team:string,commitment:string>")
+ASHBY_JOB = "id string, title string, locationName string, employmentType string, publishedDate string, isRemote boolean"
+SMARTRECRUITERS_JOB = ("id string, refNumber string, name string, location struct<city:string,region:string,country:string>, "
+                       "department struct<id:string,label:string>, releasedDate string, remote boolean, "
+                       "typeOfEmployment struct<id:string>, applyUrl string")
+WORKDAY_JOB = "externalPath string, title string, locationsText string, postedOn string, bulletFields array<string>"
 
 
 def _c(x) -> Column:
@@ -56,15 +58,17 @@ def _finish(df: DataFrame) -> DataFrame:
     return conform(df.filter(ok).withColumn("id", posting_id()))
 
 
-def _raw(struct_col: str) -> Column:
-    return F.to_json(F.col(struct_col))
+def _jobs(f: DataFrame, keep: list[str], jobs: Column, fields: str) -> DataFrame:
+    """One row per job variant of the array ``jobs``: the columns to keep, the job's fields as
+    ``j`` (a field of another shape is null) and all of it as ``raw``."""
+    rows = f.select(*keep, F.explode(jobs).alias("_v")).select(*keep, F.to_json("_v").alias("raw"))
+    return rows.select(*keep, "raw", F.from_json("raw", fields).alias("j")).where(F.col("raw").startswith("{"))
 
 
-def read_greenhouse(spark, path, company=None, board=None) -> DataFrame:
+def parse_greenhouse(f: DataFrame) -> DataFrame:
     """``{jobs: [...]}``; location may be ``{name}`` or a plain value; department =
     first department's name; posted_at from updated_at (ISO)."""
-    f = _ident(_files(spark, path), company, board)
-    rows = f.select("company", "board", F.explode(F.from_json("value", GREENHOUSE_PAYLOAD)["jobs"]).alias("j"))
+    rows = _jobs(f, ["company", "board"], F.from_json("value", "jobs array<variant>")["jobs"], GREENHOUSE_JOB)
     loc_raw = F.col("j.location")
     loc = F.when(loc_raw.startswith("{"), F.get_json_object(loc_raw, "$.name")).otherwise(F.nullif(loc_raw, F.lit("")))
     src = F.concat(F.lit("https://boards.greenhouse.io/"), F.col("board"))
@@ -77,15 +81,14 @@ def read_greenhouse(spark, path, company=None, board=None) -> DataFrame:
         remote_type(title, loc, policy="A").alias("remote_type"),
         employment_type(title, policy="default_full").alias("employment_type"),
         F.try_element_at(F.col("j.departments"), F.lit(1))["name"].alias("department"),
-        parse_iso(F.col("j.updated_at")).alias("posted_at"), _raw("j").alias("raw"))
+        parse_iso(F.col("j.updated_at")).alias("posted_at"), "raw")
     return _finish(out)
 
 
-def read_lever(spark, path, company=None, board=None) -> DataFrame:
+def parse_lever(f: DataFrame) -> DataFrame:
     """Top-level array (anything else: no postings); '' categories -> null;
     createdAt epoch ms; apply = applyUrl if present, else hostedUrl, else source."""
-    f = _ident(_files(spark, path), company, board)
-    rows = f.select("company", "board", F.explode(F.from_json("value", LEVER_PAYLOAD)).alias("j"))
+    rows = _jobs(f, ["company", "board"], F.from_json("value", "array<variant>"), LEVER_JOB)
     cat = F.col("j.categories")
     loc, dept, team, commit = [F.coalesce(cat[k], F.lit("")) for k in ("location", "department", "team", "commitment")]
     src = F.concat(F.lit("https://jobs.lever.co/"), F.col("board"))
@@ -99,17 +102,17 @@ def read_lever(spark, path, company=None, board=None) -> DataFrame:
         remote_type(title, loc, commit, policy="A").alias("remote_type"),
         employment_type(title, commit, policy="explicit").alias("employment_type"),
         F.nullif(dept, F.lit("")).alias("department"), F.nullif(team, F.lit("")).alias("team"),
-        from_epoch_millis(F.col("j.createdAt")).alias("posted_at"), _raw("j").alias("raw"))
+        from_epoch_millis(F.col("j.createdAt")).alias("posted_at"), "raw")
     return _finish(out)
 
 
-def read_ashby(spark, path, company=None, board=None) -> DataFrame:
+def parse_ashby(f: DataFrame) -> DataFrame:
     """``data.jobBoard.teams[].jobs[]``; department = team name; remote if
     isRemote, hybrid if the location says so; apply = board URL + id."""
-    f = _ident(_files(spark, path), company, board)
-    teams = f.select("company", "board",
-                     F.explode(F.from_json("value", ASHBY_PAYLOAD)["data"]["jobBoard"]["teams"]).alias("t"))
-    rows = teams.select("company", "board", F.col("t.name").alias("team_name"), F.explode("t.jobs").alias("j"))
+    board = F.from_json("value", "data struct<jobBoard:struct<teams:array<struct<name:string,jobs:array<variant>>>>>")
+    teams = f.select("company", "board", F.explode(board["data"]["jobBoard"]["teams"]).alias("t"))
+    rows = _jobs(teams.select("company", "board", F.col("t.name").alias("team_name"), "t.jobs"),
+                 ["company", "board", "team_name"], F.col("jobs"), ASHBY_JOB)
     loc = F.coalesce(F.col("j.locationName"), F.lit(""))
     src = F.concat(F.lit("https://jobs.ashbyhq.com/"), F.col("board"))
     title = F.coalesce(F.col("j.title"), F.lit(""))
@@ -122,15 +125,14 @@ def read_ashby(spark, path, company=None, board=None) -> DataFrame:
         remote.alias("remote_type"),
         employment_type(title, F.col("j.employmentType"), policy="default_full").alias("employment_type"),
         F.coalesce(F.col("team_name"), F.lit("")).alias("department"),
-        parse_iso(F.col("j.publishedDate")).alias("posted_at"), _raw("j").alias("raw"))
+        parse_iso(F.col("j.publishedDate")).alias("posted_at"), "raw")
     return _finish(out)
 
 
-def read_smartrecruiters(spark, path, company=None, board=None) -> DataFrame:
+def parse_smartrecruiters(f: DataFrame) -> DataFrame:
     """All offset pages at once; id = id else refNumber; location = non-empty of
     city, region, country joined ', ' (else null); department = label else id."""
-    f = _ident(_files(spark, path), company, board)
-    rows = f.select("company", "board", F.explode(F.from_json("value", SMARTRECRUITERS_PAYLOAD)["content"]).alias("j"))
+    rows = _jobs(f, ["company", "board"], F.from_json("value", "content array<variant>")["content"], SMARTRECRUITERS_JOB)
     jid = F.coalesce(F.nullif(F.col("j.id"), F.lit("")), F.nullif(F.col("j.refNumber"), F.lit("")))
     parts = [F.nullif(F.col(f"j.location.{k}"), F.lit("")) for k in ("city", "region", "country")]
     loc = F.nullif(F.concat_ws(", ", *parts), F.lit(""))
@@ -150,25 +152,14 @@ def read_smartrecruiters(spark, path, company=None, board=None) -> DataFrame:
         loc.alias("location"),
         F.when(F.coalesce(F.col("j.remote"), F.lit(False)), "remote").otherwise("unknown").alias("remote_type"),
         emp.alias("employment_type"), dept.alias("department"),
-        parse_iso(F.col("j.releasedDate")).alias("posted_at"), _raw("j").alias("raw"))
+        parse_iso(F.col("j.releasedDate")).alias("posted_at"), "raw")
     return _finish(out)
 
 
-def read_workday(spark, path, company=None, api_base=None, site=None, max_offset: int | None = None) -> DataFrame:
+def parse_workday(f: DataFrame) -> DataFrame:
     """``jobPostings[]`` pages; id = last part of externalPath; URLs from the API base
-    without ``/wday/cxs/``. All landed pages are read; ``max_offset`` leaves out those at or
-    beyond an offset (the fetch limit of the source tool is 500). Needs ``api_base`` and ``site`` (arguments or folder columns)."""
-    f = _files(spark, path)
-    if company is not None:
-        f = f.withColumn("company", F.lit(company))
-    if api_base is not None:
-        f = f.withColumn("api_base", F.lit(api_base))
-    if site is not None:
-        f = f.withColumn("site", F.lit(site))
-    if max_offset is not None and "offset" in f.columns:
-        f = f.filter(F.col("offset").cast("long") < max_offset)
-    rows = f.select("company", "api_base", "site",
-                    F.explode(F.from_json("value", WORKDAY_PAYLOAD)["jobPostings"]).alias("j"))
+    without ``/wday/cxs/``. Needs ``company``, ``api_base`` and ``site`` columns."""
+    rows = _jobs(f, ["company", "api_base", "site"], F.from_json("value", "jobPostings array<variant>")["jobPostings"], WORKDAY_JOB)
     ext = F.coalesce(F.col("j.externalPath"), F.lit(""))
     jid = F.when(ext != "", F.try_element_at(F.split(ext, "/"), F.lit(-1)))
     base = F.replace(F.col("api_base"), F.lit("/wday/cxs/"), F.lit("/"))
@@ -182,10 +173,35 @@ def read_workday(spark, path, company=None, api_base=None, site=None, max_offset
         F.concat(src, ext).alias("apply_url"), loc.alias("location"),
         remote_type(title, loc, bullets, policy="A").alias("remote_type"),
         employment_type(title, bullets, policy="workday").alias("employment_type"),
-        parse_iso(F.col("j.postedOn")).alias("posted_at"), _raw("j").alias("raw"))
+        parse_iso(F.col("j.postedOn")).alias("posted_at"), "raw")
     return _finish(out)
 
 
+def _reader(parse, doc: str):
+    def read(spark, path, company=None, board=None) -> DataFrame:
+        return parse(_ident(_files(spark, path), company, board))
+    read.__doc__ = doc
+    return read
+
+
+read_greenhouse = _reader(parse_greenhouse, "S01 from landed files.")
+read_lever = _reader(parse_lever, "S02 from landed files.")
+read_ashby = _reader(parse_ashby, "S03 from landed files.")
+read_smartrecruiters = _reader(parse_smartrecruiters, "S04 from landed files, all offset pages at once.")
+
+
+def read_workday(spark, path, company=None, api_base=None, site=None, max_offset: int | None = None) -> DataFrame:
+    """S05 from landed files. All landed pages are read; ``max_offset`` leaves out those at or
+    beyond an offset (the fetch limit of the source tool is 500). ``api_base`` and ``site`` come
+    from arguments or folder columns."""
+    f = _files(spark, path)
+    for name, value in (("company", company), ("api_base", api_base), ("site", site)):
+        f = f if value is None else f.withColumn(name, F.lit(value))
+    if max_offset is not None and "offset" in f.columns:
+        f = f.filter(F.col("offset").cast("long") < max_offset)
+    return parse_workday(f)
+
+
 def read_stored_postings(jobs: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """Stored jobs back as postings; missing company -> 'Unknown', missing
     enums -> 'unknown'."""

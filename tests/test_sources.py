@@ -107,3 +107,63 @@ def test_companies_skip_unreadable(spark, tmp_path):
     df = ats.read_companies(spark, str(p))
     assert [r["name"] for r in df.collect()] == ["A"]
     assert F is not None
+
+
+def test_raw_keeps_undeclared_fields(spark, tmp_path):
+    import json
+    job = {"id": 7, "title": "T", "absolute_url": "https://x.io/7", "pay": {"min": 1, "steps": [1, None, {"a": "é"}]}, "new": True}
+    d = tmp_path / "company=X" / "board=x"
+    d.mkdir(parents=True)
+    (d / "p.json").write_text(json.dumps({"jobs": [job, 5, None, {"id": [1], "title": {"t": 1}}], "meta": 1}))
+    out = ats.read_greenhouse(spark, str(tmp_path)).collect()
+    assert [r["source_job_id"] for r in out][:1] == ["7"] and json.loads(out[0]["raw"]) == job
+    (d / "p.json").write_text("{not json")
+    assert ats.read_greenhouse(spark, str(tmp_path)).count() == 0
+
+
+SYSTEM_FIXTURES = ["greenhouse", "lever", "ashby", "smartrecruiters", "workday"]
+
+
+def test_sources_read_through_the_data_source(spark, tmp_path):
+    """The data source and Spark's text reader give the same postings; one partition per file."""
+    from jobmill.sources import plug
+    for system in SYSTEM_FIXTURES:
+        path = f"{FIX}/{system}"
+        given = {"api_base": "https://acme.wd5.myworkdayjobs.com/wday/cxs/acme", "site": "careers"} if system == "workday" else {}
+        files = sum(len(f) for _, _, f in os.walk(path))
+        a = sorted(map(str, plug.read_board(spark, system, path, **given).drop("raw").collect()))
+        src = plug.read_board(spark, system, path, by="source", **given)
+        assert sorted(map(str, src.drop("raw").collect())) == a and a, system
+        raw = spark.read.format("job_board").option("path", path).load()
+        assert raw.count() == files and raw.rdd.getNumPartitions() == files
+
+
+def test_plug_in_another_source(spark, tmp_path):
+    import pytest
+
+    from jobmill.schema import conform
+    from jobmill.sources import plug
+
+    def parse(f):
+        j = F.from_json("value", "title string, n string")
+        return conform(f.select("company", j["title"].alias("title"), j["n"].alias("source_job_id"), F.lit("own").alias("source_system"), F.col("value").alias("raw")))
+
+    d = tmp_path / "system=own" / "company=A%20B"
+    d.mkdir(parents=True)
+    (d / "1.json").write_text('{"title": "One", "n": 1}')
+    (d / ".hidden").write_text("x")
+    other = tmp_path / "system=lever" / "company=C" / "board=c"
+    other.mkdir(parents=True)
+    (other / "p.json").write_text("[]")
+    plug.add_system("own", parse)
+    try:
+        for by in ("files", "source"):
+            path = str(tmp_path / "system=own") if by == "files" else str(tmp_path)
+            (r,) = plug.read_board(spark, "own", path, by=by).collect()
+            assert (r["company"], r["title"], r["source_job_id"]) == ("A B", "One", "1")
+    finally:
+        del plug.SYSTEMS["own"]
+    with pytest.raises(ValueError):
+        plug.read_board(spark, "own", str(tmp_path))
+    (tmp_path / "none").mkdir()
+    assert plug.read_board(spark, "lever", str(tmp_path / "none"), by="source").count() == 0
