@@ -137,8 +137,12 @@ def q_search_results(spark, sf_dir):
     return r.select("page_id", "id", "url")
 
 
+# The twin finds anchors by a pattern (the pages hold none; rendered cards have a query of their own).
+_ANCHOR = r"""<a\b[^>]*href=["']([^"']*/jobs/view/(\d+)[^"']*)["'][^>]*>(.*?)</a>"""
+
+
 def _aggregator_sql():
-    a = html_src.AGGREGATOR_ANCHOR.replace("'", "''")
+    a = _ANCHOR.replace("'", "''")
     anchors = f"regexp_extract_all(html, '(?is){a}', {{g}})"
     codes = "regexp_extract_all(html, '(?is)<code[^>]*>(.*?)</code>', 1)"
     bare = f"regexp_extract_all(html, '{html_src.AGGREGATOR_URN}', 1)"

@@ -124,17 +124,6 @@ def q_run_log(spark, sf_dir):
                                          "started_at", "completed_at")
 
 
-@register("version_log", _STORE_BASE + """
-SELECT count(*)::BIGINT AS versions, count(DISTINCT id)::BIGINT AS jobs, TIMESTAMP '2001-11-05' AS fetched_at
-FROM f0 WHERE posted_at >= TIMESTAMP '1999-07-01'
-""")
-def q_version_log(spark, sf_dir):
-    _, scored = _store_inputs(spark, sf_dir)
-    v = store.version_rows(scored.drop("match_reasons"), AS_OF, raw_col=None)
-    return v.agg(F.count(F.lit(1)).alias("versions"), F.countDistinct("job_id").alias("jobs"),
-                 F.max("fetched_at").alias("fetched_at"))
-
-
 # -- K04 J06 A03 ---------------------------------------------------------------------
 @register("mark_notified", """
 WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'

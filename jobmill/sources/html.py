@@ -1,9 +1,8 @@
 """Postings from landed HTML pages (S06 aggregator pages, S07 search cards, S08
 career-page links, S09 search-result links).
 
-Each page is one row; extraction is regexp_extract_all + posexplode on that row, so
-the work is a narrow map over the pages table (no shuffle) and grows with it. Pages
-are processed whole."""
+Each page is one row, and extraction makes an array in that row and explodes it, so the work is
+a narrow map over the pages table (no shuffle) and grows with it. Pages are processed whole."""
 
 from __future__ import annotations
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import (JOB_SITES, employment_type, is_job_url, remote_type,
                                   title_from_url, url_netloc)
 from ..functions.text import regex_quote, short_url_id, squash_ws
+from .cards import job_cards
 
 # Default link patterns of the career-page reader, in order.
 DEFAULT_LINK_PATTERNS = [
@@ -27,11 +27,11 @@ LOCATION_PATTERNS = [
     r"(?:Location|City|Office):\s*([^<\n]+)",
     r"""<span[^>]*class="[^"]*location[^"]*"[^>]*>([^<]+)</span>""",
 ]
+# Patterns of search results, search cards and aggregator pages.
 SEARCH_RESULT_PATTERN = r'class="result__a"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>'
 SEARCH_CARD_PATTERN = (r'data-jk="([^"]+)"[^>]*>.*?class="jobTitle[^"]*"[^>]*>.*?<span[^>]*>([^<]+)'
                        r'</span>.*?class="companyName[^"]*"[^>]*>([^<]+)<.*?class="companyLocation'
                        r'[^"]*"[^>]*>([^<]+)<')
-AGGREGATOR_ANCHOR = r"""<a\b[^>]*href=["']([^"']*/jobs/view/(\d+)[^"']*)["'][^>]*>(.*?)</a>"""
 AGGREGATOR_URN = r"jobPosting(?:Card)?[:(%]\D*(\d+)"
 AGGREGATOR_JSON_URN = r"jobPosting(?:Card)?[:(]\D*(\d+)"
 
@@ -84,34 +84,34 @@ def career_page_links(pages: DataFrame, company=None, link_patterns=None, *,
     html = F.coalesce(_c(html_col), F.lit(""))
     hrefs = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit("(?i)" + p), 1) for p in pats]))
     urls = F.transform(hrefs, lambda h: absolute_url(_c(url_col), h))
-    # First occurrence of each absolute URL wins (array_distinct keeps first-seen
-    # order); done inside the page row, so the page is never shuffled.
-    links = F.transform(F.array_distinct(urls), lambda u: F.struct(
-        u.alias("job_url"), F.try_element_at(hrefs, F.array_position(urls, u).cast("int")).alias("href")))
-    first = pages.select(_c(id_col).alias(id_col), _c(url_col).alias("source_url"),
-                         html.alias("_html"), F.posexplode(links).alias("_pos", "_l"))
-    first = first.select(id_col, "_pos", "source_url", "_html", "_l.job_url", "_l.href")
-    first = first.filter(is_job_url(F.col("job_url")))
-    quoted = regex_quote(F.col("href"))
-    anchor_pat = F.concat(F.lit("(?is)<a[^>]*href=[\"']?"), quoted, F.lit("[\"']?[^>]*>([^<]+)</a>"))
-    anchor_text = squash_ws(F.call_function("regexp_extract", F.col("_html"), anchor_pat, F.lit(1)))
-    # second lookup: the text of the anchor right before the link
-    before_pat = F.concat(F.lit("(?is)>([^<]+)</a>\\s*<a[^>]*href=[\"']?"), quoted)
-    before_text = squash_ws(F.call_function("regexp_extract", F.col("_html"), before_pat, F.lit(1)))
+    # First occurrence of each absolute URL wins (array_distinct keeps first-seen order). All
+    # lookups in the page happen inside its row, and only (url, title, location) are exploded:
+    # the page is neither shuffled nor copied per link.
+    one = pages.select(_c(id_col).alias(id_col), _c(url_col).alias("source_url"), html.alias("_html"),
+                       hrefs.alias("_hrefs"), urls.alias("_urls"))
 
     def ok(t):
         return (F.length(t) > 5) & (F.length(t) < 200)
-    title = (F.when(ok(anchor_text), anchor_text).when(ok(before_text), before_text)
-             .otherwise(title_from_url(F.col("job_url"))))
-    at = F.call_function("instr", F.lower(F.col("_html")), F.lower(F.col("href")))
-    start = F.greatest(at - 500, F.lit(1))
-    ctx = F.when(at > 0, F.call_function("substring", F.col("_html"), start,
-                                         F.least(at - 1, F.lit(500)) + F.length("href") + 500))
-    loc = F.coalesce(*[F.nullif(F.regexp_replace(F.regexp_extract(ctx, "(?i)" + p, 1), r"^\s+|\s+$", ""), F.lit(""))
-                       for p in LOCATION_PATTERNS])
-    out = first.select(id_col, "_pos", "source_url", F.col("job_url").alias("apply_url"),
-                       title.alias("title"), loc.alias("location"))
-    out = out.filter(F.col("title").isNotNull())
+
+    def lookup(link):
+        href, whole = link["href"], F.col("_html")
+        quoted = regex_quote(href)
+        text = lambda pat: squash_ws(F.call_function("regexp_extract", whole, pat, F.lit(1)))
+        # the link's own anchor, else the anchor right before the link
+        own = text(F.concat(F.lit("(?is)<a[^>]*href=[\"']?"), quoted, F.lit("[\"']?[^>]*>([^<]+)</a>")))
+        before = text(F.concat(F.lit("(?is)>([^<]+)</a>\\s*<a[^>]*href=[\"']?"), quoted))
+        at = F.call_function("instr", F.lower(whole), F.lower(href))
+        ctx = F.when(at > 0, F.call_function("substring", whole, F.greatest(at - 500, F.lit(1)),
+                                             F.least(at - 1, F.lit(500)) + F.length(href) + 500))
+        loc = F.coalesce(*[F.nullif(F.regexp_replace(F.regexp_extract(ctx, "(?i)" + p, 1), r"^\s+|\s+$", ""), F.lit(""))
+                           for p in LOCATION_PATTERNS])
+        title = F.when(ok(own), own).when(ok(before), before).otherwise(title_from_url(link["job_url"]))
+        return F.struct(link["pos"].alias("_pos"), link["job_url"].alias("apply_url"), title.alias("title"), loc.alias("location"))
+
+    links = F.transform(F.array_distinct("_urls"), lambda u, k: F.struct(
+        k.alias("pos"), u.alias("job_url"), F.try_element_at("_hrefs", F.array_position("_urls", u).cast("int")).alias("href")))
+    known = one.select(id_col, "source_url", "_html", F.filter(links, lambda x: is_job_url(x["job_url"])).alias("_links"))
+    out = known.select(id_col, "source_url", F.inline(F.transform("_links", lookup))).filter(F.col("title").isNotNull())
     comp = F.lit(company) if isinstance(company, str) else (
         _c(company) if company is not None else url_netloc(F.col("source_url")))
     return out.select(
@@ -127,6 +127,14 @@ def first_by_url(results: DataFrame, id_col="page_id") -> DataFrame:
     return first_per_key(results, ["url"], F.struct(F.col(id_col), F.col("_pos")))
 
 
+def union_by_url(variants: list[DataFrame], id_col="page_id") -> DataFrame:
+    """The results of several search variants as one list: each URL once, from the first
+    variant that has it, there from the first (page, position). ``variant`` tells which."""
+    from ..operators.dedup import first_per_key
+    rows = reduce(DataFrame.unionByName, [v.withColumn("variant", F.lit(k)) for k, v in enumerate(variants)])
+    return first_per_key(rows, ["url"], F.struct("variant", id_col, "_pos"))
+
+
 def search_results(pages: DataFrame, location: str, found_at, *, html_col="html",
                    id_col="page_id") -> DataFrame:
     """(url, title) result links of known job sites; title/company split on
@@ -179,72 +187,50 @@ def search_cards(pages: DataFrame, scraped_at, *, html_col="html", id_col="page_
 
 def aggregator_jobs(pages: DataFrame, scraped_at, *, html_col="html", id_col="page_id") -> DataFrame:
     """Three strategies, the next only if the previous found nothing on the page:
-    (1) anchors to /jobs/view/<id> (last anchor per id wins; title = anchor text);
-    (2) JSON inside <code> blocks: entities of included[] / data[] / a top-level array
-    whose urn names a job posting (replace only if new, or old company empty and new
-    one not); (3) bare urn ids in the page (first wins).
-    The CSS lookup of company/location next to an anchor needs a DOM and is not built."""
+    (1) anchors to /jobs/view/<id> (last anchor per id wins; title = anchor text, company and
+    location from the elements around it, ``cards``); (2) JSON inside <code> blocks: entities
+    of included[] / data[] / a top-level array whose urn names a job posting (replace only if
+    old company empty and new one not); (3) bare urn ids in the page (first wins).
+    Every strategy gives an array in the page's row, so there is no shuffle."""
     from ..functions.timeutil import as_timestamp
     html = F.coalesce(_c(html_col), F.lit(""))
-    base = pages.select(_c(id_col).alias(id_col), html.alias("_html"))
-
-    # Strategy 1
-    a = F.regexp_extract_all(F.col("_html"), F.lit("(?is)" + AGGREGATOR_ANCHOR), 1)
-    ids = F.regexp_extract_all(F.col("_html"), F.lit("(?is)" + AGGREGATOR_ANCHOR), 2)
-    txt = F.regexp_extract_all(F.col("_html"), F.lit("(?is)" + AGGREGATOR_ANCHOR), 3)
-    s1 = base.select(id_col, F.posexplode(F.arrays_zip(a.alias("href"), ids.alias("jid"), txt.alias("txt")))
-                     .alias("_pos", "_r"))
-    s1_title = F.trim(squash_ws(F.regexp_replace(F.col("_r.txt"), "<[^>]+>", "")))
-    s1 = s1.select(id_col, "_pos", F.col("_r.jid").alias("job_id"),
-                   F.coalesce(F.nullif(s1_title, F.lit("")), F.lit("LinkedIn Job")).alias("title"),
-                   F.lit("").alias("company"),
-                   F.when(F.col("_r.href").startswith("http"), F.col("_r.href"))
-                   .otherwise(F.concat(F.lit("https://www.linkedin.com"), F.col("_r.href"))).alias("link"),
-                   F.lit(None).cast("string").alias("location"), F.lit(1).alias("strategy"))
-    s1 = s1.groupBy(id_col, "job_id").agg(F.max_by(F.struct("*"), "_pos").alias("_r")).select("_r.*")
-
-    # Strategy 2: entities from <code> JSON blocks.
-    codes = F.regexp_extract_all(F.col("_html"), F.lit(r"(?is)<code[^>]*>(.*?)</code>"), 1)
-    blocks = base.select(id_col, F.posexplode(codes).alias("_blk", "_json"))
-    blocks = blocks.withColumn("_json", F.trim("_json"))
-    ent_schema = ("array<struct<entityUrn:string,`*jobPosting`:string,title:string,"
-                  "primaryDescription:string,secondaryDescription:string>>")
-    obj = F.from_json("_json", f"struct<included:{ent_schema},data:string>")
-    data_arr = F.from_json(obj["data"], ent_schema)
-    top_arr = F.from_json("_json", ent_schema)
-    ents = F.when(F.col("_json").startswith("["), top_arr).otherwise(
-        F.concat(F.coalesce(obj["included"], F.array()), F.coalesce(data_arr, F.array())))
-    e = blocks.select(id_col, "_blk", F.posexplode(ents).alias("_epos", "_e"))
-    urn = F.coalesce(F.nullif(F.col("_e.entityUrn"), F.lit("")), F.col("`_e`.`*jobPosting`"))
-    jid = F.regexp_extract(F.coalesce(urn, F.lit("")), AGGREGATOR_JSON_URN, 1)
-    e = e.filter(urn.contains("jobPosting") & (jid != ""))
-    s2 = e.select(id_col, (F.col("_blk") * 1_000_000 + F.col("_epos")).alias("_pos"),
-                  jid.alias("job_id"),
-                  F.coalesce(F.nullif(_text_field("_e.title"), F.lit("")), F.lit("LinkedIn Job")).alias("title"),
-                  F.coalesce(_text_field("_e.primaryDescription"), F.lit("")).alias("company"),
-                  F.concat(F.lit("https://www.linkedin.com/jobs/view/"), jid).alias("link"),
-                  _text_field("_e.secondaryDescription").alias("location"), F.lit(2).alias("strategy"))
-    # First entity per id wins unless a later one brings a company the first lacked:
-    # pick the earliest entity that has a company, if the first has none.
-    pref = F.struct((F.col("company") != "").alias("has_company"), (-F.col("_pos")).alias("neg_pos"))
-    firsts = s2.groupBy(id_col, "job_id").agg(
-        F.min_by(F.struct("*"), "_pos").alias("_first"),
-        F.max_by(F.struct("*"), pref).alias("_best"))
-    s2 = firsts.select(F.when(F.col("_first.company") != "", F.col("_first"))
-                       .otherwise(F.col("_best")).alias("_r")).select("_r.*")
-
-    # Strategy 3: bare urn ids, first wins.
-    bare = F.regexp_extract_all(F.col("_html"), F.lit(AGGREGATOR_URN), 1)
-    s3 = base.select(id_col, F.posexplode(bare).alias("_pos", "job_id"))
-    s3 = s3.groupBy(id_col, "job_id").agg(F.min("_pos").alias("_pos"))
-    s3 = s3.select(id_col, "_pos", "job_id", F.lit("LinkedIn Job").alias("title"), F.lit("").alias("company"),
-                   F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.col("job_id")).alias("link"),
-                   F.lit(None).cast("string").alias("location"), F.lit(3).alias("strategy"))
-
-    allj = s1.unionByName(s2).unionByName(s3)
-    # Strategy 2 runs only if 1 found nothing; 3 only if 1 and 2 found nothing.
-    best = allj.groupBy(id_col).agg(F.min("strategy").alias("_best"))
-    chosen = allj.join(best, id_col).filter(F.col("strategy") == F.col("_best")).drop("_best")
+    link = lambda j: F.concat(F.lit("https://www.linkedin.com/jobs/view/"), j)
+    job = lambda jid, title, company, href, loc: F.struct(
+        jid.alias("job_id"), F.coalesce(F.nullif(title, F.lit("")), F.lit("LinkedIn Job")).alias("title"),
+        F.coalesce(company, F.lit("")).alias("company"), href.alias("link"), loc.alias("location"))
+    none = F.lit(None).cast("string")
+
+    entity = ("array<struct<entityUrn:string,`*jobPosting`:string,title:string,"
+              "primaryDescription:string,secondaryDescription:string>>")
+
+    def entities(block):
+        obj = F.from_json(block, f"struct<included:{entity},data:string>")
+        return F.when(block.startswith("["), F.from_json(block, entity)).otherwise(
+            F.concat(F.coalesce(obj["included"], F.array()), F.coalesce(F.from_json(obj["data"], entity), F.array())))
+
+    blocks = F.transform(F.regexp_extract_all(F.col("_html"), F.lit(r"(?is)<code[^>]*>(.*?)</code>"), 1), F.trim)
+    urn = lambda e: F.coalesce(F.nullif(e["entityUrn"], F.lit("")), e["*jobPosting"])
+    jid = lambda e: F.regexp_extract(F.coalesce(urn(e), F.lit("")), AGGREGATOR_JSON_URN, 1)
+
+    one = pages.select(_c(id_col).alias(id_col), html.alias("_html"), job_cards(html).alias("_cards"))
+    two = one.select(id_col, "_html", "_cards", F.flatten(F.transform(blocks, lambda b: F.coalesce(entities(b), F.array()))).alias("_ents"))
+    three = two.select(id_col, "_html", "_cards", F.transform(
+        F.filter("_ents", lambda e: F.coalesce(urn(e).contains("jobPosting") & (jid(e) != ""), F.lit(False))),
+        lambda e: job(jid(e), _text_field(e["title"]), _text_field(e["primaryDescription"]), link(jid(e)),
+                      _text_field(e["secondaryDescription"]))).alias("_named"))
+    s1 = F.transform("_cards", lambda c: job(
+        c["job_id"], squash_ws(c["title"]), c["company"],
+        F.when(c["href"].startswith("http"), c["href"]).otherwise(F.concat(F.lit("https://www.linkedin.com"), c["href"])), c["location"]))
+    # of an id's entities the first, unless it has no company and a later one has
+    s2 = F.transform(F.array_distinct(F.transform("_named", lambda e: e["job_id"])), lambda i: F.coalesce(
+        F.get(F.filter("_named", lambda e: (e["job_id"] == i) & (e["company"] != "")), F.lit(0)),
+        F.get(F.filter("_named", lambda e: e["job_id"] == i), F.lit(0))))
+    s3 = F.transform(F.array_distinct(F.regexp_extract_all(F.col("_html"), F.lit(AGGREGATOR_URN), 1)),
+                     lambda i: job(i, none, none, link(i), none))
+    tried = three.select(id_col, s1.alias("_s1"), s2.alias("_s2"), "_html")
+    strategy = F.when(F.size("_s1") > 0, 1).when(F.size("_s2") > 0, 2).otherwise(3)
+    best = F.when(F.size("_s1") > 0, F.col("_s1")).when(F.size("_s2") > 0, F.col("_s2")).otherwise(s3)
+    chosen = tried.select(id_col, strategy.alias("strategy"), F.posexplode(best).alias("_pos", "_j")).select(id_col, "_pos", "strategy", "_j.*")
     loc = F.nullif(F.coalesce(F.col("location"), F.lit("")), F.lit(""))
     return chosen.select(
         id_col, "_pos", "strategy",
@@ -256,8 +242,7 @@ def aggregator_jobs(pages: DataFrame, scraped_at, *, html_col="html", id_col="pa
         as_timestamp(scraped_at).alias("posted_at"))
 
 
-def _text_field(path: str) -> Column:
+def _text_field(raw: Column) -> Column:
     """A field that is either a string or an object {text: ...}."""
-    raw = F.col(path)
     as_obj = F.get_json_object(raw, "$.text")
     return F.when(raw.startswith("{"), as_obj).otherwise(raw)

@@ -127,3 +127,38 @@ def test_link_with_regex_quotes(spark):
     pages = spark.createDataFrame([(1, "https://x.com/", page)], "page_id long, url string, html string")
     out = html.career_page_links(pages, link_patterns=['href="([^"]*jobs[^"]*)"']).collect()
     assert [r["title"] for r in out] == ["Senior (data) engineer"]
+
+
+def test_cards_around_anchors():
+    """The element tree against markup that is open, nested, void or broken."""
+    from jobmill.sources.cards import cards
+    page = ('<div><ul><li><div class="c"><p><a href="/jobs/view/1?x=1"> A <b>B</b></a><br>'
+            '<i class="z base-search-card__subtitle"> Co &amp; <em>Sons</em></i></div>'
+            '<span class="job-search-card__location"> Rome<img src=x></span></li>'
+            '<li><a HREF="https://x.io/jobs/view/22">C</a><span class="base-search-card__metadata">Oslo</li>'
+            '<li><div><a href="/jobs/view/">none</a></div><a href="/jobs/view/1">again</a></li></ul>'
+            '<a href="/jobs/view/3" class=job-card-list__company-name>Last</a></p></span>'
+            '<h4 class="job-card-list__company-name">Open')
+    got = {c["job_id"]: (c["title"], c["company"], c["location"]) for c in cards(page)}
+    # the last anchor of id 1 stands in the third item, which has neither; its outer div is the page's
+    assert got["1"] == ("again", "Co &Sons", "") and got["22"] == ("C", "Co &Sons", "Oslo")
+    assert got["3"] == ("Last", "Co &Sons", "Rome")
+    assert cards("") == [] and cards("<a href='/jobs/view/x'>") == []
+    assert cards("<a href=/jobs/view/5>" + "<div>" * 3000)[0]["job_id"] == "5"
+
+
+def test_union_by_url(spark):
+    a = spark.createDataFrame([(1, 0, "u1"), (1, 1, "u2")], "page_id long, _pos int, url string")
+    b = spark.createDataFrame([(0, 0, "u2"), (0, 1, "u3"), (0, 0, "u3")], "page_id long, _pos int, url string")
+    got = sorted((r["url"], r["variant"], r["page_id"], r["_pos"]) for r in html.union_by_url([a, b]).collect())
+    assert got == [("u1", 0, 1, 0), ("u2", 0, 1, 1), ("u3", 1, 0, 0)]
+
+
+def test_page_readers_do_not_shuffle(spark):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    for out in (html.aggregator_jobs(pages, AT), html.career_page_links(pages), html.search_cards(pages, AT)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    # the links leave the page's row without the page
+    rows = html.career_page_links(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "_html" not in rows[:rows.index("Generate")]
