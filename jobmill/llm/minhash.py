@@ -86,17 +86,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             full[r] = at < end
             out[r] = (h[np.minimum(at, len(h) - 1)] >> np.uint64(40)).astype(np.uint16)
     open_rows = np.flatnonzero(full.any(axis=1) & ~full.all(axis=1))
-    if len(open_rows):
-        had, val = full[open_rows], out[open_rows]
-        got, filled = had.copy(), val.copy()
-        attempt = 0
-        while not got.all():
-            to = _probes(attempt)
-            take = ~got & had[:, to]
-            filled[take] = val[:, to][take]
-            got |= take
-            attempt += 1
-        out[open_rows] = filled
+    had, val, attempt = full[open_rows], out[open_rows], 0
+    got = had.copy()
+    while len(open_rows):
+        to = _probes(attempt)
+        take = ~got & had[:, to]
+        r, c = np.nonzero(take)
+        out[open_rows[r], c] = val[r, to[c]]
+        got |= take
+        attempt += 1
+        # finished rows leave: only the shortest sets need many attempts
+        left = ~got.all(axis=1)
+        if not left.all():
+            open_rows, had, val, got = open_rows[left], had[left], val[left], got[left]
     return out
 
 
