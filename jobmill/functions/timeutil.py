@@ -17,7 +17,7 @@ def parse_lookback(spec: str) -> dt.timedelta:
     s = spec.strip().lower()
     m = _LOOKBACK_RE.match(s)
     if not m:
-        raise ValueError(f"Invalid time filter: {s}. Use format like '24h', '7d', '2w', '1m'")
+        raise ValueError(f"lookback {spec!r} is not a number with h, d, w or m (24h, 7d, 2w, 1m)")
     n, unit = int(m.group(1)), m.group(2)
     return {"h": dt.timedelta(hours=n), "d": dt.timedelta(days=n),
             "w": dt.timedelta(weeks=n), "m": dt.timedelta(days=30 * n)}[unit]

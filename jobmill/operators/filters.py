@@ -1,7 +1,7 @@
 """Row filters and key-based joins.
 
-All are declarative so Catalyst pushes the simple ones (time cutoff, notified flag)
-into the parquet scan. Dimension joins are broadcast only when their row count has
+All are declarative so Catalyst pushes the simple ones (the time cutoff on a timestamp column, the
+notified flag) into the parquet scan. Dimension joins are broadcast only when their row count has
 been checked against a limit; otherwise Spark's own planner (with AQE) decides."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from ..functions.classify import ats_from_url
 from ..functions.timeutil import cutoff
@@ -48,9 +49,16 @@ def company_filter(postings: DataFrame, companies: DataFrame, *, company_col: st
 
 
 def time_filter(df: DataFrame, as_of, lookback: str, col: str = "posted_at") -> DataFrame:
-    """Keep rows with no date or posted at/after as_of - lookback (inclusive)."""
-    c = F.col(col).cast("timestamp")
-    return df.filter(c.isNull() | (c >= cutoff(as_of, lookback)))
+    """Keep rows with no date or posted at/after as_of - lookback (inclusive). A timestamp column
+    is compared as it is with a constant of its own type, so the scan gets the filter; a column
+    of another type is cast."""
+    c, limit = F.col(col), cutoff(as_of, lookback)
+    kind = df.schema[col].dataType if col in df.columns else None
+    if isinstance(kind, TimestampNTZType):
+        limit = limit.cast("timestamp_ntz")
+    elif not isinstance(kind, TimestampType):
+        c = c.cast("timestamp")
+    return df.filter(c.isNull() | (c >= limit))
 
 
 def unseen(jobs: DataFrame, since=None) -> DataFrame:

@@ -63,7 +63,9 @@ def _c(x) -> Column:
 
 
 def _role_display(pattern: str) -> str:
-    return pattern.replace("[- ]?", " ").title()
+    """How a role pattern is shown: its optional separator as a space, words capitalised."""
+    words = pattern.split("[- ]?")
+    return " ".join(w.title() for part in words for w in part.split(" "))
 
 
 def _lowered(text, is_lower: bool) -> Column:
@@ -145,9 +147,9 @@ def locations(text, is_lower: bool = False) -> Column:
 
 
 def profile_from_text(df: DataFrame, text_col: str, name_col: str,
-                      add_intern_variants: bool = True, max_skills: int | None = MAX_SKILLS) -> DataFrame:
-    """One generated profile per text row (PROFILE_SCHEMA columns); ``max_skills`` is the
-    source tool's, None keeps all skills."""
+                      add_intern_variants: bool = True, max_skills: int | None = None) -> DataFrame:
+    """One generated profile per text row (PROFILE_SCHEMA columns) with all its skills, or the
+    first ``max_skills`` (the source tool keeps ``MAX_SKILLS``)."""
     df = lower_stage(df, text_col)
     lt = F.col("_lt")
     r = _roles_with_variants(lt, True) if add_intern_variants else roles(lt, True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DIGEST_TOP = 10
 MAX_MESSAGE_REASONS = 3
 
@@ -75,8 +77,11 @@ def digest(scored: DataFrame, group_cols=("profile",), order_tiebreak: str = "id
     then '... and N more' when there are more than 10.
 
     Top 10 uses row_number() <= 10 (partial window-group limit before the shuffle);
-    the count is a separate partial aggregation, so no group is collected whole."""
+    the count is a separate partial aggregation, so no group is collected whole. Both read the
+    same few columns, which are computed once and written to the checkpoint folder."""
     g = list(group_cols)
+    ensure_checkpoint_dir(scored.sparkSession)
+    scored = scored.select(*g, "final_score", order_tiebreak, "title", "company").checkpoint(eager=True)
     w = Window.partitionBy(*g).orderBy(F.desc("final_score"), F.col(order_tiebreak))
     top = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= DIGEST_TOP)
     line = F.concat(F.col("_rn").cast("string"), F.lit(". "), F.col("title"), F.lit(" @ "),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,9 +108,9 @@ def vector_match_without_provider(postings: DataFrame, order_col: str, posting_k
 
 
 def highlights(p, title="title", description="description_text", location="location",
-               remote="remote_type", most: int | None = 5) -> Column:
+               remote="remote_type", most: int | None = None) -> Column:
     """V05 for a literal profile: keyword substrings, first role in title, first
-    location, remote equality; at most ``most`` (5 as in the source tool, None keeps all)."""
+    location, remote equality; all of them, or the first ``most`` (the source tool shows 5)."""
     t = F.lower(F.concat_ws(" ", _c(title), F.coalesce(_c(description), F.lit("")),
                             F.coalesce(_c(location), F.lit(""))))
     items = [F.when(t.contains(k.lower()), F.lit(f"Contains: {k}")) for k in p.must_have_keywords]
@@ -194,3 +195,50 @@ def embed_with(df: DataFrame, text_col: str, encode, dim: int, out: str = "embed
 
     udf = F.pandas_udf(run, T.ArrayType(T.FloatType()))
     return df.withColumn(out, udf(F.col(text_col)))
+
+
+def embed_batches(df: DataFrame, text_col: str, make_encoder, dim: int, out: str = "embedding", batch_size: int = 256) -> DataFrame:
+    """V06 plug point for a model that is dear to make: ``make_encoder()`` runs once per Python
+    worker and returns ``encode(texts) -> array (rows, dim)``, which gets at most ``batch_size``
+    texts at a time, across Arrow batches. A null text is encoded as an empty one."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make():
+        encode = make_encoder()
+
+        def predict(texts):
+            made = np.asarray(encode([t if t is not None else "" for t in texts.tolist()]), dtype=np.float32)
+            if made.shape != (len(texts), dim):
+                raise ValueError(f"encoder gave {made.shape}, wanted {(len(texts), dim)}")
+            return made
+        return predict
+
+    udf = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return df.withColumn(out, udf(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def hashed_words(dim: int):
+    """A small deterministic encoder for ``embed_batches``: the words of a text counted by the low
+    64 bits of their md5, modulo ``dim``."""
+    def make():
+        import hashlib
+
+        seen: dict[str, int] = {}
+
+        def place(word: str) -> int:
+            at = seen.get(word)
+            if at is None:
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                at = seen[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[8:], "big") % dim
+            return at
+
+        def encode(texts):
+            made = np.zeros((len(texts), dim), dtype=np.float32)
+            for k, text in enumerate(texts):
+                for word in text.split(" "):
+                    if word:
+                        made[k, place(word)] += 1
+            return made
+        return encode
+    return make

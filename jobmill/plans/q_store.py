@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import reports, scoring
-from ..session import read_table
+from ..session import read_table, scratch_path
 from ..store import jobs as store
+from ..store.changelog import ChangeLog
 from . import standins
 from .registry import AS_OF, SAMPLE_PROFILE, _SCORED_SQL, register, r6
 from .sqlfrag import py_title
@@ -116,12 +118,15 @@ SELECT 1::BIGINT AS run_id, 'completed' AS status, count(*)::BIGINT AS jobs_foun
 FROM snap WHERE touched
 """)
 def q_run_log(spark, sf_dir):
-    first, scored = _store_inputs(spark, sf_dir)
-    _, changes = store.upsert_frames(first, scored, AS_OF, order_col="seq")
-    totals = reports.run_totals(changes)                                                # A01
-    log = store.run_rows_start(1, AS_OF, spark).unionByName(store.run_rows_complete(1, AS_OF, totals))
-    return store.runs_latest(log).select("run_id", "status", "jobs_found", "jobs_new",
-                                         "started_at", "completed_at")
+    """The totals come out of the save that they describe."""
+    log = ChangeLog(spark, scratch_path(spark, f"runs-{uuid.uuid4().hex}"))
+    p = standins.postings_li(spark, sf_dir)
+    log.save(p.filter(F.col("posted_at") < F.lit(STORE_SPLIT).cast("timestamp")), FIRST_LOAD_AT, order_col="seq")
+    new = p.filter(F.col("posted_at") >= F.lit(INCOMING_FROM).cast("timestamp"))
+    log.start_run(1, AS_OF)
+    totals = log.save(scoring.score(new, [SAMPLE_PROFILE], AS_OF), AS_OF, order_col="seq")
+    log.complete_run(1, AS_OF, totals)
+    return log.runs().select("run_id", "status", "jobs_found", "jobs_new", "started_at", "completed_at")
 
 
 # -- K04 J06 A03 ---------------------------------------------------------------------
@@ -176,3 +181,40 @@ def q_match_report(spark, sf_dir):
     r = reports.match_report(_matches(spark, sf_dir))
     return r.select("title", "company", r6(F.col("score")).alias("score"),
                     F.array_join("reasons", "|").alias("reasons"), "apply_url")
+
+
+# -- K01 K02 K04 J06 through the change log: every column of the store --------------------------
+MARKED_AT = dt.datetime(2001, 11, 6)
+_ROW = "company, source_job_id, source_system, title, location, remote_type, employment_type, department, posted_at"
+
+
+@register("store_log", _STORE_BASE + f"""
+, o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn
+                       FROM m0 WHERE posted_at < TIMESTAMP '{STORE_SPLIT}') WHERE rn = 1),
+  i1 AS (SELECT m0.*, inc.final_score, inc.keyword_score, inc.vector_score, inc.recency_score
+         FROM inc JOIN m0 USING (id, l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+  rows AS (SELECT id, {_ROW}, false AS fresh, 0.0e0 AS vector_score, 0.0e0 AS keyword_score, 0.0e0 AS recency_score FROM o1
+           UNION ALL SELECT id, {_ROW}, true, vector_score, keyword_score, recency_score FROM i1 WHERE id NOT IN (SELECT id FROM o1))
+SELECT r.id, true AS has_company_id, r.company, source_job_id, source_system, title, location, remote_type, employment_type, department, NULL AS team,
+  'https://boards.example.com/' || r.company || '/' || source_job_id AS apply_url, 'https://boards.example.com/' || r.company AS source_url,
+  posted_at, CASE WHEN NOT fresh AND r.id IN (SELECT id FROM i1) THEN TIMESTAMP '2001-11-05' END AS updated_at,
+  NULL AS description_text, NULL AS seniority, round(coalesce(i.final_score, 0.0e0), 6) AS score, round(r.vector_score, 6) AS vector_score,
+  round(r.keyword_score, 6) AS keyword_score, round(r.recency_score, 6) AS recency_score,
+  CASE WHEN fresh THEN TIMESTAMP '2001-11-05' ELSE TIMESTAMP '2000-01-01' END AS first_seen_at,
+  CASE WHEN location LIKE '%1%' THEN TIMESTAMP '2001-11-06' END AS notified_at
+FROM rows r LEFT JOIN (SELECT id, final_score FROM i1) i USING (id)
+""")
+def q_store_log(spark, sf_dir):
+    """Two saves, a compaction and a mark; then the store as a reader sees it."""
+    log = ChangeLog(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    p = standins.postings_li(spark, sf_dir)
+    log.save(p.filter(F.col("posted_at") < F.lit(STORE_SPLIT).cast("timestamp")), FIRST_LOAD_AT, order_col="seq")
+    log.compact()
+    new = p.filter(F.col("posted_at") >= F.lit(INCOMING_FROM).cast("timestamp"))
+    log.save(scoring.score(new, [SAMPLE_PROFILE], AS_OF), AS_OF, order_col="seq")
+    some = log.jobs().where("location LIKE '%1%'").select("id").unionByName(p.select(F.concat(F.lit("no-"), "id").alias("id")))
+    log.notify(some, "push", TOPIC, MARKED_AT)
+    out = log.jobs()
+    scores = ("score", *[c for c in store.SCORE_FIELDS if c != "score"])
+    return out.select(*[F.col(c).isNotNull().alias("has_company_id") if c == "company_id" else r6(F.col(c)).alias(c) if c in scores else F.col(c)
+                        for c in out.columns])

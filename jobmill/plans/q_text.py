@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.classify import employment_type, remote_type
-from ..functions.text import fingerprint_bits, normalize_text
+from ..functions.text import fingerprint_bits, hamming, normalize_text, simhash_similarity
 from ..operators import dedup, profiles
-from ..session import read_table, spread
+from ..session import ensure_checkpoint_dir, read_table, spread
 from .registry import register
 from .sqlfrag import norm, sql_str, whole_word_re
 
@@ -196,7 +196,7 @@ FROM x
 """)
 def q_profile_from_text(spark, sf_dir):
     d = spread(read_table(spark, sf_dir, "documents"))
-    p = profiles.profile_from_text(d, "text", "doc_id")
+    p = profiles.profile_from_text(d, "text", "doc_id", max_skills=profiles.MAX_SKILLS)
     return p.select("profile", F.array_join("desired_roles", "|").alias("desired_roles"),
                     F.array_join("must_have_keywords", "|").alias("must_have_keywords"),
                     F.array_join("must_not_keywords", ",").alias("must_not_keywords"),
@@ -211,13 +211,35 @@ def q_profile_from_text(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("profile_embedding", f"""
 WITH x AS (SELECT doc_id, {_skills_sql('text')} AS s FROM documents)
-SELECT CAST(x.doc_id AS VARCHAR) AS profile, array_to_string(s[1:10], '|') AS must_have_keywords,
-       coalesce(len(e.embedding), 0)::BIGINT AS embedding_dims
+SELECT CAST(x.doc_id AS VARCHAR) AS profile, array_to_string(s, '|') AS must_have_keywords,
+       coalesce(array_to_string(list_transform(CAST(e.embedding AS DOUBLE[]), lambda v: CAST(round(v * 1e6) AS BIGINT)), ','), '') AS embedding_millionths
 FROM x LEFT JOIN embeddings e ON e.vec_id = x.doc_id
 """)
 def q_profile_embedding(spark, sf_dir):
+    """All skills of the text, and every number of its vector."""
     d = spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text")
     emb = read_table(spark, sf_dir, "embeddings")
     p = profiles.profile_with_embedding(d, "text", "doc_id", emb, "vec_id")
+    millionths = F.transform("resume_embedding", lambda v: F.round(v.cast("double") * 1e6).cast("bigint").cast("string"))
     return p.select("profile", F.array_join("must_have_keywords", "|").alias("must_have_keywords"),
-                    F.size("resume_embedding").cast("bigint").alias("embedding_dims"))
+                    F.array_join(millionths, ",").alias("embedding_millionths"))
+
+
+# ---------------------------------------------------------------------------
+# F24 distances of neighbouring fingerprints
+# ---------------------------------------------------------------------------
+@register("hamming", f"""
+WITH {_FP_SQL}
+SELECT a.doc_id, bit_count(xor(a.fp, b.fp))::INT AS distance, round(1.0e0 - bit_count(xor(a.fp, b.fp)) / 64.0e0, 6) AS similarity
+FROM fp a JOIN fp b ON b.doc_id = a.doc_id + 1
+""")
+def q_hamming(spark, sf_dir):
+    fp = staged_fingerprints(spark, sf_dir)
+    a, b = fp.select("doc_id", F.col("fingerprint").alias("a")), fp.select((F.col("doc_id") - 1).alias("doc_id"), F.col("fingerprint").alias("b"))
+    return a.join(b, "doc_id").select("doc_id", hamming("a", "b").alias("distance"), F.round(simhash_similarity("a", "b"), 6).alias("similarity"))
+
+
+def staged_fingerprints(spark, sf_dir):
+    """The fingerprints feed both sides of a join: computed once."""
+    ensure_checkpoint_dir(spark)
+    return doc_fingerprints(spark, sf_dir).select("doc_id", "fingerprint").checkpoint(eager=True)

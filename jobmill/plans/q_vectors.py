@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import scoring, vectors
-from ..session import read_table
+from ..operators import scoring, vector_index, vectors
+from ..session import read_table, scratch_path
 from . import standins
 from .registry import AS_OF, SAMPLE_PROFILE, _SCORED_SQL, register, r6
 from .standins import POSTINGS_LI_SQL
@@ -62,14 +64,14 @@ def q_vector_match(spark, sf_dir):
 
 
 def postings_with_similarity(spark, sf_dir):
-    """Postings with the rescaled similarity of their part's embedding (V06 join on
-    the precomputed table; no embedding -> null -> neutral .5 in scoring)."""
+    """Postings with the rescaled similarity of their part's embedding (V06 join on the precomputed
+    table; no embedding -> null -> neutral .5 in scoring). The similarity is computed once per
+    vector; one number, not the vector, goes to each posting."""
     p = standins.postings_li(spark, sf_dir).withColumn("part_key", F.col("seq.l_partkey"))
-    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("part_key"), "embedding")
+    emb = read_table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("part_key"), "embedding")
     prof = label_centroids(spark, sf_dir).filter(F.col("label") == PROFILE_LABEL).select("query_vec")
-    withv = p.join(emb, "part_key", "left")
-    pairs = vectors.pair_similarity(withv, prof)
-    return pairs.withColumn("vec_sim", F.when(F.col("embedding").isNotNull(), F.col("similarity")))
+    sims = vectors.pair_similarity(emb, prof).select("part_key", F.col("similarity").alias("vec_sim"))
+    return p.join(sims, "part_key", "left")
 
 
 @register("score_with_vectors", f"""
@@ -106,4 +108,46 @@ FROM {POSTINGS_LI_SQL} p
 """)
 def q_highlights(spark, sf_dir):
     p = standins.postings_li(spark, sf_dir)
-    return p.select("id", F.array_join(vectors.highlights(SAMPLE_PROFILE), "; ").alias("highlights"))
+    return p.select("id", F.array_join(vectors.highlights(SAMPLE_PROFILE, most=5), "; ").alias("highlights"))
+
+
+# -- T04 / V04 through the cell index ------------------------------------------------------
+@register("vector_topk_index", f"""
+SELECT vec_id AS query_id, least({TOP_K_VEC}, (SELECT count(*) FROM embeddings))::BIGINT AS n_found,
+  vec_id AS first_id, 1.0e0 AS first_similarity, true AS recall_ok
+FROM embeddings WHERE vec_id % 100 = 0
+""")
+def q_vector_topk_index(spark, sf_dir):
+    """Every row whose id is divisible by 100 against all rows; ``recall_ok`` says whether at least
+    0.9 of the exact search's rows were found."""
+    corpus = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = corpus.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    index = vector_index.fit_index(corpus, key="vec_id", k=TOP_K_VEC)
+    path = scratch_path(spark, f"vector-index-{uuid.uuid4().hex}")
+    rows = vector_index.write_index(corpus, index, path)
+    keys = dict(query_key="query_id", corpus_key="vec_id")
+    found = vector_index.index_top_k(rows, queries, index, TOP_K_VEC, **keys)
+    exact = vectors.vector_top_k(corpus, queries, TOP_K_VEC, **keys)
+    ok = vector_index.recall(found, exact, **keys) >= 0.9
+    return found.groupBy("query_id").agg(F.count("*").alias("n_found"), F.min_by("vec_id", "rank").alias("first_id"),
+                                         F.max(r6(F.col("similarity"))).alias("first_similarity")).withColumn("recall_ok", F.lit(ok))
+
+
+# -- V06 F26: embeddings of posting texts by a model made once per worker -------------------------
+EMBED_DIM = 16
+
+
+@register("posting_embeddings", f"""
+WITH t AS (SELECT id, l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(' ', title, 'Department: ' || nullif(department, ''),
+             'Location: ' || nullif(location, ''), 'Work style: ' || nullif(remote_type, '')) AS text FROM {POSTINGS_LI_SQL} p),
+  d AS (SELECT DISTINCT text FROM t),
+  w AS (SELECT text, unnest(string_split(text, ' ')) AS w FROM d),
+  c AS (SELECT text, (('0x' || substr(md5(w), 17, 16))::UBIGINT % {EMBED_DIM})::INT AS i, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+  e AS (SELECT text, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY i) AS embedding
+        FROM (SELECT d.text, r.i FROM d, (SELECT unnest(range({EMBED_DIM}))::INT AS i) r) g LEFT JOIN c USING (text, i) GROUP BY text)
+SELECT t.id, t.text, e.embedding FROM t JOIN e USING (text)
+""")
+def q_posting_embeddings(spark, sf_dir):
+    p = standins.postings_li(spark, sf_dir).select("id", vectors.posting_embed_text().alias("text"))
+    out = vectors.embed_batches(p, "text", vectors.hashed_words(EMBED_DIM), EMBED_DIM)
+    return out.select("id", "text", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))

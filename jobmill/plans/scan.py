@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import searchable_text
 from ..operators import dedup, filters
 from ..session import ensure_checkpoint_dir
+from ..store.changelog import ChangeLog
 
 
 def scan(postings: DataFrame, companies: DataFrame | None, as_of, lookback: str | None,
@@ -52,3 +53,17 @@ def scan_report(kept: DataFrame, as_of) -> DataFrame:
                        freshness_label("posted_at", as_of).alias("freshness"))
 
 
+def scan_and_store(store: ChangeLog, run_id: int, postings: DataFrame, companies: DataFrame | None, as_of, lookback: str | None,
+                   **options) -> dict:
+    """M05 with K01, K02, K05, K06: one logged run that scans, saves what it kept as one batch and
+    creates the companies it meets. Returns the run's totals, which the save has counted. A run
+    that fails is logged as failed, with its error, and the error goes on."""
+    store.start_run(run_id, as_of)
+    try:
+        kept, _ = scan(postings, companies, as_of, lookback, store.ids(), **options)
+        totals = store.save(kept, as_of, order_col=options.get("order_col", "seq"))
+    except Exception as e:
+        store.complete_run(run_id, as_of, None, "failed", f"{type(e).__name__}: {e}"[:500])
+        raise
+    store.complete_run(run_id, as_of, totals)
+    return totals
