@@ -9,11 +9,13 @@ entropy 0, one on every page has entropy 1); a node's importance is their weight
 Branches under the threshold are removed from every page of the host.
 
 Every shown element of every page enters the tree; scripts, styles, heads and hidden elements
-are not shown. What a page says about itself is a weight on a node's importance and removes
-nothing alone: a navigation, header, footer, sidebar or form tag or role, a class or id named
-like an advert or menu, standing outside the article that the page marks, each lower it;
-standing in the marked article raises it. Two such marks outweigh any text, one leaves
-the decision to the tree.
+are not shown. What a page says about itself is a weight on a node's importance. An element
+that states its part, by tag, role or a short class or id (menu, site header or footer, sidebar,
+form, notice, advert, reader comments), has weight 0: such text is unwanted because of its
+part, however unlike it is from page to page. A weaker word (related, share, search, ...), a
+header inside the article, or a place outside the article that the page marks lowers the
+importance, standing in the marked article raises it, and the tree decides. A form that holds
+the page's own structure is a frame, not a form.
 
 Pages of a host with the same main text (the blocks that no mark speaks against) are counted
 as one, so a group of copies does not look like boilerplate. A node's importance on a host is
@@ -54,19 +56,24 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-NOISE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
-NOISE_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adbox", "banner", "sponsor", "sponsored", "promo",
-               "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer",
-               "sidebar", "aside", "widget", "related", "recommended", "cookie", "cookies", "consent", "notice", "alert",
-               "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share",
-               "social", "comment", "comments", "reply", "replies", "respond", "disqus", "pagination", "pager", "toolbar",
-               "copyright", "legal", "disclaimer", "gdpr", "paywall", "teaser"}
-NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
+PART_TAGS = {"nav", "footer", "aside", "form", "button", "dialog", "menu"}
+PART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"}
+# words that state an element's part when they stand in a name of at most three words ...
+PART_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adbox", "banner", "sponsored", "nav", "navbar", "navigation",
+              "menu", "breadcrumb", "breadcrumbs", "masthead", "topbar", "footer", "sidebar", "cookie", "cookies", "consent", "gdpr",
+              "notice", "notices", "alert", "popup", "modal", "newsletter", "comment", "comments", "replies", "respond", "disqus"}
+# ... unless one of these says that it is about something else, such as the page's layout
+NOT_PART = {"no", "has", "have", "with", "without", "is", "non", "not"}
+# words that make an element less likely to be main text
+NOISE_NAMES = PART_NAMES | {"sponsor", "promo", "header", "aside", "widget", "related", "recommended", "overlay", "subscribe", "subscription",
+                            "signup", "login", "search", "share", "social", "reply", "pagination", "pager", "toolbar", "copyright", "legal",
+                            "disclaimer", "paywall", "teaser"}
+STRUCTURE = re.compile(r"<(?:article|main|nav|header|footer|aside)\b", re.I)
 ARTICLE_NAMES = {"article", "articlebody", "post", "postbody", "postcontent", "entrycontent", "maincontent", "story"}
-#: Weights of a node's importance by what its element or one around it says of itself
-#: (nothing, a name, a tag or role) and by where it stands (in no marked article, in, outside).
-NAMED, TAGGED, UNSHOWN = 1, 2, 3
-MARK_WEIGHT = (1.0, 0.5, 0.35)
+#: Weights of a node's importance by what its element or one around it says of itself (nothing,
+#: a weak name, a header, its part) and by where it stands (in no marked article, in, outside).
+NAMED, HEADER, PART, UNSHOWN = 1, 2, 3, 4
+MARK_WEIGHT = (1.0, 0.5, 0.35, 0.0)
 PLACE_WEIGHT = (1.0, 2.0, 0.5)
 #: Start tags that end an open element of these names (up to the nearest block around it).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -81,15 +88,23 @@ def _node(tag: str, attributes: str) -> tuple[str, int, bool]:
     """(style name, mark, does it mark the article) of a start tag."""
     at = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)} if "=" in attributes else {}
     names = f"{at.get('class', '')} {at.get('id', '')}".split()
-    tokens = {t for n in names for t in (n.lower(), *re.split(r"[-_]+", n.lower()))}
+    split = [re.split(r"[-_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower()) for n in names]
+    tokens = {t for n, words in zip(names, split) for t in (n.lower(), *words)}
+    part = any(len(w) <= 3 and PART_NAMES.intersection(w) and NOT_PART.isdisjoint(w) for w in split)
     role = at.get("role", "").lower()
     article = tag in ("article", "main") or role in ("main", "article") or any(re.sub(r"[-_]", "", n.lower()) in ARTICLE_NAMES for n in names)
     mark = 0
     if tag == "head" or "hidden" in attributes.lower().split():
         mark = UNSHOWN
-    elif tag in NOISE_TAGS or role in NOISE_ROLES:
-        mark = TAGGED
-    elif tag not in ("body", "html") and not article and tokens & NOISE_NAMES:
+    elif tag in PART_TAGS or role in PART_ROLES:
+        mark = PART
+    elif tag in ("body", "html") or article:
+        mark = 0
+    elif part:
+        mark = PART
+    elif tag == "header":
+        mark = HEADER
+    elif tokens & NOISE_NAMES:
         mark = NAMED
     return ".".join([tag, *sorted(set(names))]), mark, article and not mark
 
@@ -183,6 +198,10 @@ def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str
         end_block()
         name, mark, article = _node(tag, m[3] or "")
         above = stack[-1] if stack else ("", "", 0, False)
+        if tag == "form" and mark == PART and STRUCTURE.search(page, at, _form_end(page, at)):
+            mark = 0
+        elif mark == HEADER and not above[3]:
+            mark = PART
         mark = max(mark, above[2])
         if mark != UNSHOWN:
             children = styles.setdefault(tuple(s[1] for s in stack), [])
@@ -194,6 +213,14 @@ def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str
     return out, styles
 
 
+def _form_end(page: str, at: int) -> int:
+    end = _FORM_END.search(page, at)
+    return end.start() if end else len(page)
+
+
+_FORM_END = re.compile(r"</form\b", re.I)
+
+
 @functools.lru_cache(1 << 14)
 def _nodes(path: tuple[str, ...], marks: tuple[int, ...], place: int) -> tuple[tuple[int, tuple[str, ...]], ...]:
     """(hash, path) of a block's style nodes from the innermost outwards. The page's frame

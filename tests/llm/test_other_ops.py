@@ -1,5 +1,6 @@
 """Packing, chat, page text, classifiers and the pipeline."""
 
+import math
 import random
 import zlib
 
@@ -129,6 +130,94 @@ def test_style_tree_judges_articles_and_names(spark):
         assert len(r["text"].split("\n\n")) == 3 and "Subscribe" not in r["text"] and "\n\nown " in r["text"]
 
 
+PARTS = ["<section class='comments'><p>{t}</p><div class='reply'>{t}</div></section>", "<form><p>{t}</p></form>", "<aside class='sidebar'><p>{t}</p></aside>",
+         "<div class='advert'><p>{t}</p></div>", "<nav><ul><li>{t}</ul></nav>", "<div id='cookie-notice'>{t}</div>", "<footer>{t}</footer>", "<div role=navigation>{t}</div>",
+         "<div class='siteFooter'>{t}</div>", "<ul class='main_menu'><li>{t}</ul>"]
+
+
+@pytest.mark.parametrize("shape", ["without", "inside", "around", "outside"])
+def test_stated_parts_go_whatever_their_text(spark, shape):
+    """Unwanted parts with text of their own on every page: without an article, inside it, around it, beside it."""
+    rng = random.Random(33)
+    text = lambda n: prose(rng, n, 10 ** 6)
+    rows, want = [], {}
+    for k in range(12):
+        main = [text(30), text(25)]
+        body = [f"<p>{m}</p>" for m in main]
+        parts = [x.format(t=text(12)) for x in PARTS]
+        header = f"<header><p>{text(5)}</p></header>"
+        if shape == "inside":
+            html = f"{header}<article>{body[0]}{''.join(parts)}{body[1]}</article>"
+        elif shape == "around":
+            html = f"{header}<div class='has-sidebar no-comments'>{parts[0]}<article>{''.join(body)}</article>{''.join(parts[1:])}</div>"
+        elif shape == "outside":
+            html = f"{header}{''.join(parts[:5])}<article>{''.join(body)}</article>{''.join(parts[5:])}"
+        else:
+            html = f"{header}<div class='wide'>{body[0]}</div>{''.join(parts)}<div class='wide'>{body[1]}</div>"
+        rows.append((k, "http://a.example/" if k < 11 else "http://alone.example/", f"<html><body>{html}</body></html>"))
+        want[k] = "\n\n".join(main)
+    for r in html_extract.extract(make(spark, rows, "page_id bigint, url string, html string")).collect():
+        assert r["text"] == want[r["page_id"]]
+
+
+def test_frames_and_layout_names_are_not_parts():
+    def kept(page):
+        return [(b.text, b.marks[-1]) for b in html_extract.shown(page)[0]]
+    assert kept("<body><form id=all><nav>m</nav><div>text</div></form></body>") == [("m", html_extract.PART), ("text", 0)]
+    assert kept("<body><form><div>mail</div></form></body>") == [("mail", html_extract.PART)]
+    assert kept("<div class='with-sidebar'>a</div><div class='sidebar'>b</div><div class='a-note-on-comment-culture'>c</div>") == \
+        [("a", html_extract.NAMED), ("b", html_extract.PART), ("c", html_extract.NAMED)]
+    assert kept("<article><header>t</header></article><header>s</header>") == [("t", html_extract.HEADER), ("s", html_extract.PART)]
+
+
+def importance_brute(pages, weight=0.9, corpus_pages=4):
+    """The style tree of pages (host, html) node by node, in plain Python."""
+    hosts = {}
+    for host, page in {(h, tuple(b.text for b in html_extract.shown(p)[0])): (h, p) for h, p in sorted(pages, reverse=True)}.values():
+        found, styles = html_extract.shown(page)
+        judged = html_extract._judged(found)
+        tree = hosts.setdefault(host, {})
+        for node, path in {n for up in judged for n in up}:
+            tree.setdefault(node, ([], []))[0].append(tuple(styles.get(path, ())))
+        for leaf, text in {(up[0][0], b.text) for up, b in zip(judged, found)}:
+            ups = next(up for up in judged if up[0][0] == leaf)
+            for node, _ in ups:
+                tree[node][1].append((leaf, text))
+    here, known = {}, {}
+    for host, tree in hosts.items():
+        for node, (styles, texts) in tree.items():
+            m = len(styles)
+            if m == 1:
+                here[host, node] = (1, 1.0)
+                continue
+            share = [styles.count(x) / m for x in set(styles)]
+            look = -sum(p * math.log(p, m) for p in share)
+            distinct = set(texts)
+            spread = sum(texts.count(x) * math.log(texts.count(x), m) for x in distinct) / len(texts)
+            here[host, node] = (m, (1 - weight) * max(0.0, look) + weight * (1 - min(1.0, spread)))
+    for (_, node), (m, x) in here.items():
+        a, b = known.get(node, (0, 0.0))
+        known[node] = (a + m - 1, b + (m - 1) * x)
+    return {(h, n): (m, (m * x + corpus_pages * (known[n][1] / known[n][0] if known[n][0] else x)) / (m + corpus_pages)) for (h, n), (m, x) in here.items()}
+
+
+def test_importances_against_a_plain_tree(spark):
+    rng = random.Random(34)
+    rows = []
+    for k in range(60):
+        cells = "".join(f"<td>{rng.choice(['x', 'y', prose(rng, 3)])}</td>" for _ in range(rng.randrange(1, 4)))
+        rows.append((f"h{k % 3}", f"<body><div class=a><p>{prose(rng, 4, 10 ** 6)}</p><p>{rng.choice(['same', 'other'])}</p></div><table><tr>{cells}</table>"
+                                  f"{'<div class=b>Call us</div>' if k % 2 else ''}</body>"))
+    rows.append(("one", rows[0][1]))
+    df = spark.createDataFrame([(i, i % 3 if h != "one" else 9, p) for i, (h, p) in enumerate(rows)], "_key bigint, _host bigint, _html string")
+    parsed = df.mapInArrow(html_extract._pages, "_key bigint, host bigint, same bigint, nodes array<bigint>, packed binary")
+    got = {(r["host"], r["node"]): (r["m"], r["importance"]) for r in html_extract.importances(parsed, 0.9, 4).collect()}
+    want = importance_brute([(i % 3 if h != "one" else 9, p) for i, (h, p) in enumerate(rows)])
+    assert got.keys() == want.keys()
+    for k, (m, x) in want.items():
+        assert got[k][0] == m and abs(got[k][1] - x) < 1e-9, (k, got[k], m, x)
+
+
 def test_copies_do_not_lower_importance(spark):
     """Copies on one host count once, and small hosts follow the corpus."""
     rng = random.Random(32)
