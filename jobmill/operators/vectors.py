@@ -100,6 +100,13 @@ def vector_match(postings: DataFrame, profile_vecs: DataFrame, *, min_similarity
                              [profile_key], out="rank")
 
 
+def vector_match_highlights(postings: DataFrame, profile_vecs: DataFrame, p, *, most: int | None = None, **options) -> DataFrame:
+    """V04 with V05: ``vector_match`` whose rows carry ``profile_highlights``, what in the posting
+    speaks for the profile ``p`` (a literal one, whose vector ``profile_vecs`` holds)."""
+    told = postings.withColumn("profile_highlights", highlights(p, most=most))
+    return vector_match(told, profile_vecs, **options)
+
+
 def vector_match_without_provider(postings: DataFrame, order_col: str, posting_key: str) -> DataFrame:
     """V04 with no embedding provider: every row, similarity .5, arrival order, no threshold."""
     return global_row_number(postings.withColumn("similarity", F.lit(NEUTRAL)),
@@ -155,6 +162,20 @@ def profile_text_labelled(p) -> str:
     return " ".join(parts)
 
 
+def profile_texts(labelled: bool = False) -> Column:
+    """F25 for a table of profiles: the same texts as ``profile_text_plain`` and
+    ``profile_text_labelled`` from the profile columns (null lists count as empty)."""
+    words = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    if not labelled:
+        return F.array_join(F.concat(words("desired_roles"), words("must_have_keywords")), " ")
+
+    def told(label: str, c: str) -> Column:
+        return F.when(F.size(words(c)) > 0, F.concat(F.lit(label), F.array_join(words(c), ", ")))
+    remote = F.nullif("remote_preference", F.lit(""))
+    return F.concat_ws(" ", told("Looking for roles like: ", "desired_roles"), told("Required skills: ", "must_have_keywords"),
+                       told("Preferred locations: ", "preferred_locations"), F.concat(F.lit("Work style: "), remote))
+
+
 def posting_embed_text(title="title", department="department", location="location",
                        remote="remote_type", description="description_text",
                        requirements="requirements", description_chars: int | None = None,

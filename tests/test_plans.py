@@ -121,3 +121,22 @@ def test_logged_runs(spark, tmp_path):
     runs = {r["run_id"]: (r["status"], r["jobs_found"], r["jobs_new"], bool(r["error_message"])) for r in store.runs().collect()}
     assert runs == {1: ("completed", 2, 2, False), 2: ("completed", 0, 0, False), 3: ("failed", 0, 0, True)}
     assert {r["name"] for r in store.companies().collect()} == {"A", "B"} and store.jobs().count() == 2
+
+
+def test_profile_texts_of_a_table(spark):
+    from jobmill.operators.scoring import profiles_frame
+    profs = [Profile(profile="a", desired_roles=["r1", "r2"], must_have_keywords=["k"], preferred_locations=["X", "Y"], remote_preference="remote"),
+             Profile(profile="b"), Profile(profile="c", must_have_keywords=["k", "l"], remote_preference="")]
+    out = {r["profile"]: (r["p"], r["l"]) for r in profiles_frame(spark, profs).select(
+        "profile", vectors.profile_texts().alias("p"), vectors.profile_texts(labelled=True).alias("l")).collect()}
+    assert out == {p.profile: (vectors.profile_text_plain(p), vectors.profile_text_labelled(p)) for p in profs}
+
+
+def test_vector_match_carries_highlights(spark):
+    posts = spark.createDataFrame([("a", "Python dev", "Berlin", "remote", [1.0, 0.0]), ("b", "Cook", None, "onsite", [-1.0, 0.0])],
+                                  "id string, title string, location string, remote_type string, embedding array<float>").withColumn("description_text", F.lit(None).cast("string"))
+    q = spark.createDataFrame([("p", [1.0, 0.0])], "profile string, query_vec array<float>")
+    prof = Profile(profile="p", must_have_keywords=["python"], preferred_locations=["berlin"], remote_preference="remote")
+    rows = vectors.vector_match_highlights(posts, q, prof, min_similarity=0.0).collect()
+    assert {r["id"]: list(r["profile_highlights"]) for r in rows} == {"a": ["Contains: python", "Location: berlin", "Remote: remote"], "b": []}
+    assert [list(r["profile_highlights"]) for r in vectors.vector_match_highlights(posts, q, prof, most=1).collect()] == [["Contains: python"]]
