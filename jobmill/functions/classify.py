@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squash_ws
 
 
 def _c(x) -> Column:
@@ -225,7 +224,3 @@ def py_title(t) -> Column:
         F.transform(F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1),
                     lambda s: F.concat(first(s), F.substring(s, 2, 1 << 30))),
         "")
-
-
-def squash(text) -> Column:
-    return squash_ws(text)

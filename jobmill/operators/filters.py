@@ -92,11 +92,6 @@ def drop_known(postings: DataFrame, known: DataFrame, key: str = "id",
     return postings.join(k, key, "left_anti")
 
 
-def existing_only(ids: DataFrame, jobs: DataFrame, key: str = "id") -> DataFrame:
-    """Semi join: ids that exist in jobs."""
-    return ids.join(jobs.select(key), key, "left_semi")
-
-
 def union_postings(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by name across sources (missing columns become null)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

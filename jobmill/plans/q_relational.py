@@ -207,11 +207,10 @@ def q_company_selection(spark, sf_dir):
 
 # -- U01 U02 -------------------------------------------------------------------
 @register("union_sources", f"""
-SELECT 'lineitem' AS source, count(*)::BIGINT AS n FROM {POSTINGS_LI_SQL} p
-UNION ALL SELECT 'events', count(*)::BIGINT FROM events
+SELECT id, title, 'lineitem' AS source FROM {POSTINGS_LI_SQL} p
+UNION ALL SELECT NULL, event_type, 'events' FROM events
 """)
 def q_union_sources(spark, sf_dir):
     a = standins.postings_li(spark, sf_dir).select("id", "title", F.lit("lineitem").alias("source"))
     b = events_postings(spark, sf_dir).select(F.col("event_type").alias("title"), F.lit("events").alias("source"))
-    u = filters.union_postings([a, b])
-    return u.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return filters.union_postings([a, b]).select("id", "title", "source")

@@ -134,22 +134,24 @@ def q_run_log(spark, sf_dir):
 WITH ids AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'
              UNION SELECT DISTINCT p_partkey + 1000000000 FROM part),
   hit AS (SELECT id FROM ids WHERE id IN (SELECT o_orderkey FROM orders))
-SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' OR o_orderkey IN (SELECT id FROM hit))::BIGINT AS notified,
-       (SELECT count(*) FROM hit)::BIGINT AS sent,
-       (SELECT count(*) FROM hit)::BIGINT AS total
+SELECT o_orderkey AS id, o_custkey AS company_id, o_orderpriority AS title, round(o_totalprice / 1000000.0e0, 6) AS score,
+  CAST(o_orderdate AS TIMESTAMP) AS first_seen_at,
+  CASE WHEN hit.id IS NOT NULL THEN TIMESTAMP '2001-11-05' WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) END AS notified_at,
+  CASE WHEN hit.id IS NOT NULL THEN TIMESTAMP '2001-11-05' END AS sent_at, CASE WHEN hit.id IS NOT NULL THEN 'push/jobs' END AS sent_to,
+  (SELECT count(*) FROM hit)::BIGINT AS sent, (SELECT count(*) FROM hit)::BIGINT AS total
+FROM orders LEFT JOIN hit ON hit.id = o_orderkey
 """)
 def q_mark_notified(spark, sf_dir):
+    """Every stored row after the marks, its notification row, and the totals."""
     jobs = standins.stored_jobs(spark, sf_dir).withColumnRenamed("job_id", "id")
     li = read_table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R") \
         .select(F.col("l_orderkey").alias("id"))
     missing = read_table(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000_000).alias("id"))
     snap, notes = store.mark_notified_frames(jobs, li.unionByName(missing), "push", TOPIC, AS_OF)
-    flags = snap.select(F.col("notified_at").isNotNull().cast("long").alias("n"),
-                        F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
-    sent = notes.select(F.lit(0).cast("long").alias("n"), F.col("success").cast("long").alias("s"),
-                        F.lit(1).cast("long").alias("t"))
-    return flags.unionByName(sent).agg(F.sum("n").alias("notified"), F.sum("s").alias("sent"),
-                                       F.sum("t").alias("total"))
+    totals = reports.notification_totals(notes).first()
+    sent = notes.select(F.col("job_id").alias("id"), "sent_at", F.concat_ws("/", "mode", "target").alias("sent_to"))
+    return snap.join(sent, "id", "left").select("id", "company_id", "title", r6(F.col("score")).alias("score"), "first_seen_at", "notified_at", "sent_at", "sent_to",
+                                                F.lit(totals["sent"]).alias("sent"), F.lit(totals["total"]).alias("total"))
 
 
 # -- K06 J05 -------------------------------------------------------------------------
