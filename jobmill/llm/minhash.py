@@ -13,11 +13,17 @@
    of the confirmed links are computed, and the members of buckets that still hold several
    components are looked at again. A shingle that no other of them has cannot be shared, so
    the rest of a set (its solid part) bounds what it has in common with any partner; members
-   that cannot reach the threshold with anyone leave. Buckets that are still open get more
-   centres (1, then 4, 256, ... of a bucket, by hash), each against the members of other
-   components that the bound allows, until every bucket is one component or all its members
-   have been centres. Nothing is capped: a bucket of unlike members that share all their
-   shingles is compared whole.
+   that cannot reach the threshold with anyone leave.
+5. The others are compared by their differences from the bucket's centre c. For sets x and y,
+   |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy| with Dx = x ^ c, and they are linked if |x ^ y| is at
+   most (|x| + |y|) (1 - t) / (1 + t). Two members that are both linked with c are in one
+   component already, so one of the two, say x, is not: |Dx| is above that bound for x and c.
+   Then y shares at least (|Dy| + (|c| - |y|) (1 - t) / (1 + t)) / 2 elements of its difference
+   with x. Elements that members of one component only have do not count, the others are ordered
+   rarest first, and by the prefix principle x holds one of the first |Sy| - need + 1. Copies
+   of a text differ from its centre in few, mostly different places, so the pairs that share
+   such an element are few, however many members a bucket has. The bound is exact: no pair of
+   a bucket that reaches the threshold is lost, and nothing is capped.
 
 Components come from alternating large-star and small-star steps. Buckets, stars and
 components are joins against one row per key, so hot groups are pre-aggregated on the map
@@ -145,20 +151,17 @@ def _alike(percent: int):
 
 def _confirm(k: int, percent: int):
     """Keep the pairs whose full sets reach the threshold. Rows come sorted by the centre,
-    whose set is computed once. A text that is not the node's own (another row with the
-    same id) is recognised by the set's digest."""
+    whose set is computed once."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hx, sx = None, None, None
+        last, hx = None, None
         for b in slices(batches, "yt"):
             keep = []
-            for x, xt, y, yt in zip(*(column(b, c).to_pylist() for c in ("x", "xt", "y", "yt"))):
+            for xt, yt in zip(*(column(b, c).to_pylist() for c in ("xt", "yt"))):
                 if xt != last:
                     last, hx = xt, shingle_set(xt, k)
-                    sx = set_sums(hx)[0]
                 hy = shingle_set(yt, k)
                 both = len(np.intersect1d(hx, hy, assume_unique=True))
-                keep.append(sx == x["s"] and set_sums(hy)[0] == y["s"]
-                            and 100 * both >= percent * (len(hx) + len(hy) - both))
+                keep.append(100 * both >= percent * (len(hx) + len(hy) - both))
             yield pa.RecordBatch.from_arrays([column(b, "x"), column(b, "y")], names=["x", "y"]).filter(pa.array(keep))
     return test
 
@@ -197,10 +200,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: ``id``, a hash of its text (``th``), its set size (``n``),
     the smallest id that can be reached (``component``), whether that is its own (``kept``), and
     the name of its group (``group``, null for a text without shingles)."""
-    text = docs.select(F.coalesce(docs[id_col], F.lit(NO_ID)).alias("_id"), docs[text_col].alias("_text"))
-    signed = staged(text.withColumn("_th", F.xxhash64("_text")).mapInArrow(_signer(shingle), "id bigint, th bigint, n bigint, s bigint, s2 bigint, sig binary"), "oph")
-    nodes = staged(signed.where("n > 0").groupBy("s", "s2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-                   .select(F.struct("id", "s").alias("v"), "n", "s2", "sig"), "oph")
+    text = docs.select(F.coalesce(docs[id_col], F.lit(NO_ID)).alias("_id"), F.xxhash64(docs[text_col]).alias("_th"), docs[text_col].alias("_text"))
+    signed = staged(text.select("_id", "_text", "_th").mapInArrow(_signer(shingle), "id bigint, th bigint, n bigint, s bigint, s2 bigint, sig binary"), "oph")
+    # a class of equal sets is its smallest row: (id, set digest) names it, (id, text hash) finds its text
+    nodes = staged(signed.where("n > 0").groupBy("s", "s2", "n").agg(F.min(F.struct("id", "th")).alias("f"), F.first("sig").alias("sig"))
+                   .select(F.struct("f.id", "s").alias("v"), "f.th", "n", "s2", "sig"), "oph")
     sigs = nodes.select("v", "sig")
     bands = nodes.select("v", "n", F.explode(_band_keys()).alias("k"))
     centres = (group_apart(bands, ["k"], F.min(F.struct("v", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
@@ -208,34 +212,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = staged(bands.join(centres.hint("shuffle_merge"), "k").where("v != c"), "buckets")
     near = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
     pairs = members.where(near("n", "cn")).select(F.col("c").alias("x"), F.col("v").alias("y")).distinct()
-    links = _linked(pairs, sigs, text, shingle, percent)
+    source = (nodes.select("v", "th"), text)
+    links = _linked(pairs, sigs, source, shingle, percent)
     roots = connected(links)
-    # its first centre has met all members of a bucket: the others remain
-    rest = staged(_open(members.select("k", "m", "v", "n"), roots), "open")
+    # its centre has met all members of a bucket: the others remain
+    rest = staged(_open(members.select("k", "c", "cn", "v", "n"), roots), "open")
     if not rest.isEmpty():
-        ids = rest.select(F.col("v.id").alias("_id")).distinct()
-        text = staged(text.join(ids.hint("shuffle_merge"), "_id", "left_semi"), "texts")
-        alone = _alone(rest.select("v").distinct(), text, shingle)
-        able = (rest.drop("g").join(alone.hint("shuffle_merge"), "v", "left")
+        texts = staged(_texts(rest.select("v").union(rest.select("c")), source), "texts")
+        alone = _alone(rest.select("v").distinct(), texts, shingle)
+        able = (rest.join(alone.hint("shuffle_merge"), "v", "left")
                 .withColumn("solid", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
                 .where(f"100 * solid >= {percent} * n"))
-        rest = staged(able, "able")
-        most, lo, hi = rest.agg(F.max("m")).first()[0] or 0, 0, 4
-        while lo < most:
-            here = staged(_open(rest, roots), "open")
-            if here.isEmpty():
-                break
-            here = here.withColumn("turn", F.pmod(F.xxhash64("v"), F.lit(1 << 30)) * F.col("m") / (1 << 30))
-            c = here.where((F.col("turn") >= lo) & (F.col("turn") < hi)).select(
-                "k", F.col("v").alias("x"), F.col("n").alias("xn"), F.col("g").alias("xg"), F.col("solid").alias("xs"))
-            pairs = (here.join(c.hint("shuffle_merge"), "k").where("v != x and g != xg").where(near("n", "xn"))
-                     .where(f"{100 + percent} * least(solid, xs) >= {percent} * (n + xn)")
-                     .select(F.least("x", "v").alias("x"), F.greatest("x", "v").alias("y")).distinct())
-            linked = _linked(pairs, sigs, text, shingle, percent)
-            if not linked.isEmpty():
-                links = links.union(linked)
-                roots = connected(links)
-            lo, hi = hi, hi * 64
+        pairs = _apart(able, texts, shingle, percent)
+        linked = _linked(pairs, sigs, source, shingle, percent)
+        if not linked.isEmpty():
+            roots = connected(links.union(linked))
     cls = nodes.select("v", "n", "s2").join(roots.select(F.col("u").alias("v"), "root").hint("shuffle_merge"), "v", "left")
     cls = cls.select(F.col("v.s").alias("s"), "s2", "n", F.coalesce("root", "v").alias("group"), F.coalesce("root", "v")["id"].alias("root"))
     rows = signed.select("id", "th", "n", "s", "s2").join(cls.hint("shuffle_merge"), ["s", "s2", "n"], "left")
@@ -252,27 +243,74 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return here.join(several.hint("shuffle_merge"), "k")
 
 
-def _alone(nodes: DataFrame, text: DataFrame, shingle: int) -> DataFrame:
+def _texts(nodes: DataFrame, source: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(v, _text) of the nodes ``v``, by id and text hash: missing or repeated ids cost nothing."""
+    known, text = source
+    keys = nodes.toDF("v").distinct().join(known.hint("shuffle_merge"), "v").select("v", F.col("v.id").alias("_id"), F.col("th").alias("_th"))
+    return text.join(keys.hint("shuffle_merge"), ["_id", "_th"]).select("v", "_text").dropDuplicates(["v"])
+
+
+def _alone(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(v, alone): how many shingles of the node's set no other of the nodes has; nodes
     without such shingles are left out."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", 1 << 20):
-            nodes, sets = [], []
-            for v, t in zip(column(b, "v").to_pylist(), column(b, "_text").to_pylist()):
-                h = shingle_set(t, shingle)
-                if set_sums(h)[0] == v["s"]:
-                    nodes += [v] * len(h)
-                    sets.append(h)
+            sets = [shingle_set(t, shingle) for t in column(b, "_text").to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
             h = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.struct([("id", pa.int64()), ("s", pa.int64())])), pa.array(h)], names=["v", "h"])
-
-    met = nodes.withColumn("_id", F.col("v.id")).join(text.hint("shuffle_merge"), "_id").select("v", "_text")
-    alone = (met.mapInArrow(explode, f"v {NODE}, h bigint").groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("n"))
-             .where("n = 1").groupBy("v").agg(F.count("*").alias("alone")))
-    return alone
-
-
-def _linked(pairs: DataFrame, sigs: DataFrame, text: DataFrame, shingle: int, percent: int) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([column(b, "v").take(pa.array(at)), pa.array(h)], names=["v", "h"])
+
+    met = nodes.join(texts.hint("shuffle_merge"), "v").select("v", "_text")
+    return (met.mapInArrow(explode, f"v {NODE}, h bigint").groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("n"))
+            .where("n = 1").groupBy("v").agg(F.count("*").alias("alone")))
+
+
+def _differences(shingle: int):
+    """Per (c, v): the shingles that one of the two sets has and the other lacks. Rows come sorted by c."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hc = None, None
+        for b in slices(batches, "vt", 1 << 20):
+            out = []
+            for ct, vt in zip(column(b, "ct").to_pylist(), column(b, "vt").to_pylist()):
+                if ct != last:
+                    last, hc = ct, shingle_set(ct, shingle)
+                out.append(np.setxor1d(hc, shingle_set(vt, shingle), assume_unique=True).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()),
+                                             pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("c", "cn", "v", "n", "g")), lists], names=["c", "cn", "v", "n", "g", "d"])
+    return run
+
+
+def _apart(able: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components in a bucket that may reach the threshold, by what their
+    sets have otherwise than the bucket's centre (see the module's fifth step)."""
+    t, whole = 100 - percent, 100 + percent             # linked: whole * |x ^ y| <= t * (|x| + |y|)
+    both = able.select("c", "cn", "v", "n", "g").distinct()
+    met = (both.join(texts.select(F.col("v"), F.col("_text").alias("vt")).hint("shuffle_merge"), "v")
+           .join(texts.select(F.col("v").alias("c"), F.col("_text").alias("ct")).hint("shuffle_merge"), "c"))
+    diffs = staged(met.select("c", "cn", "v", "n", "g", "vt", "ct").mapInArrow(
+        _differences(shingle), f"c {NODE}, cn bigint, v {NODE}, n bigint, g {NODE}, d array<bigint>"), "differences")
+    rows = diffs.select("c", "v", "g", F.explode("d").alias("e"))
+    shared = group_apart(rows, ["c", "e"], F.count("*").alias("f"), F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("c", "e", "f")
+    kept = (rows.join(shared.hint("shuffle_merge"), ["c", "e"])
+            .groupBy("c", "v").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("p")))       # at most two sets' shingles
+    size = diffs.select("c", "cn", "v", "n", "g", F.size("d").alias("d"))
+    # need: elements that the node must share with an unlinked one, at least one
+    need = F.greatest(F.lit(1), F.ceil((whole * F.col("d") + t * (F.col("cn") - F.col("n"))) / (2.0 * whole) - 1e-9))
+    ready = staged(kept.join(size.hint("shuffle_merge"), ["c", "v"]).withColumn("k", F.size("p") - need + 1), "shared")
+    y = ready.where("k > 0").select("c", "v", "n", "g", "d", F.size("p").alias("s"), F.posexplode(F.slice("p", F.lit(1), F.col("k").cast("int"))).alias("i", "e")) \
+        .select("c", "v", "n", "g", "d", (F.col("s") - F.col("i")).alias("s"), "e.e")
+    x = ready.where(f"{whole} * d > {t} * (n + cn)").select(
+        "c", F.col("v").alias("xv"), F.col("n").alias("xn"), F.col("g").alias("xg"), F.col("d").alias("xd"), F.size("p").alias("xs"), F.posexplode("p").alias("i", "e")) \
+        .select("c", "xv", "xn", "xg", "xd", (F.col("xs") - F.col("i")).alias("xs"), "e.e")
+    # s and xs: the elements from this one on. The first that a pair shares leaves enough of them
+    pairs = (y.join(x.hint("shuffle_merge"), ["c", "e"]).where("g != xg")
+             .where(f"100 * least(n, xn) >= {percent} * greatest(n, xn)")
+             .where(f"{whole} * (d + xd - 2 * least(s, xs)) <= {t} * (n + xn)"))
+    return pairs.select(F.least("v", "xv").alias("x"), F.greatest("v", "xv").alias("y")).distinct()
+
+
+def _linked(pairs: DataFrame, sigs: DataFrame, source: tuple[DataFrame, DataFrame], shingle: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose full sets reach the threshold."""
     pair = f"x {NODE}, y {NODE}"
     met = (pairs
@@ -281,10 +319,9 @@ def _linked(pairs: DataFrame, sigs: DataFrame, text: DataFrame, shingle: int, pe
     likely = staged(met.select("x", "y", "xs", "ys").mapInArrow(_alike(percent), pair), "likely")
     if likely.isEmpty():
         return likely
-    ids = likely.select(F.col("x.id").alias("_id")).union(likely.select("y.id")).distinct()
-    wanted = staged(text.join(ids.hint("shuffle_merge"), "_id", "left_semi"), "texts")
-    both = (likely.withColumn("i", F.col("y.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("yt")).hint("shuffle_merge"), "i").drop("i")
-            .withColumn("i", F.col("x.id")).join(wanted.select(F.col("_id").alias("i"), F.col("_text").alias("xt")).hint("shuffle_merge"), "i"))
+    wanted = staged(_texts(likely.select("x").union(likely.select("y")), source), "texts")
+    both = (likely.join(wanted.select(F.col("v").alias("y"), F.col("_text").alias("yt")).hint("shuffle_merge"), "y")
+            .join(wanted.select(F.col("v").alias("x"), F.col("_text").alias("xt")).hint("shuffle_merge"), "x"))
     out = staged(both.select("x", "xt", "y", "yt").mapInArrow(_confirm(shingle, percent), pair).distinct(), "links")
     drop_staged(wanted)
     return out

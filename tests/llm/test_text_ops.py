@@ -215,3 +215,56 @@ def test_decontaminated_texts(spark):
     lambda d: decontaminate.contamination_digest(d, d.selectExpr("doc_id as item_id", "text")), lambda d: minhash.near_dedup(d)])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_family_of_near_copies_beyond_its_centre(spark):
+    """Members that miss the centre but reach each other: edits at random places, shared edits,
+    chains of edits, and unlike texts that hold the family's passage."""
+    rng = random.Random(21)
+    base = prose(rng, 130).split()
+    rows, last = [(1, " ".join(base))], base
+    edits = [(rng.randrange(130), f"e{k}") for k in range(12)]
+    for i in range(2, 150):
+        w = list(last if i % 7 == 0 else base)
+        for at, new in (rng.sample(edits, rng.randrange(2, 7)) if i % 3 == 0 else ()):
+            w[at] = new
+        for _ in range(rng.randrange(0, 9)):
+            at = rng.randrange(len(w))
+            w[at:at + 1] = rng.choice([[f"n{rng.randrange(10 ** 6)}"], [], [w[at], f"n{rng.randrange(10 ** 6)}"]])
+        last = w
+        rows.append((i, " ".join(w)))
+    rows += [(i, prose(rng, 60, 10 ** 6) + " " + " ".join(base[20:90])) for i in range(150, 190)]
+    want = brute.near_groups(rows, 4)
+    assert 20 < sum(r[-1] for r in want) < 150
+    same(minhash.near_duplicates(make(spark, rows), shingle=4).select("id", "n", "component", "kept"), want)
+
+
+def test_many_rows_without_an_id(spark):
+    """Texts are found by id and text hash: a thousand null ids do not meet each other."""
+    rng = random.Random(22)
+    texts = [prose(rng, 40, 3000) for _ in range(300)]
+    near = [" ".join(t.split()[:-1] + ["z"]) for t in texts[:100]]
+    rows = [(None, t) for t in texts + texts + near + near + texts] + [(7, texts[0]), (7, texts[1]), (8, near[2])]
+    out = minhash.near_duplicates(make(spark, rows), shingle=4).collect()
+    named = {r["component"] for r in out}
+    assert len(out) == len(rows) and named == {7, 8, None}
+    assert sum(r["component"] is not None for r in out) == 5 + 5 + 5 + 3
+    assert len({r["group"] for r in out}) == 300
+    kept = minhash.near_dedup(make(spark, rows), shingle=4).collect()
+    assert len(kept) == 300
+
+
+def test_items_without_an_id_and_kept_automata(spark):
+    rng = random.Random(23)
+    passage = prose(rng, 20, 10 ** 6)
+    items = make(spark, [(None, passage), ("b", passage), ("c", prose(rng, 15, 10 ** 6)), (None, None)], "item_id string, text string")
+    docs = make(spark, [(1, f"x {passage} y"), (2, "clean words only")])
+    got = {r["doc_id"]: (list(r["hit_items"]), r["n_hit"]) for r in decontaminate.find_contamination(docs, items).collect()}
+    assert got == {1: (["", "b"], 20), 2: ([], 0)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+    long = make(spark, [(1, f"{prose(rng, 900)} {passage}. {prose(rng, 30)}"), (3, None)])
+    (kept,) = [r for r in decontaminate.decontaminate(long, items).collect() if r["doc_id"] == 1]
+    assert passage.split()[3] not in kept["text"].split() and ". " in kept["text"]
+    made = [decontaminate._automaton(n, type("B", (), {"value": [("i", [b"a"] * 14)]}), 13) for n in "aabca"]
+    assert made[0] is made[1] and made[0] is not made[4] and len(decontaminate._BUILT) == 2
+    decontaminate._BUILT.clear()
