@@ -9,11 +9,11 @@ hits: their words are marked, and the items that hold them are noted.
 The scan is narrow: no shuffle, and a document never leaves its task. Words outside the
 items' vocabulary end every match, so only runs of known words are walked. The items are
 read in chunks of at most ``chunk_words`` words (the driver holds one chunk, a broadcast
-carries it, a worker holds its automaton); each chunk is one more narrow pass that adds to
+carries it, a worker builds its automaton once and keeps the last two); each chunk is one more narrow pass that adds to
 the marks of the passes before, so a test set of any size gives the same result.
 
 Defined results: a null or empty text, and an item without words, has no words and no hits;
-equal items each count; rows that repeat an id are separate documents; an empty item table
+equal items each count; an item without an id is named by the empty string; rows that repeat an id are separate documents; an empty item table
 leaves every document clean; other columns pass through, columns named like an output are
 replaced.
 """
@@ -21,6 +21,7 @@ replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +150,7 @@ class Automaton:
 
 def _chunks(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     chunk, size = [], 0
-    rows = items.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator()
+    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator()
     for name, text in rows:
         ws = words(text)
         if chunk and size + len(ws) > chunk_words:
@@ -170,12 +171,25 @@ def _runs(hit: np.ndarray) -> list[dict]:
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
+#: This worker's automata by the name of their chunk, the newest last.
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, chunk, window: int) -> Automaton:
+    made = _BUILT.pop(name, None) or Automaton(chunk.value, window)
+    _BUILT[name] = made
+    while len(_BUILT) > 2:
+        del _BUILT[next(iter(_BUILT))]
+    return made
+
+
 def _scanner(chunk, window: int):
     """A pass of one chunk (a broadcast) over the rows."""
+    name = uuid.uuid4().hex
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = None
         for b in slices(batches, "_text"):
-            automaton = automaton or Automaton(chunk.value, window)
+            automaton = _automaton(name, chunk, window)
             n, spans, items = [], [], []
             before = zip(column(b, "_spans").to_pylist(), column(b, "_items").to_pylist())
             for text, (s, names) in zip(column(b, "_text").to_pylist(), before):
@@ -239,7 +253,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **o
     rest = [c for c in docs.columns if c != text_col]
     held = docs.select(*([F.struct(*rest).alias("_in")] if rest else []), docs[text_col].alias("_doc"))
     found = find_contamination(held, items, text_col="_doc", **options).where("not contaminated")
-    clean = F.udf(_without, "string")(F.col("_doc"), F.col("hit_spans"))
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array(map(_without, texts.to_pylist(), spans.to_pylist()), pa.string())
+
+    clean = F.when(F.size("hit_spans") > 0, F.arrow_udf(cut, "string")(F.when(F.size("hit_spans") > 0, F.col("_doc")), F.col("hit_spans"))) \
+        .otherwise(F.col("_doc"))
     return found.select(*[clean.alias(c) if c == text_col else F.col("_in")[c].alias(c) for c in docs.columns])
 
 
