@@ -14,7 +14,7 @@ text and the mask inside it), so a conversation of any length is never one value
 back streams over turns sorted within partitions and holds one turn at a time.
 
 Defined results: a null text or role is empty; turns of equal number follow each other by
-role and text, repeated rows included; null turn numbers come first; rows with a null
+role (as written) and text (as given), repeated rows included; null turn numbers come first; rows with a null
 conversation id form one conversation; an empty table gives an empty result.
 """
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import column, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
-_TURN = re.compile(r"<\|im_start\|>([^\n|]*)\n((?:[^<]|<(?!\\*\|)|<\\+\|)*)<\|im_end\|>\n")
+# runs are possessive: a text of any length leaves nothing to go back to
+_TURN = re.compile(r"<\|im_start\|>([^\n|]*+)\n((?:[^<]++|<(?!\\*\|)|<\\+\|)*+)<\|im_end\|>\n")
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE = {"\\": "\\\\", "\n": "\\n", "|": "\\p"}
 _ROLE_BACK = {"\\": "\\", "n": "\n", "p": "|"}
@@ -134,7 +135,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         close()
         yield out()
 
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece")
+    # turns of equal number by what they say, not by how it is escaped
+    at = F.instr("piece", "\n")
+    role = F.substring(F.col("piece"), F.lit(1), at)
+    text = F.regexp_replace(F.substring(F.col("piece"), at + 1, F.length("piece") - at - len(END) - 1), r"<\\(\\*)\|", "<$1|")
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", role, text)
     return rows.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
                                 "loss_sha256 string, formatted_chars bigint")
 
