@@ -8,7 +8,7 @@ again by position.
 * The count is an aggregation by hash with map-side combining: a line that stands in a
   third of all documents reaches the reducers as one row per map task.
 * The join back sends only (id, position, hash). Its other side has one row per repeated
-  hash, so adaptive skew handling can split a hot line.
+  hash and an exchange of its own, so adaptive skew handling can split a hot line.
 * The text moves once, as the array of its lines.
 
 Defined results: a null or empty text is one empty line; a null id counts as one document
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WS, lower_az
+from .common import NO_ID, WS, group_apart, lower_az
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -43,7 +43,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aggs = [F.min("_id").alias("_first"), F.max("_id").alias("_last")]
     if min_docs != 2:
         aggs.append(F.count_distinct("_id").alias("_n"))
-    common = lines.groupBy("_h1", "_h2").agg(*aggs).where(repeated).select("_h1", "_h2", "_first")
+    common = group_apart(lines, ["_h1", "_h2"], *aggs).where(repeated).select("_h1", "_h2", "_first")
     drops = (lines.join(common.hint("shuffle_merge"), ["_h1", "_h2"])
              .where(F.col("_id") != F.col("_first"))
              .groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_drop")))
