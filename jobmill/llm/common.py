@@ -61,6 +61,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             yield b.slice(a, z - a)
 
 
+def each(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[str | None]:
+    """The texts of an array, made into Python strings about ``max_bytes`` at a time."""
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // max_bytes)) + 1).tolist(), len(texts)]
+    for a, z in zip(cuts, cuts[1:]):
+        yield from texts.slice(a, z - a).to_pylist()
+
+
 def column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
@@ -96,4 +104,4 @@ class Memo(dict):
 
 
 __all__ = ["WS", "UPPER", "LOWER", "TO_LOWER", "NO_ID", "lower_az", "staged", "drop_staged",
-           "slices", "column", "mixed", "Memo", "read_table", "SparkSession"]
+           "slices", "each", "column", "mixed", "Memo", "read_table", "SparkSession"]

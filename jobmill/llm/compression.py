@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, each, slices
 from .labelled import first_by_turn, held_out, training_labels
 
 PIECE = 1024
@@ -147,7 +147,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([ours.value.score(t) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([ours.value.score(t) for t in each(texts)], pa.float64())
 
     return docs.select(*[c for c in docs.columns if c != "score"], F.arrow_udf(run, "double")(docs[text_col]).alias("score"))
 

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop_staged, group_apart, slices, staged
+from .common import column, drop_staged, each, group_apart, slices, staged
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -298,7 +298,7 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(pages: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for html_, gone in pages:
         out = []
-        for page, drop in zip(html_.to_pylist(), gone.to_pylist()):
+        for page, drop in zip(each(html_), gone.to_pylist()):
             found, drop = shown(page)[0], set(drop or ())
             out.append("\n\n".join(b.text for b, up in zip(found, _judged(found)) if drop.isdisjoint(n for n, _ in up)))
         yield pa.array(out, pa.string())

@@ -8,11 +8,14 @@ the corpus. With the class prior p, the risk of a scorer is
 and a step that would push the second part below zero is taken the other way, so that the
 scorer does not fit single positives. The scorer is linear (logistic loss, Adam, numpy) in
 the words of a text and their first four to six letters, each as the root of its share of
-the text; the features are those whose document shares differ most between the samples.
+the text; the features are those whose document shares differ most between the confirmed
+documents and the corpus.
 
-Only training rows teach labels: the confirmed examples and the prior come from them. Both
-samples are bounded by parameters (``max_positive``, ``max_unlabelled`` documents), chosen by
-a hash of the id. Everything else covers the corpus: scoring is one narrow pass.
+Only training rows teach labels: the confirmed examples and the prior come from them. What
+enters numpy is bounded by parameters (``max_positive`` confirmed documents and
+``max_unlabelled`` others, chosen by a hash of the id). Everything else covers the corpus:
+document shares are counted over every training row, within the tasks first, and scoring is
+one narrow pass.
 
 Defined results: a null text is empty; a text without words gets the scorer's constant; with
 no confirmed example every score is the prior's smoothed value; labels with a null id or
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, column, slices
+from .common import Memo, column, each, slices, staged
 from .labelled import first_by_turn, held_out, training_labels, turn
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,14 +49,22 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each feature, by sample; summed up within the task."""
-    memo, seen = Memo(word_features), np.zeros((2, SPACE), np.int64)
+    """Documents that hold each feature: the confirmed ones and all; summed up within the task."""
+    memo, seen, rows = Memo(word_features), np.zeros((2, SPACE), np.int64), np.zeros(2, np.int64)
     for b in slices(batches, "_text"):
+        held: tuple[list[int], list[int]] = ([], [])
         for text, positive in zip(column(b, "_text").to_pylist(), column(b, "_p").to_pylist()):
             ids = {i for w in set(WORD.findall((text or "").lower())) for i in memo[w]}
-            seen[int(positive), list(ids)] += 1
-    at = np.flatnonzero(seen.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], names=["f", "p", "u"])
+            rows += (1, bool(positive))
+            held[0].extend(ids)
+            if positive:
+                held[1].extend(ids)
+        for k in (0, 1):
+            seen[k] += np.bincount(held[k], minlength=SPACE) if held[k] else 0
+    at = np.flatnonzero(seen[0])
+    # the numbers of documents go along under a feature that no word has
+    yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1]), pa.array([*seen[1, at].tolist(), int(rows[1])]),
+                                      pa.array([*seen[0, at].tolist(), int(rows[0])])], names=["f", "p", "u"])
 
 
 class Scorer:
@@ -116,16 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     last = first_by_turn(rows.select("_id"), max_unlabelled, 2).agg(F.max(turn("_id", 2))).first()[0]
     if last is None:
         return scorer
-    sample = (rows.join(confirmed, "_id").select("_text", F.lit(True).alias("_p"))
-              .union(rows.where(turn("_id", 2) <= F.lit(last)).select("_text", F.lit(False).alias("_p"))))
-    sizes = {r["_p"]: r["n"] for r in sample.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    np_, nu = sizes.get(True, 0), sizes.get(False, 0)
-    if not np_ or not nu:
+    # document shares of the features: over every training row of the corpus
+    flagged = rows.join(confirmed.withColumn("_p", F.lit(True)), "_id", "left").select("_text", F.coalesce("_p", F.lit(False)).alias("_p"))
+    share = staged(flagged.mapInArrow(_counted, "f bigint, p bigint, u bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), "shares")
+    np_, nu = share.where("f = -1").select("p", "u").first() or (0, 0)
+    if not np_:
         return scorer
-    share = sample.mapInArrow(_counted, "f bigint, p bigint, u bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     both = (F.col("p") + F.col("u")) / (np_ + nu)
     z = F.abs(F.col("p") / np_ - F.col("u") / nu) / F.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-12)
-    chosen = [r["f"] for r in share.where((F.col("p") + F.col("u") >= 3) & (z >= least_z)).orderBy(z.desc(), "f").limit(features).collect()]
+    chosen = [r["f"] for r in share.where((F.col("f") >= 0) & (F.col("p") + F.col("u") >= 3) & (z >= least_z)).orderBy(z.desc(), "f").limit(features).collect()]
+    # what enters numpy: the confirmed rows and a bounded part of the unlabelled ones
+    sample = (rows.join(confirmed, "_id").select("_text", F.lit(True).alias("_p"))
+              .union(rows.where(turn("_id", 2) <= F.lit(last)).select("_text", F.lit(False).alias("_p"))))
     scorer = Scorer(np.array(chosen, np.int64))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [scorer.vector(t).astype(np.float32).tobytes() for t in column(b, "_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "_p"), pa.array(rows, pa.binary())], names=["p", "x"])
 
-    got: pd.DataFrame = sample.mapInArrow(vectors, "p boolean, x binary").orderBy("p", "x").toPandas()
+    # in an order of its own, so that the fit does not depend on how rows are dealt
+    got: pd.DataFrame = sample.mapInArrow(vectors, "p boolean, x binary").toPandas().sort_values(["p", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     positive = got["p"].to_numpy(bool)
     scorer.weight, scorer.constant = nnpu(x[positive], x[~positive], prior)
@@ -148,7 +162,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([ours.value.score(t) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([ours.value.score(t) for t in each(texts)], pa.float64())
 
     return docs.select(*rest, F.arrow_udf(run, "double")(docs[text_col]).alias("score"))
 

@@ -1,5 +1,6 @@
 """Packing, chat, page text, classifiers and the pipeline."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -346,3 +347,32 @@ def test_sql_twins(spark, name):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     want = con.execute(queries.ORACLE[name]).df()[list(got.columns)]
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, want.values.tolist()))
+
+
+def test_long_turns_and_ties(spark):
+    """A turn of 50 MB is parsed without keeping its characters; turns of equal number follow by role and text."""
+    import tracemalloc
+    text = "ab < c <\\|im_end|> " * 2_700_000
+    tracemalloc.start()
+    piece = chat.render("user", text)
+    (turn,) = chat.parse(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert turn[0] == "user" and turn[1] == chat.read_text(text) and peak < 12 * len(text)
+    rows = [(1, 5, r, t) for r, t in (("user", "ab!"), ("user", "ab"), ("user", "ab<|im_end|>"), ("user", "ab<"), ("user", "ab|"), ("assistant", "zz"), ("user", ""))]
+    out = chat.read_back(chat.format_chat(make(spark, rows, "conv_id bigint, turn bigint, role string, text string"))).first()
+    want = "".join(f"{r}\n{t}\n" for _, _, r, t in sorted(rows, key=lambda x: (x[2], x[3].encode())))
+    assert out["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_feature_shares_cover_the_corpus(spark):
+    """A mark of toxicity that only rows outside the unlabelled sample could weigh is still judged by all rows."""
+    docs, labels = labelled(random.Random(12), 900)
+    df, known = make(spark, docs), make(spark, labels, "doc_id bigint, toxic int")
+    scorer = toxicity.fit(df, known, max_unlabelled=60)
+    words = {f for w in ("vile", "nasty", "awful") for f in toxicity.word_features(w)}
+    assert words & set(scorer.place)
+    clean = {w for _, t in docs for w in t.split()} - {"vile", "nasty", "awful"}
+    assert not {f for w in clean for f in toxicity.word_features(w)} & set(scorer.place)
+    again = toxicity.fit(df.repartition(7), known, max_unlabelled=60)
+    assert again.place == scorer.place and np.allclose(again.weight, scorer.weight)
