@@ -1,4 +1,4 @@
-"""Removal of long byte strings that occur more than once, by distributed prefix doubling.
+"""Removal of long byte strings that occur more than once, by sampled suffixes refined by content.
 
 A byte goes if some string of ``length`` bytes that covers it also starts anywhere else in
 the corpus, the same document included. Prefix doubling over every position would sort
