@@ -1,9 +1,9 @@
 """Which of many terms stand in a text: one pass of a multi-pattern automaton (Aho-Corasick) per
 text, whatever the number of terms.
 
-The automaton works on case-folded text and gives candidates only; whole words are then confirmed
-by the same regular expression that a single keyword uses (``whole_word_pattern``), on the few
-candidates of a text. The result is what one regex per term would give."""
+The automaton works on case-folded text. Where text and term are ASCII, whole words are told by
+the characters beside a find; other finds are confirmed by the same regular expression that a
+single keyword uses (``whole_word_pattern``). The result is what one regex per term would give."""
 
 from __future__ import annotations
 
@@ -50,11 +50,31 @@ def _automaton(terms: tuple[str, ...]):
     return made if len(made) else None, forms.get("", [])
 
 
-def candidates(text: str, terms: tuple[str, ...]) -> list[str]:
-    """The terms that stand somewhere in the text, ignoring case and word boundaries."""
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
+def find_terms(text: str, terms: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """(terms that stand in the text as whole words, terms that stand in it in some way). ASCII is
+    settled here: a boundary lies between a letter, digit or underscore and anything else."""
     made, empty = _automaton(terms)
-    found = {id(same): same for _, same in made.iter(fold_case(text))} if made is not None else {}
-    return sorted([t for same in found.values() for t in same] + empty)
+    sure, maybe = set(), set(empty)
+    if made is None:
+        return [], sorted(maybe)
+    plain, n = text.isascii(), len(text)
+    for end, same in made.iter(fold_case(text)):
+        for term in same:
+            if not (plain and term.isascii()):
+                maybe.add(term)
+            elif term not in sure:
+                start = end + 1 - len(term)
+                left = start > 0 and text[start - 1] in _WORD
+                right = end + 1 < n and text[end + 1] in _WORD
+                if left != (term[0] in _WORD) and right != (term[-1] in _WORD):
+                    sure.add(term)
+    return sorted(sure), sorted(maybe)
+
+
+_FOUND = pa.struct([("sure", pa.list_(pa.string())), ("maybe", pa.list_(pa.string()))])
 
 
 def term_hits(spark: SparkSession, text: Column, terms) -> Column:
@@ -65,8 +85,10 @@ def term_hits(spark: SparkSession, text: Column, terms) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         # equal texts of a batch are searched once
         coded = texts.dictionary_encode()
-        each = pa.array([candidates(t, ours.value) for t in coded.dictionary.to_pylist()], pa.list_(pa.string()))
-        return each.take(coded.indices)
+        each = [dict(zip(("sure", "maybe"), find_terms(t, ours.value))) for t in coded.dictionary.to_pylist()]
+        return pa.array(each, _FOUND).take(coded.indices)
 
-    some = F.coalesce(F.arrow_udf(run, "array<string>")(text), F.array().cast("array<string>"))
-    return F.filter(some, lambda k: F.regexp_like(text, whole_word_pattern(k)))
+    found = F.arrow_udf(run, "sure array<string>, maybe array<string>")(text)
+    more = F.filter(found["maybe"], lambda k: F.regexp_like(text, whole_word_pattern(k)))
+    return F.coalesce(F.when(F.size(found["maybe"]) > 0, F.array_sort(F.concat(found["sure"], more))).otherwise(found["sure"]),
+                      F.array().cast("array<string>"))

@@ -178,8 +178,10 @@ def profiles_table(profiles: DataFrame) -> DataFrame:
 
 
 def score(postings: DataFrame, profiles, as_of, *, vector_col: str | None = None,
-          chunk_bytes: int = 8 << 20, text_col: str | None = None) -> DataFrame:
-    """Score every (posting, profile) pair.
+          chunk_bytes: int = 8 << 20, text_col: str | None = None, min_score=None) -> DataFrame:
+    """Score every (posting, profile) pair, or with ``min_score`` (a number, or "own" for each
+    profile's threshold) the pairs that reach it: of a profiles table only those pairs are
+    formed that some found term, or the profile without any, can bring there.
 
     ``postings`` needs title, location, remote_type, posted_at and either ``text_col``
     or the searchable-text columns. ``vector_col`` (optional) holds a per-pair
@@ -191,16 +193,37 @@ def score(postings: DataFrame, profiles, as_of, *, vector_col: str | None = None
     text = F.col(text_col) if text_col else searchable_text()
     title, location, remote = F.col("title"), F.col("location"), F.col("remote_type")
     recency = recency_score("posted_at", as_of)
-    vector = F.col(vector_col) if vector_col else F.lit(None).cast("double")
+    vector = F.col(vector_col) if vector_col else None
     if isinstance(profiles, DataFrame):
         return _score_joined(postings, profiles_table(profiles), text, title, location, remote, recency,
-                             vector, chunk_bytes)
+                             vector, chunk_bytes, min_score)
+    vector = F.lit(None).cast("double") if vector is None else vector
     profiles = [as_profile(p) for p in profiles]
     each = [_parts_struct(keyword_parts_literal(p, text, title, location, remote), recency, vector,
                           F.lit(p.profile), F.lit(p.min_score_threshold)) for p in profiles]
     if not each:
         raise ValueError("score needs at least one profile")
-    return _finish(postings, F.array(*each), remote)
+    out = _finish(postings, F.array(*each), remote)
+    return out if min_score is None else out.filter(F.col("final_score") >= _least(min_score))
+
+
+def _least(min_score) -> Column:
+    return F.col("min_score_threshold") if min_score == "own" else F.lit(float(min_score))
+
+
+def _keys(profile: dict, least: Column, top_vector: float) -> tuple[Column, Column]:
+    """(can the profile reach ``least`` without any term?, the terms one of which a pair needs
+    otherwise). Bounds on the score: without terms, and with all keywords but no role."""
+    many = lambda c: F.size(profile[c]) > 0
+    some = lambda cond, x, y=0.0: F.when(cond, F.lit(x)).otherwise(F.lit(y))
+    wv, wk, wr = (profile[f"{c}_weight"] for c in ("vector", "keyword", "recency"))
+    rest = some(many("preferred_locations"), 0.1) + some(profile["remote_preference"].isNotNull(), 0.1)
+    bound = lambda kw: wv * top_vector + wk * F.least(F.lit(1.0), kw + rest) + wr + 1e-9
+    none, no_role = (bound(some(many("must_have_keywords"), x, 0.2)) for x in (0.0, 0.4))
+    tagged = lambda tag, c: F.transform(F.array_compact(profile[c]), lambda t: F.concat(F.lit(tag), t))
+    roles = tagged("r", "desired_roles")
+    keys = F.when(no_role >= least, F.concat(roles, tagged("k", "must_have_keywords"))).otherwise(roles)
+    return (none >= least) | (F.least(wv, wk, wr) < 0), F.array_distinct(keys)
 
 
 def _parts_struct(parts: dict, recency, vector, profile: Column, threshold: Column) -> Column:
@@ -225,16 +248,29 @@ def _finish(df: DataFrame, parts: Column, remote) -> DataFrame:
                     "_p_wv", "_p_wk", "_p_wr", "_p_rec", "_p_vec")
 
 
-def _score_joined(postings, profiles, text, title, location, remote, recency, vector, chunk_bytes):
+def _score_joined(postings, profiles, text, title, location, remote, recency, vector, chunk_bytes, min_score):
     """Profiles as a table: broadcast joins over chunks of a measured size, unioned. The terms of
-    a chunk (no larger than it) go into one automaton, which finds those of a posting in one pass."""
+    a chunk (no larger than it) go into one automaton, which finds those of a posting in one pass.
+
+    Without ``min_score`` every pair is formed. With it a posting meets the profiles that one of
+    its found terms leads to (a hash join on the term; a pair that several terms lead to is
+    kept at the first), and only profiles that may reach the score without any term meet all."""
     spark = postings.sparkSession
-    size = profiles.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    n_chunks = max(1, -(-size // chunk_bytes))
-    chunk_of = F.pmod(F.xxhash64("profile"), F.lit(n_chunks))
-    packed = profiles.select(F.struct(*_PROFILE_FIELDS).alias("_profile"), chunk_of.alias("_chunk"))
+    profiles = profiles.select(F.struct(*_PROFILE_FIELDS).alias("_profile"))
     field = {f: F.col(f"_profile.{f}") for f in _PROFILE_FIELDS}
+    always, keys = F.lit(True), F.array().cast("array<string>")
+    if min_score is not None:
+        least = field["min_score_threshold"] if min_score == "own" else F.lit(float(min_score))
+        always, keys = _keys(field, least, NO_VECTOR_SCORE if vector is None else 1.0)
+    # a profile goes out once for each of its keys
+    packed = profiles.select("_profile", always.alias("_always"), keys.alias("_keys"))
+    bytes_of = F.length(F.to_json("_profile")) * F.greatest(F.lit(1), F.when(F.col("_always"), 1).otherwise(F.size("_keys")))
+    size = packed.agg(F.sum(bytes_of)).first()[0] or 0
+    n_chunks = max(1, -(-size // chunk_bytes))
+    packed = packed.withColumn("_chunk", F.pmod(F.xxhash64("_profile.profile"), F.lit(n_chunks)))
     parts = keyword_parts_columns(field, F.col("_in_text"), F.col("_in_title"), location, remote)
+    one = F.array(_parts_struct(parts, recency, F.lit(None).cast("double") if vector is None else vector, field["profile"], field["min_score_threshold"]))
+    made = ("_profile", "_always", "_keys", "_in_text", "_in_title")
     outs = []
     for i in range(n_chunks):
         chunk = packed.filter(F.col("_chunk") == i).drop("_chunk")
@@ -242,18 +278,22 @@ def _score_joined(postings, profiles, text, title, location, remote, recency, ve
             *[F.array_compact(field[n]) for n in names])))).distinct().collect()}
         found = postings.select("*", term_hits(spark, text, lists("must_have_keywords", "must_not_keywords")).alias("_in_text"),
                                 term_hits(spark, title, lists("desired_roles")).alias("_in_title"))
-        one = _parts_struct(parts, recency, vector, field["profile"], field["min_score_threshold"])
-        outs.append(_finish(found.crossJoin(F.broadcast(chunk)), F.array(one), remote).drop("_profile", "_in_text", "_in_title"))
-    return reduce(DataFrame.unionByName, outs)
+        outs.append(_finish(found.crossJoin(F.broadcast(chunk.filter("_always"))), one, remote).drop(*made))
+        if min_score is not None:
+            tag = lambda c, t: F.transform(c, lambda x: F.concat(F.lit(t), x))
+            hits = found.withColumn("_hits", F.concat(tag("_in_title", "r"), tag("_in_text", "k"))).select("*", F.explode("_hits").alias("_key"))
+            by_key = chunk.filter("not _always").select("*", F.explode("_keys").alias("_key"))
+            pairs = hits.join(F.broadcast(by_key), "_key").filter(F.array_min(F.array_intersect("_keys", "_hits")) == F.col("_key"))
+            outs.append(_finish(pairs.drop("_key", "_hits"), one, remote).drop(*made))
+    out = reduce(DataFrame.unionByName, outs)
+    return out if min_score is None else out.filter(F.col("final_score") >= _least(min_score))
 
 
 def score_batch(postings: DataFrame, profiles, as_of, min_score: float | None = None,
                 order_col: str | None = None, **kw) -> DataFrame:
     """Score, keep final_score >= threshold (argument, else each profile's default),
     sort by final score descending (stable on ``order_col`` if given)."""
-    scored = score(postings, profiles, as_of, **kw)
-    thr = F.lit(min_score) if min_score is not None else F.col("min_score_threshold")
-    kept = scored.filter(F.col("final_score") >= thr)
+    kept = score(postings, profiles, as_of, min_score="own" if min_score is None else min_score, **kw)
     order = [F.col("profile"), F.desc("final_score")] + ([F.col(order_col)] if order_col else [])
     return kept.orderBy(*order)
 

@@ -76,5 +76,5 @@ SELECT profile, id, round(0.55e0 * 0.5e0 + 0.3e0 * kw_score + 0.15e0 * rec, 6) A
 WHERE 0.55e0 * 0.5e0 + 0.3e0 * kw_score + 0.15e0 * rec >= 0.6
 """)
 def q_score_many_profiles(spark, sf_dir):
-    scored = scoring.score(standins.postings_li(spark, sf_dir), profiles_from_part(spark, sf_dir), AS_OF).where("final_score >= 0.6")
+    scored = scoring.score(standins.postings_li(spark, sf_dir), profiles_from_part(spark, sf_dir), AS_OF, min_score=0.6)
     return scored.select("profile", "id", F.round("final_score", 6).alias("final_score"))

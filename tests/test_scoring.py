@@ -157,3 +157,31 @@ def test_profile_table_over_several_chunks(spark):
     want = scoring.score(df, profs, AS_OF).select(*cols).collect()
     got = scoring.score(df, scoring.profiles_frame(spark, profs), AS_OF, chunk_bytes=400).select(*cols).collect()
     assert len(got) == 27 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_pairs_that_reach_a_score(spark):
+    """With ``min_score`` a table of profiles gives the rows that scoring all pairs and a filter give:
+    random profiles with and without lists, weights and thresholds, several chunks, a vector column."""
+    import random
+    rnd = random.Random(17)
+    words = ["python", "c++", "sql", "go", "lead", "data", "chef", "remote", "é"]
+    pick = lambda n: rnd.sample(words, rnd.randrange(n))
+    profs = []
+    for i in range(40):
+        w = rnd.choice([(0.55, 0.3, 0.15), (0.2, 0.7, 0.1), (0.0, 1.0, 0.0), (0.5, -0.1, 0.6)])
+        profs.append(Profile(profile=f"p{i}", desired_roles=pick(3), must_have_keywords=pick(4), must_not_keywords=pick(2), preferred_locations=rnd.choice([[], ["ber"]]),
+                             remote_preference=rnd.choice([None, "remote"]), min_score_threshold=rnd.choice([0.0, 0.3, 0.5, 0.8]), vector_weight=w[0], keyword_weight=w[1], recency_weight=w[2]))
+    rows = [(f"i{k}", " ".join(rnd.choices(words, k=rnd.randrange(4))), rnd.choice([None, " ".join(rnd.choices(words, k=5))]), rnd.choice([None, "Berlin", "Rome"]),
+             rnd.choice(["remote", "onsite"]), rnd.choice([None, AS_OF, AS_OF - dt.timedelta(days=9)]), rnd.random()) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, title string, description_text string, location string, remote_type string, posted_at timestamp, sim double").select(
+        "*", F.array().cast("array<string>").alias("requirements"), F.lit(None).cast("string").alias("department"))
+    table = scoring.profiles_frame(spark, profs)
+    cols = ["id", "profile", "final_score", "keyword_score", "match_reasons"]
+    for vector in (None, "sim"):
+        every = [tuple(map(str, r)) + (r["final_score"], r["t"]) for r in scoring.score(df, profs, AS_OF, vector_col=vector)
+                 .select(*cols, F.col("min_score_threshold").alias("t")).collect()]
+        for least in ("own", 0.45, 0.7):
+            want = sorted(r[:5] for r in every if r[-2] >= (r[-1] if least == "own" else least))
+            got = scoring.score(df, table, AS_OF, vector_col=vector, min_score=least, chunk_bytes=6000)
+            assert sorted(tuple(map(str, r)) for r in got.select(*cols).collect()) == want and 20 < len(want) < 2400
+            assert sorted(tuple(map(str, r)) for r in scoring.score(df, profs, AS_OF, vector_col=vector, min_score=least).select(*cols).collect()) == want
