@@ -28,7 +28,8 @@ element that holds it, and the sums go up the tree. The text stays in its row: a
 parsed once for the tree and once for its text, and only its removed nodes are joined back.
 
 Defined results: a null or empty page has the empty text; a page without blocks too; broken
-markup (missing end tags, cut references or tags) is read as browsers do for these cases; rows
+markup (missing end tags, cut references or tags) is read as browsers do for these cases; elements
+nested deeper than ``DEPTH`` levels share the style node at that level, none of their text is lost; rows
 that repeat a page get a result each; a null or odd URL has the empty host; other columns
 pass through, columns named like an output are replaced.
 """
@@ -39,6 +40,7 @@ import functools
 import html
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +77,8 @@ ARTICLE_NAMES = {"article", "articlebody", "post", "postbody", "postcontent", "e
 NAMED, HEADER, PART, UNSHOWN = 1, 2, 3, 4
 MARK_WEIGHT = (1.0, 0.5, 0.35, 0.0)
 PLACE_WEIGHT = (1.0, 2.0, 0.5)
+#: Elements nested deeper than this are judged with the one around them at this depth.
+DEPTH = 100
 #: Start tags that end an open element of these names (up to the nearest block around it).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -137,6 +141,7 @@ def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str
     styles: dict[tuple[str, ...], list[str]] = {}
     stack: list[tuple[str, str, int, bool]] = []  # tag, style name, highest mark so far, in article
     held: list[str] = []
+    count: Counter[str] = Counter()      # open elements by name: most tags close nothing
     page = page or ""
 
     def end_block() -> None:
@@ -145,10 +150,14 @@ def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str
             held.clear()
             mark, article = (stack[-1][2], stack[-1][3]) if stack else (0, False)
             if text and mark != UNSHOWN:
-                out.append(Block(tuple(s[1] for s in stack), tuple(s[2] for s in stack), text, article))
+                marks = [s[2] for s in stack[:DEPTH]]
+                marks[-1:] = [mark] if marks else []
+                out.append(Block(tuple(s[1] for s in stack[:DEPTH]), tuple(marks), text, article))
 
     def close_from(i: int) -> None:
         end_block()
+        for s in stack[i:]:
+            count[s[0]] -= 1
         del stack[i:]
 
     at = 0
@@ -174,27 +183,27 @@ def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str
             held.append(" ")
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if count[tag] else ():
                 if stack[i][0] == tag:
                     close_from(i)
                     break
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and count["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close_from(i)
                     break
                 if stack[i][0] in ("td", "th", "table", "button"):
                     break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
+        for i in range(len(stack) - 1, -1, -1) if any(count[t] for t in CLOSES.get(tag, ())) else ():
+            if stack[i][0] in CLOSES[tag]:
                 close_from(i)
                 break
             if stack[i][0] in ("ul", "ol", "dl", "table", "div", "body"):
                 break
         if tag == "body":
             while stack and stack[-1][0] == "head":
-                stack.pop()
+                close_from(len(stack) - 1)
         end_block()
         name, mark, article = _node(tag, m[3] or "")
         above = stack[-1] if stack else ("", "", 0, False)
@@ -204,10 +213,11 @@ def shown(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], list[str
             mark = PART
         mark = max(mark, above[2])
         if mark != UNSHOWN:
-            children = styles.setdefault(tuple(s[1] for s in stack), [])
+            children = styles.setdefault(tuple(s[1] for s in stack[:DEPTH]), [])
             if not children or children[-1] != name:
                 children.append(name)
         if tag not in VOID:
+            count[tag] += 1
             stack.append((tag, name, mark, article or above[3]))
     end_block()
     return out, styles
