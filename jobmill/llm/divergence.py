@@ -159,7 +159,9 @@ def divergence_audit(docs: DataFrame, min_docs: int = 10, top: int = 10,
     """(lang, source, part, item, value, rank): per group the other sources of its language by
     distance (``part`` = pair) and its ``top`` over-represented terms (``part`` = term).
     ``block_rows`` and ``max_cells`` bound a block's rows and its dense pieces."""
-    counts = staged(term_counts(docs).groupBy(*_KEY, "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "term-counts")
+    # the tasks have combined their rows: another partial aggregation before the exchange would find little
+    dealt = term_counts(docs).repartition(*_KEY, "term")
+    counts = staged(dealt.groupBy(*_KEY, "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "term-counts")
     terms = counts.where(F.col("term").isNotNull())
     common = group_apart(terms, ["lang", "term"], F.sum("n").alias("c"), F.sum("d").alias("d")).where(F.col("d") >= min_docs)
     held = staged(terms.drop("d").join(common.drop("d"), ["lang", "term"]), "kept-terms")
