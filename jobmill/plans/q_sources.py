@@ -107,7 +107,7 @@ def _payloads(parts: DataFrame) -> DataFrame:
 
 def _landed(spark, sf_dir) -> str:
     root = scratch_path(spark, f"boards-{uuid.uuid4().hex}")
-    _payloads(_parts(spark, sf_dir)).write.partitionBy("system", "company", "board").text(root)
+    plug.land_packed(_payloads(_parts(spark, sf_dir)), root)
     return root
 
 
@@ -116,7 +116,7 @@ def _postings(spark, root: str, by: str) -> DataFrame:
     for system in SYSTEMS:
         path = f"{root}/system={system}"
         if path_exists(spark, path):
-            frames.append(plug.read_board(spark, system, path, by=by, **(WORKDAY if system == "workday" else {})))
+            frames.append(plug.read_board(spark, system, path, by=by, packed=True, **(WORKDAY if system == "workday" else {})))
     rows = reduce(DataFrame.unionByName, frames) if frames else plug.SYSTEMS["lever"](spark.createDataFrame([], "value string, company string, board string"))
     return rows.select("company", "source_job_id", "source_system", "title", "location", "remote_type", "employment_type", "department", "team",
                        "posted_at", "apply_url", F.get_json_object("raw", "$.extra.brand").alias("brand"),

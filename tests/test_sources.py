@@ -167,3 +167,46 @@ def test_plug_in_another_source(spark, tmp_path):
         plug.read_board(spark, "own", str(tmp_path))
     (tmp_path / "none").mkdir()
     assert plug.read_board(spark, "lever", str(tmp_path / "none"), by="source").count() == 0
+
+
+def test_tasks_follow_the_bytes_landed_not_the_boards(tmp_path):
+    """2000 small files do not plan 2000 partitions, and every file lies in one of them."""
+    from jobmill.sources import plug
+    for i in range(2000):
+        d = tmp_path / "system=lever" / f"company=C{i % 40}" / f"board=b{i}"
+        d.mkdir(parents=True)
+        (d / "p.json").write_text("[]")
+    parts = plug._Reader(str(tmp_path), "lever", False).partitions()
+    assert len(parts) <= 220
+    rows = [r for p in parts for r in plug._Reader(str(tmp_path), "lever", False).read(p)]
+    assert sorted(r[4] for r in rows) == sorted(f"b{i}" for i in range(2000)) and {r[0] for r in rows} == {"[]"}
+
+
+def test_packed_payloads_read_as_single_files(spark, tmp_path, monkeypatch):
+    """Landed as lines, the payloads give what single files give; files do not grow with the boards."""
+    import json
+
+    from jobmill.sources import plug
+    pays = []
+    for i in range(300):
+        jobs = [{"id": f"L{i}-{j}", "text": f"Líne\n{j}\u2028x", "hostedUrl": "https://x.io/a", "new": {"n": j}} for j in range(i % 4)]
+        pays.append(("lever", "007" if i == 5 else f"C {i}", f"b{i}", json.dumps(jobs, indent=1, ensure_ascii=i % 2 == 0)))
+    pays.append(("lever", None, "b-none", '[{"id": "N", "hostedUrl": "https://x.io/n"}]'))
+    pays.append(("lever", "bad", "b-bad", "{not json"))
+    for _, company, board, value in pays[:300]:
+        d = tmp_path / "single" / f"company={company}" / f"board={board}"
+        d.mkdir(parents=True)
+        (d / "p.json").write_text(value)
+    plug.land_packed(spark.createDataFrame(pays, "system string, company string, board string, value string").repartition(3), str(tmp_path / "packed"))
+    path = str(tmp_path / "packed" / "system=lever")
+    assert len([f for f in os.listdir(path) if f.endswith(".json")]) <= 3
+    cols = ["company", "source_job_id", "title", "apply_url", "raw"]
+    single = {tuple(r) for r in plug.read_board(spark, "lever", str(tmp_path / "single"), by="source").select(*cols).collect()}
+    got = [[tuple(r) for r in plug.read_board(spark, "lever", path, by=by, packed=True).select(*cols).collect()] for by in ("files", "source")]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == 451
+    assert {r for r in got[0] if r[1] != "N"} == single and [r[0] for r in got[0] if r[1] == "N"] == [None]
+    # ranges cut at any byte give every payload once
+    monkeypatch.setattr(plug, "RANGE_BYTES", 97)
+    reader = plug._Reader(path, None, True)
+    rows = [r[0] for p in reader.partitions() for r in reader.read(p)]
+    assert sorted(rows) == sorted(p[3] for p in pays)
