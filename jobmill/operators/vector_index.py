@@ -7,9 +7,10 @@ the cells that a query looks into. The exact search (``vectors.vector_top_k``) s
   row of the corpus is indexed, whatever the sample was.
 * ``write_index`` stores the corpus by cell (``cell=<n>`` folders): a search reads the cells that
   its queries probe and no others (dynamic partition pruning).
-* ``index_top_k`` joins queries to rows by cell, computes exact similarities in Arrow batches and
-  keeps k rows per query and task before the exchange. A cell that holds a third of all rows is
-  read by as many tasks as it has splits; the corpus is never shuffled.
+* ``index_top_k`` joins blocks of queries to blocks of rows by cell (``vector_blocks``) and keeps k
+  rows per query and pair of blocks before the exchange. A cell that holds a third of all rows is
+  read by as many tasks as it has splits; the corpus is never shuffled while the queries' vectors
+  are within ``BROADCAST_BYTES``.
 
 Rows without a vector lie in no cell and are not found; a zero vector has similarity 0.5."""
 
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import maybe_broadcast
+from . import vector_blocks
 from .ranking import top_k_per_group
 
+BROADCAST_BYTES = 64 << 20
+
 
 @dataclass
 class VectorIndex:
@@ -119,26 +122,19 @@ def write_index(corpus: DataFrame, index: VectorIndex, path: str, *, vec: str =
     return corpus.sparkSession.read.parquet(path)
 
 
-def _similarity(a, b):
-    """Rescaled cosine of two vector columns, in double precision."""
-    def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        x, y = _matrix(x), _matrix(y)
-        n = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-        dots = np.einsum("ij,ij->i", x, y)
-        return pa.array((np.divide(dots, n, out=np.zeros_like(dots), where=n > 0) + 1) / 2)
-
-    return F.arrow_udf(run, "double")(a, b)
-
-
 def index_top_k(indexed: DataFrame, queries: DataFrame, index: VectorIndex, k: int, *, query_key: str, corpus_key: str,
                 vec: str = "embedding", query_vec: str = "query_vec", probes: int | None = None) -> DataFrame:
     """(query_key, corpus_key, similarity, rank): the k most similar rows of the probed cells."""
     many = min(len(index.centres), probes or index.probes)
     q = (queries.where(F.col(query_vec).isNotNull())
          .select(query_key, query_vec, F.explode(nearest_cells(index, F.col(query_vec), many)).alias("cell")))
-    pairs = indexed.select(corpus_key, vec, "cell").join(maybe_broadcast(q), "cell")
-    sims = pairs.select(query_key, corpus_key, _similarity(F.col(vec), F.col(query_vec)).alias("similarity"))
-    return top_k_per_group(sims, k, [F.col("similarity").desc(), F.col(corpus_key)], [query_key])
+    bytes_of = q.agg(F.count("*") * (64 + 8 * F.coalesce(F.max(F.size(query_vec)), F.lit(0)))).first()[0]
+    asked = vector_blocks.packed(q.repartition("cell"), [query_key], query_vec, vector_blocks.QUERY_ROWS, "_qkeys", "_qvecs", "cell")
+    # at most one row per cell: with it the scan leaves out the cells that no query looks into
+    probed = indexed.select(corpus_key, vec, "cell").join(F.broadcast(q.select("cell").distinct()), "cell", "left_semi")
+    rows = vector_blocks.packed(probed, [corpus_key], vec, vector_blocks.CORPUS_ROWS, "_ckeys", "_cvecs", "cell")
+    pairs = rows.join(F.broadcast(asked) if bytes_of <= BROADCAST_BYTES else asked, "cell")
+    return top_k_per_group(vector_blocks.best_of_pairs(pairs, k), k, [F.col("similarity").desc(), F.col(corpus_key)], [query_key])
 
 
 def recall(found: DataFrame, exact: DataFrame, *, query_key: str, corpus_key: str) -> float:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+from . import vector_blocks
 from .ranking import global_row_number, top_k_per_group
 
 NEUTRAL = 0.5
@@ -81,12 +83,28 @@ def pair_similarity(corpus: DataFrame, queries: DataFrame, *, corpus_vec="embedd
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, *, query_key: str,
-                 corpus_key: str, corpus_vec="embedding", query_vec="query_vec") -> DataFrame:
-    """Per query, corpus rows ranked by similarity (desc, then corpus key);
-    k None or 0 keeps all rows."""
-    pairs = pair_similarity(corpus, queries, corpus_vec=corpus_vec, query_vec=query_vec)
-    return top_k_per_group(pairs, k, [F.col("similarity").desc(), F.col(corpus_key)],
-                           [query_key])
+                 corpus_key: str, corpus_vec="embedding", query_vec="query_vec", chunk_bytes: int = 64 << 20) -> DataFrame:
+    """Per query, corpus rows ranked by similarity (desc, then corpus key), with the columns of
+    both sides but the vectors; k None or 0 keeps all rows.
+
+    With k every query meets every row as blocks (``vector_blocks``): blocks of queries are
+    broadcast in chunks of a checked size, the corpus is streamed once per chunk."""
+    order = [F.col("similarity").desc(), F.col(corpus_key)]
+    if not k:
+        pairs = pair_similarity(corpus, queries, corpus_vec=corpus_vec, query_vec=query_vec)
+        return top_k_per_group(pairs.drop(corpus_vec, query_vec), k, order, [query_key])
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("dim")).first()
+    n, dim = int(stats["n"]), max(1, int(stats["dim"] or 1))
+    n_chunks = max(1, -(-n * (8 * dim + 64) // chunk_bytes))
+    first = lambda df, key, vec: [key, *[c for c in df.columns if c not in (key, vec)]]
+    rows = vector_blocks.packed(spread(corpus), first(corpus, corpus_key, corpus_vec), corpus_vec, vector_blocks.CORPUS_ROWS, "_ckeys", "_cvecs")
+    outs = []
+    for i in range(n_chunks):
+        part = queries if n_chunks == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(n_chunks)) == i)
+        part = part.repartition(max(1, -(-n // (n_chunks * vector_blocks.QUERY_ROWS))))
+        blocks = vector_blocks.packed(part, first(queries, query_key, query_vec), query_vec, vector_blocks.QUERY_ROWS, "_qkeys", "_qvecs")
+        outs.append(vector_blocks.best_of_pairs(rows.crossJoin(F.broadcast(blocks)), k))
+    return top_k_per_group(reduce(DataFrame.unionByName, outs), k, order, [query_key])
 
 
 def vector_match(postings: DataFrame, profile_vecs: DataFrame, *, min_similarity: float = 0.5,

@@ -140,3 +140,33 @@ def test_vector_match_carries_highlights(spark):
     rows = vectors.vector_match_highlights(posts, q, prof, min_similarity=0.0).collect()
     assert {r["id"]: list(r["profile_highlights"]) for r in rows} == {"a": ["Contains: python", "Location: berlin", "Remote: remote"], "b": []}
     assert [list(r["profile_highlights"]) for r in vectors.vector_match_highlights(posts, q, prof, most=1).collect()] == [["Contains: python"]]
+
+
+def test_blocks_of_vectors_rank_like_pairs(spark, monkeypatch):
+    """The search by blocks gives the rows of the pairwise form: copies, missing, zero and uneven vectors, several chunks."""
+    import numpy as np
+
+    from jobmill.operators import vector_blocks, vectors
+    rng = np.random.default_rng(5)
+    vecs = [[float(x) for x in v] for v in rng.normal(size=(60, 6)).astype(np.float32)]
+    vecs += [vecs[3]] * 40 + [None, [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], vecs[4][:4], [], [-x for x in vecs[3]]]
+    corpus = spark.createDataFrame([(1000 - i, f"t{i}", v) for i, v in enumerate(vecs)], "id long, tag string, embedding array<float>")
+    queries = corpus.where("id % 7 = 0 or id > 995 or embedding is null").selectExpr("concat('q', id) as q", "embedding as query_vec")
+    keys = dict(query_key="q", corpus_key="id")
+    monkeypatch.setattr(vector_blocks, "CORPUS_ROWS", 16)
+    pairs = vectors.pair_similarity(corpus, queries).selectExpr("q", "id", "tag", "similarity", "row_number() over (partition by q order by round(similarity, 9) desc, id) as rank")
+    want = {(r["q"], r["rank"]): r for r in pairs.where("rank <= 9").collect()}
+    for size in (64 << 20, 1000):
+        got = vectors.vector_top_k(corpus, queries, 9, chunk_bytes=size, **keys).collect()
+        assert len(got) == len(want) and set(got[0].asDict()) == {"q", "id", "tag", "similarity", "rank"}
+        for r in got:
+            w = want[r["q"], r["rank"]]
+            assert (r["id"], r["tag"]) == (w["id"], w["tag"]) and abs(r["similarity"] - w["similarity"]) < 1e-9
+
+
+def test_exact_search_moves_k_rows_a_block_not_pairs(spark):
+    """No row is formed for a pair of vectors: the plan joins blocks."""
+    corpus = spark.range(3000).selectExpr("id", "array(cast(id as float), cast(1 as float)) as embedding")
+    top = vectors.vector_top_k(corpus, corpus.where("id % 100 = 0").selectExpr("id as q", "embedding as query_vec"), 3, query_key="q", corpus_key="id")
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan and top.count() == 90
