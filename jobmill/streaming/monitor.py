@@ -50,7 +50,7 @@ def _seeded(spark: SparkSession, path: str, store: ChangeLog) -> int:
     batches from the same base and has the same seeds."""
     if not path_exists(spark, f"{path}/base/_SUCCESS"):
         base = store.last_batch()
-        store.jobs(base + 1).select("source_job_id").distinct().write.mode("overwrite").parquet(f"{path}/known")
+        store.jobs(base + 1, ("source_job_id",)).select("source_job_id").distinct().write.mode("overwrite").parquet(f"{path}/known")
         spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").parquet(f"{path}/base")
     return spark.read.schema("base long").parquet(f"{path}/base").first()["base"]
 
@@ -101,12 +101,26 @@ def start_monitor(spark: SparkSession, source_path: str, schema: T.StructType, t
 
     def land(batch: DataFrame, batch_id: int) -> None:
         # a key's rows of a batch lie in one file: no reader sees a part of them
-        batch.repartition("_fkey").write.mode("overwrite").parquet(f"{store.root}/fresh/batch_id={batch_id}")
+        (batch.repartition("_fkey").withColumns({"_land": F.lit(batch_id).cast("long"), "_at": F.monotonically_increasing_id()})
+         .write.mode("overwrite").parquet(f"{store.root}/fresh/batch_id={batch_id}"))
 
     keyed = fresh.withColumn("_fkey", dedup.fuzzy_key("title", "location")).withColumn("_fp", dedup.fingerprint(searchable_text()))
     first = started(keyed, land, "update", ckpt)
     if available_now:
         first.awaitTermination()
-    landed = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", max_files_per_trigger or 1000) \
-        .parquet(f"{store.root}/fresh/batch_id=*")
-    return started(near_dup_stream(landed, "_fkey", order_col, "_fp"), score, "append", f"{ckpt}-near")   # M06
+    kept = T.StructType([*keyed.schema.fields, T.StructField("_land", T.LongType()), T.StructField("_at", T.LongType())])
+    landed = spark.readStream.schema(kept).option("maxFilesPerTrigger", max_files_per_trigger or 1000) \
+        .parquet(f"{store.root}/fresh/batch_id=*").select("_fkey", order_col, "_fp", "_land", "_at")
+
+    def score_admitted(batch: DataFrame, batch_id: int) -> None:
+        """The fold sees only order and fingerprints; the admitted rows come from the folders that they name."""
+        batch = batch.select("_land", "_at").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            folders = [f"{store.root}/fresh/batch_id={r[0]}" for r in batch.select("_land").distinct().collect()]
+            here = batch.sparkSession
+            rows = here.read.schema(kept).parquet(*folders) if folders else here.createDataFrame([], kept)
+            score(rows.join(batch, ["_land", "_at"], "left_semi").drop("_land", "_at"), batch_id)
+        finally:
+            batch.unpersist()
+
+    return started(near_dup_stream(landed, "_fkey", order_col, "_fp"), score_admitted, "append", f"{ckpt}-near")   # M06

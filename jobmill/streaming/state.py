@@ -41,8 +41,9 @@ def near_dup_stream(stream: DataFrame, key_col: str, order_col: str, fp_col: str
     ``order_col`` order within a batch; the state of a key is its last admitted fingerprint.
     Run in append mode.
 
-    A key's rows of one batch are folded by one task, so ``maxFilesPerTrigger`` bounds its
-    memory; only the rows' order, fingerprints and the admitted rows are held."""
+    A key's rows of one batch are folded by one task, which holds all columns of them: give it
+    order, fingerprint and what names the row (the monitor does), and get the rest of the
+    admitted rows afterwards. ``maxFilesPerTrigger`` bounds a batch."""
     max_d, schema = max_hamming_for(similarity), stream.schema
 
     def run(key, parts, state: GroupState):

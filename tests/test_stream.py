@@ -191,3 +191,23 @@ def test_restart_after_a_lost_stream_commit_keeps_messages(spark, tmp_path):
     run(spark, tmp_path, schema, store, prof, as_of=AS_OF, lookback="30d")
     assert spark.read.parquet(str(tmp_path / "store" / "outbox")).count() == 2
     assert store.jobs().count() == 2 and store.versions().count() == 2
+
+
+def test_the_fold_of_a_stream_gets_narrow_rows(spark, tmp_path, monkeypatch):
+    """Python sees a key, an order, a fingerprint and the row's place, not the postings."""
+    from jobmill.streaming import monitor
+    seen, real = [], monitor.near_dup_stream
+    monkeypatch.setattr(monitor, "near_dup_stream", lambda stream, *a, **b: seen.append(stream.columns) or real(stream, *a, **b))
+    schema = "company string, title string, source_job_id string, source_system string, location string, remote_type string, " \
+             "employment_type string, department string, posted_at timestamp, description_text string, requirements array<string>, apply_url string, seq long"
+    rows = [("C", "dev", str(i), "x", "here", "remote", "full_time", None, AS_OF, "the same long text of a posting " * 3, [], "https://x.io", i) for i in range(30)]
+    store = ChangeLog(spark, str(tmp_path / "store"))
+    for k in range(2):
+        spark.createDataFrame(rows[15 * k:15 * k + 15], schema).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        q = monitor.start_monitor(spark, str(tmp_path / "in" / "b*"), spark.createDataFrame([], schema).schema, lambda raw: raw, store=store,
+                                  profile={"profile": "p", "min_score_threshold": 0.0}, as_of=AS_OF, lookback=None, checkpoint=str(tmp_path / "ckpt"),
+                                  near_dup=True, available_now=True)
+        q.awaitTermination()
+        assert q.exception() is None
+    assert seen == [["_fkey", "seq", "_fp", "_land", "_at"]] * 2
+    assert [(r["source_job_id"], r["title"], r["description_text"]) for r in store.jobs().collect()] == [("0", "dev", rows[0][9])]
