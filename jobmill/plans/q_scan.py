@@ -62,7 +62,7 @@ def q_scan_store(spark, sf_dir):
     scan_and_store(store, 1, p, companies_from_supplier(spark, sf_dir), AS_OF, SCAN_LOOKBACK)
     run = store.runs().first()
     is_new = F.col("first_seen_at") == F.lit(AS_OF).cast("timestamp")
-    return store.jobs().select(
+    return store.jobs(columns=("id", "company", "title", "location", "first_seen_at")).select(
         "id", "company", F.when(is_new, F.col("title")).alias("title"), F.when(is_new, F.col("location")).alias("location"), "first_seen_at",
         F.lit(run["status"]).alias("status"), F.lit(run["jobs_found"]).alias("jobs_found"), F.lit(run["jobs_new"]).alias("jobs_new"),
         F.lit(store.companies().count()).alias("companies"))

@@ -214,7 +214,7 @@ def q_store_log(spark, sf_dir):
     log.compact()
     new = p.filter(F.col("posted_at") >= F.lit(INCOMING_FROM).cast("timestamp"))
     log.save(scoring.score(new, [SAMPLE_PROFILE], AS_OF), AS_OF, order_col="seq")
-    some = log.jobs().where("location LIKE '%1%'").select("id").unionByName(p.select(F.concat(F.lit("no-"), "id").alias("id")))
+    some = log.jobs(columns=("id", "location")).where("location LIKE '%1%'").select("id").unionByName(p.select(F.concat(F.lit("no-"), "id").alias("id")))
     log.notify(some, "push", TOPIC, MARKED_AT)
     out = log.jobs()
     scores = ("score", *[c for c in store.SCORE_FIELDS if c != "score"])

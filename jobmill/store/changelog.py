@@ -4,9 +4,10 @@ current row is the fold of its change rows (K01-K06, J05, J06, A01).
 Nothing is rewritten: a batch of changes is one folder (``changes/batch=<n>``), written with
 overwrite, so a lost executor or a replayed batch gives the same folder again, and seen by
 readers once Spark's success mark stands in it. The files written follow the batch, not the
-table. ``jobs()`` is one aggregation by id with map-side combining; ``compact`` writes its result
-as a base, so that readers fold only the batches after it. The change rows stay: they are
-the version log (K02).
+table. ``jobs()`` joins the rows that give a job's fields (one per id) with what later rows change;
+``compact`` writes its result as a base, so that readers fold only the batches after it. The change
+rows stay: they are the version log (K02). Batches are written in the order of their numbers (a
+batch may be written again).
 
 A change row: id, kind ('save', 'mark', 'base'), at, is_new, the posting's fields (``first``),
 given scores, the raw payload, notified_at. Per id the first save gives every field; later saves
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeutil import as_timestamp
+from ..operators.filters import maybe_broadcast
 from ..session import path_exists, scratch_path
-from .jobs import JOB_FIELDS, JOBS_SCHEMA, SCORE_FIELDS, company_key, incoming_rows, run_rows_complete, run_rows_start, runs_latest
+from .jobs import JOB_FIELDS, JOBS_SCHEMA, SCORE_FIELDS, arrived, company_key, run_rows_complete, run_rows_start, runs_latest, shaped
 
 _FIRST = T.StructType([f for f in JOBS_SCHEMA.fields if f.name not in ("id", "score", "notified_at")])
 CHANGE = T.StructType([
@@ -35,12 +37,12 @@ def save_rows(incoming: DataFrame, known: DataFrame, as_of, order_col: str | Non
     """Change rows of a save: one per id (the first arrival), ``is_new`` if ``known`` (id) lacks it."""
     now = as_timestamp(as_of)
     raw = (F.coalesce(F.col("raw").cast("string"), F.lit("{}")) if "raw" in incoming.columns
-           else F.to_json(F.struct(*[F.col(c) for c in incoming.columns if c not in ("id", "_raw_json")])))
-    inc = incoming_rows(incoming.withColumn("_raw_json", raw), order_col, keep=("_raw_json",))
+           else F.to_json(F.struct(*[F.col(c) for c in incoming.columns if c != "id"])))
     seen = known.select("id", F.lit(False).alias("_new"))
+    inc = shaped(arrived(incoming, order_col).join(seen, "id", "left"), "_new", raw.alias("_raw_json"))
     zero = {c: F.coalesce(c, F.lit(0.0)).alias(c) for c in SCORE_FIELDS}
     first = F.struct(*[now.alias(c) if c == "first_seen_at" else zero.get(c, F.col(c)) for c in _FIRST.names])
-    out = inc.join(seen, "id", "left").select(
+    out = inc.select(
         "id", F.lit("save").alias("kind"), now.alias("at"), F.coalesce("_new", F.lit(True)).alias("is_new"), first.alias("first"),
         F.when(F.col("_has_scores"), F.col("score")).alias("score"), now.alias("touched_at"),
         F.lit(None).cast("timestamp").alias("notified_at"), F.col("_raw_json").alias("raw_json"))
@@ -55,22 +57,30 @@ def mark_rows(ids: DataFrame, known: DataFrame, as_of) -> DataFrame:
     return hit.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CHANGE.fields])
 
 
-def fold(changes: DataFrame) -> DataFrame:
-    """Current rows (JOBS_SCHEMA) of change rows with their ``batch``."""
-    saved = F.col("first").isNotNull()
-    by_id = changes.groupBy("id").agg(
-        F.min_by("first", F.when(saved, F.col("batch"))).alias("f"),
-        F.min(F.when(saved, F.col("batch"))).alias("b0"), F.max(F.when(saved, F.col("batch"))).alias("b1"),
-        F.max_by("touched_at", F.when(saved, F.col("batch"))).alias("t"),
-        F.max(F.when(F.col("kind") == "base", 1).otherwise(0)).alias("based"),
-        F.max_by("score", F.when(F.col("score").isNotNull(), F.col("batch"))).alias("s"),
-        F.max_by("notified_at", F.when(F.col("notified_at").isNotNull(), F.col("batch"))).alias("n"))
-    # the first save leaves updated_at as the posting gives it
-    touched = F.when((F.col("b1") > F.col("b0")) | (F.col("based") == 1), F.col("t"))
-    made = {"id": F.col("id"), "score": F.coalesce("s", F.lit(0.0)), "notified_at": F.col("n"),
-            "updated_at": F.coalesce(touched, F.col("f.updated_at"))}
-    return by_id.where("f is not null").select(
-        *[made.get(f.name, F.col(f"f.{f.name}")).cast(f.dataType).alias(f.name) for f in JOBS_SCHEMA.fields])
+#: Rows that give a job's fields: one per id, since a batch is compared with all batches before it.
+_GIVES = "(kind = 'base' or (kind = 'save' and is_new))"
+
+
+def fold(changes: DataFrame, columns=None) -> DataFrame:
+    """Current rows (JOBS_SCHEMA, or the ``columns`` of it) of change rows with their ``batch``.
+
+    An id's fields come from the one row that gives them; later saves and marks are combined to a
+    few values per id and joined to it. Without such rows, or for columns that they do not
+    change, nothing is shuffled; the wide rows move once if the changed ids are many."""
+    fields = [f for f in JOBS_SCHEMA.fields if columns is None or f.name in columns]
+    given = changes.where(_GIVES)
+    wide = given.select("id", "first", "score", "notified_at")
+    made = {"id": F.col("id")}
+    if {f.name for f in fields} & {"score", "updated_at", "notified_at"}:
+        later = changes.where(f"not coalesce({_GIVES}, false)").groupBy("id").agg(
+            F.max_by("touched_at", F.when(F.col("kind") == "save", F.col("batch"))).alias("_t"),
+            F.max_by("score", F.when(F.col("score").isNotNull(), F.col("batch"))).alias("_s"),
+            F.max_by("notified_at", F.when(F.col("notified_at").isNotNull(), F.col("batch"))).alias("_n"))
+        wide = wide.join(maybe_broadcast(later), "id", "left")
+        made |= {"score": F.coalesce("_s", "score", F.lit(0.0)), "notified_at": F.coalesce("_n", "notified_at"),
+                 "updated_at": F.coalesce("_t", F.col("first.updated_at"))}
+    return wide.select(*[made.get(f.name, F.col(f"first.{f.name}") if f.name not in ("score", "notified_at") else F.lit(None))
+                         .cast(f.dataType).alias(f.name) for f in fields])
 
 
 def base_rows(jobs: DataFrame) -> DataFrame:
@@ -112,16 +122,16 @@ class ChangeLog:
             rows = rows.unionByName(base.select("*", F.lit(upto).cast("long").alias("batch")))
         return rows
 
-    def jobs(self, before: int | None = None) -> DataFrame:
-        """Current rows; with ``before``, as they were before that batch."""
-        return fold(self._since_base(before))
+    def jobs(self, before: int | None = None, columns=None) -> DataFrame:
+        """Current rows (of them ``columns``); with ``before``, as they were before that batch."""
+        return fold(self._since_base(before), columns)
 
     def ids(self, before: int | None = None) -> DataFrame:
         """The ids of the stored jobs, each once: reads nothing but ids and kinds."""
-        return self._since_base(before).where("kind != 'mark'").select("id").distinct()
+        return self._since_base(before).where(_GIVES).select("id").distinct()
 
     def _append(self, rows: DataFrame, batch: int) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/changes/batch={batch}")
         return self.changes(batch - 1, batch + 1)
 
     def save(self, incoming: DataFrame, as_of, order_col: str | None = None, batch: int | None = None) -> dict:
@@ -143,14 +153,14 @@ class ChangeLog:
         marked = self._append(mark_rows(ids, self.ids(batch), as_of), batch)
         notes = marked.select(F.col("id").alias("job_id"), F.col("at").alias("sent_at"), F.lit(mode).alias("mode"),
                               F.lit(target).alias("target"), F.lit(1).alias("success"))
-        notes.write.mode("overwrite").parquet(f"{self.root}/notifications/batch={batch}")
+        notes.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/notifications/batch={batch}")
         return self.spark.read.schema(NOTE).parquet(f"{self.root}/notifications/batch={batch}")
 
     def compact(self) -> int:
         """Write the current rows as a base; readers start from it. Returns the batch it covers."""
         upto = self.last_batch()
         if upto and upto not in self._numbers("base"):
-            base_rows(self.jobs(upto + 1)).write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
+            base_rows(self.jobs(upto + 1)).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/base/upto={upto}")
         return upto
 
     def versions(self) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.timeutil import as_timestamp
 from ..operators.dedup import first_per_key
+from ..operators.filters import BROADCAST_ROW_LIMIT
+from ..session import ensure_checkpoint_dir
 
 JOB_FIELDS = ["id", "company_id", "company", "source_job_id", "source_system", "title", "location",
               "remote_type", "employment_type", "department", "team", "apply_url", "source_url",
@@ -30,9 +32,31 @@ def company_key(name_col="company"):
     return F.xxhash64(F.col(name_col) if isinstance(name_col, str) else name_col)
 
 
-def incoming_rows(incoming: DataFrame, order_col: str | None, keep: tuple = ()) -> DataFrame:
-    """Posting columns in store shape (and those to ``keep``); one row per id (first arrival wins)."""
-    have = set(incoming.columns)
+def first_arrivals(incoming: DataFrame, order_col: str) -> DataFrame:
+    """One row per id, the first in ``order_col``. Ids that come more than once are counted over the ids
+    alone; if they are few, only their rows are sorted and the other rows go past, unmoved."""
+    ensure_checkpoint_dir(incoming.sparkSession)
+    repeated = incoming.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_again")).checkpoint()
+    n = repeated.limit(BROADCAST_ROW_LIMIT + 1).count()
+    if not n:
+        return incoming
+    if n > BROADCAST_ROW_LIMIT:
+        return first_per_key(incoming, ["id"], order_col)
+    again = F.col("id").eqNullSafe(F.col("_again"))
+    once, more = (incoming.join(F.broadcast(repeated), again, how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(first_per_key(more, ["id"], order_col))
+
+
+def arrived(incoming: DataFrame, order_col: str | None) -> DataFrame:
+    """One row per id (a string), the first arrival."""
+    incoming = incoming.withColumn("id", F.col("id").cast("string"))
+    return first_arrivals(incoming, order_col) if order_col else incoming.dropDuplicates(["id"])
+
+
+def shaped(rows: DataFrame, *keep) -> DataFrame:
+    """Posting columns in store shape, and those to ``keep``. What is made of a row is made here, after
+    the row has been moved."""
+    have = set(rows.columns)
     cols = []
     for f in JOBS_SCHEMA.fields:
         name = f.name
@@ -43,14 +67,7 @@ def incoming_rows(incoming: DataFrame, order_col: str | None, keep: tuple = ())
             cols.append(F.col(src).cast(f.dataType).alias(name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(name))
-    scored = "final_score" in have
-    shaped = incoming.select(*cols, *keep, *([F.col(order_col).alias("_ord")] if order_col else []),
-                             F.lit(scored).alias("_has_scores"))
-    if order_col:
-        shaped = first_per_key(shaped, ["id"], "_ord").drop("_ord")
-    else:
-        shaped = shaped.dropDuplicates(["id"])
-    return shaped
+    return rows.select(*cols, *keep, F.lit("final_score" in have).alias("_has_scores"))
 
 
 def upsert_frames(stored: DataFrame, incoming: DataFrame, as_of, order_col: str | None = None):
@@ -60,7 +77,7 @@ def upsert_frames(stored: DataFrame, incoming: DataFrame, as_of, order_col: str
     Known id: only updated_at = as_of and, when scores are given, score = final score;
     every other stored field is kept."""
     now = as_timestamp(as_of)
-    inc = incoming_rows(incoming, order_col)
+    inc = shaped(arrived(incoming, order_col))
     s = stored.alias("s")
     i = inc.alias("i")
     j = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")

@@ -146,3 +146,47 @@ def test_match_and_notify_flow(spark, tmp_path):
     assert [r["job_id"] for r in notes.collect()] == ["a"]
     assert {r["id"]: r["notified_at"] for r in store.jobs().collect()}["a"] == T1
     assert [r["id"] for r in msgs.collect()] == ["a"]      # still the same after marking
+
+
+AS_OF = dt.datetime(2025, 1, 10)
+
+
+def _postings(spark, n, again=0):
+    rows = spark.range(n + again).selectExpr(
+        f"cast(id % {n} as string) as id", "concat('C', id % 7) as company", "concat('t', id) as title", "cast(id as string) as source_job_id",
+        "'x' as source_system", "'here' as location", "id as seq")
+    return rows.repartition(3)
+
+
+def test_a_store_without_later_changes_is_read_without_a_shuffle(spark, tmp_path):
+    """The rows that give a job's fields come as they are: no wide row is moved to be folded."""
+    store = ChangeLog(spark, str(tmp_path / "s"))
+    store.save(_postings(spark, 50), AS_OF, order_col="seq")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("SortMergeJoin", "SortAggregate") if x in plan(store.jobs())] and store.jobs().count() == 50
+    store.compact()
+    store.save(_postings(spark, 60), AS_OF + dt.timedelta(days=1), order_col="seq")
+    some = store.jobs(columns=("id", "location"))
+    assert some.columns == ["id", "location"] and some.count() == 60 and "Exchange" not in plan(some)
+    late = store.jobs().where("updated_at is not null").count()
+    assert late == 50 and store.jobs().count() == 60
+
+
+def test_repeated_ids_are_told_apart_few_or_many(spark, tmp_path, monkeypatch):
+    """The first arrival of each id is kept, whether the repeated ids are broadcast or all rows sorted."""
+    from jobmill.store import jobs
+    for limit in (100, 3):
+        monkeypatch.setattr(jobs, "BROADCAST_ROW_LIMIT", limit)
+        store = ChangeLog(spark, str(tmp_path / f"s{limit}"))
+        totals = store.save(_postings(spark, 40, again=20), AS_OF, order_col="seq")
+        assert totals == {"jobs_found": 40, "jobs_new": 40}
+        assert {r["title"] for r in store.jobs().collect()} == {f"t{i}" for i in range(40)}
+
+
+def test_the_raw_payload_is_made_after_the_row_has_moved(spark, tmp_path):
+    from jobmill.store.changelog import save_rows
+    rows = _postings(spark, 50)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = save_rows(rows, rows.select("id"), AS_OF, "seq")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.index("to_json") < plan.index("Join LeftOuter")
