@@ -220,7 +220,9 @@ def py_title(t) -> Column:
     def first(s):
         c = F.substring(s, 1, 1)
         return F.when(c == "ß", F.lit("Ss")).otherwise(F.upper(c))
-    return F.array_join(
+    any_text = F.array_join(
         F.transform(F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1),
                     lambda s: F.concat(first(s), F.substring(s, 2, 1 << 30))),
         "")
+    # Plain words (most enum values and many titles) need no run list: there both agree.
+    return F.when(_c(t).rlike(r"\A[A-Za-z ]*\z"), F.initcap(_c(t))).otherwise(any_text)

@@ -79,10 +79,13 @@ def regex_quote(kw) -> Column:
 
 
 def whole_word_pattern(kw) -> Column:
-    """Case-insensitive Unicode whole-word pattern for a keyword column."""
-    return F.concat(F.lit("(?iuU)\\b"), regex_quote(kw), F.lit("\\b"))
+    """Case-insensitive Unicode whole-word pattern for a keyword column. The keyword itself is looked
+    for first: a Unicode word boundary is dearer to test than a first character."""
+    word = regex_quote(kw)
+    return F.concat(F.lit("(?iuU)(?="), word, F.lit(")\\b"), word, F.lit("\\b"))
 
 
 def py_whole_word_pattern(kw: str) -> str:
     """Same pattern as ``whole_word_pattern`` for a literal keyword."""
-    return "(?iuU)\\b\\Q" + kw.replace("\\E", "\\E\\\\E\\Q") + "\\E\\b"
+    word = "\\Q" + kw.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return f"(?iuU)(?={word})\\b{word}\\b"

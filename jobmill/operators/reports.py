@@ -17,7 +17,7 @@ def _c(x) -> Column:
 
 def percent(score) -> Column:
     """Whole percent, rounded half to even like Python's '{:.0%}'."""
-    return F.concat(F.bround(_c(score) * F.lit(100.0), 0).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat(F.rint(_c(score) * F.lit(100.0)).cast("bigint").cast("string"), F.lit("%"))
 
 
 def priority(score="final_score") -> Column:
@@ -26,9 +26,10 @@ def priority(score="final_score") -> Column:
 
 
 def tags(remote="remote_type", score="final_score") -> Column:
-    return F.array_compact(F.array(F.lit("briefcase"),
-                                   F.when(_c(remote) == "remote", F.lit("house")),
-                                   F.when(_c(score) >= 0.8, F.lit("star"))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(F.lit("briefcase")),
+                    F.when(_c(remote) == "remote", F.array(F.lit("house"))).otherwise(none),
+                    F.when(_c(score) >= 0.8, F.array(F.lit("star"))).otherwise(none))
 
 
 def _py_title_word(c: Column) -> Column:

@@ -185,3 +185,31 @@ def test_pairs_that_reach_a_score(spark):
             got = scoring.score(df, table, AS_OF, vector_col=vector, min_score=least, chunk_bytes=6000)
             assert sorted(tuple(map(str, r)) for r in got.select(*cols).collect()) == want and 20 < len(want) < 2400
             assert sorted(tuple(map(str, r)) for r in scoring.score(df, profs, AS_OF, vector_col=vector, min_score=least).select(*cols).collect()) == want
+
+
+def test_few_profiles_are_scored_by_generated_code(spark):
+    """No lambda function in the generator or in a message's tags: Spark evaluates those row by row
+    without generated code. Many terms keep it, with the same rows."""
+    from jobmill.operators import reports
+    df = spark.createDataFrame([("Red  Widget", "python", "remote"), (None, "Go", "part time"), ("chef", None, None)],
+                               "title string, description_text string, remote_type string").select(
+        "*", F.lit("Berlin").alias("location"), F.lit(AS_OF).alias("posted_at"), F.array().cast("array<string>").alias("requirements"),
+        F.lit(None).cast("string").alias("department"))
+    one = Profile(profile="p", desired_roles=["widget"], must_have_keywords=["python", "go", "python"], must_not_keywords=["chef"])
+    few = scoring.score(df, [one], AS_OF)
+    plan = few.select("final_score", reports.tags())._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan and "lambda" not in plan
+    many = scoring.score(df, [one, *[Profile(profile=f"q{i}", must_have_keywords=["a", "b"]) for i in range(20)]], AS_OF)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.where("profile = 'p'").collect()))
+
+
+def test_title_case_of_plain_words_and_percent(spark):
+    from jobmill.functions.classify import py_title
+    from jobmill.operators import reports
+    texts = ["full time", "REMOTE", "", " two  words ", "a\n", "a\nb", "o'neil x", "\u00dfa b", "part_time", "x1y", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(py_title("t").alias("x")).collect()
+    assert [r["x"] for r in got] == [t and t.title() if t is not None else None for t in texts]
+    scores = [0.125, 0.135, 0.145, 0.005, 0.015, 0.285, 0.575, 0.0, 1.0, 0.994999, -0.004]
+    got = spark.createDataFrame([(x,) for x in scores], "s double").select(
+        reports.percent("s").alias("x"), F.concat(F.bround(F.col("s") * 100.0, 0).cast("bigint").cast("string"), F.lit("%")).alias("y")).collect()
+    assert [r["x"] for r in got] == [r["y"] for r in got]
