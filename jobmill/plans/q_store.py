@@ -209,7 +209,7 @@ FROM rows r LEFT JOIN (SELECT id, final_score FROM i1) i USING (id)
 def q_store_log(spark, sf_dir):
     """Two saves, a compaction and a mark; then the store as a reader sees it."""
     log = ChangeLog(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
-    p = standins.postings_li(spark, sf_dir)
+    p = standins.postings_li(spark, sf_dir, standins.staged_lines(spark, sf_dir))
     log.save(p.filter(F.col("posted_at") < F.lit(STORE_SPLIT).cast("timestamp")), FIRST_LOAD_AT, order_col="seq")
     log.compact()
     new = p.filter(F.col("posted_at") >= F.lit(INCOMING_FROM).cast("timestamp"))

@@ -17,12 +17,14 @@ supplier grow with the scale factor, so their join strategy is left to Catalyst/
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import employment_type
 from ..functions.text import posting_id
-from ..session import read_table, spread
+from ..session import read_table, scratch_path, shuffle_files_dropped, spread
 
 # Mapping of stand-in codes to posting enums.
 RETURNFLAG_SYSTEM = {"A": "greenhouse", "N": "lever", "R": "workday"}
@@ -37,15 +39,28 @@ def _case(col: str, mapping: dict, default: str) -> F.Column:
     return expr.otherwise(default)
 
 
-def postings_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_returnflag", "l_linestatus"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return li.join(part, li.l_partkey == part.p_partkey).drop("p_partkey")
+
+
+def staged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines_with_parts`` as a table, for a job that reads the postings several times: past a few million
+    parts the join shuffles every line, each time anew."""
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    with shuffle_files_dropped(spark):
+        lines_with_parts(spark, sf_dir).write.option("compression", "zstd").parquet(path)
+    return spread(spark.read.parquet(path))
+
+
+def postings_li(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    lines = lines_with_parts(spark, sf_dir) if lines is None else lines
     supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = (li.join(part, li.l_partkey == part.p_partkey)
-         .join(supp, li.l_suppkey == supp.s_suppkey)
+    j = (lines.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
          .join(F.broadcast(nation), F.col("s_nationkey") == nation.n_nationkey))
     company = F.col("s_name")
     system = _case("l_returnflag", RETURNFLAG_SYSTEM, "unknown")

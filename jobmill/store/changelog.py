@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timeutil import as_timestamp
-from ..operators.filters import maybe_broadcast
-from ..session import path_exists, scratch_path
+from ..operators.filters import BROADCAST_ROW_LIMIT
+from ..session import path_exists, scratch_path, shuffle_files_dropped
+from .blocks import packed_left_join
 from .jobs import JOB_FIELDS, JOBS_SCHEMA, SCORE_FIELDS, arrived, company_key, run_rows_complete, run_rows_start, runs_latest, shaped
 
 _FIRST = T.StructType([f for f in JOBS_SCHEMA.fields if f.name not in ("id", "score", "notified_at")])
@@ -30,29 +31,36 @@ CHANGE = T.StructType([
     T.StructField("is_new", T.BooleanType()), T.StructField("first", _FIRST), T.StructField("score", T.DoubleType()),
     T.StructField("touched_at", T.TimestampType()), T.StructField("notified_at", T.TimestampType()),
     T.StructField("raw_json", T.StringType())])
+#: Payloads are most of a store's bytes: level 6 makes them a sixth smaller than 3.
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 NOTE = "job_id string, sent_at timestamp, mode string, target string, success int"
 
 
-def save_rows(incoming: DataFrame, known: DataFrame, as_of, order_col: str | None = None) -> DataFrame:
-    """Change rows of a save: one per id (the first arrival), ``is_new`` if ``known`` (id) lacks it."""
+def save_rows(incoming: DataFrame, known: DataFrame | None, as_of, order_col: str | None = None) -> DataFrame:
+    """Change rows of a save: one per id (the first arrival), ``is_new`` if ``known`` (id) lacks it (None: has none)."""
     now = as_timestamp(as_of)
     raw = (F.coalesce(F.col("raw").cast("string"), F.lit("{}")) if "raw" in incoming.columns
            else F.to_json(F.struct(*[F.col(c) for c in incoming.columns if c != "id"])))
-    seen = known.select("id", F.lit(False).alias("_new"))
-    inc = shaped(arrived(incoming, order_col).join(seen, "id", "left"), "_new", raw.alias("_raw_json"))
+    inc = arrived(incoming, order_col, known)
+    inc = shaped(inc if known is not None else inc.withColumn("_known", F.lit(None).cast("boolean")), "_known", raw.alias("_raw_json"))
     zero = {c: F.coalesce(c, F.lit(0.0)).alias(c) for c in SCORE_FIELDS}
     first = F.struct(*[now.alias(c) if c == "first_seen_at" else zero.get(c, F.col(c)) for c in _FIRST.names])
     out = inc.select(
-        "id", F.lit("save").alias("kind"), now.alias("at"), F.coalesce("_new", F.lit(True)).alias("is_new"), first.alias("first"),
+        "id", F.lit("save").alias("kind"), now.alias("at"), F.col("_known").isNull().alias("is_new"), first.alias("first"),
         F.when(F.col("_has_scores"), F.col("score")).alias("score"), now.alias("touched_at"),
         F.lit(None).cast("timestamp").alias("notified_at"), F.col("_raw_json").alias("raw_json"))
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHANGE.fields])
 
 
 def mark_rows(ids: DataFrame, known: DataFrame, as_of) -> DataFrame:
-    """Change rows that mark the ids that exist as notified."""
+    """Change rows that mark the ids that exist (``known``, each once) as notified."""
     now = as_timestamp(as_of)
-    hit = ids.select(F.col("id").cast("string").alias("id")).distinct().join(known.select("id"), "id", "left_semi")
+    ids, known = ids.select(F.col("id").cast("string").alias("id")), known.select("id")
+    n = known.count()
+    if n <= BROADCAST_ROW_LIMIT:
+        hit = ids.distinct().join(known, "id", "left_semi")
+    else:
+        hit = packed_left_join(known, ids.withColumn("_hit", F.lit(True)), "id", n).where("_hit")
     given = {"id": F.col("id"), "kind": F.lit("mark"), "at": now, "notified_at": now}
     return hit.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CHANGE.fields])
 
@@ -64,22 +72,25 @@ _GIVES = "(kind = 'base' or (kind = 'save' and is_new))"
 def fold(changes: DataFrame, columns=None) -> DataFrame:
     """Current rows (JOBS_SCHEMA, or the ``columns`` of it) of change rows with their ``batch``.
 
-    An id's fields come from the one row that gives them; later saves and marks are combined to a
-    few values per id and joined to it. Without such rows, or for columns that they do not
-    change, nothing is shuffled; the wide rows move once if the changed ids are many."""
+    An id's fields come from the one row that gives them; later saves (they alone have ``touched_at``) and
+    marks are combined to a few values per id and joined to it. Without such rows, or for columns that they do not
+    change, nothing is shuffled; if there are many, the wide rows move once, packed (``blocks``)."""
     fields = [f for f in JOBS_SCHEMA.fields if columns is None or f.name in columns]
-    given = changes.where(_GIVES)
-    wide = given.select("id", "first", "score", "notified_at")
+    wide = changes.where(_GIVES).select("id", "score", "notified_at", *[
+        F.col(f"first.{f.name}").alias(f"first_{f.name}") for f in fields if f.name in _FIRST.names])
     made = {"id": F.col("id")}
     if {f.name for f in fields} & {"score", "updated_at", "notified_at"}:
-        later = changes.where(f"not coalesce({_GIVES}, false)").groupBy("id").agg(
-            F.max_by("touched_at", F.when(F.col("kind") == "save", F.col("batch"))).alias("_t"),
-            F.max_by("score", F.when(F.col("score").isNotNull(), F.col("batch"))).alias("_s"),
-            F.max_by("notified_at", F.when(F.col("notified_at").isNotNull(), F.col("batch"))).alias("_n"))
-        wide = wide.join(maybe_broadcast(later), "id", "left")
+        later = changes.where(f"not coalesce({_GIVES}, false)").select(
+            "id", "batch", F.col("touched_at").alias("_t"), F.col("score").alias("_s"), F.col("notified_at").alias("_n"))
+        n = later.count()
+        if n <= BROADCAST_ROW_LIMIT:
+            last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in ("_t", "_s", "_n")]
+            wide = wide.join(F.broadcast(later.groupBy("id").agg(*last)), "id", "left")
+        else:
+            wide = packed_left_join(wide, later, "id", n, order_col="batch")
         made |= {"score": F.coalesce("_s", "score", F.lit(0.0)), "notified_at": F.coalesce("_n", "notified_at"),
-                 "updated_at": F.coalesce("_t", F.col("first.updated_at"))}
-    return wide.select(*[made.get(f.name, F.col(f"first.{f.name}") if f.name not in ("score", "notified_at") else F.lit(None))
+                 "updated_at": F.coalesce("_t", "first_updated_at")}
+    return wide.select(*[made.get(f.name, F.col(f"first_{f.name}") if f.name not in ("score", "notified_at") else F.lit(None))
                          .cast(f.dataType).alias(f.name) for f in fields])
 
 
@@ -128,10 +139,14 @@ class ChangeLog:
 
     def ids(self, before: int | None = None) -> DataFrame:
         """The ids of the stored jobs, each once: reads nothing but ids and kinds."""
-        return self._since_base(before).where(_GIVES).select("id").distinct()
+        return self._given(before).distinct()
+
+    def _given(self, before: int | None) -> DataFrame:
+        return self._since_base(before).where(_GIVES).select("id")
 
     def _append(self, rows: DataFrame, batch: int) -> DataFrame:
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/changes/batch={batch}")
+        with shuffle_files_dropped(rows.sparkSession):
+            rows.write.mode("overwrite").options(**ZSTD).parquet(f"{self.root}/changes/batch={batch}")
         return self.changes(batch - 1, batch + 1)
 
     def save(self, incoming: DataFrame, as_of, order_col: str | None = None, batch: int | None = None) -> dict:
@@ -139,7 +154,8 @@ class ChangeLog:
         Returns the totals (A01: jobs_found, jobs_new), which the write itself has counted."""
         batch = batch or self.last_batch() + 1
         seen = Observation()
-        rows = save_rows(incoming, self.ids(batch), as_of, order_col).observe(
+        known = self.ids(batch) if any(n < batch for n in self._numbers("changes")) else None
+        rows = save_rows(incoming, known, as_of, order_col).observe(
             seen, F.count("*").alias("jobs_found"), F.coalesce(F.sum(F.col("is_new").cast("long")), F.lit(0)).alias("jobs_new"))
         written = self._append(rows, batch)
         names = written.select(F.col("first.company").alias("name")).where("name is not null").distinct()
@@ -150,7 +166,7 @@ class ChangeLog:
     def notify(self, ids: DataFrame, mode: str, target: str, as_of, batch: int | None = None) -> DataFrame:
         """Mark the ids that exist; returns their notification rows."""
         batch = batch or self.last_batch() + 1
-        marked = self._append(mark_rows(ids, self.ids(batch), as_of), batch)
+        marked = self._append(mark_rows(ids, self._given(batch), as_of), batch)
         notes = marked.select(F.col("id").alias("job_id"), F.col("at").alias("sent_at"), F.lit(mode).alias("mode"),
                               F.lit(target).alias("target"), F.lit(1).alias("success"))
         notes.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/notifications/batch={batch}")
@@ -160,7 +176,8 @@ class ChangeLog:
         """Write the current rows as a base; readers start from it. Returns the batch it covers."""
         upto = self.last_batch()
         if upto and upto not in self._numbers("base"):
-            base_rows(self.jobs(upto + 1)).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/base/upto={upto}")
+            with shuffle_files_dropped(self.spark):
+                base_rows(self.jobs(upto + 1)).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/base/upto={upto}")
         return upto
 
     def versions(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.timeutil import as_timestamp
 from ..operators.dedup import first_per_key
 from ..operators.filters import BROADCAST_ROW_LIMIT
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, shuffle_files_dropped
 
 JOB_FIELDS = ["id", "company_id", "company", "source_job_id", "source_system", "title", "location",
               "remote_type", "employment_type", "department", "team", "apply_url", "source_url",
@@ -26,31 +26,64 @@ JOBS_SCHEMA = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in SCORE_FIELDS]
     + [T.StructField("first_seen_at", T.TimestampType()), T.StructField("notified_at", T.TimestampType())])
 
+# Bits for each id of a bitmap of ids, and the most bits of one (64 MB to broadcast).
+BITS_PER_ID, BITMAP_BITS = 16, 1 << 29
+
 
 def company_key(name_col="company"):
     """Stable company id from the name (replaces an autoincrement key)."""
     return F.xxhash64(F.col(name_col) if isinstance(name_col, str) else name_col)
 
 
-def first_arrivals(incoming: DataFrame, order_col: str) -> DataFrame:
-    """One row per id, the first in ``order_col``. Ids that come more than once are counted over the ids
-    alone; if they are few, only their rows are sorted and the other rows go past, unmoved."""
-    ensure_checkpoint_dir(incoming.sparkSession)
-    repeated = incoming.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("_again")).checkpoint()
-    n = repeated.limit(BROADCAST_ROW_LIMIT + 1).count()
-    if not n:
-        return incoming
+def first_arrivals(incoming: DataFrame, order_col: str, known: DataFrame | None = None) -> DataFrame:
+    """One row per id, the first in ``order_col``; with ``known`` (id, each once) also ``_known``, true or null.
+    Ids that come more than once (by their hashes) or are known are found over the ids alone. If they are few
+    they are broadcast; else a broadcast bitmap tells which rows may be theirs, and only those are moved."""
+    spark = incoming.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = F.xxhash64("id") if known is None else F.col("id")
+    marked = incoming.groupBy(key.alias("_id")).agg(F.count("*").alias("_n"))
+    marked = marked.withColumn("_known", F.lit(None).cast("boolean")) if known is None else \
+        marked.join(known.select(F.col("id").alias("_id"), F.lit(True).alias("_known")), "_id", "left")
+    with shuffle_files_dropped(spark):
+        marked = marked.where("_n > 1 or _known").checkpoint()
+    n, apart = marked.count(), None
     if n > BROADCAST_ROW_LIMIT:
-        return first_per_key(incoming, ["id"], order_col)
-    again = F.col("id").eqNullSafe(F.col("_again"))
-    once, more = (incoming.join(F.broadcast(repeated), again, how) for how in ("left_anti", "left_semi"))
-    return once.unionByName(first_per_key(more, ["id"], order_col))
-
-
-def arrived(incoming: DataFrame, order_col: str | None) -> DataFrame:
-    """One row per id (a string), the first arrival."""
+        apart, near = _near(incoming, key, marked, n)
+        flagged = near.join(marked, key.eqNullSafe(F.col("_id")), "left")
+    elif n:
+        flagged = incoming.join(F.broadcast(marked), key.eqNullSafe(F.col("_id")), "left")
+    else:
+        flagged = incoming.withColumns({"_n": F.lit(1), "_known": F.lit(None).cast("boolean")})
+    out = flagged
+    if marked.where("_n > 1").limit(1).count():
+        out = flagged.where("coalesce(_n, 1) = 1").unionByName(first_per_key(flagged.where("_n > 1"), ["id"], order_col))
+    out = out.select(*incoming.columns, "_known")
+    if apart is not None:
+        out = out.unionByName(apart.withColumn("_known", F.lit(None).cast("boolean")))
+    return out.drop("_known") if known is None else out
+
+
+def _near(rows: DataFrame, key, marked: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` parted in two: none of the first has a ``key`` of the ``n`` ``marked``, by a bitmap of hashes."""
+    bits = min(max(BITS_PER_ID * n, 1 << 15), BITMAP_BITS)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = marked.select(place("_id").alias("_p")).select(F.bitmap_bucket_number("_p").alias("_at"), F.bitmap_bit_position("_p").alias("_p")) \
+        .repartition("_at").groupBy("_at").agg(F.bitmap_construct_agg("_p").alias("_bits"))
+    tagged = rows.withColumn("_at", F.bitmap_bucket_number(place(key))).join(F.broadcast(maps), "_at", "left")
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return tagged.where(~maybe).select(*rows.columns), tagged.where(maybe).select(*rows.columns)
+
+
+def arrived(incoming: DataFrame, order_col: str | None, known: DataFrame | None = None) -> DataFrame:
+    """One row per id (a string), the first arrival; with ``known`` ids also ``_known``."""
     incoming = incoming.withColumn("id", F.col("id").cast("string"))
-    return first_arrivals(incoming, order_col) if order_col else incoming.dropDuplicates(["id"])
+    if order_col:
+        return first_arrivals(incoming, order_col, known)
+    out = incoming.dropDuplicates(["id"])
+    return out if known is None else out.join(known.select("id", F.lit(True).alias("_known")), "id", "left")
 
 
 def shaped(rows: DataFrame, *keep) -> DataFrame:
