@@ -4,7 +4,8 @@ current row is the fold of its change rows (K01-K06, J05, J06, A01).
 Nothing is rewritten: a batch of changes is one folder (``changes/batch=<n>``), written with
 overwrite, so a lost executor or a replayed batch gives the same folder again, and seen by
 readers once Spark's success mark stands in it. The files written follow the batch, not the
-table. ``jobs()`` joins the rows that give a job's fields (one per id) with what later rows change;
+table, and each write drops its shuffle files when it ends. ``jobs()`` joins the rows that give a job's
+fields (one per id) with what later rows change;
 ``compact`` writes its result as a base, so that readers fold only the batches after it. The change
 rows stay: they are the version log (K02). Batches are written in the order of their numbers (a
 batch may be written again).

@@ -42,17 +42,17 @@ def first_arrivals(incoming: DataFrame, order_col: str, known: DataFrame | None
     spark = incoming.sparkSession
     ensure_checkpoint_dir(spark)
     key = F.xxhash64("id") if known is None else F.col("id")
-    marked = incoming.groupBy(key.alias("_id")).agg(F.count("*").alias("_n"))
+    marked = incoming.groupBy(key.alias("_marked")).agg(F.count("*").alias("_n"))
     marked = marked.withColumn("_known", F.lit(None).cast("boolean")) if known is None else \
-        marked.join(known.select(F.col("id").alias("_id"), F.lit(True).alias("_known")), "_id", "left")
+        marked.join(known.select(F.col("id").alias("_marked"), F.lit(True).alias("_known")), "_marked", "left")
     with shuffle_files_dropped(spark):
         marked = marked.where("_n > 1 or _known").checkpoint()
     n, apart = marked.count(), None
     if n > BROADCAST_ROW_LIMIT:
         apart, near = _near(incoming, key, marked, n)
-        flagged = near.join(marked, key.eqNullSafe(F.col("_id")), "left")
+        flagged = near.join(marked, key.eqNullSafe(F.col("_marked")), "left")
     elif n:
-        flagged = incoming.join(F.broadcast(marked), key.eqNullSafe(F.col("_id")), "left")
+        flagged = incoming.join(F.broadcast(marked), key.eqNullSafe(F.col("_marked")), "left")
     else:
         flagged = incoming.withColumns({"_n": F.lit(1), "_known": F.lit(None).cast("boolean")})
     out = flagged
@@ -68,7 +68,7 @@ def _near(rows: DataFrame, key, marked: DataFrame, n: int) -> tuple[DataFrame, D
     """``rows`` parted in two: none of the first has a ``key`` of the ``n`` ``marked``, by a bitmap of hashes."""
     bits = min(max(BITS_PER_ID * n, 1 << 15), BITMAP_BITS)
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    maps = marked.select(place("_id").alias("_p")).select(F.bitmap_bucket_number("_p").alias("_at"), F.bitmap_bit_position("_p").alias("_p")) \
+    maps = marked.select(place("_marked").alias("_p")).select(F.bitmap_bucket_number("_p").alias("_at"), F.bitmap_bit_position("_p").alias("_p")) \
         .repartition("_at").groupBy("_at").agg(F.bitmap_construct_agg("_p").alias("_bits"))
     tagged = rows.withColumn("_at", F.bitmap_bucket_number(place(key))).join(F.broadcast(maps), "_at", "left")
     at = F.bitmap_bit_position(place(key))

@@ -68,10 +68,10 @@ def test_only_rows_that_may_be_marked_are_moved(spark, many):
     """Of 2,000 rows with 40 repeated ids, few more than these meet the repeated ids in a shuffle."""
     rows = spark.range(2040).selectExpr("cast(id % 2000 as string) as id", "id as seq")
     key = F.col("id")
-    marked = rows.groupBy(key.alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
+    marked = rows.groupBy(key.alias("_marked")).agg(F.count("*").alias("_n")).where("_n > 1")
     apart, near = jobs._near(rows, key, marked, 40)
-    assert apart.join(marked, F.col("id") == F.col("_id")).count() == 0 and apart.count() + near.count() == 2040
-    assert near.join(marked, F.col("id") == F.col("_id")).count() == 80 and near.count() < 300
+    assert apart.join(marked, F.col("id") == F.col("_marked")).count() == 0 and apart.count() + near.count() == 2040
+    assert near.join(marked, F.col("id") == F.col("_marked")).count() == 80 and near.count() < 300
 
 
 def test_known_and_repeated_and_missing_ids(spark, many):
